@@ -75,26 +75,22 @@ def parse_duration(value: Column) -> Column:
     )
 
 
-_DATE = r"(\d{4})-?(\d{2})-?(\d{2})"
 _ISO = (
-    rf"^{_DATE}(?:[T ](\d{{2}})(?::?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d+))?)?)?"
-    r"(Z|[+-]\d{2}:?\d{2})?)?$"
+    r"^\d{4}-?\d{2}-?\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
 
 
 def parse_timestamp(text: Column) -> Column:
-    """ISO-8601 text to a timestamp (UTC when no offset is given), else NULL."""
-    clean = strip(text)
-    g = lambda i, empty: F.coalesce(
-        F.nullif(F.regexp_extract(clean, _ISO, i), F.lit("")), F.lit(empty)
-    )
-    offset = F.regexp_replace(g(8, "Z"), r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
-    text_form = F.concat(
-        g(1, ""), F.lit("-"), g(2, ""), F.lit("-"), g(3, ""), F.lit("T"),
-        g(4, "00"), F.lit(":"), g(5, "00"), F.lit(":"), g(6, "00"), F.lit("."),
-        F.left(F.rpad(g(7, "0"), 6, "0"), F.lit(6)), offset,
-    )
-    return F.when(clean.rlike(_ISO), text_form.try_cast("timestamp"))
+    """ISO-8601 text to a timestamp (UTC when no offset is given), else NULL.
+
+    Basic forms (``20250115T103000Z``) are spelled out before the cast.
+    """
+    full = F.regexp_replace(strip(text), r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+    full = F.regexp_replace(full, r"(?<=[T ])(\d{2})(\d{2})(\d{2})?", "$1:$2:$3")
+    full = F.regexp_replace(full, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    full = F.regexp_replace(full, r"(?<=[T ]\d{2})(?=$|Z|[+-])", ":00")
+    full = F.regexp_replace(full, r"(?<=[T ]\d{2}:\d{2}):?(?=$|Z|[+-])", ":00")
+    return F.when(text.rlike(_ISO.replace("^", r"(?U)^\s*", 1)[:-1] + r"\s*$"), full.try_cast("timestamp"))
 
 
 def hashtags(text: Column) -> Column:

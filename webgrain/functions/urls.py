@@ -235,8 +235,10 @@ def resolve_url(base: Column, value: Column) -> Column:
         F.concat(F.slice(base_dirs, F.lit(1), F.greatest(F.size(base_dirs) - 1, F.lit(0))),
                  F.split(ref_path, "/"))
     )
-    # Empty inner segments vanish; '.' and '..' are folded away from the left.
-    inner = F.filter(parts, lambda s, i: (i == 0) | (i == F.size(parts) - 1) | (s != ""))
+    # Relative paths lose empty inner segments; '.' and '..' are folded from the left.
+    inner = F.when(ref_path.startswith("/"), parts).otherwise(
+        F.filter(parts, lambda s, i: (i == 0) | (i == F.size(parts) - 1) | (s != ""))
+    )
     folded = F.aggregate(
         inner,
         F.array().cast("array<string>"),

@@ -15,7 +15,7 @@ from webgrain.operators.selectors import Page
 Values = dict[str, Column]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class PageRules:
     """How to read one type of page.
 
@@ -111,14 +111,19 @@ def extract_unified(pages: DataFrame, packs: list[Pack], *, url: str = "url", pl
     ``pages``: parsed, url, platform, strategy.  Rows of other platforms get NULL.
     """
     page = Page("parsed", F.col(url))
-    ladder = None
+    kinds, ladder = None, None
     for pack in packs:
-        for page_type in pack.pages:
-            test = F.col(platform).isin(pack.platforms) & (pack.page_type(page) == page_type)
-            value = unify_page(page, pack, page_type, F.col(strategy))
+        ours = F.col(platform).isin(pack.platforms)
+        kind = pack.page_type(page)
+        kinds = F.when(ours, kind) if kinds is None else kinds.when(ours, kind)
+        for rules in dict.fromkeys(pack.pages.values()):
+            shared = [k for k, r in pack.pages.items() if r is rules]
+            test = ours & F.col("page_type").isin(shared)
+            value = unify_page(page, pack, shared[0], F.col(strategy))
             ladder = F.when(test, value) if ladder is None else ladder.when(test, value)
     rest = [c for c in pages.columns if c != "parsed"]
-    return pages.select(*rest, ladder.alias("record"))
+    typed = pages.withColumn("page_type", kinds)
+    return typed.select(*rest, ladder.alias("record"))
 
 
 # --- catalogues and scores ------------------------------------------------------
