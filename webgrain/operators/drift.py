@@ -23,7 +23,7 @@ def degraded_fields(before: Column, now: Column) -> Column:
     lost = F.filter(
         F.map_entries(before),
         lambda e: (e.key != "_page")
-        & (now.getItem(e.key).isNull() | (e.value.matched & ~now.getItem(e.key).matched)),
+        & (now[e.key].isNull() | (e.value.matched & ~now[e.key].matched)),
     )
     return F.transform(
         lost, lambda e: F.struct(e.key.alias("field"), e.value.selector.alias("selector"))

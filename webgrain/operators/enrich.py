@@ -87,7 +87,8 @@ def with_cached(requests: DataFrame, responses: DataFrame, *, ttl_seconds: int =
         stored.unionByName(asked), ["cache_key"], ordered.time_bucket(F.col("ts"), bucket_seconds),
         ["ts", "kind", "seq", "body"], F.when(F.col("kind") == 0, body), "hit",
     ).filter(F.col("kind") == 1)
-    age = F.unix_micros("ts") - F.unix_micros(F.col("hit.ts"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    age = micros("ts") - micros("hit.ts")
     return lined.select(
         "cache_key", "seq", "ts",
         F.when(age <= ttl_seconds * 1_000_000, F.col("hit.body")).alias("cached_body"),

@@ -20,8 +20,8 @@ def domain_rollup(outcomes: DataFrame) -> DataFrame:
     """G1: counts, rates and last events per domain.
 
     ``outcomes``: domain, ok, ts, seq, error_code, confidence.  The average
-    confidence is the exact mean over successes; it does not depend on the order
-    of arrival.  All parts are mergeable, so hot domains combine map-side.
+    confidence is the exact (decimal) mean over successes; it depends neither on the
+    order of arrival nor on how partial sums are merged.  All parts are mergeable, so hot domains combine map-side.
     """
     ok = F.col("ok")
     return outcomes.groupBy("domain").agg(
@@ -33,7 +33,8 @@ def domain_rollup(outcomes: DataFrame) -> DataFrame:
         F.max(F.when(~ok, F.col("ts"))).alias("last_failure"),
         F.max_by("error_code", F.when(~ok & F.col("error_code").isNotNull(), F.struct("ts", "seq")))
         .alias("last_error_code"),
-        F.round(F.avg(F.when(ok, F.col("confidence"))), 4).alias("average_confidence"),
+        F.round(F.avg(F.when(ok, F.col("confidence").cast("decimal(12,8)"))).cast("double"), 4)
+        .alias("average_confidence"),
     )
 
 

@@ -22,7 +22,7 @@ _BUCKET, _PAYLOAD, _LOCAL, _LAST, _TAIL, _CARRY = (
 
 def time_bucket(ts: Column, seconds: int = 3600) -> Column:
     """Time slice of a timestamp."""
-    return F.floor(F.unix_seconds(ts) / seconds)
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
 
 
 def id_bucket(seq: Column, width: int = 100_000) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from webgrain.plans import page_queries, url_queries  # noqa: F401
+from webgrain.plans import log_queries, page_queries, scalar_queries, url_queries  # noqa: F401
 from webgrain.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -33,7 +33,7 @@ SELECTORS = View(
     domain="concat('h', user_id, '.example.com')",
     field="concat('f', event_id % 4)",
     selector="concat('.', event_type)",
-    matched="value > 12",
+    matched="value > CASE WHEN event_type = 'error' THEN 40 ELSE 12 END",
     confidence="CAST(event_id % 101 AS DOUBLE) / 100",
 )
 
