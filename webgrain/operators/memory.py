@@ -16,28 +16,59 @@ def _count(test: Column) -> Column:
     return F.count(F.when(test, F.lit(1)))
 
 
-def domain_rollup(outcomes: DataFrame) -> DataFrame:
-    """G1: counts, rates and last events per domain.
+def domain_partials(outcomes: DataFrame) -> DataFrame:
+    """Mergeable counters per domain, for one batch of outcomes.
 
-    ``outcomes``: domain, ok, ts, seq, error_code, confidence.  The average
-    confidence is the exact (decimal) mean over successes; it depends neither on the
-    order of arrival nor on how partial sums are merged.  All parts are mergeable, so hot domains combine map-side.
+    ``outcomes``: domain, ok, ts, seq, error_code, confidence.  Confidences are
+    summed as decimals, so the sum does not depend on the order of merging.
     """
     ok = F.col("ok")
     return outcomes.groupBy("domain").agg(
         F.count(F.lit(1)).alias("attempts"),
         _count(ok).alias("successes"),
-        _count(~ok).alias("failures"),
-        F.round(_count(ok) / F.count(F.lit(1)), 3).alias("success_rate"),
         F.max(F.when(ok, F.col("ts"))).alias("last_success"),
         F.max(F.when(~ok, F.col("ts"))).alias("last_failure"),
-        F.max_by("error_code", F.when(~ok & F.col("error_code").isNotNull(), F.struct("ts", "seq")))
-        .alias("last_error_code"),
-        F.round(F.avg(F.when(ok, F.col("confidence").cast("decimal(12,8)"))).cast("double"), 4)
-        .alias("average_confidence"),
+        F.max(
+            F.when(~ok & F.col("error_code").isNotNull(), F.struct("ts", "seq", "error_code"))
+        ).alias("last_error"),
+        F.sum(F.when(ok, F.col("confidence").cast("decimal(12,8)"))).alias("confidence_sum"),
+        _count(ok & F.col("confidence").isNotNull()).alias("confidence_count"),
+    )
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """G1 from counters of any number of batches."""
+    merged = partials.groupBy("domain").agg(
+        F.sum("attempts").alias("attempts"), F.sum("successes").alias("successes"),
+        F.max("last_success").alias("last_success"), F.max("last_failure").alias("last_failure"),
+        F.max("last_error").alias("last_error"),
+        F.sum("confidence_sum").alias("confidence_sum"),
+        F.sum("confidence_count").alias("confidence_count"),
+    )
+    return _finish(merged)
+
+
+def _finish(merged: DataFrame) -> DataFrame:
+    return merged.select(
+        "domain", "attempts", "successes", (F.col("attempts") - F.col("successes")).alias("failures"),
+        F.round(F.col("successes") / F.col("attempts"), 3).alias("success_rate"),
+        "last_success", "last_failure", F.col("last_error.error_code").alias("last_error_code"),
+        F.when(
+            F.col("confidence_count") > 0,
+            F.round(F.col("confidence_sum") / F.col("confidence_count"), 4).cast("double"),
+        ).alias("average_confidence"),
     )
 
 
+def domain_rollup(outcomes: DataFrame) -> DataFrame:
+    """G1: counts, rates and last events per domain.
+
+    The average confidence is the exact mean over successes, whatever the order
+    of arrival.  All parts are mergeable: hot domains combine map-side.
+    """
+    return _finish(domain_partials(outcomes))
+
+
 def strategy_memory(outcomes: DataFrame) -> DataFrame:
     """Per (domain, strategy): did it ever work, and when last it did or did not."""
     ok = F.col("ok")

@@ -1,6 +1,12 @@
 """Registered queries; importing this package fills the registry."""
 
-from webgrain.plans import log_queries, page_queries, scalar_queries, url_queries  # noqa: F401
+from webgrain.plans import (  # noqa: F401
+    log_queries,
+    page_queries,
+    record_queries,
+    scalar_queries,
+    url_queries,
+)
 from webgrain.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

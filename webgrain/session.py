@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Pages are large rows: bound the Arrow batches that feed the HTML parser
     # by count, so a worker never holds more than a few hundred page trees.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",

@@ -106,7 +106,7 @@ def archive_rows(captures: DataFrame, metadata: dict[str, Column] | None = None)
     """A5: archive table; the given metadata wins over url, archive_id, created_at.
 
     ``captures``: url, html, timestamp.  Equal versions collapse to the earliest
-    one: ids are aggregated first, so page texts are shuffled only once.
+    one, map-side before they are shuffled.
     """
     keyed = captures.withColumn("archive_id", archive_id(F.col("url"), F.col("html")))
     base = {
