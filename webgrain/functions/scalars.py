@@ -155,12 +155,10 @@ def tolerant_json(text: Column, *, object_only: bool = True) -> Column:
 
     NULL (never an error) when it is not JSON, or not an object on request.
     """
-    body = strip(text)
-    bare = strip(F.regexp_replace(F.regexp_replace(body, "^```(json)?", ""), "```$", ""))
-    value = F.coalesce(F.try_parse_json(body), F.try_parse_json(bare))
-    if not object_only:
-        return value
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    # No JSON text starts or ends with a fence, so one parse covers both cases.
+    bare = strip(F.regexp_replace(strip(text), "^```(json)?|```$", ""))
+    value = F.try_parse_json(bare)
+    return F.when(bare.startswith("{"), value) if object_only else value
 
 
 def error_record(error_type: Column, message: Column, url: Column, strategies: Column,
@@ -174,7 +172,7 @@ def error_record(error_type: Column, message: Column, url: Column, strategies: C
         code.alias("code"),
         F.when(error_type.isNull(), "Unknown error").otherwise(message).alias("message"),
         url.alias("url"),
-        F.try_element_at(strategies, F.lit(-1)).alias("strategy"),
+        F.get(strategies, F.size(strategies) - 1).alias("strategy"),
         F.lit(None).cast("int").alias("http_status"),
         selectors.alias("selectors_tried"),
         fix.alias("suggested_fix"),

@@ -8,6 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 
+# Characters that count as white space at the ends of a text.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``.
 
@@ -19,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim every kind of (Unicode) white space, not just blanks."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(value: Column) -> Column:

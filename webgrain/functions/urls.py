@@ -224,46 +224,45 @@ def domain_of(url: Column, *, keep_port: bool = True) -> Column:
 
 def resolve_url(base: Column, value: Column) -> Column:
     """Absolute form of ``value`` seen from ``base``; NULL when blank."""
-    ref = blank_to_null(value)
-    ref = strip(ref)
+    return let(F.nullif(strip(value), F.lit("")), lambda ref: _resolve(base, ref))
+
+
+def _resolve(base: Column, ref: Column) -> Column:
+    root = F.regexp_extract(base, "^([^:]+://[^/?#]*)", 1)
+
+    def against_path(parts: Column) -> Column:
+        # Relative paths lose empty inner segments; '.' and '..' are folded from the left.
+        inner = F.when(ref.startswith("/"), parts).otherwise(
+            F.filter(parts, lambda s, i: (i == 0) | (i == F.size(parts) - 1) | (s != ""))
+        )
+        folded = F.aggregate(
+            inner,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.regexp_replace(F.array_join(F.concat(folded, tail), "/"), "^/?", "/")
+
     ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    ref_query = F.regexp_extract(ref, r"^[^?#]*(\?[^#]*)?", 1)
-    ref_fragment = F.regexp_extract(ref, r"(#.*)$", 1)
-    root = F.concat(scheme_of(base), F.lit("://"), netloc_of(base))
-    base_dirs = F.split(F.regexp_replace(path_of(base), "[^/]*$", ""), "/")
-    parts = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(
-        F.concat(F.slice(base_dirs, F.lit(1), F.greatest(F.size(base_dirs) - 1, F.lit(0))),
-                 F.split(ref_path, "/"))
+    base_dir = F.regexp_replace(path_of(base), "[^/]*$", "")
+    whole = F.when(ref.startswith("/"), ref_path).otherwise(F.concat(base_dir, ref_path))
+    path = F.when(whole.rlike(r"(^|/)\.\.?(/|$)|//"), let(F.split(whole, "/"), against_path)).otherwise(
+        F.regexp_replace(whole, "^/?", "/")
     )
-    # Relative paths lose empty inner segments; '.' and '..' are folded from the left.
-    inner = F.when(ref_path.startswith("/"), parts).otherwise(
-        F.filter(parts, lambda s, i: (i == 0) | (i == F.size(parts) - 1) | (s != ""))
+    without_fragment = F.regexp_replace(base, "#.*$", "")
+    same_page = (
+        F.when(ref.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), ref))
+        .otherwise(F.concat(without_fragment, ref))
     )
-    folded = F.aggregate(
-        inner,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    joined = F.array_join(
-        F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(folded, F.array(F.lit(""))))
-        .otherwise(folded),
-        "/",
-    )
-    path = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    base_query = F.regexp_extract(base, _SPLIT, 4)
     return (
         F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme_of(base), F.lit(":"), ref))
-        .when(
-            ref_path == "",
-            F.concat(
-                root, path_of(base),
-                F.when(ref_query != "", ref_query).otherwise(base_query), ref_fragment,
-            ),
-        )
-        .otherwise(F.concat(root, path, ref_query, ref_fragment))
+        .when(ref_path == "", same_page)
+        .otherwise(F.concat(root, path, F.regexp_extract(ref, r"([?#].*)$", 1)))
     )
 
 

@@ -2,7 +2,8 @@
 
 This is the only Python stage of the package.  It turns one page into
 
-* ``dom``: nodes in document order.  A node's id is its position, and its
+* ``dom``: nodes in document order; ``cls`` holds the class names between blanks,
+  so that one ``contains`` tests for a class.  A node's id is its position, and its
   subtree is the id range ``(id, last]``, so "is inside" is two comparisons and
   the representation stays linear even for thousands of unclosed tags;
 * ``texts``: the page's text pieces, trimmed and non-empty, in document order.
@@ -18,14 +19,18 @@ implication, script/style/template/ruby strings are not part of a page's text.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from html import unescape
-from html.entities import html5
+from html import entities, unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, functions as F
 
+# Executors need not have this package installed: ship the reader itself.
+register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values -----------------------------------------------------------
 VOID_TAGS = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
@@ -38,13 +43,10 @@ SKELETON_SKIP = frozenset(["script", "style"])
 
 NODE_DDL = (
     "struct<id:int,parent:int,last:int,tag:string,attrs:map<string,string>,"
-    "cls:array<string>,t0:int,t1:int,raw:string>"
+    "cls:string,t0:int,t1:int,raw:string>"
 )
 PAGE_DDL = f"struct<dom:array<{NODE_DDL}>,texts:array<string>,skeleton:string,parse_error:string>"
 
-_STR_LIST = pa.list_(pa.string())
-
-
 class _PageReader(HTMLParser):
     """Reads one page at a time into the flat lists of the current batch."""
 
@@ -93,9 +95,10 @@ class _PageReader(HTMLParser):
     def _push(self, tag: str, attrs: list) -> None:
         self._flush()
         named = {k: ("" if v is None else v) for k, v in attrs}
-        classes = named["class"].split() if "class" in named else []
-        if classes:
-            named["class"] = " ".join(classes)
+        classes = ""
+        if "class" in named:
+            named["class"] = " ".join(named["class"].split())
+            classes = f" {named['class']} "
         parent = self.stack[-1][1] if self.stack else -1
         emitted = self.keep is None or tag in self.keep
         node = parent
@@ -159,7 +162,7 @@ class _PageReader(HTMLParser):
         self.pending.append(unescape(f"&#{name};"))
 
     def handle_entityref(self, name):
-        self.pending.append(html5.get(f"{name};", f"&{name}"))
+        self.pending.append(entities.html5.get(f"{name};", f"&{name}"))
 
     def unknown_decl(self, data):
         self._flush()
@@ -217,7 +220,7 @@ def _read_batch(reader: _PageReader, pages: pa.Array, skeleton: bool) -> pa.Stru
     nodes = pa.StructArray.from_arrays(
         [
             pa.array(ids, pa.int32()), pa.array(flat[0], pa.int32()), pa.array(flat[1], pa.int32()),
-            pa.array(flat[2], pa.string()), attr_maps, pa.array(flat[4], _STR_LIST),
+            pa.array(flat[2], pa.string()), attr_maps, pa.array(flat[4], pa.string()),
             pa.array(flat[5], pa.int32()), pa.array(flat[6], pa.int32()), pa.array(flat[7], pa.string()),
         ],
         names=["id", "parent", "last", "tag", "attrs", "cls", "t0", "t1", "raw"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webgrain.functions.scalars import parse_count
-from webgrain.functions.text import let
+from webgrain.functions.text import let, strip
 from webgrain.operators.selectors import Page
 
 # --- fixed values -----------------------------------------------------------
@@ -59,11 +59,9 @@ def json_ld(page: Page) -> Column:
             lambda n: (n.tag == "script")
             & F.coalesce(n.attrs.getItem("type") == "application/ld+json", F.lit(False)),
         ),
-        lambda n: F.try_parse_json(F.coalesce(F.nullif(n.raw, F.lit("")), F.lit("{}"))),
-    )
-    objects = F.filter(
-        scripts, lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        lambda n: F.when(strip(n.raw).startswith("{"), F.try_parse_json(n.raw)),
     )
+    objects = F.filter(scripts, lambda v: v.isNotNull())
 
     def cell(seen: Column, value: Column) -> Column:
         return F.struct(seen.alias("seen"), value.cast("string").alias("v"))

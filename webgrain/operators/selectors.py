@@ -59,7 +59,7 @@ class Page:
                 if p["tag"] != "*":
                     tests.append(f"{n}.tag = {quoted(p['tag'].lower())}")
             elif p["cls"]:
-                tests.append(f"array_contains({n}.cls, {quoted(p['cls'])})")
+                tests.append(f"contains({n}.cls, {quoted(' ' + p['cls'] + ' ')})")
             elif p["text"] is not None:
                 tests.append(f"contains(lower({self._text(n, ' ')}), {quoted(p['text'].lower())})")
             elif p["op"] is None:

@@ -158,7 +158,7 @@ def pack_score(t: Tables) -> DataFrame:
         {"title": ["main h1", "article h1"], "body": ["body"], "link": ["nav a"]},
         lambda page, chains: {}, lambda page, values: {},
     )
-    rows = t.pages.select(parse_page(F.col("html")).alias("parsed"))
+    rows = t.spread("pages", "page_id").select(parse_page(F.col("html")).alias("parsed"))
     return rules.score_rules(rows, tried, ["title", "body", "missing_field"])
 
 
@@ -255,7 +255,7 @@ def captures(t: Tables) -> DataFrame:
         f"array(named_struct('v', 0, 'html', html), named_struct('v', 1, 'html', {_MUTATED}), "
         f"named_struct('v', 2, 'html', {_MUTATED}))"
     )).alias("c")
-    rows = t.pages.select("page_id", "url", versions).select("page_id", "url", "c.v", F.col("c.html").alias("html"))
+    rows = t.spread("pages", "page_id").select("page_id", "url", versions).select("page_id", "url", "c.v", F.col("c.html").alias("html"))
     parsed = rows.withColumn("parsed", parse_page(F.col("html"), keep_tags=["title", "body", "article", "h1"], skeleton=True))
     page = Page("parsed")
     f = extract.basic_fields(page)
@@ -392,8 +392,10 @@ def entity_pairs(t: Tables) -> DataFrame:
         "CASE WHEN c_custkey % 4 = 1 THEN replace(c_name, 'Customer', 'SUPPLIER') ELSE concat('customer ', right(c_name, 8), 'x') END AS name_b",
         "CASE WHEN c_custkey % 4 = 3 THEN concat('U', c_custkey) END AS handle_b",
     )
-    verdicts = t.customer.selectExpr("c_custkey AS pair_id", "false AS match", "0.25D AS confidence", "'checked' AS reasoning")
-    out = entities.resolve_pairs(pairs, verdicts.filter("pair_id % 10 = 0"))
+    hit = "CASE WHEN c_custkey % 10 = 0 THEN"
+    verdicts = t.customer.selectExpr(
+        "c_custkey AS pair_id", f"{hit} false END AS match", f"{hit} 0.25D END AS confidence", f"{hit} 'checked' END AS reasoning")
+    out = entities.resolve_pairs(pairs, verdicts)
     return out.select("pair_id", "match", "confidence", "reasoning")
 
 

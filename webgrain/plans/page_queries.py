@@ -33,7 +33,7 @@ ARTICLE_SQL = pieces_sql("regexp_extract(html, '<article>(.*)$', 1, 's')")
 
 def parsed_pages(t: Tables, **options: object) -> DataFrame:
     """The given pages, parsed."""
-    return t.pages.withColumn("parsed", parse_page(F.col("html"), **options))
+    return t.spread("pages", "page_id").withColumn("parsed", parse_page(F.col("html"), **options))
 
 
 def escaped(column: str) -> Column:
@@ -80,7 +80,7 @@ def document_pages(t: Tables) -> DataFrame:
         F.lit('.png"></head><body><nav>menu</nav><main><header>top</header><p>'), escaped("text"),
         F.lit("</p><aside>side</aside></main><footer>foot</footer></body></html>"),
     )
-    return t.documents.select("doc_id", html.alias("html"))
+    return t.spread("documents", "doc_id").select("doc_id", html.alias("html"))
 
 
 @query("C3_open_graph", f"""
@@ -105,7 +105,7 @@ def json_ld(t: Tables) -> DataFrame:
       '}}</script><script type="application/ld+json">{{"headline":"later","datePublished":"',
       date_format(o_orderdate, 'yyyy-MM-dd'), '"',
       if(o_orderkey % 3 = 0, ',"publisher":{{"name":"Shop"}}', ',"publisher":"Shop"'), '}}</script>')""")
-    rows = t.orders.select("o_orderkey", parse_page(html, keep_tags=["script"]).alias("parsed"))
+    rows = t.spread("orders", "o_orderkey").select("o_orderkey", parse_page(html, keep_tags=["script"]).alias("parsed"))
     rows = rows.select("o_orderkey", extract.json_ld(Page("parsed")).alias("ld"))
     return rows.select("o_orderkey", "ld.title.v", "ld.author.v", "ld.published.v", "ld.site_name.v").toDF(
         "o_orderkey", "title", "author", "published", "site_name"
@@ -139,7 +139,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1
 def attribute_chain(t: Tables) -> DataFrame:
     html = F.expr("""concat('<article', CASE o_orderkey % 3 WHEN 0 THEN ' data-id=""'
         WHEN 1 THEN concat(' data-id="a', o_orderkey, '"') ELSE '' END, '>x</article><div data-id="b', o_custkey, '">y</div>')""")
-    rows = t.orders.select("o_orderkey", parse_page(html).alias("parsed"))
+    rows = t.spread("orders", "o_orderkey").select("o_orderkey", parse_page(html).alias("parsed"))
     page, pairs = Page("parsed"), [("article", "data-id"), ("div[data-id]", "data-id")]
     return rows.select(
         "o_orderkey", page.attr_chain(pairs, non_empty=False)["value"].alias("present"),
@@ -171,7 +171,7 @@ SELECT page_id, true AS same_for_new_text, true AS same_for_new_values, false AS
 def fingerprint(t: Tables) -> DataFrame:
     fp = lambda c: drift.fingerprint(parse_page(c, keep_tags=[], skeleton=True)["skeleton"])
     html = F.col("html")
-    rows = t.pages.select(
+    rows = t.spread("pages", "page_id").select(
         "page_id", fp(html).alias("a"),
         fp(F.replace(html, F.lit("</title>"), F.lit(" more</title>"))).alias("b"),
         fp(F.replace(html, F.lit('class="ad"'), F.lit('class="other" id="x"'))).alias("c"),
@@ -203,7 +203,7 @@ def snapshot(t: Tables) -> DataFrame:
 SELECT doc_id, length(text) AS chars, sha256(text) AS digest, true AS bounded,
   CASE WHEN length(text) <= 1000 THEN true END AS single FROM documents""")
 def html_chunks(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "text", extract.html_chunks(F.col("text"), 250).alias("c"))
+    rows = t.spread("documents", "doc_id").select("doc_id", "text", extract.html_chunks(F.col("text"), 250).alias("c"))
     longest = F.aggregate("c", F.lit(0), lambda a, x: F.greatest(a, F.length(x)))
     return rows.select(
         "doc_id", F.length(F.array_join("c", "")).cast("bigint").alias("chars"),
@@ -232,7 +232,7 @@ def time_preference(t: Tables) -> DataFrame:
       WHEN 0 THEN concat('<time datetime=" ', date_format(o_orderdate, 'yyyy-MM-dd'), '">long ago</time>')
       WHEN 1 THEN concat('<span class="timestamp"> ', date_format(o_orderdate, 'yyyy-MM-dd'), '</span>')
       ELSE '<time>no attribute</time>' END""")
-    rows = t.orders.select("o_orderkey", parse_page(html).alias("parsed"))
+    rows = t.spread("orders", "o_orderkey").select("o_orderkey", parse_page(html).alias("parsed"))
     return rows.select("o_orderkey", Page("parsed").chain(["time", ".timestamp"])["stamp"].alias("stamp"))
 
 
@@ -245,7 +245,7 @@ def next_page(t: Tables) -> DataFrame:
       WHEN 0 THEN concat('<a href="/p/', p_size + 1, '"> ', p_size + 1, '</a>')
       WHEN 1 THEN concat('<a rel="next" href="/n', p_partkey, '">more</a>')
       ELSE '<button>LOAD more</button>' END)""")
-    rows = t.part.select("p_partkey", "p_size", parse_page(html).alias("parsed"))
+    rows = t.spread("part", "p_partkey").select("p_partkey", "p_size", parse_page(html).alias("parsed"))
     rows = rows.select("p_partkey", extract.next_page(Page("parsed"), F.col("p_size")).alias("n"))
     return rows.select("p_partkey", "n.selector", "n.href")
 
@@ -273,7 +273,7 @@ SELECT o_orderkey, 'u' || o_custkey AS author, 'Order #t' || o_orderkey || ' by
   o_custkey AS comments, o_orderdate + INTERVAL 8 HOUR + INTERVAL 30 MINUTE AS posted_at,
   'https://i/' || o_orderkey || '.jpg https://j/1.jpg' AS media FROM orders""")
 def instagram_post(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.instagram.com/p/', o_orderkey)", _IG_POST)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.instagram.com/p/', o_orderkey)", _IG_POST)
     return _fields(rows, INSTAGRAM, "post").select(
         "o_orderkey", F.col("fields.author_username").alias("author"), "fields.caption",
         F.array_join("fields.tags", " ").alias("tags"), F.array_join("fields.mentions", " ").alias("mentions"),
@@ -288,7 +288,7 @@ SELECT c_custkey, c_custkey * 1000 AS followers, c_custkey % 7 AS following, c_n
 def profile_stats(t: Tables) -> DataFrame:
     html = """concat('<header><h2>', c_name, '</h2><ul><li><span>', c_nationkey, '</span> posts</li><li><span>',
       c_custkey, 'K</span> followers</li><li><span>', c_custkey % 7, '</span> following</li></ul></header>')"""
-    rows = _rendered(t.customer, "c_custkey", "concat('https://instagram.com/c', c_custkey)", html)
+    rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://instagram.com/c', c_custkey)", html)
     return _fields(rows, INSTAGRAM, "profile").select(
         "c_custkey", F.col("fields.follower_count").alias("followers"),
         F.col("fields.following_count").alias("following"), F.col("fields.posts_count").alias("posts"),
@@ -305,7 +305,7 @@ SELECT o_orderkey, o_orderkey::VARCHAR AS tweet_id, 'https://x.com/u' || o_custk
   o_custkey AS likes, o_custkey * 1000 AS shares, NULL::BIGINT AS comments, o_orderdate AS posted_at,
   '#n' || o_orderkey AS tags FROM orders""")
 def x_post(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://x.com/u/status/', o_orderkey)", _TWEET)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://x.com/u/status/', o_orderkey)", _TWEET)
     r = extract_unified(rows, [X]).select("o_orderkey", "record.*")
     return r.select(
         "o_orderkey", F.col("metadata")["tweet_id"].alias("tweet_id"), "author_url", "likes", "shares", "comments",
@@ -325,7 +325,7 @@ SELECT c_custkey, u.* FROM customer, LATERAL (VALUES
   (0, 'v' || c_custkey, '/@c/video/' || c_custkey, 't.jpg', c_custkey * 1000000),
   (1, 'w', NULL, NULL, NULL)) u(pos, video_id, link, thumbnail, views)""")
 def nested_records(t: Tables) -> DataFrame:
-    rows = _rendered(t.customer, "c_custkey", "concat('https://www.tiktok.com/@c', c_custkey)", _TT_PROFILE)
+    rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://www.tiktok.com/@c', c_custkey)", _TT_PROFILE)
     items = _fields(rows, TIKTOK, "profile").select("c_custkey", F.posexplode("fields.recent_videos").alias("pos", "v"))
     return items.select(
         "c_custkey", "pos", "v.video_id", F.col("v.url").alias("link"),
@@ -338,7 +338,7 @@ SELECT c_custkey, 'c' || c_custkey AS author, c_custkey * 1000 AS followers, c_n
   'Used fallback selector .tt-nickname for display_name — primary selector may need updating.' AS warning,
   3 AS missing FROM customer""")
 def completeness(t: Tables) -> DataFrame:
-    rows = _rendered(t.customer, "c_custkey", "concat('https://www.tiktok.com/@c', c_custkey)", _TT_PROFILE)
+    rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://www.tiktok.com/@c', c_custkey)", _TT_PROFILE)
     return _fields(rows, TIKTOK, "profile").select(
         "c_custkey", F.col("fields.username").alias("author"), F.col("fields.follower_count").alias("followers"),
         F.col("fields.video_count").alias("videos"), F.size("fields.warnings").alias("warnings"),
@@ -358,7 +358,7 @@ SELECT o_orderkey, o_orderkey::VARCHAR AS video_id, 'https://www.tiktok.com/@a'
   o_custkey * 1000 AS views, o_custkey AS likes, (o_custkey % 60) * 60 + 5 AS duration,
   'https://v/' || o_orderkey || '.mp4' AS video_url, o_orderdate AS posted_at, '#tag' || o_custkey AS tags FROM orders""")
 def tiktok_video(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.tiktok.com/@a/video/', o_orderkey)", _TT_VIDEO)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.tiktok.com/@a/video/', o_orderkey)", _TT_VIDEO)
     return _fields(rows, TIKTOK, "video").select(
         "o_orderkey", "fields.video_id", "fields.author_url", F.col("fields.play_count").alias("views"),
         F.col("fields.like_count").alias("likes"), "fields.duration", "fields.video_url",
@@ -377,7 +377,7 @@ SELECT o_orderkey, 'urn:' || o_orderkey AS id, 'https://www.linkedin.com/in/ann-
   'Text ' || o_orderkey AS text, o_custkey AS likes, o_custkey AS comments, NULL::BIGINT AS shares,
   o_orderdate AS posted_at FROM orders""")
 def linkedin_post(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.linkedin.com/posts/', o_orderkey)", _LI_POST)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.linkedin.com/posts/', o_orderkey)", _LI_POST)
     return _fields(rows, LINKEDIN, "post").select(
         "o_orderkey", "fields.id", "fields.author_url", "fields.text", F.col("fields.reaction_count").alias("likes"),
         F.col("fields.comment_count").alias("comments"), F.col("fields.repost_count").alias("shares"),
@@ -392,7 +392,7 @@ def linkedin_company(t: Tables) -> DataFrame:
     html = """concat('<h1>', s_name, '</h1><span class="company-follower-count">', format_number(s_suppkey * 100, 0),
       ' followers</span><div class="company-website"><a href="https://s', s_suppkey, '.example.com">site</a></div>',
       '<ul class="company-specialties"><li>A</li><li> </li><li>B', s_nationkey, '</li></ul>')"""
-    rows = _rendered(t.supplier, "s_suppkey", "concat('https://www.linkedin.com/company/', s_suppkey)", html)
+    rows = _rendered(t.spread("supplier", "s_suppkey"), "s_suppkey", "concat('https://www.linkedin.com/company/', s_suppkey)", html)
     return _fields(rows, LINKEDIN, "company").select(
         "s_suppkey", F.col("fields.name").alias("title"), F.col("fields.follower_count").alias("likes"),
         F.array_join("fields.specialties", " ").alias("tags"), "fields.website",
@@ -411,7 +411,7 @@ _FB_POST = """concat('<article class="fb-story" data-story-id="', o_orderkey, '"
 SELECT o_orderkey, u.* FROM orders, LATERAL (VALUES ('like', o_custkey), ('love', NULL), ('wow', o_custkey * 1000),
   ('haha', NULL), ('sad', NULL), ('angry', NULL)) u(reaction, n)""")
 def reactions(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST)
     return _fields(rows, FACEBOOK, "post").select(
         "o_orderkey", F.explode("fields.reactions_breakdown").alias("reaction", "n")
     )
@@ -421,7 +421,7 @@ def reactions(t: Tables) -> DataFrame:
 SELECT o_orderkey, 'https://www.facebook.com/g/posts/m/' || o_orderkey || '.jpg' AS media,
   'https://www.facebook.com/g' || o_custkey AS author_url FROM orders""")
 def media_urls(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST)
     return _fields(rows, FACEBOOK, "post").select(
         "o_orderkey", F.array_join("fields.media_urls", " ").alias("media"), "fields.author_url"
     )
@@ -431,7 +431,7 @@ def media_urls(t: Tables) -> DataFrame:
 SELECT o_orderkey, 'Line ' || o_orderkey AS title, o_custkey * 1000 AS likes, o_custkey AS shares,
   NULL::BIGINT AS comments, 'G ' || o_custkey AS author, o_orderdate AS posted_at FROM orders""")
 def facebook_post(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST, "facebook")
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST, "facebook")
     r = extract_unified(rows, [FACEBOOK]).select("o_orderkey", "record.*")
     return r.select(
         "o_orderkey", "title", "likes", "shares", "comments", "author",
@@ -451,7 +451,7 @@ _YT = """concat('<meta property="og:image" content="/thumb', o_orderkey, '.jpg">
 @query("C14_comments_disabled", """
 SELECT o_orderkey, o_orderkey % 2 = 0 AS disabled, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END AS comments FROM orders""")
 def comments_disabled(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.youtube.com/watch?v=', o_orderkey)", _YT)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.youtube.com/watch?v=', o_orderkey)", _YT)
     return _fields(rows, YOUTUBE, "video").select(
         "o_orderkey", F.col("fields.comments_disabled").alias("disabled"), F.col("fields.comment_count").alias("comments")
     )
@@ -462,7 +462,7 @@ SELECT o_orderkey, 'd' || o_orderkey AS id, 'V ' || o_orderkey AS title, o_custk
   'https://www.youtube.com/@c' || o_custkey AS channel_url, '#a' AS tags, '0:hello' AS transcript,
   'https://www.youtube.com/thumb' || o_orderkey || '.jpg' AS thumbnail FROM orders""")
 def youtube_video(t: Tables) -> DataFrame:
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://www.youtube.com/watch?v=', o_orderkey)", _YT)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.youtube.com/watch?v=', o_orderkey)", _YT)
     segments = F.transform("fields.transcript_segments", lambda s: F.concat(s.start, F.lit(":"), s.text))
     return _fields(rows, YOUTUBE, "video").select(
         "o_orderkey", "fields.id", "fields.title", F.col("fields.view_count").alias("views"), "fields.channel_url",
@@ -478,7 +478,7 @@ def sample_packs(t: Tables) -> DataFrame:
     html = """concat('<div class="athing"><span class="titleline"><a>T ', o_orderkey, '</a></span></div><span class="score">',
       o_custkey, ' points</span><span class="text" itemprop="text">q', o_custkey,
       '</span><span class="text" itemprop="text">q2</span><p class="tags"><a class="tag" href="/tag/', o_custkey, '">x</a></p>')"""
-    rows = _rendered(t.orders, "o_orderkey", "concat('https://news.ycombinator.com/item?id=', o_orderkey)", html)
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://news.ycombinator.com/item?id=', o_orderkey)", html)
     both = _fields(rows.withColumn("again", F.col("parsed")), HACKERNEWS, "post").withColumnRenamed("fields", "hn")
     both = _fields(both.withColumnRenamed("again", "parsed"), QUOTES, "post")
     return both.select(

@@ -24,7 +24,7 @@ _BASIC_SQL = f"""(SELECT page_id, url, {_CLEAN_URL} AS clean_url, {_HOST} AS dom
 
 
 def _page_captures(t: Tables) -> DataFrame:
-    return t.pages.withColumn("strategy", F.lit("http"))
+    return t.spread("pages", "page_id").withColumn("strategy", F.lit("http"))
 
 
 @query("flagship_domain_report", f"""
@@ -88,8 +88,10 @@ SELECT page_id, CASE WHEN page_id % 3 = 2 THEN title WHEN page_id % 5 = 0 THEN '
   CASE WHEN page_id % 5 = 0 THEN 'kept' ELSE '' END AS tags FROM {_GAPS.sql}""")
 def merge_enrichment(t: Tables) -> DataFrame:
     pages = t.view(_GAPS).withColumn("tags", F.lit(None).cast("array<string>"))
-    answers = t.orders.filter("o_orderkey % 5 = 0").selectExpr(
-        "o_orderkey AS page_id", "concat('a', o_orderkey) AS title", "7L AS likes", "array('kept') AS tags")
+    hit = "CASE WHEN o_orderkey % 5 = 0 THEN"
+    answers = t.orders.selectExpr(
+        "o_orderkey AS page_id", f"{hit} concat('a', o_orderkey) END AS title", f"{hit} 7L END AS likes",
+        f"{hit} array('kept') ELSE array() END AS tags")
     out = normalize.merge_answers(pages, answers, "page_id", {"title": "string", "likes": "bigint", "tags": "array<string>"})
     return out.withColumn("tags", F.coalesce(F.array_join("tags", ","), F.lit("")))
 
@@ -100,7 +102,7 @@ SELECT c_custkey, c_custkey * 1000 AS likes, c_nationkey::BIGINT AS views, c_nam
 def field_maps(t: Tables) -> DataFrame:
     html = """concat('<main class="tt-profile-page"><h1 class="tt-username">@c', c_custkey, '</h1><h2 class="tt-nickname">', c_name,
       '</h2><b class="tt-likes">', c_custkey, 'K likes</b><b class="tt-videos">', c_nationkey, '</b></main>')"""
-    rows = rules.with_parsed(t.customer.selectExpr(
+    rows = rules.with_parsed(t.spread("customer", "c_custkey").selectExpr(
         "c_custkey", "concat('https://www.tiktok.com/@c', c_custkey) AS url", f"{html} AS html",
         "'tiktok' AS platform", "'browser' AS strategy"))
     r = rules.extract_unified(rows, [p for p in BUILT_IN if p.name == "tiktok"]).select("c_custkey", "record.*")
@@ -112,7 +114,7 @@ SELECT c_custkey, c_nationkey::VARCHAR AS followers, 'L' || c_nationkey AS locat
 def extras(t: Tables) -> DataFrame:
     html = """concat('<h1>', c_name, '</h1><b class="follower-count">', c_nationkey, ' followers</b><i class="profile-location">L',
       c_nationkey, '</i>')"""
-    rows = rules.with_parsed(t.customer.selectExpr(
+    rows = rules.with_parsed(t.spread("customer", "c_custkey").selectExpr(
         "c_custkey", "concat('https://x.com/c', c_custkey) AS url", f"{html} AS html", "'x' AS platform", "'http' AS strategy"))
     r = rules.extract_unified(rows, [p for p in BUILT_IN if p.name == "x_twitter"]).select("c_custkey", "record.metadata")
     return r.select(
@@ -310,7 +312,7 @@ WITH p AS (SELECT page_id, {_CLEAN_URL} AS url, html, left(sha256(left(sha256(ht
 SELECT cache_key, page_id, 1 AS pages, 0 AS chunk_no, sha256(prompt) AS prompt_digest,
   greatest((length(prompt) + {len(enrich.SYSTEM_PROMPT)}) // 4, 1) AS token_estimate FROM p""")
 def request_table(t: Tables) -> DataFrame:
-    pages = records.classified(t.pages)
+    pages = records.classified(t.spread("pages", "page_id"))
     f = extract.basic_fields(Page("parsed"))
     rows = pages.withColumn("parsed", parse_page(F.col("html"), keep_tags=extract.BASIC_TAGS))
     rows = rows.select("page_id", "url", "platform", "content_type", "html", *[f[n].alias(n) for n in ("title", "text", "author")])

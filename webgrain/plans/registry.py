@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webgrain.session import configure, spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,6 +24,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for CPU-heavy work, with at least one partition per core."""
+        return spread(getattr(self, name), key)
+
     def view(self, view: View) -> DataFrame:
         return getattr(self, view.table).selectExpr(*[f"{e} AS {c}" for c, e in view.columns.items()])
 
@@ -44,8 +50,6 @@ def query(name: str, sql: str | None = None) -> Callable:
 
     def register(fn: Callable[[Tables], DataFrame]) -> Callable:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            from webgrain.session import configure
-
             return fn(Tables(configure(spark), folder))
 
         run.__doc__ = fn.__doc__

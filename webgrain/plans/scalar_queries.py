@@ -135,7 +135,7 @@ def identifier(t: Tables) -> DataFrame:
 SELECT page_id, length(html) - length(replace(html, '<div class="ad">', '')) > 0 AS has_ad FROM pages""")
 def quoted_selectors(t: Tables) -> DataFrame:
     selector = scalars.quote_selector("div[class=ad]")
-    rows = t.pages.select("page_id", parse_page(F.col("html"), keep_tags=["div"]).alias("parsed"))
+    rows = t.spread("pages", "page_id").select("page_id", parse_page(F.col("html"), keep_tags=["div"]).alias("parsed"))
     return rows.select("page_id", (F.size(Page("parsed").select(selector)) > 0).alias("has_ad"))
 
 
@@ -167,7 +167,7 @@ SELECT page_id, NOT ({_phrase_sql(gates.PRIVATE_PHRASES, 't')}) AS public,
   NOT ({_phrase_sql(gates.FACEBOOK_PRIVATE_PHRASES, 't')}) AS facebook_public,
   CASE WHEN {_phrase_sql(gates.PRIVATE_PHRASES, 't')} THEN 'SCR_021' END AS linkedin_code FROM v""")
 def is_public(t: Tables) -> DataFrame:
-    rows = t.pages.select("page_id", parse_page(F.expr(_WALLED), keep_tags=[]).alias("parsed"))
+    rows = t.spread("pages", "page_id").select("page_id", parse_page(F.expr(_WALLED), keep_tags=[]).alias("parsed"))
     rows = rows.select("page_id", Page("parsed").all_text().alias("text"))
     return rows.select(
         "page_id", gates.is_public(F.col("text")).alias("public"),
@@ -300,7 +300,7 @@ def needs_enrichment(t: Tables) -> DataFrame:
 
     f = extract.basic_fields(Page("parsed"))
     author = F.expr("CASE page_id % 3 WHEN 0 THEN 'me' WHEN 1 THEN ' ' END")
-    rows = t.pages.withColumn("parsed", parse_page(F.col("html"), keep_tags=extract.BASIC_TAGS))
+    rows = t.spread("pages", "page_id").withColumn("parsed", parse_page(F.col("html"), keep_tags=extract.BASIC_TAGS))
     return rows.select("page_id", gates.needs_enrichment(f["text"], f["title"], author).alias("needed"))
 
 

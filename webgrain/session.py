@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that every job of this package relies on.  All of them are
 # session-scoped SQL settings, so they can be applied to a running session.
@@ -28,6 +28,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy work (HTML parsing, field rules) at least one partition per core.
+
+    A table of few, unsplittable files would leave most cores idle, so its rows
+    are hashed by a unique key.  An input that already has enough partitions, as
+    any large one does, is returned as it is: no shuffle.  For plain scans only;
+    the partition count is then known without running anything.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 

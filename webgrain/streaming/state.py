@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +15,9 @@ from webgrain.operators import drift, memory, pacing
 from webgrain.session import work_folder
 from webgrain.sources.tables import archive_id
 
+# Executors need not have this package installed: ship the processor itself.
+register_pickle_by_value(sys.modules[__name__])
+
 _HELD = "__held"
 
 
