@@ -73,7 +73,8 @@ def baseline_struct() -> Column:
 def drift_alerts(captures: DataFrame, *, bucket: Column | None = None) -> DataFrame:
     """H1 in batch: alert rows for all captures that differ from the one before.
 
-    ``captures``: url, ts, seq, fp, snapshot, hash, size.  "Before" means by
+    ``captures``: url, ts, seq, fp, snapshot, hash, size, best a stored table, since
+    it is read twice (state per time slice, then the rows).  "Before" means by
     (ts, seq).  The first capture of a URL only becomes the baseline.
     """
     slice_ = bucket if bucket is not None else ordered.time_bucket(F.col("ts"), 86_400)

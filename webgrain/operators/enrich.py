@@ -12,6 +12,7 @@ from webgrain.functions.gates import needs_enrichment
 from webgrain.operators import ordered
 from webgrain.operators.extract import html_chunks
 from webgrain.schemas import ANSWER_FIELDS
+from webgrain.session import materialized
 
 # --- fixed values -----------------------------------------------------------
 SYSTEM_PROMPT = (
@@ -41,18 +42,20 @@ def request_table(pages: DataFrame, schema_text: str) -> DataFrame:
 
     ``pages``: page_id, url, platform, content_type, html, title, text, author.
     Pages with the same content share a cache key; the first page_id stands for
-    them, and ``pages`` counts how many there are.  The representatives are
-    found on keys alone (a mergeable aggregate); page texts are not shuffled
-    until the keys are joined back.  ``chunk_no`` 0 is the part that a single
-    request covers; the other chunks cover the rest of a long page.
+    them, and ``pages`` counts how many there are.  Only keys are aggregated; the
+    repeated ones, usually few, are written out so that the join back knows
+    their size: below Spark's threshold no page text is ever shuffled.
+    ``chunk_no`` 0 is the part that a single request covers; the other chunks
+    cover the rest of a long page.
     """
     lacking = pages.filter(needs_enrichment(F.col("text"), F.col("title"), F.col("author")))
     keyed = lacking.withColumn("cache_key", scalars.cache_key(F.col("html"), F.lit(schema_text)))
-    first = keyed.groupBy("cache_key").agg(
-        F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("pages")
-    )
-    rows = keyed.join(first, ["cache_key", "page_id"]).select(
-        "cache_key", "page_id", "pages", "url", "platform", "content_type",
+    repeated = keyed.groupBy("cache_key").agg(
+        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 1")
+    rows = keyed.join(materialized(repeated, "repeated"), "cache_key", "left")
+    rows = rows.filter(F.col("first_id").isNull() | (F.col("page_id") == F.col("first_id"))).select(
+        "cache_key", "page_id", F.coalesce("n", F.lit(1)).alias("pages"), "url", "platform", "content_type",
         F.posexplode(html_chunks(F.col("html"))).alias("chunk_no", "chunk"),
     )
     prompt = user_prompt(

@@ -14,10 +14,9 @@ Keys must not be NULL.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.window import WindowSpec
 
-_BUCKET, _PAYLOAD, _LOCAL, _LAST, _TAIL, _CARRY = (
-    "__bucket", "__payload", "__local", "__last", "__tail", "__carry"
-)
+_BUCKET, _PAYLOAD, _LOCAL, _TAIL, _CARRY = "__bucket", "__payload", "__local", "__tail", "__carry"
 
 
 def time_bucket(ts: Column, seconds: int = 3600) -> Column:
@@ -30,35 +29,30 @@ def id_bucket(seq: Column, width: int = 100_000) -> Column:
     return F.floor(seq / width)
 
 
-def _windows(keys: list[str], order: list[str]) -> tuple:
-    return (
-        W.partitionBy(*keys, _BUCKET).orderBy(*order),
-        W.partitionBy(*keys).orderBy(_BUCKET),
-    )
+def _inside(keys: list[str], order: list[str]) -> WindowSpec:
+    return W.partitionBy(*keys, _BUCKET).orderBy(*order)
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(carry, [*keys, _BUCKET], "left")
+def _earlier_buckets(keys: list[str], n: int | None = None) -> WindowSpec:
+    start = W.unboundedPreceding if n is None else -n
+    return W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(start, -1)
 
 
 def with_last(df: DataFrame, keys: list[str], bucket: Column, order: list[str], payload: Column,
               name: str) -> DataFrame:
-    """Add the last non-NULL ``payload`` of the key's earlier rows."""
-    local, across = _windows(keys, order)
-    before, upto = local.rowsBetween(W.unboundedPreceding, -1), local.rowsBetween(W.unboundedPreceding, 0)
-    rows = (
-        df.withColumn(_BUCKET, bucket)
-        .withColumn(_PAYLOAD, payload)
-        .withColumn(_LOCAL, F.last(_PAYLOAD, ignorenulls=True).over(before))
-        .withColumn(_TAIL, F.last(_PAYLOAD, ignorenulls=True).over(upto))
-        .withColumn(_LAST, F.lead(F.lit(1)).over(local).isNull())
-    )
-    carry = (
-        rows.filter(_LAST)
-        .select(*keys, _BUCKET, F.last(_TAIL, ignorenulls=True)
-                .over(across.rowsBetween(W.unboundedPreceding, -1)).alias(_CARRY))
+    """Add the last non-NULL ``payload`` of the key's earlier rows.
+
+    The carried state is a plain aggregate per bucket, combined map-side.
+    """
+    rows = df.withColumn(_BUCKET, bucket).withColumn(_PAYLOAD, payload)
+    when = F.when(F.col(_PAYLOAD).isNotNull(), F.struct(*order))
+    tails = rows.groupBy(*keys, _BUCKET).agg(F.max_by(_PAYLOAD, when).alias(_TAIL))
+    carry = tails.select(
+        *keys, _BUCKET, F.last(_TAIL, ignorenulls=True).over(_earlier_buckets(keys)).alias(_CARRY)
     )
-    out = _join_carry(rows, carry, keys)
+    before = _inside(keys, order).rowsBetween(W.unboundedPreceding, -1)
+    local = rows.withColumn(_LOCAL, F.last(_PAYLOAD, ignorenulls=True).over(before))
+    out = local.join(carry, [*keys, _BUCKET], "left")
     return out.withColumn(name, F.coalesce(_LOCAL, _CARRY)).select(*df.columns, name)
 
 
@@ -68,49 +62,52 @@ def _tail_of(values: Column, n: int) -> Column:
 
 def with_history(df: DataFrame, keys: list[str], bucket: Column, order: list[str], payload: Column,
                  n: int, name: str) -> DataFrame:
-    """Add the array of the ``n`` latest payloads up to and including the row, oldest first."""
-    local, across = _windows(keys, order)
-    rows = (
-        df.withColumn(_BUCKET, bucket)
-        .withColumn(_PAYLOAD, payload)
-        .withColumn(_LOCAL, F.collect_list(_PAYLOAD).over(local.rowsBetween(-(n - 1), 0)))
-        .withColumn(_LAST, F.lead(F.lit(1)).over(local).isNull())
+    """Add the array of the ``n`` latest payloads up to and including the row, oldest first.
+
+    The carried state is the top n rows per bucket; Spark cuts those down before
+    the shuffle.
+    """
+    rows = df.withColumn(_BUCKET, bucket).withColumn(_PAYLOAD, payload)
+    newest = W.partitionBy(*keys, _BUCKET).orderBy(*[F.desc(c) for c in order])
+    tops = rows.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= n)
+    held = F.array_sort(
+        F.collect_list(F.struct("__n", _PAYLOAD)), lambda a, b: b["__n"] - a["__n"]
     )
+    tails = tops.groupBy(*keys, _BUCKET).agg(F.transform(held, lambda h: h[_PAYLOAD]).alias(_TAIL))
     # n earlier buckets always hold n earlier rows, because no bucket is empty.
-    earlier = F.flatten(F.collect_list(_LOCAL).over(across.rowsBetween(-n, -1)))
-    carry = rows.filter(_LAST).select(*keys, _BUCKET, _tail_of(earlier, n).alias(_CARRY))
-    out = _join_carry(rows, carry, keys)
-    merged = F.concat(F.coalesce(F.col(_CARRY), F.slice(F.col(_LOCAL), F.lit(1), F.lit(0))), F.col(_LOCAL))
+    earlier = F.flatten(F.collect_list(_TAIL).over(_earlier_buckets(keys, n)))
+    carry = tails.select(*keys, _BUCKET, _tail_of(earlier, n).alias(_CARRY))
+    local = rows.withColumn(
+        _LOCAL, F.collect_list(_PAYLOAD).over(_inside(keys, order).rowsBetween(-(n - 1), 0))
+    )
+    out = local.join(carry, [*keys, _BUCKET], "left")
+    nothing = F.slice(F.col(_LOCAL), F.lit(1), F.lit(0))
+    merged = F.concat(F.coalesce(F.col(_CARRY), nothing), F.col(_LOCAL))
     return out.withColumn(name, _tail_of(merged, n)).select(*df.columns, name)
 
 
 def with_running(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                  sums: dict[str, Column]) -> DataFrame:
-    """Add running sums over the key's earlier rows (the row itself not included)."""
-    local, across = _windows(keys, order)
-    before = local.rowsBetween(W.unboundedPreceding, -1)
+    """Add running sums over the key's earlier rows (the row itself not included).
+
+    The carried state is the sum per bucket, combined map-side.
+    """
     rows = df.withColumn(_BUCKET, bucket)
-    for name, value in sums.items():
-        rows = rows.withColumn(f"{_PAYLOAD}_{name}", value)
-    rows = rows.withColumn(_LAST, F.lead(F.lit(1)).over(local).isNull())
-    for name in sums:
-        held = F.col(f"{_PAYLOAD}_{name}")
-        rows = rows.withColumn(f"{_LOCAL}_{name}", F.coalesce(F.sum(held).over(before), F.lit(0)))
-    carry = rows.filter(_LAST).select(
+    totals = rows.groupBy(*keys, _BUCKET).agg(*[F.sum(v).alias(f"{_TAIL}_{n}") for n, v in sums.items()])
+    zero = F.lit(0)
+    carry = totals.select(
         *keys, _BUCKET,
         *[
-            F.coalesce(
-                F.sum(F.col(f"{_LOCAL}_{n}") + F.col(f"{_PAYLOAD}_{n}"))
-                .over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ).alias(f"{_CARRY}_{n}")
+            F.coalesce(F.sum(f"{_TAIL}_{n}").over(_earlier_buckets(keys)), zero).alias(f"{_CARRY}_{n}")
             for n in sums
         ],
     )
-    out = _join_carry(rows, carry, keys)
+    before = _inside(keys, order).rowsBetween(W.unboundedPreceding, -1)
+    for name, value in sums.items():
+        rows = rows.withColumn(f"{_LOCAL}_{name}", F.coalesce(F.sum(value).over(before), zero))
+    out = rows.join(carry, [*keys, _BUCKET], "left")
     for name in sums:
-        out = out.withColumn(
-            name, F.coalesce(F.col(f"{_CARRY}_{name}"), F.lit(0)) + F.col(f"{_LOCAL}_{name}")
-        )
+        out = out.withColumn(name, F.coalesce(f"{_CARRY}_{name}", zero) + F.col(f"{_LOCAL}_{name}"))
     return out.select(*df.columns, *sums)
 
 

@@ -11,6 +11,7 @@ from webgrain.operators.packs import BUILT_IN, SAMPLES, TIKTOK
 from webgrain.operators.selectors import Page
 from webgrain.plans.registry import Tables, View, query
 from webgrain.plans.views import OUTCOMES, SELECTORS
+from webgrain.session import materialized
 
 # --- F7, F8 --------------------------------------------------------------------------
 _ATTEMPTS = View(
@@ -270,6 +271,11 @@ def captures(t: Tables) -> DataFrame:
     )
 
 
+def baselines(t: Tables) -> DataFrame:
+    """The captures as a stored baseline history: pages are parsed once, then only small rows move."""
+    return materialized(captures(t), "baselines")
+
+
 _BYTES = "octet_length(encode({0}))"
 _ALERTS_SQL = f"""
 WITH d AS (SELECT url, page_id, {_BYTES.format("html")} AS a, {_BYTES.format(_MUTATED)} AS b FROM pages)
@@ -282,7 +288,7 @@ FROM d WHERE page_id % 5 <> 0"""
 
 @query("H1_drift_alerts", _ALERTS_SQL)
 def drift_alerts(t: Tables) -> DataFrame:
-    return drift.drift_alerts(captures(t)).select("url", "seq", "alert_type", "severity", "delta_ratio")
+    return drift.drift_alerts(baselines(t)).select("url", "seq", "alert_type", "severity", "delta_ratio")
 
 
 @query("H2_selector_degradation", """

@@ -9,7 +9,7 @@ from webgrain.operators import enrich, extract, normalize, ordered, records, rul
 from webgrain.operators.dom import parse_page
 from webgrain.operators.packs import BUILT_IN, GENERIC
 from webgrain.operators.selectors import Page
-from webgrain.plans.log_queries import _ALERTS_SQL, captures
+from webgrain.plans.log_queries import _ALERTS_SQL, baselines, captures
 from webgrain.plans.page_queries import BODY_SQL, TITLE_SQL, document_pages
 from webgrain.plans.registry import Tables, View, query
 from webgrain.plans.views import OUTCOMES, RESULTS
@@ -265,7 +265,7 @@ def latest_per_key(t: Tables) -> DataFrame:
 def append_alerts(t: Tables) -> DataFrame:
     from webgrain.operators import drift
 
-    alerts = drift.drift_alerts(captures(t)).withColumn("platform", F.lit(None).cast("string"))
+    alerts = drift.drift_alerts(baselines(t)).withColumn("platform", F.lit(None).cast("string"))
     path = work_folder(t.spark, "alerts")
     tables.append(tables.alert_rows(alerts), path)
     return t.spark.read.parquet(path).select("url", "seq", "alert_type", "severity", "delta_ratio", "platform")
@@ -359,9 +359,9 @@ def _stream(t: Tables, view: View) -> DataFrame:
 @query("K1_drift_stream", _ALERTS_SQL)
 def drift_stream(t: Tables) -> DataFrame:
     path = work_folder(t.spark, "captures")
-    baselines = captures(t)
-    baselines.write.parquet(path)
-    stream = t.spark.readStream.schema(baselines.schema).parquet(path)
+    rows = captures(t)
+    rows.write.parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).parquet(path)
     out = state.drain(state.drift_alert_stream(stream), "drift")
     return out.select("url", "seq", "alert_type", "severity", "delta_ratio")
 

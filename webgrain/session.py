@@ -40,6 +40,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    The planner then knows its true size: it broadcasts it below its own
+    threshold and shuffles it beyond.  The copy also survives lost executors.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
