@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.window import WindowSpec
 
+from webgrain.functions.text import let
+
 _BUCKET, _PAYLOAD, _LOCAL, _TAIL, _CARRY = "__bucket", "__payload", "__local", "__tail", "__carry"
 
 
@@ -75,15 +77,17 @@ def with_history(df: DataFrame, keys: list[str], bucket: Column, order: list[str
     )
     tails = tops.groupBy(*keys, _BUCKET).agg(F.transform(held, lambda h: h[_PAYLOAD]).alias(_TAIL))
     # n earlier buckets always hold n earlier rows, because no bucket is empty.
-    earlier = F.flatten(F.collect_list(_TAIL).over(_earlier_buckets(keys, n)))
-    carry = tails.select(*keys, _BUCKET, _tail_of(earlier, n).alias(_CARRY))
+    earlier = F.collect_list(_TAIL).over(_earlier_buckets(keys, n))
+    carry = tails.select(*keys, _BUCKET, earlier.alias(_TAIL)).select(
+        *keys, _BUCKET, let(F.flatten(_TAIL), lambda v: _tail_of(v, n)).alias(_CARRY)
+    )
     local = rows.withColumn(
         _LOCAL, F.collect_list(_PAYLOAD).over(_inside(keys, order).rowsBetween(-(n - 1), 0))
     )
     out = local.join(carry, [*keys, _BUCKET], "left")
     nothing = F.slice(F.col(_LOCAL), F.lit(1), F.lit(0))
     merged = F.concat(F.coalesce(F.col(_CARRY), nothing), F.col(_LOCAL))
-    return out.withColumn(name, _tail_of(merged, n)).select(*df.columns, name)
+    return out.withColumn(name, let(merged, lambda v: _tail_of(v, n))).select(*df.columns, name)
 
 
 def with_running(df: DataFrame, keys: list[str], bucket: Column, order: list[str],

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webgrain.functions.gates import BLOCKING_STATUS
+from webgrain.functions.text import let
 from webgrain.operators import ordered
 
 # --- fixed values -----------------------------------------------------------
@@ -27,11 +30,20 @@ def pacing_factor(history: Column) -> Column:
 
     Each outcome is struct(ok, latency_ms, status, error).
     """
-    last = F.element_at(history, -1)
-    n = F.size(history)
-    failed = F.size(F.filter(history, lambda o: ~o.ok))
-    rate = failed / n
-    latency = F.aggregate(history, F.lit(0.0), lambda a, o: a + o.latency_ms) / n
+    def mean(value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(history, F.lit(0.0), lambda a, o: a + value(o)) / F.size(history)
+
+    return let(
+        F.struct(
+            F.element_at(history, -1).alias("last"),
+            mean(lambda o: F.when(o.ok, 0.0).otherwise(1.0)).alias("errors"),
+            mean(lambda o: o.latency_ms).alias("latency"),
+        ),
+        lambda s: _factor(s["last"], s.errors, s.latency),
+    )
+
+
+def _factor(last: Column, rate: Column, latency: Column) -> Column:
     factor = F.when(rate > ERROR_RATE_THRESHOLD, 1.0 + rate * 2.0).otherwise(F.lit(1.0))
     factor = factor * F.when(last.status.isin(BLOCKING_STATUS), 1.5).otherwise(1.0)
     factor = factor * F.when(last.error.isin(SLOW_ERRORS), 2.0).otherwise(1.0)

@@ -417,3 +417,23 @@ def entity_table(t: Tables) -> DataFrame:
     return rows.drop("url")
 
 
+
+
+@query("I3_previous_baseline", f"""
+SELECT seq, lag(seq) OVER (PARTITION BY host ORDER BY ts, seq) AS previous FROM {OUTCOMES.sql}""")
+def previous_baseline(t: Tables) -> DataFrame:
+    rows = t.view(OUTCOMES)
+    out = ordered.with_last(rows, ["host"], ordered.time_bucket(F.col("ts"), 86_400), ["ts", "seq"], F.col("seq"), "previous")
+    return out.select("seq", "previous")
+
+
+@query("I5_cache_hits_by_type", f"""
+WITH q AS (SELECT * FROM {_REQUESTS.sql}), r AS (SELECT * FROM {_REQUESTS.sql} WHERE event_type = 'view')
+SELECT q.event_type, count(*) AS requests, count(*) FILTER (epoch_us(q.ts) - epoch_us(r.ts) <= 3600000000) AS reused
+FROM q ASOF LEFT JOIN r ON q.cache_key = r.cache_key AND q.ts >= r.ts GROUP BY q.event_type""")
+def cache_hits(t: Tables) -> DataFrame:
+    rows = t.view(_REQUESTS)
+    stored = rows.filter("event_type = 'view'").selectExpr("cache_key", "ts", "concat('b', seq) AS body")
+    hits = enrich.with_cached(rows, stored).select("seq", "reused")
+    return rows.join(hits, "seq").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("reused"), 1)).alias("reused"))

@@ -7,8 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webgrain.functions import scalars
 from webgrain.operators import drift, extract
 from webgrain.operators.dom import parse_page
-from webgrain.operators.packs import FACEBOOK, HACKERNEWS, INSTAGRAM, LINKEDIN, QUOTES, TIKTOK, X, YOUTUBE
-from webgrain.operators.rules import Pack, extract_pack, extract_unified, with_parsed
+from webgrain.operators.packs import BUILT_IN, FACEBOOK, HACKERNEWS, INSTAGRAM, LINKEDIN, QUOTES, TIKTOK, X, YOUTUBE
+from webgrain.operators.rules import (
+    Pack,
+    PageRules,
+    check_pack,
+    extract_pack,
+    extract_unified,
+    pack_table,
+    with_parsed,
+)
 from webgrain.operators.selectors import Page
 from webgrain.plans.registry import Tables, query
 
@@ -487,6 +495,105 @@ def sample_packs(t: Tables) -> DataFrame:
     )
 
 
+@query("C16_instagram_reel", """
+SELECT o_orderkey, 'u' || o_custkey AS author, o_custkey * 1000 AS views, o_custkey * 1000 AS first_span, 'Song' AS audio
+FROM orders""")
+def instagram_reel(t: Tables) -> DataFrame:
+    html = """concat('<meta property="og:title" content=" Song "><header><a href="/u">u', o_custkey, '</a></header><section>',
+      '<span class="_aacl">', o_custkey, 'K views</span><span class="_aacl">7 likes</span></section>')"""
+    rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://instagram.com/reel/', o_orderkey)", html)
+    return _fields(rows, INSTAGRAM, "reel").select(
+        "o_orderkey", F.col("fields.author_username").alias("author"), F.col("fields.views_count").alias("views"),
+        F.col("fields.likes_count").alias("first_span"), F.col("fields.audio_attribution").alias("audio"),
+    )
+
+
+@query("C16_x_profile", """
+SELECT c_custkey, c_name AS display_name, '@c' || c_custkey AS username, c_mktsegment AS bio, 'https://c' || c_custkey || '.org' AS website,
+  c_custkey || ' followers' AS follower_count, 'one|two' AS recent FROM customer""")
+def x_profile(t: Tables) -> DataFrame:
+    html = """concat('<h1>', c_name, '</h1><h2 class="profile-username">@c', c_custkey, '</h2><meta property="og:description" content="',
+      c_mktsegment, '"><a href="/in">in</a><a href="https://c', c_custkey, '.org">w</a><b class="follower-count">', c_custkey,
+      ' followers</b><div class="recent-tweets"><p class="tweet-text">one</p><p class="tweet-text"> </p><p class="tweet-text">two</p></div>',
+      '<p class="tweet-text">outside</p>')"""
+    rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://x.com/c', c_custkey)", html)
+    return _fields(rows, X, "profile").select(
+        "c_custkey", "fields.display_name", "fields.username", "fields.bio", "fields.website", "fields.follower_count",
+        F.array_join("fields.recent_tweets", "|").alias("recent"),
+    )
+
+
+@query("C16_linkedin_profile", """
+SELECT c_custkey, c_name AS full_name, c_mktsegment AS headline, c_custkey AS connections, 1 AS warnings, 4 AS missing FROM customer""")
+def linkedin_profile(t: Tables) -> DataFrame:
+    html = """concat('<h1 class="top-card-layout__title">', c_name, '</h1><p class="top-card-layout__headline">', c_mktsegment,
+      '</p><p class="profile-connections">', c_custkey, '+ connections</p>')"""
+    rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://www.linkedin.com/in/c', c_custkey)", html)
+    return _fields(rows, LINKEDIN, "profile").select(
+        "c_custkey", F.col("fields.name").alias("full_name"), "fields.headline",
+        F.col("fields.connections_count").alias("connections"), F.size("fields.warnings").alias("warnings"),
+        F.size("fields.partial_reasons").alias("missing"),
+    )
+
+
+@query("C16_facebook_page", """
+SELECT s_suppkey, s_name AS title, s_suppkey * 1000 AS likes, s_suppkey AS followers,
+  'https://www.facebook.com/site' || s_suppkey AS website, 'p' || s_suppkey || ':hello' AS recent, s_suppkey % 2 = 0 AS is_public FROM supplier""")
+def facebook_page(t: Tables) -> DataFrame:
+    html = """concat('<div data-page-id="1"><h1>', s_name, '</h1></div><div class="fb-page-counts"><b data-field="likes">', s_suppkey,
+      'K people like this</b><b data-field="followers">', s_suppkey, ' follow</b></div><div class="fb-page-about"><a href="/site', s_suppkey,
+      '">s</a></div><div class="fb-recent-posts"><div class="fb-post-preview" data-post-id="p', s_suppkey,
+      '"><p class="fb-post-preview-text">hello</p></div></div>', if(s_suppkey % 2 = 0, '', '<p>Friends only</p>'))"""
+    rows = _rendered(t.spread("supplier", "s_suppkey"), "s_suppkey", "concat('https://www.facebook.com/s', s_suppkey)", html)
+    posts = F.transform("fields.recent_posts", lambda p: F.concat(p.post_id, F.lit(":"), p.text))
+    return _fields(rows, FACEBOOK, "profile").select(
+        "s_suppkey", F.col("fields.name").alias("title"), F.col("fields.likes_count").alias("likes"),
+        F.col("fields.followers_count").alias("followers"), "fields.website", F.array_join(posts, " ").alias("recent"), "fields.is_public",
+    )
+
+
+@query("C16_youtube_channel", """
+SELECT s_suppkey, s_name AS title, s_suppkey * 1000 AS subscribers, 'UC' || s_suppkey AS channel_id, 'About ' || s_nationkey AS about,
+  'v' || s_suppkey || ':One:' || s_suppkey * 1000000 AS recent FROM supplier""")
+def youtube_channel(t: Tables) -> DataFrame:
+    html = """concat('<h1 class="yt-channel-name">', s_name, '</h1><meta name="description" content="About ', s_nationkey,
+      '"><b class="yt-subscriber-count">', s_suppkey, 'K subscribers</b><i class="yt-channel-id" data-channel-id="UC', s_suppkey,
+      '"></i><div class="yt-recent-videos"><div class="yt-video-item" data-video-id="v', s_suppkey,
+      '"><b class="yt-video-item-title">One</b><i class="yt-video-item-views">', s_suppkey, 'M views</i></div></div>')"""
+    rows = _rendered(t.spread("supplier", "s_suppkey"), "s_suppkey", "concat('https://www.youtube.com/@s', s_suppkey)", html)
+    videos = F.transform("fields.recent_videos", lambda v: F.concat_ws(":", v.video_id, v.title, v.view_count))
+    return _fields(rows, YOUTUBE, "profile").select(
+        "s_suppkey", F.col("fields.name").alias("title"), F.col("fields.subscriber_count").alias("subscribers"),
+        "fields.channel_id", F.col("fields.description").alias("about"), F.array_join(videos, " ").alias("recent"),
+    )
+
+
+@query("L1_custom_pack", """
+SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""")
+def custom_pack(t: Tables) -> DataFrame:
+    pack = Pack(
+        name="example_pages", platforms=["example"], url_patterns=["https?://.*\\.example\\.(com|org|net)/.*"],
+        page_type=lambda page: F.lit("article"),
+        pages={"article": PageRules(
+            {"heading": ["article h1"]},
+            lambda page, chains: {"lang": page.first_attr("html", "lang"), "heading": chains.heading.value},
+            lambda page, values: {"title": values.heading, "lang": values.lang},
+        )},
+    )
+    check_pack(pack)
+    return extract_pack(with_parsed(t.spread("pages", "page_id")), pack, "article").select("page_id", "fields.lang")
+
+
+@query("L2_pack_validation", """
+SELECT platform, count(*) AS pages FROM (SELECT CASE page_id % 2 WHEN 0 THEN 'x' ELSE 'generic' END AS platform FROM pages) GROUP BY platform""")
+def pack_validation(t: Tables) -> DataFrame:
+    for pack in BUILT_IN:
+        check_pack(pack)
+    served = pack_table(t.spark, BUILT_IN).filter("size(url_patterns) > 0").select(F.explode("platforms").alias("platform"))
+    used = t.pages.select(F.expr("CASE page_id % 2 WHEN 0 THEN 'x' ELSE 'generic' END").alias("platform"))
+    return used.join(served, "platform").groupBy("platform").agg(F.count(F.lit(1)).alias("pages"))
+
+
 @query("D10_critical_hash", """
 SELECT doc_id, sha256(left('Doc', 200) || '|' || left(source, 200) || '|' || left(text, 200)) AS digest FROM documents""")
 def critical_hash(t: Tables) -> DataFrame:

@@ -192,3 +192,10 @@ def adapter_page_type(t: Tables) -> DataFrame:
 @query("I8_uncovered_candidates", f"SELECT page_id, url FROM {PLATFORM_URLS.sql} WHERE kind = 15")
 def uncovered(t: Tables) -> DataFrame:
     return links.uncovered(t.view(PLATFORM_URLS), BUILT_IN).select("page_id", "url")
+
+
+@query("I6_blocked_links", f"""
+SELECT page_id, kind < 15 AS blocked
+FROM {PLATFORM_URLS.sql}""")
+def blocked_links(t: Tables) -> DataFrame:
+    return t.view(PLATFORM_URLS).select("page_id", (~links.usable_link(F.col("url"))).alias("blocked"))
