@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window as W, functions as F
 
 from webgrain.operators import drift, enrich, entities, memory, normalize, ordered, pacing
@@ -24,32 +25,31 @@ def same(left, right):
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
-def test_two_level_state_equals_plain_windows(spark):
+@pytest.mark.parametrize("hot_rows", [10, 100, 10**6])
+def test_two_level_state_equals_plain_windows(spark, hot_rows):
     log = skewed_log(spark)
     w = W.partitionBy("host").orderBy("ts", "seq")
     bucket = ordered.time_bucket(F.col("ts"), 3600)
-    got = ordered.with_history(log, ["host"], bucket, ["ts", "seq"], F.struct("seq"), 10, "h")
+    got = ordered.with_history(log, ["host"], bucket, ["ts", "seq"], F.struct("seq"), 10, "h", hot_rows)
     want = log.withColumn("h", F.collect_list(F.struct("seq")).over(w.rowsBetween(-9, 0)))
     assert same(got, want)
     odd = F.when(F.col("seq") % 11 == 0, F.col("seq"))
-    got = ordered.with_last(log, ["host"], bucket, ["ts", "seq"], odd, "p")
+    got = ordered.with_last(log, ["host"], bucket, ["ts", "seq"], odd, "p", hot_rows)
     want = log.withColumn("p", F.last(odd, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
     assert same(got, want)
-    got = ordered.with_running(log, ["host"], bucket, ["ts", "seq"], {"n": F.lit(1), "s": F.col("seq")})
+    got = ordered.with_running(log, ["host"], bucket, ["ts", "seq"], {"n": F.lit(1), "s": F.col("seq")}, hot_rows)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     want = log.withColumn("n", F.coalesce(F.count("seq").over(before), F.lit(0))).withColumn(
         "s", F.coalesce(F.sum("seq").over(before), F.lit(0)))
     assert same(got, want)
 
 
-def test_no_task_gets_a_whole_hot_key(spark):
-    log = skewed_log(spark)
-    plan = ordered.with_history(log, ["host"], ordered.time_bucket(F.col("ts")), ["ts", "seq"], F.struct("seq"), 10, "h")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
-    assert exchanges and all("__bucket" in e or "_w0" in e or "host" in e for e in exchanges)
-    biggest = log.groupBy("host", ordered.time_bucket(F.col("ts")).alias("b")).count().agg(F.max("count")).first()[0]
-    assert biggest < log.count() / 10
+def test_hot_keys_are_cut_and_others_stay_whole(spark):
+    rows, hot = ordered._cut(skewed_log(spark), ["host"], ordered.time_bucket(F.col("ts")), 500)
+    sizes = {(r.host, r["__bucket"]): r["count"] for r in rows.groupBy("host", "__bucket").count().collect()}
+    assert {h for h, b in sizes if b != 0} == {"hot"} and max(sizes.values()) <= 80
+    assert hot.select("host").distinct().collect()[0].host == "hot" and sum(sizes.values()) == 3000
+    assert ordered._cut(skewed_log(spark), ["host"], F.lit(0), 10**6)[1] is None
 
 
 def test_latest_and_baselines(spark):
@@ -109,7 +109,7 @@ def capture_rows(spark):
 
 
 def test_drift(spark):
-    got = {r.seq: (r.alert_type, r.severity) for r in drift.drift_alerts(capture_rows(spark)).collect()}
+    got = {r.seq: (r.alert_type, r.severity) for r in drift.drift_alerts(capture_rows(spark), hot_rows=3).collect()}
     assert got == {
         2: ("structural_change", "warning"), 3: ("selector_degradation", "warning"), 4: ("size_anomaly", "warning"),
         5: ("structural_change", "warning"), 6: ("field_loss,size_anomaly", "critical"),
@@ -143,7 +143,7 @@ def test_pacing_stream_equals_batch(spark, tmp_path):
     rows = outcome_rows(spark)
     out = state.drain(state.pacing_stream(feed(spark, rows, str(tmp_path / "o"), 3, "seq")), "pacing")
     pick = lambda d: d.select("seq", F.round("factor", 9).alias("f"))
-    assert same(pick(out), pick(pacing.with_pacing(rows)))
+    assert same(pick(out), pick(pacing.with_pacing(rows, hot_rows=50)))
 
 
 def test_rollup_stream_equals_batch(spark, tmp_path):
@@ -166,7 +166,7 @@ def test_pacing_factor(spark):
 def test_cache_and_budget(spark):
     ask = spark.createDataFrame([("k", 1, START + timedelta(seconds=s)) for s in (0, 60, 3660, 3661)], "cache_key string, seq long, ts timestamp")
     stored = spark.createDataFrame([("k", START + timedelta(seconds=60), "old"), ("j", START, "x")], "cache_key string, ts timestamp, body string")
-    got = enrich.with_cached(ask, stored, ttl_seconds=3600, bucket_seconds=600).orderBy("ts").collect()
+    got = enrich.with_cached(ask, stored, ttl_seconds=3600, bucket_seconds=600, hot_rows=2).orderBy("ts").collect()
     assert [r.cached_body for r in got] == [None, "old", "old", None]
     costs = spark.createDataFrame([("j", i, 4.0) for i in range(4)], "job string, seq long, cost double")
     allowed = lambda cap: [r.allowed for r in enrich.within_budget(costs, cap).orderBy("seq").collect()]

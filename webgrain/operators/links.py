@@ -25,7 +25,8 @@ def usable_link(url: Column) -> Column:
     )
 
 
-def ranked_links(links: DataFrame, *, bucket: Column, top: int | None = None) -> DataFrame:
+def ranked_links(links: DataFrame, *, bucket: Column, top: int | None = None,
+                 hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """Usable links per query, first occurrence only, ranked densely from 0.
 
     ``links``: query, seq, url, title, snippet.  ``bucket`` slices ``seq``.
@@ -35,7 +36,7 @@ def ranked_links(links: DataFrame, *, bucket: Column, top: int | None = None) ->
     first = clean.groupBy("query", "url").agg(
         F.min("seq").alias("seq"), F.min_by(F.struct(*rest), "seq").alias("__rest")
     ).select("query", "seq", "url", "__rest.*")
-    out = ordered.with_running(first, ["query"], bucket, ["seq"], {"rank": F.lit(1)})
+    out = ordered.with_running(first, ["query"], bucket, ["seq"], {"rank": F.lit(1)}, hot_rows)
     return out if top is None else out.filter(F.col("rank") < top)
 
 

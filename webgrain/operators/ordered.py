@@ -1,11 +1,19 @@
 """Ordered per-key state that survives hot keys.
 
 A plain window ``PARTITION BY key ORDER BY ts`` sends one key to one task.  One
-host or URL may hold a third of all rows, so every function here works on two
-levels: rows are windowed inside (key, bucket), where the bucket is a slice of
-the order (a time slice, a range of sequence numbers); the last state of every
-(key, bucket), one row each, is windowed over the key and joined back.  No task
-ever sees more than one bucket of a key, or more than one row per bucket.
+host or URL may hold a third of all rows, so every function here first counts
+rows per key (a map-side aggregate over the key columns alone).  Keys with more
+than ``hot_rows`` rows are cut into buckets, slices of their order (a time
+slice, a range of sequence numbers): rows are windowed inside (key, bucket), the
+state at the end of every bucket, one row each, is windowed over the key and
+joined back.  All other keys are windowed whole.  No task ever sees more than
+``hot_rows`` rows of a key, one bucket of it, or one row per bucket.
+
+The hot keys, at most (all rows / ``hot_rows``) of them, are written to the
+shared folder before the plan is built, so both of its branches agree on them
+and the planner knows their size: below Spark's threshold they are broadcast,
+beyond it they are joined by a shuffle.  Inputs should be stored tables, as they
+are read more than once.
 
 The bucket must be computed from the leading order column and grow with it.
 Keys must not be NULL.
@@ -17,8 +25,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.window import WindowSpec
 
 from webgrain.functions.text import let
+from webgrain.session import materialized
 
-_BUCKET, _PAYLOAD, _LOCAL, _TAIL, _CARRY = "__bucket", "__payload", "__local", "__tail", "__carry"
+_BUCKET, _PAYLOAD, _LOCAL, _TAIL, _CARRY, _HOT = (
+    "__bucket", "__payload", "__local", "__tail", "__carry", "__hot"
+)
+# A key with more rows than this is cut into buckets.
+HOT_ROWS = 1_000_000
 
 
 def time_bucket(ts: Column, seconds: int = 3600) -> Column:
@@ -40,21 +53,39 @@ def _earlier_buckets(keys: list[str], n: int | None = None) -> WindowSpec:
     return W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(start, -1)
 
 
-def with_last(df: DataFrame, keys: list[str], bucket: Column, order: list[str], payload: Column,
-              name: str) -> DataFrame:
-    """Add the last non-NULL ``payload`` of the key's earlier rows.
-
-    The carried state is a plain aggregate per bucket, combined map-side.
-    """
-    rows = df.withColumn(_BUCKET, bucket).withColumn(_PAYLOAD, payload)
-    when = F.when(F.col(_PAYLOAD).isNotNull(), F.struct(*order))
-    tails = rows.groupBy(*keys, _BUCKET).agg(F.max_by(_PAYLOAD, when).alias(_TAIL))
-    carry = tails.select(
-        *keys, _BUCKET, F.last(_TAIL, ignorenulls=True).over(_earlier_buckets(keys)).alias(_CARRY)
+def _cut(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with their bucket (0 for keys that stay whole), and those of hot keys, if any."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
+    hot = materialized(counts.select(*keys, F.lit(True).alias(_HOT)), "hot-keys")
+    if hot.isEmpty():
+        return df.withColumn(_BUCKET, F.lit(0).cast("bigint")), None
+    rows = df.join(hot, keys, "left").withColumn(
+        _BUCKET, F.when(F.col(_HOT), bucket.cast("bigint")).otherwise(F.lit(0))
     )
+    return rows.drop(_HOT), df.join(hot, keys).withColumn(_BUCKET, bucket.cast("bigint")).drop(_HOT)
+
+
+def _carried(rows: DataFrame, carry: DataFrame | None, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with the state carried into their bucket; NULLs where nothing was."""
+    if carry is None:
+        return rows.select("*", *[F.lit(None).alias(c) for c in columns])
+    return rows.join(carry, [*keys, _BUCKET], "left")
+
+
+def with_last(df: DataFrame, keys: list[str], bucket: Column, order: list[str], payload: Column,
+              name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the last non-NULL ``payload`` of the key's earlier rows."""
+    rows, hot = _cut(df.withColumn(_PAYLOAD, payload), keys, bucket, hot_rows)
+    carry = None
+    if hot is not None:
+        when = F.when(F.col(_PAYLOAD).isNotNull(), F.struct(*order))
+        tails = hot.groupBy(*keys, _BUCKET).agg(F.max_by(_PAYLOAD, when).alias(_TAIL))
+        carry = tails.select(
+            *keys, _BUCKET, F.last(_TAIL, ignorenulls=True).over(_earlier_buckets(keys)).alias(_CARRY)
+        )
     before = _inside(keys, order).rowsBetween(W.unboundedPreceding, -1)
     local = rows.withColumn(_LOCAL, F.last(_PAYLOAD, ignorenulls=True).over(before))
-    out = local.join(carry, [*keys, _BUCKET], "left")
+    out = _carried(local, carry, keys, [_CARRY])
     return out.withColumn(name, F.coalesce(_LOCAL, _CARRY)).select(*df.columns, name)
 
 
@@ -63,15 +94,20 @@ def _tail_of(values: Column, n: int) -> Column:
 
 
 def with_history(df: DataFrame, keys: list[str], bucket: Column, order: list[str], payload: Column,
-                 n: int, name: str) -> DataFrame:
+                 n: int, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the array of the ``n`` latest payloads up to and including the row, oldest first.
 
     The carried state is the top n rows per bucket; Spark cuts those down before
     the shuffle.
     """
-    rows = df.withColumn(_BUCKET, bucket).withColumn(_PAYLOAD, payload)
+    rows, hot = _cut(df.withColumn(_PAYLOAD, payload), keys, bucket, hot_rows)
+    local = rows.withColumn(
+        _LOCAL, F.collect_list(_PAYLOAD).over(_inside(keys, order).rowsBetween(-(n - 1), 0))
+    )
+    if hot is None:
+        return local.withColumn(name, F.col(_LOCAL)).select(*df.columns, name)
     newest = W.partitionBy(*keys, _BUCKET).orderBy(*[F.desc(c) for c in order])
-    tops = rows.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= n)
+    tops = hot.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= n)
     held = F.array_sort(
         F.collect_list(F.struct("__n", _PAYLOAD)), lambda a, b: b["__n"] - a["__n"]
     )
@@ -81,35 +117,26 @@ def with_history(df: DataFrame, keys: list[str], bucket: Column, order: list[str
     carry = tails.select(*keys, _BUCKET, earlier.alias(_TAIL)).select(
         *keys, _BUCKET, let(F.flatten(_TAIL), lambda v: _tail_of(v, n)).alias(_CARRY)
     )
-    local = rows.withColumn(
-        _LOCAL, F.collect_list(_PAYLOAD).over(_inside(keys, order).rowsBetween(-(n - 1), 0))
-    )
-    out = local.join(carry, [*keys, _BUCKET], "left")
-    nothing = F.slice(F.col(_LOCAL), F.lit(1), F.lit(0))
-    merged = F.concat(F.coalesce(F.col(_CARRY), nothing), F.col(_LOCAL))
-    return out.withColumn(name, let(merged, lambda v: _tail_of(v, n))).select(*df.columns, name)
+    out = _carried(local, carry, keys, [_CARRY])
+    merged = let(F.concat(_CARRY, _LOCAL), lambda v: _tail_of(v, n))
+    return out.withColumn(name, F.coalesce(merged, _LOCAL)).select(*df.columns, name)
 
 
 def with_running(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
-                 sums: dict[str, Column]) -> DataFrame:
-    """Add running sums over the key's earlier rows (the row itself not included).
-
-    The carried state is the sum per bucket, combined map-side.
-    """
-    rows = df.withColumn(_BUCKET, bucket)
-    totals = rows.groupBy(*keys, _BUCKET).agg(*[F.sum(v).alias(f"{_TAIL}_{n}") for n, v in sums.items()])
-    zero = F.lit(0)
-    carry = totals.select(
-        *keys, _BUCKET,
-        *[
-            F.coalesce(F.sum(f"{_TAIL}_{n}").over(_earlier_buckets(keys)), zero).alias(f"{_CARRY}_{n}")
-            for n in sums
-        ],
-    )
+                 sums: dict[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add running sums over the key's earlier rows (the row itself not included)."""
+    rows, hot = _cut(df, keys, bucket, hot_rows)
+    zero, carry = F.lit(0), None
+    if hot is not None:
+        totals = hot.groupBy(*keys, _BUCKET).agg(*[F.sum(v).alias(f"{_TAIL}_{n}") for n, v in sums.items()])
+        carry = totals.select(
+            *keys, _BUCKET,
+            *[F.sum(f"{_TAIL}_{n}").over(_earlier_buckets(keys)).alias(f"{_CARRY}_{n}") for n in sums],
+        )
     before = _inside(keys, order).rowsBetween(W.unboundedPreceding, -1)
     for name, value in sums.items():
         rows = rows.withColumn(f"{_LOCAL}_{name}", F.coalesce(F.sum(value).over(before), zero))
-    out = rows.join(carry, [*keys, _BUCKET], "left")
+    out = _carried(rows, carry, keys, [f"{_CARRY}_{n}" for n in sums])
     for name in sums:
         out = out.withColumn(name, F.coalesce(f"{_CARRY}_{name}", zero) + F.col(f"{_LOCAL}_{name}"))
     return out.select(*df.columns, *sums)

@@ -57,13 +57,14 @@ def outcome_struct() -> Column:
     return F.struct("ok", "latency_ms", "status", "error")
 
 
-def with_pacing(outcomes: DataFrame, *, bucket: Column | None = None) -> DataFrame:
+def with_pacing(outcomes: DataFrame, *, bucket: Column | None = None,
+                hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """H4: add ``factor`` after every outcome.
 
     ``outcomes``: host, ts, seq, ok, latency_ms, status, error.
     """
     slice_ = bucket if bucket is not None else ordered.time_bucket(F.col("ts"))
-    rows = ordered.with_history(outcomes, ["host"], slice_, ["ts", "seq"], outcome_struct(), WINDOW, "recent")
+    rows = ordered.with_history(outcomes, ["host"], slice_, ["ts", "seq"], outcome_struct(), WINDOW, "recent", hot_rows)
     return rows.withColumn("factor", pacing_factor(F.col("recent"))).drop("recent")
 
 
@@ -83,13 +84,13 @@ def base_rate(host: Column, overrides: dict[str, float] | None = None) -> Column
 
 
 def polite_schedule(queue: DataFrame, *, bucket: Column, order: list[str],
-                    overrides: dict[str, float] | None = None) -> DataFrame:
+                    overrides: dict[str, float] | None = None, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """H6: seconds after which each queued request of a host may start.
 
     ``queue``: host, factor and the order columns.  The k-th request of a host
     starts at (k-1) * factor / rate.
     """
-    rows = ordered.with_running(queue, ["host"], bucket, order, {"ahead": F.lit(1)})
+    rows = ordered.with_running(queue, ["host"], bucket, order, {"ahead": F.lit(1)}, hot_rows)
     return rows.withColumn(
         "not_before_s",
         F.col("ahead") * F.coalesce("factor", F.lit(1.0)) / base_rate(F.col("host"), overrides),

@@ -13,6 +13,9 @@ from webgrain.plans.registry import Tables, View, query
 from webgrain.plans.views import OUTCOMES, SELECTORS
 from webgrain.session import materialized
 
+# Cut keys into slices above this many rows, low enough to happen on small tables.
+CUT_ABOVE = 70
+
 # --- F7, F8 --------------------------------------------------------------------------
 _ATTEMPTS = View(
     "events",
@@ -288,7 +291,7 @@ FROM d WHERE page_id % 5 <> 0"""
 
 @query("H1_drift_alerts", _ALERTS_SQL)
 def drift_alerts(t: Tables) -> DataFrame:
-    return drift.drift_alerts(baselines(t)).select("url", "seq", "alert_type", "severity", "delta_ratio")
+    return drift.drift_alerts(baselines(t), hot_rows=2).select("url", "seq", "alert_type", "severity", "delta_ratio")
 
 
 @query("H2_selector_degradation", """
@@ -321,7 +324,7 @@ SELECT seq, round(least(5.0, greatest(0.5, (CASE WHEN bad / n > 0.2 THEN 1 + bad
   * (CASE WHEN lat / n > 1000 THEN least(3.0, lat / n / 1000) ELSE 1 END)))::DOUBLE, 6) AS factor FROM w""")
 def pacing_factor(t: Tables) -> DataFrame:
     rows = t.view(OUTCOMES)
-    return pacing.with_pacing(rows).select("seq", F.round("factor", 6).alias("factor"))
+    return pacing.with_pacing(rows, hot_rows=CUT_ABOVE).select("seq", F.round("factor", 6).alias("factor"))
 
 
 @query("H5_base_rate", """
@@ -344,7 +347,7 @@ def polite_schedule(t: Tables) -> DataFrame:
     queue = t.orders.selectExpr(
         "o_orderkey", "o_custkey % 30 AS host_no", "concat('h', o_custkey % 30, '.org') AS host", "2.0D AS factor"
     )
-    out = pacing.polite_schedule(queue, bucket=ordered.id_bucket(F.col("o_orderkey"), 5000), order=["o_orderkey"])
+    out = pacing.polite_schedule(queue, bucket=ordered.id_bucket(F.col("o_orderkey"), 5000), order=["o_orderkey"], hot_rows=CUT_ABOVE)
     return out.select("o_orderkey", "host_no", "not_before_s")
 
 
@@ -355,7 +358,7 @@ SELECT event_id, coalesce(sum(user_id) OVER (PARTITION BY event_type ORDER BY ev
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 50000 AS allowed FROM events""")
 def budget_gate(t: Tables) -> DataFrame:
     costs = t.events.selectExpr("event_id", "event_type AS job", "event_id AS seq", "user_id AS cost")
-    out = enrich.within_budget(costs, 50000, bucket=ordered.id_bucket(F.col("seq"), 1000))
+    out = enrich.within_budget(costs, 50000, bucket=ordered.id_bucket(F.col("seq"), 1000), hot_rows=CUT_ABOVE)
     return out.select("event_id", "spent_before", "allowed")
 
 
@@ -371,7 +374,7 @@ def cached_reuse(t: Tables) -> DataFrame:
     rows = t.view(_REQUESTS)
     stored = rows.filter("event_type = 'click'").selectExpr("cache_key", "ts", "concat('b', seq) AS body")
     asked = rows.filter("event_type <> 'click'")
-    return enrich.with_cached(asked, stored, ttl_seconds=86400).select("seq", "cached_body", "reused")
+    return enrich.with_cached(asked, stored, ttl_seconds=86400, hot_rows=CUT_ABOVE).select("seq", "cached_body", "reused")
 
 
 @query("H9_top_per_key", f"""
@@ -423,7 +426,7 @@ def entity_table(t: Tables) -> DataFrame:
 SELECT seq, lag(seq) OVER (PARTITION BY host ORDER BY ts, seq) AS previous FROM {OUTCOMES.sql}""")
 def previous_baseline(t: Tables) -> DataFrame:
     rows = t.view(OUTCOMES)
-    out = ordered.with_last(rows, ["host"], ordered.time_bucket(F.col("ts"), 86_400), ["ts", "seq"], F.col("seq"), "previous")
+    out = ordered.with_last(rows, ["host"], ordered.time_bucket(F.col("ts"), 86_400), ["ts", "seq"], F.col("seq"), "previous", CUT_ABOVE)
     return out.select("seq", "previous")
 
 

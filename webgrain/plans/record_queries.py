@@ -265,7 +265,7 @@ def latest_per_key(t: Tables) -> DataFrame:
 def append_alerts(t: Tables) -> DataFrame:
     from webgrain.operators import drift
 
-    alerts = drift.drift_alerts(baselines(t)).withColumn("platform", F.lit(None).cast("string"))
+    alerts = drift.drift_alerts(baselines(t), hot_rows=2).withColumn("platform", F.lit(None).cast("string"))
     path = work_folder(t.spark, "alerts")
     tables.append(tables.alert_rows(alerts), path)
     return t.spark.read.parquet(path).select("url", "seq", "alert_type", "severity", "delta_ratio", "platform")
