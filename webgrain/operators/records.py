@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webgrain.functions import urls
+from webgrain.functions import scalars, urls
 from webgrain.operators import extract, normalize
 from webgrain.operators.dom import parse_page
 from webgrain.operators.selectors import Page
@@ -28,8 +28,9 @@ def basic_records(captures: DataFrame, *, fallback: Column | None = None, assist
     ``captures``: url, html, strategy and anything else, which is kept (``html``
     is not).  One Python pass over ``html`` alone; no shuffle.
     """
-    good = classified(captures)
-    parsed = good.withColumn("parsed", parse_page(F.col("html"), keep_tags=extract.BASIC_TAGS)).drop("html")
+    parsed = classified(captures).withColumn(
+        "parsed", parse_page(F.col("html"), keep_tags=extract.BASIC_TAGS)
+    ).drop("html")
     page = Page("parsed", F.col("url"))
     fields = extract.basic_fields(page)
     kinds = {
@@ -52,6 +53,38 @@ def basic_records(captures: DataFrame, *, fallback: Column | None = None, assist
     return flat.select(*rest, record.alias("record"))
 
 
+def scrape_results(captures: DataFrame) -> DataFrame:
+    """The result envelope (F10) of every capture, good or bad.
+
+    ``captures``: url, html, strategy, error struct(code, message) and anything
+    else, which is kept.  Rejected URLs fail with the reason (D14), captures with
+    a fetch error fail with that, all others succeed with their unified record.
+    """
+    rest = [c for c in captures.columns if c not in ("url", "html", "strategy", "error")]
+    # Pages that fail anyway are not parsed.
+    good = urls.reject_reason(F.col("url")).isNull() & F.col("error").isNull()
+    rows = captures.select(
+        *rest, "url", "strategy", F.when(good, F.col("html")).alias("html"),
+        F.struct("error", urls.reject_reason(F.col("url")).alias("reject"), F.col("strategy").alias("by")).alias("fate"),
+    )
+    out = basic_records(rows)
+    fate, record = F.col("fate"), F.col("record")
+    success = fate.reject.isNull() & fate.error.isNull()
+    tried = F.array(fate.by)
+    rejected = scalars.error_record(
+        F.lit("UnsupportedURLError"), fate.reject, record.url, F.array().cast("array<string>"),
+        F.array().cast("array<string>"),
+    )
+    fetch = scalars.error_record(
+        fate.error.code, fate.error.message, record.url, tried, F.array().cast("array<string>")
+    )
+    error = F.when(fate.reject.isNotNull(), rejected).otherwise(fetch)
+    return out.select(
+        *rest, record.url.alias("url"), success.alias("success"), F.when(success, record).alias("output"),
+        F.when(~success, error).alias("error"),
+    )
+
+
 def domain_report(records: DataFrame) -> DataFrame:
     """Per domain: pages, pages with title and text, text volume, confidence."""
     r = F.col("record")

@@ -47,6 +47,19 @@ def unified_records(t: Tables) -> DataFrame:
     )
 
 
+@query("scrape_results", f"""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'mailto:x' ELSE clean_url END AS url, page_id % 5 > 1 AS success,
+  CASE WHEN page_id % 5 > 1 THEN title END AS title, CASE page_id % 5 WHEN 0 THEN 'SCR_001' WHEN 1 THEN 'SCR_011' END AS code,
+  CASE page_id % 5 WHEN 0 THEN 'Unsupported URL scheme: mailto' WHEN 1 THEN 'slow' END AS message,
+  CASE page_id % 5 WHEN 1 THEN 'http' END AS strategy FROM {_BASIC_SQL}""")
+def scrape_results(t: Tables) -> DataFrame:
+    rows = _page_captures(t).withColumn("url", F.expr("CASE WHEN page_id % 5 = 0 THEN 'mailto:x' ELSE url END"))
+    failed = F.struct(F.lit("RetryableError").alias("code"), F.lit("slow").alias("message"))
+    rows = rows.withColumn("error", F.when(F.expr("page_id % 5 = 1"), failed))
+    r = records.scrape_results(rows)
+    return r.select("page_id", "url", "success", "output.title", "error.code", "error.message", "error.strategy")
+
+
 @query("F2_field_confidences", """
 SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS title,
   CASE WHEN o_orderkey % 2 = 0 THEN 0.75 ELSE 0.0 END::DOUBLE AS tags,

@@ -15,12 +15,16 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # Pages are large rows: bound the Arrow batches that feed the HTML parser
-    # by count, so a worker never holds more than a few hundred page trees.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Pages are large rows: bound the Arrow batches that feed the HTML parser by
+    # bytes and count, so a worker never holds more than a few hundred page trees.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 
+_own_folder: str | None = None
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to ``spark`` and return it."""
     for key, value in SESSION_CONF.items():
@@ -57,10 +61,9 @@ def work_folder(spark: SparkSession, name: str) -> str:
     The folder comes from ``spark.checkpoint.dir``; only when the cluster names
     none (local tests) a temporary folder is used instead.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    global _own_folder
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="webgrain-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _own_folder = _own_folder or tempfile.mkdtemp(prefix="webgrain-")
+        base = _own_folder
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
