@@ -316,14 +316,27 @@ def json_memory(t: Tables) -> DataFrame:
 _SCHEMA_TEXT = "title: string or null"
 
 
+def _width(html: str, at: str) -> str:
+    """Width of the chunk that starts at a position: up to the last '<' past 80 % of the window, else all of it."""
+    window = f"substr({html}, {at}, 48000)"
+    last = f"(length({window}) - strpos(reverse({window}), '<'))"
+    return (f"CASE WHEN {at} + 47999 < length({html}) AND strpos({window}, '<') > 0 AND {last} > 38400 "
+            f"THEN {last} ELSE 48000 END")
+
+
 @query("M1_request_table", f"""
-WITH p AS (SELECT page_id, {_CLEAN_URL} AS url, html, left(sha256(left(sha256(html), 16) || ':' || left(sha256('{_SCHEMA_TEXT}'), 16)), 32) AS cache_key,
-  'Extract data from this HTML page.' || chr(10) || chr(10) || 'URL: ' || {_CLEAN_URL} || chr(10) || 'Platform: generic' || chr(10) ||
-  'Content Type: article' || chr(10) || chr(10) || 'HTML:' || chr(10) || '```html' || chr(10) || html || chr(10) || '```' || chr(10) || chr(10) ||
-  'Extract the following fields as JSON:' || chr(10) || '{_SCHEMA_TEXT}' || chr(10) || chr(10) ||
-  'Return ONLY valid JSON. No markdown, no explanation.' AS prompt FROM pages)
-SELECT cache_key, page_id, 1 AS pages, 0 AS chunk_no, sha256(prompt) AS prompt_digest,
-  greatest((length(prompt) + {len(enrich.SYSTEM_PROMPT)}) // 4, 1) AS token_estimate FROM p""")
+WITH RECURSIVE p AS (SELECT page_id, {_CLEAN_URL} AS url, html,
+  left(sha256(left(sha256(html), 16) || ':' || left(sha256('{_SCHEMA_TEXT}'), 16)), 32) AS cache_key FROM pages),
+c AS (SELECT page_id, 0 AS chunk_no, 1 AS start_at, {_width("html", "1")} AS w FROM p
+  UNION ALL SELECT c.page_id, chunk_no + 1, start_at + w, {_width("p.html", "(start_at + w)")} FROM c JOIN p ON c.page_id = p.page_id
+  WHERE start_at + w <= length(p.html)),
+r AS (SELECT cache_key, p.page_id, chunk_no, 'Extract data from this HTML page.' || chr(10) || chr(10) || 'URL: ' || url || chr(10) ||
+  'Platform: generic' || chr(10) || 'Content Type: article' || chr(10) || chr(10) || 'HTML:' || chr(10) || '```html' || chr(10) ||
+  substr(html, start_at, w) || chr(10) || '```' || chr(10) || chr(10) || 'Extract the following fields as JSON:' || chr(10) ||
+  '{_SCHEMA_TEXT}' || chr(10) || chr(10) || 'Return ONLY valid JSON. No markdown, no explanation.' AS prompt
+  FROM p JOIN c ON p.page_id = c.page_id)
+SELECT cache_key, page_id, 1 AS pages, chunk_no, sha256(prompt) AS prompt_digest,
+  greatest((length(prompt) + {len(enrich.SYSTEM_PROMPT)}) // 4, 1) AS token_estimate FROM r""")
 def request_table(t: Tables) -> DataFrame:
     pages = records.classified(t.spread("pages", "page_id"))
     f = extract.basic_fields(Page("parsed"))
