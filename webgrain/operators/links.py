@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webgrain.functions import urls
 from webgrain.functions.text import strip
 from webgrain.operators import ordered
+from webgrain.session import materialized
 
 # --- fixed values -----------------------------------------------------------
 BLOCKED_HOSTS = [
@@ -36,6 +37,8 @@ def ranked_links(links: DataFrame, *, bucket: Column, top: int | None = None,
     first = clean.groupBy("query", "url").agg(
         F.min("seq").alias("seq"), F.min_by(F.struct(*rest), "seq").alias("__rest")
     ).select("query", "seq", "url", "__rest.*")
+    # Stored once: the ranking reads the distinct links more than once.
+    first = materialized(first, "links")
     out = ordered.with_running(first, ["query"], bucket, ["seq"], {"rank": F.lit(1)}, hot_rows)
     return out if top is None else out.filter(F.col("rank") < top)
 
