@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm import chat_format, exact_dedup, line_dedup, token_counts, token_files
+from webgrain.llm import chat_format, exact_dedup, line_dedup, mixing, token_counts, token_files
 from webgrain.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(table(spark, folder, "documents"), byte_bpe())
+
+
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixing.mix(table(spark, folder, "documents"))
