@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm import chat_format, exact_dedup, line_dedup, mixing, token_counts, token_files
+from webgrain.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, token_counts, token_files
 from webgrain.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,13 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    apart = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~apart))
+    named = docs.select("doc_id", apart.alias("held_out"), "text")
+    return language_id.predict(named, model).select("doc_id", "held_out", "lang_pred", "score")
