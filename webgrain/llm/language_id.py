@@ -170,10 +170,11 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     Columns of these names are replaced; other columns, NULL or repeated ids do not matter.
     """
     spark = docs.sparkSession
-    shared = ship(spark, model, 0 if model is None else model.matrix.nbytes)
+    # Plain values only: workers need not have this package.
+    shared = ship(spark, model and (model.languages, model.prior, model.matrix), model.matrix.nbytes if model else 0)
 
     def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        fitted = shared.value
+        fitted = shared.value and Model(*shared.value)
         for texts in columns:
             codes = [None if t is None or fitted is None else prepared(t) for t in texts.to_pylist()]
             known = [i for i, c in enumerate(codes) if c is not None]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, token_counts, token_files
+from webgrain.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, token_counts, token_files
 from webgrain.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.train(docs.where(~apart))
     named = docs.select("doc_id", apart.alias("held_out"), "text")
     return language_id.predict(named, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a test item, with the item and where it stands."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
