@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, token_counts, token_files
+from webgrain.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, secrets, token_counts, token_files
 from webgrain.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,16 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a test item, with the item and where it stands."""
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("findings", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    written = lambda spans: F.array_join(F.transform(
+        spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+    base = F.filter("findings", lambda x: x.kind != "model")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("findings")).alias("spans"))
