@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, secrets, token_counts, token_files
+from webgrain.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, secrets, token_counts, token_files
 from webgrain.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,9 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("findings")).alias("spans"))
+
+
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of similar documents that every document is in."""
+    return ngram_join.linked_components(table(spark, folder, "documents"))
