@@ -1,12 +1,51 @@
-"""The corpus pipeline: stages in order, each written as Parquet before the next reads it."""
+"""The corpus pipeline: stages in order, each written as Parquet before the next one reads it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webgrain.llm.decontamination import drop_contaminated
+from webgrain.llm.language_id import keep_recognised
+from webgrain.llm.mixing import take_mixed
+from webgrain.llm.ngram_join import keep_first
+from webgrain.llm.queries import byte_bpe
+from webgrain.llm.token_files import token_files
 from webgrain.session import configure, work_folder
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    return keep_recognised(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    return keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a test item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return take_mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document stands in the token files."""
+    return token_files(docs, byte_bpe())
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixture),
+    ("token files", token_output),
+]
+# Learned languages, alignments and token ids are beyond SQL; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
@@ -15,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = work_folder(spark, f"stage-{name.replace(' ', '-')}")
+        path = work_folder(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
