@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 import json
 import os
+import tempfile
 import time
 from pathlib import Path
 
@@ -26,6 +27,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="webgrain-bench-"))
         .config("spark.sql.shuffle.partitions", cpus).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -33,6 +35,7 @@ def main() -> None:
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     found = entry.queries()
+    import webgrain
     # Start the JVM's code paths and the Python workers before the clock.
     found["C1_parse_dom"](spark, folder).write.format("noop").mode("overwrite").save()
     times = {}
@@ -45,6 +48,7 @@ def main() -> None:
         "metric": "headline_queries_wall_time", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": Path(folder).name, "pages_per_sec_parse": round(pages / times["C1_parse_dom"], 1),
     }))
+    webgrain.clean_up(spark)
     spark.stop()
 
 

@@ -1,5 +1,5 @@
 """Page-table analytics on Spark: URLs, HTML fields, quality gates, drift, pacing."""
 
-from webgrain.session import configure, spread, work_folder
+from webgrain.session import clean_up, configure, spread, work_folder
 
-__all__ = ["configure", "spread", "work_folder"]
+__all__ = ["clean_up", "configure", "spread", "work_folder"]

@@ -64,8 +64,6 @@ CONTENT_HINTS = [
     ("/video", "video", 0.7), ("/watch", "video", 0.7), ("/profile", "profile", 0.7),
     ("/user", "profile", 0.6), ("/quote", "quote", 0.8),
 ]
-# The classifier looks at this many leading characters of the page.
-CLASSIFIER_HEAD = 5000
 CONFIDENT = 0.8
 # --- end of fixed values ----------------------------------------------------
 
@@ -147,9 +145,9 @@ def _hint(url: Column, hints: list[tuple[str, str, float]], label: str, score: f
 
 
 def classify_content(html: Column, url: Column) -> Column:
-    """E5: struct(platform, content_type, confidence) from URL, markup and title cues."""
+    """E5: struct(platform, content_type, confidence) from URL, markup and title cues in the whole page."""
     low_url = F.lower(url)
-    head = F.lower(F.left(html, F.lit(CLASSIFIER_HEAD)))
+    head = F.lower(html)
     platform, platform_conf = _hint(low_url, PLATFORM_HINTS, "generic", 0.0)
     kind, kind_conf = _hint(low_url, CONTENT_HINTS, "article", 0.0)
     marked = html.contains('"@type":') | head.contains("schema.org")

@@ -27,7 +27,6 @@ ERROR_CODES = {
 OTHER_ERROR = ("SCR_099", "Check diagnostics and retry")
 # Critical fields of the content hash, and how much of each is looked at.
 CRITICAL_FIELDS = ["title", "author", "text"]
-CRITICAL_LENGTH = 200
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -130,19 +129,20 @@ def presence(value: Column, kind: str = "string") -> Column:
 
 
 def critical_hash(**fields: Column) -> Column:
-    """Hash of the leading parts of title, author and text; NULL when all are empty."""
-    parts = [
-        F.left(F.coalesce(fields.get(f, F.lit(None).cast("string")), F.lit("")), F.lit(CRITICAL_LENGTH))
-        for f in CRITICAL_FIELDS
-    ]
+    """Hash of title, author and text as a whole; NULL when all are empty."""
+    parts = [F.coalesce(fields.get(f, F.lit(None).cast("string")), F.lit("")) for f in CRITICAL_FIELDS]
     joined = F.concat_ws("|", *parts)
     return F.when(F.btrim(joined, F.lit("|")) != "", F.sha2(joined, 256))
 
 
 def cache_key(html: Column, schema_text: Column) -> Column:
-    """Key of a model response for one page and one field description."""
-    short = lambda c: F.left(F.sha2(c, 256), F.lit(16))
-    return F.left(F.sha2(F.concat(short(html), F.lit(":"), short(schema_text)), 256), F.lit(32))
+    """Key of a model response for one content and one field description.
+
+    Full digests at every step, so that different contents never share a key; a
+    NULL content has a key of its own, different from that of an empty one.
+    """
+    digest = lambda c: F.coalesce(F.sha2(c, 256), F.lit("-"))
+    return F.sha2(F.concat(digest(html), F.lit(":"), digest(schema_text)), 256)
 
 
 def token_estimate(text: Column) -> Column:

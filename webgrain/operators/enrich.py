@@ -5,12 +5,16 @@ No model is called here: requests go out as a table and answers come back as one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webgrain.functions import scalars
 from webgrain.functions.gates import needs_enrichment
+from webgrain.functions.text import strip
 from webgrain.operators import ordered
 from webgrain.operators.extract import html_chunks
+from webgrain.operators.normalize import merge_answers
 from webgrain.schemas import ANSWER_FIELDS
 from webgrain.session import materialized
 
@@ -37,27 +41,37 @@ def user_prompt(url: Column, platform: Column, content_type: Column, schema_text
     )
 
 
-def request_table(pages: DataFrame, schema_text: str) -> DataFrame:
-    """M1: one request per distinct page content that lacks a critical field.
+def lacking_pages(pages: DataFrame, schema_text: str) -> DataFrame:
+    """M1: (page_id, cache_key) of all pages that lack a critical field, as a stored table.
 
-    ``pages``: page_id, url, platform, content_type, html, title, text, author.
-    Pages with the same content share a cache key; the first page_id stands for
-    them, and ``pages`` counts how many there are.  Only keys are aggregated; the
-    repeated ones, usually few, are written out so that the join back knows
-    their size: below Spark's threshold no page text is ever shuffled.
-    ``chunk_no`` 0 is the part that a single request covers; the other chunks
-    cover the rest of a long page.
+    The one pass that needs the parsed fields.  It maps a content to all its pages, for
+    ``request_table`` and ``merge_chunks`` alike.
     """
     lacking = pages.filter(needs_enrichment(F.col("text"), F.col("title"), F.col("author")))
-    keyed = lacking.withColumn("cache_key", scalars.cache_key(F.col("html"), F.lit(schema_text)))
-    repeated = keyed.groupBy("cache_key").agg(
-        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")
-    ).filter("n > 1")
-    rows = keyed.join(materialized(repeated, "repeated"), "cache_key", "left")
-    rows = rows.filter(F.col("first_id").isNull() | (F.col("page_id") == F.col("first_id"))).select(
-        "cache_key", "page_id", F.coalesce("n", F.lit(1)).alias("pages"), "url", "platform", "content_type",
-        F.posexplode(html_chunks(F.col("html"))).alias("chunk_no", "chunk"),
-    )
+    return materialized(
+        lacking.select("page_id", scalars.cache_key(F.col("html"), F.lit(schema_text)).alias("cache_key")), "lacking")
+
+
+def request_key(cache_key: Column, chunk_no: Column) -> Column:
+    """M1/H8: key of one request: a content and the chunk of it that is asked about."""
+    return F.sha2(F.concat(cache_key, F.lit(":"), chunk_no.cast("string")), 256)
+
+
+def request_table(pages: DataFrame, schema_text: str, lacking: DataFrame | None = None) -> DataFrame:
+    """M1: one request per chunk of every distinct page content that lacks a critical field.
+
+    ``pages``: page_id, url, platform, content_type, html, and title, text, author
+    unless ``lacking`` (of ``lacking_pages``) is given.  Pages with the same content
+    share a cache key; the first page_id stands for them, and ``pages`` counts how
+    many there are.  Only keys are aggregated; the page bodies of the first pages are
+    looked up by page_id afterwards.  A page without html keeps a row without prompt.
+    """
+    known = lacking if lacking is not None else lacking_pages(pages, schema_text)
+    firsts = known.groupBy("cache_key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("pages"))
+    rows = pages.select("page_id", "url", "platform", "content_type", "html").join(firsts, "page_id").select(
+        "cache_key", "page_id", "pages", "url", "platform", "content_type",
+        F.posexplode(F.coalesce(html_chunks(F.col("html")), F.array(F.lit(None).cast("string")))).alias("chunk_no", "chunk"),
+    ).withColumn("request_key", request_key(F.col("cache_key"), F.col("chunk_no")))
     prompt = user_prompt(
         F.col("url"), F.col("platform"), F.col("content_type"), F.lit(schema_text), F.col("chunk")
     )
@@ -78,7 +92,8 @@ def with_cached(requests: DataFrame, responses: DataFrame, *, ttl_seconds: int =
                 bucket_seconds: int = 3600, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """As-of look-up of the latest stored response that is not too old.
 
-    ``requests``: cache_key, seq, ts; ``responses``: cache_key, ts, body.  A
+    ``requests``: cache_key, seq, ts; ``responses``: cache_key, ts, body.  Give the
+    ``request_key`` of M1 as ``cache_key`` where pages have several chunks.  A
     response counts while its age is at most the TTL.  Both sides are lined up
     in one ordered stream per key, so a popular key neither multiplies rows nor
     lands in one task.
@@ -112,3 +127,33 @@ def response_table(responses: DataFrame, body: str = "body") -> DataFrame:
     parsed = responses.withColumn("__answer", scalars.tolerant_json(F.col(body)))
     keep = [c for c in responses.columns if c != body]
     return parsed.select(*keep, value.isNotNull().alias("parsed"), *columns)
+
+
+def fold_chunks(answers: DataFrame, fields: dict[str, str], key: str = "cache_key", order: str = "chunk_no") -> DataFrame:
+    """M3: one row per content from the answers to its chunks.
+
+    A field is the first value that is not NULL or blank, by chunk; lists are united
+    in the order of the chunks.  Repeated answers to a chunk fold as well.
+    """
+    folded = []
+    for name, kind in fields.items():
+        if kind.startswith("array"):
+            parts = F.array_sort(F.collect_list(F.when(F.size(name) > 0, F.struct(order, name))))
+            folded.append(F.array_distinct(F.flatten(F.transform(parts, _field(name)))).alias(name))
+        else:
+            there = F.col(name).isNotNull() if kind != "string" else F.coalesce(strip(F.col(name)) != "", F.lit(False))
+            folded.append(F.min_by(name, F.when(there, F.struct(order, name))).alias(name))
+    return answers.groupBy(key).agg(*folded)
+
+
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda part: part[name]
+
+
+def merge_chunks(pages: DataFrame, lacking: DataFrame, answers: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """M3: fill the gaps of every page from the answers to its content; one row per page.
+
+    ``lacking``: page_id and cache_key of ``lacking_pages``; ``answers``: cache_key, chunk_no and the fields.
+    """
+    by_page = lacking.select("page_id", "cache_key").join(fold_chunks(answers, fields), "cache_key").drop("cache_key")
+    return merge_answers(pages, by_page, "page_id", fields)

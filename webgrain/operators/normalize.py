@@ -126,8 +126,13 @@ def merge_enrichment(existing: Column, extra: Column, kind: str) -> Column:
 
 
 def merge_answers(pages: DataFrame, answers: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """Left-join model answers (one row per key) and fill the gaps."""
-    right = answers.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    """Left-join model answers and fill the gaps; one row per page.
+
+    Where a key has several answers, each field takes the smallest value that is there
+    (``enrich.fold_chunks`` folds answers that have an order).
+    """
+    there = {f: F.when(F.size(f) > 0, F.col(f)) if k.startswith("array") else F.col(f) for f, k in fields.items()}
+    right = answers.groupBy(key).agg(*[F.min(c).alias(f"_{f}") for f, c in there.items()])
     joined = pages.join(right, key, "left")
     out = [
         merge_enrichment(F.col(c), F.col(f"_{c}"), fields[c]).alias(c) if c in fields else F.col(c)

@@ -40,7 +40,6 @@ URL_PATTERNS = [
     r"https?://(www\.)?instagram\.com/reel/[^/]+/?",
     r"https?://(www\.)?instagram\.com/[^/]+/?",
 ]
-THUMBNAILS = 12
 # --- end of fixed values ----------------------------------------------------------
 
 
@@ -86,7 +85,7 @@ def _read_reel(page: Page, c: Column) -> Values:
 def _read_profile(page: Page, c: Column) -> Values:
     user = urls.instagram_user(page.url)
     stats = profile_stats(page, "instagram")
-    thumbs = F.slice(image_urls(page, with_og=False), 1, THUMBNAILS)
+    thumbs = image_urls(page, with_og=False)
     return {
         "content_type": F.lit("profile"),
         "title": F.coalesce(_text(c.display_name), user),

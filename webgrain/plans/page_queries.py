@@ -584,18 +584,8 @@ def custom_pack(t: Tables) -> DataFrame:
     return extract_pack(with_parsed(t.spread("pages", "page_id")), pack, "article").select("page_id", "fields.lang")
 
 
-@query("L2_pack_validation", """
-SELECT platform, count(*) AS pages FROM (SELECT CASE page_id % 2 WHEN 0 THEN 'x' ELSE 'generic' END AS platform FROM pages) GROUP BY platform""")
-def pack_validation(t: Tables) -> DataFrame:
-    for pack in BUILT_IN:
-        check_pack(pack)
-    served = pack_table(t.spark, BUILT_IN).filter("size(url_patterns) > 0").select(F.explode("platforms").alias("platform"))
-    used = t.pages.select(F.expr("CASE page_id % 2 WHEN 0 THEN 'x' ELSE 'generic' END").alias("platform"))
-    return used.join(served, "platform").groupBy("platform").agg(F.count(F.lit(1)).alias("pages"))
-
-
 @query("D10_critical_hash", """
-SELECT doc_id, sha256(left('Doc', 200) || '|' || left(source, 200) || '|' || left(text, 200)) AS digest FROM documents""")
+SELECT doc_id, sha256('Doc' || '|' || source || '|' || text) AS digest FROM documents""")
 def critical_hash(t: Tables) -> DataFrame:
     digest = scalars.critical_hash(title=F.lit("Doc"), author=F.col("source"), text=F.col("text"))
     return t.documents.select("doc_id", digest.alias("digest"))

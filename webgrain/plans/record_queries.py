@@ -218,32 +218,39 @@ def list_results(t: Tables) -> DataFrame:
 
 
 _ARCHIVE_ID = "left(sha256(url || ':' || html), 16)"
+_ARCHIVE_KEY = "sha256(coalesce(length({0}) || ':' || {0}, '-') || '|' || coalesce(length({1}) || ':' || {1}, '-'))"
+_PAGE_KEY = _ARCHIVE_KEY.format("url", "html")
 
 
 @query("A5_archive", f"""
-SELECT {_ARCHIVE_ID} AS archive_id, url, length(html) AS chars, 'mine' AS archive_note FROM pages""")
+SELECT {_ARCHIVE_KEY.format("u", "h")} AS archive_key, left(sha256(coalesce(u, '') || ':' || coalesce(h, '')), 16) AS archive_id, u AS url,
+  length(h) AS chars, 'mine' AS archive_note FROM (SELECT DISTINCT CASE WHEN page_id % 11 = 3 THEN NULL ELSE url END AS u,
+  CASE WHEN page_id % 7 = 2 THEN NULL ELSE html END AS h FROM pages)""")
 def archive(t: Tables) -> DataFrame:
-    twice = t.pages.unionByName(t.pages).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    gaps = t.pages.withColumns({
+        "url": F.expr("CASE WHEN page_id % 11 = 3 THEN NULL ELSE url END"),
+        "html": F.expr("CASE WHEN page_id % 7 = 2 THEN NULL ELSE html END")})
+    twice = gaps.unionByName(gaps).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
     rows = tables.archive_rows(twice, {"note": F.lit("mine")})
     return rows.select(
-        "archive_id", "url", F.length("html").cast("bigint").alias("chars"),
+        "archive_key", "archive_id", "url", F.length("html").cast("bigint").alias("chars"),
         F.get_json_object("metadata", "$.note").alias("archive_note"))
 
 
 @query("A6_archive_lookup", f"""
-SELECT page_id, {_ARCHIVE_ID} AS archive_id, sha256(html) AS digest FROM pages""")
+SELECT page_id, {_PAGE_KEY} AS archive_key, {_ARCHIVE_ID} AS archive_id, sha256(html) AS digest FROM pages""")
 def archive_lookup(t: Tables) -> DataFrame:
     archives = tables.archive_rows(t.pages.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")))
-    results = t.pages.select("page_id", tables.archive_id(F.col("url"), F.col("html")).alias("archive_id"))
-    return tables.with_archive(results, archives).select("page_id", "archive_id", F.sha2("html", 256).alias("digest"))
+    results = t.pages.select("page_id", tables.archive_key(F.col("url"), F.col("html")).alias("archive_key"))
+    return tables.with_archive(results, archives).select("page_id", "archive_key", "archive_id", F.sha2("html", 256).alias("digest"))
 
 
 @query("I7_result_archive_join", f"""
-SELECT page_id % 7 = 0 AS failed, count({_ARCHIVE_ID}) AS archived, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1""")
+SELECT page_id % 7 = 0 AS failed, count({_PAGE_KEY}) AS archived, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1""")
 def result_archive_join(t: Tables) -> DataFrame:
     archives = tables.archive_rows(t.pages.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")))
     results = t.pages.select(
-        (F.col("page_id") % 7 == 0).alias("failed"), tables.archive_id(F.col("url"), F.col("html")).alias("archive_id"))
+        (F.col("page_id") % 7 == 0).alias("failed"), tables.archive_key(F.col("url"), F.col("html")).alias("archive_key"))
     joined = tables.with_archive(results, archives)
     return joined.groupBy("failed").agg(
         F.count("html").alias("archived"), F.sum(F.length("html")).cast("bigint").alias("chars"))
@@ -278,7 +285,7 @@ def latest_per_key(t: Tables) -> DataFrame:
 def append_alerts(t: Tables) -> DataFrame:
     from webgrain.operators import drift
 
-    alerts = drift.drift_alerts(baselines(t), hot_rows=2).withColumn("platform", F.lit(None).cast("string"))
+    alerts = drift.drift_alerts(baselines(t)).withColumn("platform", F.lit(None).cast("string"))
     path = work_folder(t.spark, "alerts")
     tables.append(tables.alert_rows(alerts), path)
     return t.spark.read.parquet(path).select("url", "seq", "alert_type", "severity", "delta_ratio", "platform")
@@ -302,7 +309,8 @@ def json_export(t: Tables) -> DataFrame:
 
 
 @query("A13_json_memory", """
-SELECT 'h' || user_id AS domain, count(*) AS attempts FROM events WHERE user_id % 10 <> 3 GROUP BY user_id""")
+SELECT CASE WHEN user_id % 10 <> 3 THEN 'h' || user_id END AS domain, CASE WHEN user_id % 10 <> 3 THEN count(*) END AS attempts,
+  CASE WHEN user_id % 10 = 3 THEN '{"domain":"h' || user_id || '", oops' END AS rejected FROM events GROUP BY user_id""")
 def json_memory(t: Tables) -> DataFrame:
     path = work_folder(t.spark, "memory")
     rows = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -326,7 +334,7 @@ def _width(html: str, at: str) -> str:
 
 @query("M1_request_table", f"""
 WITH RECURSIVE p AS (SELECT page_id, {_CLEAN_URL} AS url, html,
-  left(sha256(left(sha256(html), 16) || ':' || left(sha256('{_SCHEMA_TEXT}'), 16)), 32) AS cache_key FROM pages),
+  sha256(sha256(html) || ':' || sha256('{_SCHEMA_TEXT}')) AS cache_key FROM pages),
 c AS (SELECT page_id, 0 AS chunk_no, 1 AS start_at, {_width("html", "1")} AS w FROM p
   UNION ALL SELECT c.page_id, chunk_no + 1, start_at + w, {_width("p.html", "(start_at + w)")} FROM c JOIN p ON c.page_id = p.page_id
   WHERE start_at + w <= length(p.html)),
@@ -335,7 +343,7 @@ r AS (SELECT cache_key, p.page_id, chunk_no, 'Extract data from this HTML page.'
   substr(html, start_at, w) || chr(10) || '```' || chr(10) || chr(10) || 'Extract the following fields as JSON:' || chr(10) ||
   '{_SCHEMA_TEXT}' || chr(10) || chr(10) || 'Return ONLY valid JSON. No markdown, no explanation.' AS prompt
   FROM p JOIN c ON p.page_id = c.page_id)
-SELECT cache_key, page_id, 1 AS pages, chunk_no, sha256(prompt) AS prompt_digest,
+SELECT cache_key, sha256(cache_key || ':' || chunk_no) AS request_key, page_id, 1 AS pages, chunk_no, sha256(prompt) AS prompt_digest,
   greatest((length(prompt) + {len(enrich.SYSTEM_PROMPT)}) // 4, 1) AS token_estimate FROM r""")
 def request_table(t: Tables) -> DataFrame:
     pages = records.classified(t.spread("pages", "page_id"))
@@ -343,7 +351,7 @@ def request_table(t: Tables) -> DataFrame:
     rows = pages.withColumn("parsed", parse_page(F.col("html"), keep_tags=extract.BASIC_TAGS))
     rows = rows.select("page_id", "url", "platform", "content_type", "html", *[f[n].alias(n) for n in ("title", "text", "author")])
     return enrich.request_table(rows, _SCHEMA_TEXT).select(
-        "cache_key", "page_id", "pages", "chunk_no", F.sha2("prompt", 256).alias("prompt_digest"), "token_estimate")
+        "cache_key", "request_key", "page_id", "pages", "chunk_no", F.sha2("prompt", 256).alias("prompt_digest"), "token_estimate")
 
 
 def _answers(t: Tables) -> DataFrame:
@@ -374,6 +382,25 @@ def merge_back(t: Tables) -> DataFrame:
     return normalize.merge_answers(pages, answers, "o_orderkey", {"title": "string", "likes": "bigint"})
 
 
+@query("M3_closed_loop", """
+SELECT page_id, CASE WHEN page_id % 10 = 3 THEN NULL WHEN page_id % 10 = 0 THEN 't1' ELSE 't0' END AS title,
+  CASE WHEN page_id % 10 = 3 THEN '' WHEN page_id % 10 = 0 THEN 'c0 c1 c2' ELSE 'c0' END AS tags FROM pages""")
+def closed_loop(t: Tables) -> DataFrame:
+    """Requests out, answers back: long pages in three chunks, contents that two pages share, pages without a body."""
+    html = """CASE page_id % 10 WHEN 0 THEN concat('<b>', page_id, '</b>', repeat('<p>x</p>', 14000))
+      WHEN 1 THEN concat('<i>', page_id - 1, '</i>') WHEN 2 THEN concat('<i>', page_id - 2, '</i>') WHEN 3 THEN NULL ELSE html END"""
+    pages = t.pages.selectExpr(
+        "page_id", "url", "'generic' AS platform", "'article' AS content_type", f"{html} AS html", "CAST(NULL AS STRING) AS title",
+        "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS author", "CAST(NULL AS ARRAY<STRING>) AS tags")
+    lacking = enrich.lacking_pages(pages, _SCHEMA_TEXT)
+    asked = enrich.request_table(pages, _SCHEMA_TEXT, lacking).filter("prompt IS NOT NULL")
+    said = asked.selectExpr("cache_key", "chunk_no", """concat('{"title":"',
+      IF(chunk_no = 0 AND token_estimate > 10000, ' ', concat('t', chunk_no)), '","tags":["c', chunk_no, '"]}') AS body""")
+    answers = enrich.response_table(said).filter("parsed")
+    out = enrich.merge_chunks(pages, lacking, answers, {"title": "string", "tags": "array<string>"})
+    return out.select("page_id", "title", F.coalesce(F.array_join("tags", " "), F.lit("")).alias("tags"))
+
+
 # --- K ----------------------------------------------------------------------------------------
 def _stream(t: Tables, view: View) -> DataFrame:
     """A given table as a stream of files."""
@@ -413,11 +440,11 @@ def pacing_stream(t: Tables) -> DataFrame:
 
 
 @query("K4_distinct_captures", """
-SELECT text_id, 1 AS kept FROM (SELECT DISTINCT left(sha256('u:' || text), 16) AS text_id FROM documents)""")
+SELECT text_id, 1 AS kept FROM (SELECT DISTINCT """ + _ARCHIVE_KEY.format("'u'", "text") + """ AS text_id FROM documents)""")
 def distinct_captures(t: Tables) -> DataFrame:
-    view = View("documents", url="'u'", html="text", timestamp="timestamp'2024-01-01 00:00:00'")
-    out = state.drain(state.distinct_captures(_stream(t, view)).select("archive_id"), "distinct")
-    return out.groupBy(F.col("archive_id").alias("text_id")).agg(F.count(F.lit(1)).cast("int").alias("kept"))
+    view = View("documents", url="'u'", html="text", timestamp="timestamp'2024-01-01 00:00:00' - make_dt_interval(CAST(doc_id % 900 AS INT))")
+    out = state.drain(state.distinct_captures(_stream(t, view)).select("archive_key"), "distinct")
+    return out.groupBy(F.col("archive_key").alias("text_id")).agg(F.count(F.lit(1)).cast("int").alias("kept"))
 
 
 @query("K5_stream_extract", f"SELECT page_id, title, {_CONFIDENCE}::DOUBLE AS confidence FROM {_BASIC_SQL}")

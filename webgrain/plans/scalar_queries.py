@@ -101,7 +101,7 @@ def presence(t: Tables) -> DataFrame:
 
 
 @query("D11_cache_key", """
-SELECT page_id, left(sha256(left(sha256(html), 16) || ':' || left(sha256('title: string'), 16)), 32) AS cache_key FROM pages""")
+SELECT page_id, sha256(sha256(html) || ':' || sha256('title: string')) AS cache_key FROM pages""")
 def cache_key(t: Tables) -> DataFrame:
     return t.pages.select("page_id", scalars.cache_key(F.col("html"), F.lit("title: string")).alias("cache_key"))
 
@@ -250,7 +250,7 @@ def _hint_sql(hints: list, column: int, default: str) -> str:
 
 
 _CLASSIFY_SQL = f"""
-WITH p AS (SELECT page_id, lower({_CLASS_URL}) AS u, {_CLASS_HTML} AS h, lower(left({_CLASS_HTML}, 5000)) AS head FROM pages),
+WITH p AS (SELECT page_id, lower({_CLASS_URL}) AS u, {_CLASS_HTML} AS h, lower({_CLASS_HTML}) AS head FROM pages),
 a AS (SELECT page_id, h, head, {_hint_sql(gates.PLATFORM_HINTS, 1, "'generic'")} AS platform,
   {_hint_sql(gates.PLATFORM_HINTS, 2, "0.0::DOUBLE")} AS pc, {_hint_sql(gates.CONTENT_HINTS, 1, "'article'")} AS k0,
   {_hint_sql(gates.CONTENT_HINTS, 2, "0.0::DOUBLE")} AS c0,

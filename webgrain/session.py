@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,7 @@ SESSION_CONF = {
 
 
 _own_folder: str | None = None
+_made: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -58,12 +60,25 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the cluster names
-    none (local tests) a temporary folder is used instead.
+    The folder comes from ``spark.checkpoint.dir``.  Where none is named, a
+    temporary folder serves in local mode, and a cluster raises an error: its
+    executors would each write to a disk of their own.
     """
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own_folder = _own_folder or tempfile.mkdtemp(prefix="webgrain-")
         base = _own_folder
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables made so far; results that still read them are lost."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from webgrain.operators.ordered import latest
 from webgrain.schemas import CAPTURE
+from webgrain.session import materialized
 
 # --- fixed values -----------------------------------------------------------
 ALERT_DEFAULTS = {"url": "", "platform": "unknown", "alert_type": "", "severity": "info"}
@@ -98,34 +99,52 @@ def list_results(stored: DataFrame, *, platform: str | None = None, limit: int =
 
 # --- A5, A6 archive ------------------------------------------------------------------
 def archive_id(url: Column, html: Column) -> Column:
-    """A5: id of a page version, from its URL and content alone."""
-    return F.left(F.sha2(F.concat(url, F.lit(":"), html), 256), F.lit(16))
+    """A5: short name of a page version, from its URL and content alone; for display, never a key.
+
+    NULL parts count as empty here; ``archive_key`` tells them apart.
+    """
+    return F.left(F.sha2(F.concat(F.coalesce(url, F.lit("")), F.lit(":"), F.coalesce(html, F.lit(""))), 256), F.lit(16))
+
+
+def archive_key(url: Column, html: Column) -> Column:
+    """A5: key of a page version: the full digest of its parts, each marked with its length or as NULL."""
+    marked = lambda c: F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.sha2(F.concat(marked(url), F.lit("|"), marked(html)), 256)
 
 
 def archive_rows(captures: DataFrame, metadata: dict[str, Column] | None = None) -> DataFrame:
     """A5: archive table; the given metadata wins over url, archive_id, created_at.
 
-    ``captures``: url, html, timestamp.  Equal versions collapse to the earliest
-    one, map-side before they are shuffled.
+    ``captures``: url, html, timestamp.  Equal versions, by their full key,
+    collapse to the earliest one.  Keys alone are counted first; a page body moves
+    only if its version repeats.
     """
-    keyed = captures.withColumn("archive_id", archive_id(F.col("url"), F.col("html")))
+    keyed = captures.withColumn("archive_key", archive_key(F.col("url"), F.col("html"))).withColumn(
+        "archive_id", archive_id(F.col("url"), F.col("html")))
     base = {
         "url": F.col("url"), "archive_id": F.col("archive_id"),
         "created_at": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
     }
     fields = {**base, **(metadata or {})}
     rows = keyed.select(
-        "archive_id", "url", "html", "timestamp",
+        "archive_key", "archive_id", "url", "html", "timestamp",
         F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("metadata"),
     )
-    return rows.groupBy("archive_id").agg(
-        F.min_by(F.struct("url", "html", "metadata"), F.struct("timestamp", "metadata")).alias("v")
-    ).select("archive_id", "v.*")
+    repeated = keyed.groupBy("archive_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = materialized(repeated.select("archive_key", F.lit(True).alias("again")), "repeated-versions")
+    marked = rows.join(repeated, "archive_key", "left")
+    columns = ["archive_id", "url", "html", "metadata"]
+    once = marked.filter(F.col("again").isNull()).select("archive_key", *columns)
+    first = marked.filter("again").groupBy("archive_key").agg(
+        F.min_by(F.struct(*columns), F.struct("timestamp", "metadata")).alias("v")
+    ).select("archive_key", "v.*")
+    return once.unionByName(first)
 
 
 def with_archive(results: DataFrame, archives: DataFrame) -> DataFrame:
-    """Results with their archived page."""
-    return results.join(archives.drop("url"), "archive_id", "left")
+    """Results, by their ``archive_key``, with their archived page."""
+    own = [c for c in archives.columns if c not in results.columns or c == "archive_key"]
+    return results.join(archives.select(*own), "archive_key", "left")
 
 
 # --- A7-A9 keyed state --------------------------------------------------------------------
@@ -171,11 +190,10 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def read_memory_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Domain memory kept as JSON; unreadable lines are left out."""
-    rows = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_broken"
+    """Domain memory kept as JSON; an unreadable line keeps its text in ``rejected``, all else NULL."""
+    return spark.read.schema(f"{schema}, rejected string").option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "rejected"
     ).json(path)
-    return rows.filter(F.col("_broken").isNull()).drop("_broken")
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from webgrain.operators import drift, memory, pacing
 from webgrain.session import work_folder
-from webgrain.sources.tables import archive_id
+from webgrain.sources.tables import archive_key
 
 # Executors need not have this package installed: ship the processor itself.
 register_pickle_by_value(sys.modules[__name__])
@@ -116,10 +116,14 @@ def read_rollups(spark: SparkSession, path: str) -> DataFrame:
     return memory.merge_partials(spark.read.parquet(path).drop("epoch"))
 
 
-def distinct_captures(captures: DataFrame, delay: str = "1 day") -> DataFrame:
-    """K4: drop repeated page versions; the watermark bounds the remembered ids."""
-    keyed = captures.withColumn("archive_id", archive_id(F.col("url"), F.col("html")))
-    return keyed.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["archive_id"])
+def distinct_captures(captures: DataFrame) -> DataFrame:
+    """K4: drop repeated page versions, by their full key, however late they come.
+
+    Every version is remembered (one key of 64 characters in the state store, on
+    disk); a watermark would bound that, but drop late captures that were never seen.
+    """
+    keyed = captures.withColumn("archive_key", archive_key(F.col("url"), F.col("html")))
+    return keyed.dropDuplicates(["archive_key"])
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
