@@ -59,6 +59,11 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(run, ddl)
 
 
-def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` with ``columns`` added; a column of the same name is replaced."""
-    return df.withColumns(columns)
+def carried(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct beside ``columns``, so that no name can clash."""
+    return docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that ``carried`` packed, with their own ``columns``."""
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in columns])

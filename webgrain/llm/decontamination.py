@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import map_batches, ship, whole
+from webgrain.llm.common import carried, map_batches, restored, ship, whole
 from webgrain.session import materialized
 
 SEED_WORDS = 3
@@ -264,6 +264,6 @@ def _block_matches(given: DataFrame, block: Items, size: int, similarity: float,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs`` whose id has no copy of a test item; rows without id are judged together."""
     found = materialized(contaminated(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "leaks")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    rows = carried(docs, _key=F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
     bad = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_bad")).hint("shuffle_hash")
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    return restored(rows.join(bad, F.col("_key") == F.col("_bad"), "left_anti"), docs.columns)

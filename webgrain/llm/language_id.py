@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import map_batches, ship, whole
+from webgrain.llm.common import carried, map_batches, restored, ship, whole
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 18
@@ -188,8 +188,9 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
 
     work.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     found = F.arrow_udf(work, "lang string, score double").asNondeterministic()(F.col(text_col).cast("string"))
-    out = docs.withColumn("_found", found)
-    return out.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
+    rows = docs.select(F.struct("*").alias("_row"), found.alias("_found"))
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return rows.select(*own, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
 def keep_recognised(docs: DataFrame, *, min_score: float = MIN_SCORE, id_col: str = "doc_id") -> DataFrame:
@@ -198,6 +199,5 @@ def keep_recognised(docs: DataFrame, *, min_score: float = MIN_SCORE, id_col: st
     Trained on the labelled rows of ``docs`` that are not held out.
     """
     model = train(docs.where(~held_out(F.col(id_col))))
-    named = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    kept = predict(named, model, text_col="_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    named = predict(carried(docs, _text=F.col("text")), model, text_col="_text")
+    return restored(named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs.columns)
