@@ -272,25 +272,38 @@ def html_chunks(html: Column, max_tokens: int = CHUNK_TOKENS) -> Column:
     because every piece but the last is longer than 80 % of the window.
     """
     size = max_tokens * 4
+    # Fixed blocks first: a window lies in two of them, so no step reads the page from its start.
+    blocks = F.regexp_extract_all(html, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     steps = F.sequence(F.lit(0), F.floor(F.length(html) / (size * 0.8)).cast("int") + 1)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, _i: Column) -> Column:
-        window = F.substring(html, acc.at, F.lit(size))
-        back = F.instr(F.reverse(window), "<")
-        last = F.when(back > 0, F.length(window) - back).otherwise(-1)
-        more = acc.at + size - 1 < F.length(html)
-        width = F.when(more & (last > size * 0.8), last).otherwise(F.lit(size)).cast("int")
-        return F.when(acc.at > F.length(html), acc).otherwise(
-            F.struct(
-                (acc.at + width).alias("at"),
-                F.concat(acc.out, F.array(F.substring(window, F.lit(1), width))).alias("out"),
-            )
-        )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
 
-    return F.when(F.length(html) <= size, F.array(html)).otherwise(
-        F.aggregate(steps, start, step, lambda acc: acc.out)
-    )
+    def window(parts: Column, at: Column) -> Column:
+        block, off = F.floor(at / size).cast("int"), (at % size).cast("int")
+        both = F.concat(F.coalesce(F.get(parts, block), F.lit("")), F.coalesce(F.get(parts, block + 1), F.lit("")))
+        return F.substring(both, off + 1, F.lit(size))
+
+    def fold(bound: Column) -> Column:
+        def step(acc: Column, _i: Column) -> Column:
+            def cut(text: Column) -> Column:
+                back = F.instr(F.reverse(text), "<")
+                last = F.when(back > 0, F.length(text) - back).otherwise(-1)
+                more = acc.at + size < bound.n
+                width = F.when(more & (last > size * 0.8), last).otherwise(F.lit(size)).cast("int")
+                return F.struct((acc.at + width).alias("at"), F.concat(acc.cuts, F.array(acc.at)).alias("cuts"))
+
+            return F.when(acc.at >= bound.n, acc).otherwise(let(window(bound.blocks, acc.at), cut))
+
+        cuts = F.aggregate(steps, start, step, lambda acc: F.concat(acc.cuts, F.array(bound.n)))
+
+        def pieces(ends: Column) -> Column:
+            spans = F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1), lambda a, b: F.struct(a.alias("x"), b.alias("y")))
+            return F.transform(spans, lambda s: F.substring(
+                window(bound.blocks, s.getField("x")), F.lit(1), (s.getField("y") - s.getField("x")).cast("int")))
+
+        return let(cuts, pieces)
+
+    whole = F.struct(blocks.alias("blocks"), F.length(html).alias("n"))
+    return F.when(F.length(html) <= size, F.array(html)).otherwise(let(whole, fold))
 
 
 def explode_chunks(df: DataFrame, html: str = "html", max_tokens: int = CHUNK_TOKENS) -> DataFrame:

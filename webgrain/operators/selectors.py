@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import itertools
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, functions as F
 
@@ -125,11 +127,31 @@ class Page:
         return F.expr(f"get({self._select(selector)}, 0)")
 
     def inside(self, scope: Column, selector: str) -> Column:
-        """Matching nodes below ``scope``, for compound selectors and comma lists of them."""
-        n = _var("n")
-        tests = " OR ".join(f"({self._fits(p.strip(), n)})" for p in selector.split(","))
-        hits = F.expr(f"filter({self.sql}.dom, {n} -> {tests})")
-        return F.filter(hits, lambda node: (node.id > scope.id) & (node.id <= scope.last))
+        """Matching nodes below ``scope``, for compound selectors and comma lists of them.
+
+        Ids are positions and a subtree is a range of them, so only the subtree is looked at.
+        """
+        below = F.slice(self.dom, scope.id + 2, scope.last - scope.id)
+        parts = [p.strip() for p in selector.split(",")]
+        return F.filter(below, lambda node: reduce(or_, [self._matches(p, node) for p in parts]))
+
+    def _matches(self, compound: str, node: Column) -> Column:
+        """``_fits`` for a node that is a column."""
+        tests = [F.lit(True)]
+        for p in _PIECE.finditer(compound):
+            value = node.attrs.getItem((p["attr"] or "").lower())
+            if p["tag"]:
+                tests += [node.tag == p["tag"].lower()] if p["tag"] != "*" else []
+            elif p["cls"]:
+                tests.append(node.cls.contains(f" {p['cls']} "))
+            elif p["text"] is not None:
+                tests.append(F.lower(self.text(node, " ")).contains(p["text"].lower()))
+            elif p["op"] is None:
+                tests.append(value.isNotNull())
+            else:
+                test = {"=": value == p["val"], "*=": value.contains(p["val"] or ""), "^=": value.startswith(p["val"] or "")}[p["op"]]
+                tests.append(F.coalesce(test, F.lit(False)))
+        return reduce(and_, tests)
 
     # --- values of nodes ----------------------------------------------------------
     def text(self, node: Column, separator: str = "") -> Column:
