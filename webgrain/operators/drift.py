@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from webgrain.functions.scalars import CRITICAL_FIELDS
 from webgrain.operators import ordered
 
 SIZE_THRESHOLD = 0.3
+# Columns that describe the page of an alert.
+ABOUT = ["platform", "content_type"]
 
 
 def fingerprint(skeleton: Column) -> Column:
@@ -36,10 +39,12 @@ def content_changed(before: Column, now: Column) -> Column:
 
 
 def drift_alert(prev: Column, cur: Column, threshold: float = SIZE_THRESHOLD) -> Column:
-    """H1: compare two baselines, each struct(fp, snapshot, hash, size).
+    """H1: compare two baselines, each struct(id, fp, snapshot, hash, size).
 
-    struct(alert_type, severity, degraded, delta_ratio), or NULL when nothing
-    moved or there is no earlier capture.
+    struct(alert_type, severity, baseline_id, old_fingerprint, new_fingerprint,
+    degraded, lost_fields, baseline_size, current_size, delta_ratio), or NULL when
+    nothing moved or there is no earlier capture.  The details of a kind of change
+    are NULL unless the alert is of that kind.
     """
     degraded = degraded_fields(prev.snapshot, cur.snapshot)
     structural = prev.fp != cur.fp
@@ -59,7 +64,13 @@ def drift_alert(prev: Column, cur: Column, threshold: float = SIZE_THRESHOLD) ->
         F.struct(
             kinds.alias("alert_type"),
             F.when(loss, "critical").otherwise("warning").alias("severity"),
-            degraded.alias("degraded"),
+            prev.id.alias("baseline_id"),
+            F.when(structural, prev.fp).alias("old_fingerprint"),
+            F.when(structural, cur.fp).alias("new_fingerprint"),
+            F.when(selectors, degraded).alias("degraded"),
+            F.when(loss, F.array(*[F.lit(f) for f in CRITICAL_FIELDS])).alias("lost_fields"),
+            F.when(size, prev.size).alias("baseline_size"),
+            F.when(size, cur.size).alias("current_size"),
             F.when(size, F.round(delta, 3)).alias("delta_ratio"),
         ),
     )
@@ -67,7 +78,7 @@ def drift_alert(prev: Column, cur: Column, threshold: float = SIZE_THRESHOLD) ->
 
 def baseline_struct() -> Column:
     """The compared part of a capture row."""
-    return F.struct("fp", "snapshot", "hash", "size")
+    return F.struct(F.col("seq").alias("id"), "fp", "snapshot", "hash", "size")
 
 
 def drift_alerts(captures: DataFrame, *, bucket: Column | None = None,
@@ -75,7 +86,8 @@ def drift_alerts(captures: DataFrame, *, bucket: Column | None = None,
     """H1 in batch: alert rows for all captures that differ from the one before.
 
     ``captures``: url, ts, seq, fp, snapshot, hash, size, best a stored table, since
-    it is read twice (state per time slice, then the rows).  "Before" means by
+    it is read twice (state per time slice, then the rows); platform and
+    content_type go into the alert where they are given.  "Before" means by
     (ts, seq).  The first capture of a URL only becomes the baseline.
     """
     slice_ = bucket if bucket is not None else ordered.time_bucket(F.col("ts"), 86_400)
@@ -83,5 +95,5 @@ def drift_alerts(captures: DataFrame, *, bucket: Column | None = None,
     return (
         paired.withColumn("alert", drift_alert(F.col("prev"), baseline_struct()))
         .filter(F.col("alert").isNotNull())
-        .select("url", "ts", "seq", "alert.*")
+        .select("url", "ts", "seq", *[c for c in ABOUT if c in captures.columns], "alert.*")
     )

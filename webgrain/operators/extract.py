@@ -127,17 +127,22 @@ def main_text(page: Page) -> Column:
 
         whole = F.struct(F.lit(0).alias("t0"), F.size(page.texts).alias("t1"))
         chosen = F.coalesce(span(root("main")), span(root("article")), span(root("body")), whole)
-        return let(
-            chosen,
-            lambda s: F.array_join(
-                F.filter(
-                    page.texts,
-                    lambda _t, i: (i >= s.t0) & (i < s.t1)
-                    & ~F.exists(cut, lambda c: (c.t0 <= i) & (i < c.t1)),
-                ),
-                " ",
-            ),
-        )
+        # Outermost noise only, in document order; the text between two of them is one slice.
+        start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("from"), F.array().cast("array<int>").alias("to"))
+
+        def outer(acc: Column, c: Column) -> Column:
+            return F.when(c.t1 <= acc.upto, acc).otherwise(F.struct(
+                c.t1.alias("upto"), F.concat(acc["from"], F.array(acc.upto)).alias("from"),
+                F.concat(acc.to, F.array(F.greatest(c.t0, acc.upto))).alias("to")))
+
+        def texts(both: Column) -> Column:
+            gaps = F.zip_with(
+                F.concat(both.g["from"], F.array(both.g.upto)), F.concat(both.g.to, F.array(F.size(page.texts))),
+                lambda a, b: F.slice(page.texts, F.greatest(a, both.s.t0) + 1,
+                                     F.greatest(F.least(b, both.s.t1) - F.greatest(a, both.s.t0), F.lit(0))))
+            return F.array_join(F.flatten(gaps), " ")
+
+        return let(F.struct(chosen.alias("s"), F.aggregate(cut, start, outer).alias("g")), texts)
 
     return F.trim(F.regexp_replace(let(noise, read), r"(?U)\s+", " "))
 

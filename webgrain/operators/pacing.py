@@ -21,6 +21,12 @@ WINDOW = 10
 TARGET_LATENCY_MS = 1000.0
 MIN_FACTOR, MAX_FACTOR = 0.5, 5.0
 ERROR_RATE_THRESHOLD = 0.2
+# Least seconds between two requests to a domain, and to any other.
+LEAST_DELAYS = {
+    "instagram.com": 1.0, "twitter.com": 1.0, "x.com": 1.0, "tiktok.com": 1.0, "linkedin.com": 2.0, "facebook.com": 1.0,
+    "youtube.com": 0.5,
+}
+LEAST_DELAY = 0.5
 SLOW_ERRORS = ["AntiBotDetectedError", "RateLimitExceededError"]
 # --- end of fixed values ----------------------------------------------------
 
@@ -87,11 +93,17 @@ def polite_schedule(queue: DataFrame, *, bucket: Column, order: list[str],
                     overrides: dict[str, float] | None = None, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """H6: seconds after which each queued request of a host may start.
 
-    ``queue``: host, factor and the order columns.  The k-th request of a host
-    starts at (k-1) * factor / rate.
+    ``queue``: host, factor and the order columns.  Every request waits for the
+    intervals of those before it, factor / rate each and never under the host's
+    least delay (N6), so starts never go back when the factor varies.
     """
-    rows = ordered.with_running(queue, ["host"], bucket, order, {"ahead": F.lit(1)}, hot_rows)
-    return rows.withColumn(
-        "not_before_s",
-        F.col("ahead") * F.coalesce("factor", F.lit(1.0)) / base_rate(F.col("host"), overrides),
-    )
+    interval = F.greatest(F.coalesce("factor", F.lit(1.0)) / base_rate(F.col("host"), overrides), least_delay(F.col("host")))
+    return ordered.with_running(queue, ["host"], bucket, order, {"not_before_s": interval}, hot_rows)
+
+
+def least_delay(host: Column) -> Column:
+    """Seconds between requests that no override goes below; looked up by domain, subdomains included."""
+    out = F.lit(LEAST_DELAY)
+    for domain, seconds in LEAST_DELAYS.items():
+        out = F.when((host == domain) | host.endswith(f".{domain}"), seconds).otherwise(out)
+    return out

@@ -232,7 +232,7 @@ def captures(t: Tables) -> DataFrame:
         drift.fingerprint(F.col("parsed.skeleton")).alias("fp"),
         extract.selector_snapshot(chains).alias("snapshot"),
         scalars.critical_hash(title=f["title"], text=f["text"]).alias("hash"),
-        F.octet_length("html").alias("size"),
+        F.octet_length("html").alias("size"), F.lit("web").alias("platform"), F.lit("article").alias("content_type"),
     )
 
 
@@ -247,13 +247,24 @@ WITH d AS (SELECT url, page_id, {_BYTES.format("html")} AS a, {_BYTES.format(_MU
 SELECT url, page_id * 3 + 1 AS seq, CASE page_id % 5 WHEN 1 THEN 'structural_change' WHEN 2 THEN 'field_loss'
     WHEN 3 THEN 'size_anomaly' ELSE 'structural_change,field_loss' END AS alert_type,
   CASE WHEN page_id % 5 IN (2, 4) THEN 'critical' ELSE 'warning' END AS severity,
-  CASE WHEN page_id % 5 = 3 THEN round((b - a) / a, 3) END AS delta_ratio
+  CASE WHEN page_id % 5 = 3 THEN round((b - a) / a, 3) END AS delta_ratio, page_id * 3 AS baseline_id,
+  CASE WHEN page_id % 5 = 3 THEN a END AS baseline_size, CASE WHEN page_id % 5 = 3 THEN b END AS current_size,
+  CASE WHEN page_id % 5 IN (1, 4) THEN true END AS fingerprints, CASE WHEN page_id % 5 IN (2, 4) THEN 'title,author,text' END AS lost,
+  'web' AS platform, 'article' AS content_type
 FROM d WHERE page_id % 5 <> 0"""
 
 
+def alert_columns(alerts: DataFrame) -> DataFrame:
+    """Alerts in columns that SQL can say: fingerprints only as differing."""
+    return alerts.select(
+        "url", "seq", "alert_type", "severity", "delta_ratio", "baseline_id", F.col("baseline_size").cast("bigint"),
+        F.col("current_size").cast("bigint"), (F.col("old_fingerprint") != F.col("new_fingerprint")).alias("fingerprints"),
+        F.array_join("lost_fields", ",").alias("lost"), "platform", "content_type")
+
+
 @query("H1_drift_alerts", _ALERTS_SQL)
 def drift_alerts(t: Tables) -> DataFrame:
-    return drift.drift_alerts(baselines(t)).select("url", "seq", "alert_type", "severity", "delta_ratio")
+    return alert_columns(drift.drift_alerts(baselines(t)))
 
 
 @query("H2_selector_degradation", """
@@ -304,7 +315,7 @@ def base_rate(t: Tables) -> DataFrame:
 
 @query("H6_polite_schedule", """
 SELECT o_orderkey, o_custkey % 30 AS host_no,
-  (row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) - 1) * 2.0 / (1.0::DOUBLE / 3.0) AS not_before_s FROM orders""")
+  (row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) - 1) * (2.0 / (1.0::DOUBLE / 3.0)) AS not_before_s FROM orders""")
 def polite_schedule(t: Tables) -> DataFrame:
     queue = t.orders.selectExpr(
         "o_orderkey", "o_custkey % 30 AS host_no", "concat('h', o_custkey % 30, '.org') AS host", "2.0D AS factor"

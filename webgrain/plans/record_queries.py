@@ -9,7 +9,7 @@ from webgrain.operators import enrich, extract, normalize, ordered, records, rul
 from webgrain.operators.dom import parse_page
 from webgrain.operators.packs import BUILT_IN, GENERIC
 from webgrain.operators.selectors import Page
-from webgrain.plans.log_queries import _ALERTS_SQL, baselines, captures
+from webgrain.plans.log_queries import _ALERTS_SQL, alert_columns, baselines, captures
 from webgrain.plans.page_queries import BODY_SQL, TITLE_SQL, document_pages
 from webgrain.plans.registry import Tables, View, query
 from webgrain.plans.views import OUTCOMES, RESULTS
@@ -281,14 +281,14 @@ def latest_per_key(t: Tables) -> DataFrame:
     return ordered.latest(t.events.select("user_id", "event_type", "ts"), ["user_id"], ["ts", "event_type"])
 
 
-@query("A10_append_alerts", _ALERTS_SQL.replace("delta_ratio\nFROM", "delta_ratio, 'unknown' AS platform\nFROM"))
+@query("A10_append_alerts", _ALERTS_SQL.replace("'web' AS platform", "'unknown' AS platform"))
 def append_alerts(t: Tables) -> DataFrame:
     from webgrain.operators import drift
 
     alerts = drift.drift_alerts(baselines(t)).withColumn("platform", F.lit(None).cast("string"))
     path = work_folder(t.spark, "alerts")
     tables.append(tables.alert_rows(alerts), path)
-    return t.spark.read.parquet(path).select("url", "seq", "alert_type", "severity", "delta_ratio", "platform")
+    return alert_columns(t.spark.read.parquet(path))
 
 
 @query("A11_audit_log", """
@@ -416,7 +416,7 @@ def drift_stream(t: Tables) -> DataFrame:
     rows.write.parquet(path)
     stream = t.spark.readStream.schema(rows.schema).parquet(path)
     out = state.drain(state.drift_alert_stream(stream), "drift")
-    return out.select("url", "seq", "alert_type", "severity", "delta_ratio")
+    return alert_columns(out)
 
 
 @query("K2_rollup_stream", f"""

@@ -68,24 +68,25 @@ def with_earlier(stream: DataFrame, key: str, order: list[str], payload: Column,
 
 def drift_alert_stream(captures: DataFrame) -> DataFrame:
     """K1: the alerts of H1 on a stream; the baseline is the capture that arrived before."""
+    about = [c for c in drift.ABOUT if c in captures.columns]
     flat = captures.select(
-        "url", "ts", "seq", "fp", F.to_json("snapshot").alias("snapshot_json"), "hash", "size"
+        "url", "ts", "seq", *about, "fp", F.to_json("snapshot").alias("snapshot_json"), "hash", "size"
     )
     entry = "map<string,struct<selector:string,matched:boolean,confidence:double>>"
-    payload = F.struct("fp", "snapshot_json", "hash", "size")
+    payload = F.struct("seq", "fp", "snapshot_json", "hash", "size")
     rows = with_earlier(flat, "url", ["ts", "seq"], payload, 1, "prev")
 
     def baseline(row: Column | None) -> Column:
         get = (lambda n: F.col(n)) if row is None else (lambda n: row.getField(n))
         return F.struct(
-            get("fp").alias("fp"), F.from_json(get("snapshot_json"), entry).alias("snapshot"),
+            get("seq").alias("id"), get("fp").alias("fp"), F.from_json(get("snapshot_json"), entry).alias("snapshot"),
             get("hash").alias("hash"), get("size").alias("size"),
         )
 
     last = F.get("prev", F.lit(0))
     alert = drift.drift_alert(F.when(last.isNotNull(), baseline(last)), baseline(None))
     return rows.withColumn("alert", alert).filter(F.col("alert").isNotNull()).select(
-        "url", "ts", "seq", "alert.*"
+        "url", "ts", "seq", *about, "alert.*"
     )
 
 
