@@ -1,6 +1,7 @@
 """Registered queries; importing this package fills the registry."""
 
 from webgrain.plans import (  # noqa: F401
+    compliance_queries,
     log_queries,
     page_queries,
     record_queries,
