@@ -25,31 +25,42 @@ def same(left, right):
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
-@pytest.mark.parametrize("hot_rows", [10, 100, 10**6])
+@pytest.mark.parametrize("hot_rows", [150, 10**6])
 def test_two_level_state_equals_plain_windows(spark, hot_rows):
     log = skewed_log(spark)
     w = W.partitionBy("host").orderBy("ts", "seq")
-    bucket = ordered.time_bucket(F.col("ts"), 3600)
-    got = ordered.with_history(log, ["host"], bucket, ["ts", "seq"], F.struct("seq"), 10, "h", hot_rows)
+    got = ordered.with_history(log, ["host"], ["ts", "seq"], F.struct("seq"), 10, "h", hot_rows)
     want = log.withColumn("h", F.collect_list(F.struct("seq")).over(w.rowsBetween(-9, 0)))
     assert same(got, want)
     odd = F.when(F.col("seq") % 11 == 0, F.col("seq"))
-    got = ordered.with_last(log, ["host"], bucket, ["ts", "seq"], odd, "p", hot_rows)
+    got = ordered.with_last(log, ["host"], ["ts", "seq"], odd, "p", hot_rows)
     want = log.withColumn("p", F.last(odd, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
     assert same(got, want)
-    got = ordered.with_running(log, ["host"], bucket, ["ts", "seq"], {"n": F.lit(1), "s": F.col("seq")}, hot_rows)
+    got = ordered.with_running(log, ["host"], ["ts", "seq"], {"n": F.lit(1), "s": F.col("seq")}, hot_rows)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     want = log.withColumn("n", F.coalesce(F.count("seq").over(before), F.lit(0))).withColumn(
         "s", F.coalesce(F.sum("seq").over(before), F.lit(0)))
     assert same(got, want)
 
 
-def test_hot_keys_are_cut_and_others_stay_whole(spark):
-    rows, hot = ordered._cut(skewed_log(spark), ["host"], ordered.time_bucket(F.col("ts")), 500)
-    sizes = {(r.host, r["__bucket"]): r["count"] for r in rows.groupBy("host", "__bucket").count().collect()}
-    assert {h for h, b in sizes if b != 0} == {"hot"} and max(sizes.values()) <= 80
-    assert hot.select("host").distinct().collect()[0].host == "hot" and sum(sizes.values()) == 3000
-    assert ordered._cut(skewed_log(spark), ["host"], F.lit(0), 10**6)[1] is None
+def test_hot_keys_are_cut_by_rows_at_every_level(spark, monkeypatch):
+    """One key (NULL) in half of the rows, all of them at one time: no slice, and no level of carried state, is long."""
+    log = spark.range(4000).selectExpr(
+        "id AS seq", "CASE WHEN id % 2 = 1 THEN concat('k', id % 37) END AS host", "timestamp'2024-01-01' AS ts", "id * 1.0D AS v")
+    cuts, plain = [], ordered._cut
+
+    def watched(df, keys, order, hot_rows):
+        rows, hot = plain(df, keys, order, hot_rows)
+        cuts.append(rows.groupBy(*keys, "__slice").count().agg(F.max("count")).first()[0])
+        return rows, hot
+
+    monkeypatch.setattr(ordered, "_cut", watched)
+    w = W.partitionBy("host").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
+    got = ordered.with_running(log, ["host"], ["ts", "seq"], {"n": F.lit(1)}, 60)
+    assert same(got, log.withColumn("n", F.count("seq").over(w)))
+    assert len(cuts) >= 3 and max(cuts) <= 120
+    got = ordered.with_last(log, ["host"], ["ts", "seq"], F.col("seq"), "p", 200)
+    assert same(got, log.withColumn("p", F.last("seq").over(w)))
 
 
 def test_latest_and_baselines(spark):
@@ -166,7 +177,7 @@ def test_pacing_factor(spark):
 def test_cache_and_budget(spark):
     ask = spark.createDataFrame([("k", 1, START + timedelta(seconds=s)) for s in (0, 60, 3660, 3661)], "cache_key string, seq long, ts timestamp")
     stored = spark.createDataFrame([("k", START + timedelta(seconds=60), "old"), ("j", START, "x")], "cache_key string, ts timestamp, body string")
-    got = enrich.with_cached(ask, stored, ttl_seconds=3600, bucket_seconds=600, hot_rows=2).orderBy("ts").collect()
+    got = enrich.with_cached(ask, stored, ttl_seconds=3600, hot_rows=2).orderBy("ts").collect()
     assert [r.cached_body for r in got] == [None, "old", "old", None]
     costs = spark.createDataFrame([("j", i, 4.0) for i in range(4)], "job string, seq long, cost double")
     allowed = lambda cap: [r.allowed for r in enrich.within_budget(costs, cap).orderBy("seq").collect()]

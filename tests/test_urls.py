@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from webgrain.functions import urls
-from webgrain.operators import links, ordered
+from webgrain.operators import links
 from webgrain.operators.packs import BUILT_IN, SAMPLES
 
 
@@ -99,5 +99,5 @@ def test_pack_routing_and_links(spark):
     raw = ["https://a.com/1", "ftp://b", "https://www.youtube.com/x", "https://a.com/1 ", "https://c.com"]
     rows = spark.createDataFrame([("q", i, u, "t", "s") for i, u in enumerate(raw)],
                                  "query string, seq bigint, url string, title string, snippet string")
-    out = links.ranked_links(rows, bucket=ordered.id_bucket(F.col("seq"), 2)).orderBy("rank").collect()
+    out = links.ranked_links(rows, hot_rows=2).orderBy("rank").collect()
     assert [(r.url, r["rank"]) for r in out] == [("https://a.com/1", 0), ("https://c.com", 1)]

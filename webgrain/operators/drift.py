@@ -81,8 +81,7 @@ def baseline_struct() -> Column:
     return F.struct(F.col("seq").alias("id"), "fp", "snapshot", "hash", "size")
 
 
-def drift_alerts(captures: DataFrame, *, bucket: Column | None = None,
-                 hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def drift_alerts(captures: DataFrame, *, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """H1 in batch: alert rows for all captures that differ from the one before.
 
     ``captures``: url, ts, seq, fp, snapshot, hash, size, best a stored table, since
@@ -90,8 +89,7 @@ def drift_alerts(captures: DataFrame, *, bucket: Column | None = None,
     content_type go into the alert where they are given.  "Before" means by
     (ts, seq).  The first capture of a URL only becomes the baseline.
     """
-    slice_ = bucket if bucket is not None else ordered.time_bucket(F.col("ts"), 86_400)
-    paired = ordered.with_last(captures, ["url"], slice_, ["ts", "seq"], baseline_struct(), "prev", hot_rows)
+    paired = ordered.with_last(captures, ["url"], ["ts", "seq"], baseline_struct(), "prev", hot_rows)
     return (
         paired.withColumn("alert", drift_alert(F.col("prev"), baseline_struct()))
         .filter(F.col("alert").isNotNull())

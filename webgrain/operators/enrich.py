@@ -81,15 +81,14 @@ def request_table(pages: DataFrame, schema_text: str, lacking: DataFrame | None
 
 
 def within_budget(costs: DataFrame, cap: float, *, job: str = "job", seq: str = "seq",
-                  cost: str = "cost", bucket: Column | None = None, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+                  cost: str = "cost", hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """H7: add ``allowed``: the cost of all earlier requests is below the cap (0 = no cap)."""
-    slice_ = bucket if bucket is not None else ordered.id_bucket(F.col(seq))
-    rows = ordered.with_running(costs, [job], slice_, [seq], {"spent_before": F.col(cost)}, hot_rows)
+    rows = ordered.with_running(costs, [job], [seq], {"spent_before": F.col(cost)}, hot_rows)
     return rows.withColumn("allowed", F.lit(cap <= 0) | (F.col("spent_before") < cap))
 
 
 def with_cached(requests: DataFrame, responses: DataFrame, *, ttl_seconds: int = CACHE_TTL_SECONDS,
-                bucket_seconds: int = 3600, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+                hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """As-of look-up of the latest stored response that is not too old.
 
     ``requests``: cache_key, seq, ts; ``responses``: cache_key, ts, body.  Give the
@@ -102,7 +101,7 @@ def with_cached(requests: DataFrame, responses: DataFrame, *, ttl_seconds: int =
     asked = requests.select("cache_key", "ts", "seq", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("body"))
     stored = responses.select("cache_key", "ts", F.lit(None).cast("bigint").alias("seq"), F.lit(0).alias("kind"), "body")
     lined = ordered.with_last(
-        stored.unionByName(asked), ["cache_key"], ordered.time_bucket(F.col("ts"), bucket_seconds),
+        stored.unionByName(asked), ["cache_key"],
         ["ts", "kind", "seq", "body"], F.when(F.col("kind") == 0, body), "hit", hot_rows,
     ).filter(F.col("kind") == 1)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

@@ -26,11 +26,10 @@ def usable_link(url: Column) -> Column:
     )
 
 
-def ranked_links(links: DataFrame, *, bucket: Column, top: int | None = None,
-                 hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def ranked_links(links: DataFrame, *, top: int | None = None, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """Usable links per query, first occurrence only, ranked densely from 0.
 
-    ``links``: query, seq, url, title, snippet.  ``bucket`` slices ``seq``.
+    ``links``: query, seq, url, title, snippet.
     """
     clean = links.withColumn("url", strip(F.col("url"))).filter(usable_link(F.col("url")))
     rest = [c for c in links.columns if c not in ("query", "url", "seq")]
@@ -39,7 +38,7 @@ def ranked_links(links: DataFrame, *, bucket: Column, top: int | None = None,
     ).select("query", "seq", "url", "__rest.*")
     # Stored once: the ranking reads the distinct links more than once.
     first = materialized(first, "links")
-    out = ordered.with_running(first, ["query"], bucket, ["seq"], {"rank": F.lit(1)}, hot_rows)
+    out = ordered.with_running(first, ["query"], ["seq"], {"rank": F.lit(1)}, hot_rows)
     return out if top is None else out.filter(F.col("rank") < top)
 
 

@@ -63,14 +63,12 @@ def outcome_struct() -> Column:
     return F.struct("ok", "latency_ms", "status", "error")
 
 
-def with_pacing(outcomes: DataFrame, *, bucket: Column | None = None,
-                hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def with_pacing(outcomes: DataFrame, *, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """H4: add ``factor`` after every outcome.
 
     ``outcomes``: host, ts, seq, ok, latency_ms, status, error.
     """
-    slice_ = bucket if bucket is not None else ordered.time_bucket(F.col("ts"))
-    rows = ordered.with_history(outcomes, ["host"], slice_, ["ts", "seq"], outcome_struct(), WINDOW, "recent", hot_rows)
+    rows = ordered.with_history(outcomes, ["host"], ["ts", "seq"], outcome_struct(), WINDOW, "recent", hot_rows)
     return rows.withColumn("factor", pacing_factor(F.col("recent"))).drop("recent")
 
 
@@ -89,7 +87,7 @@ def base_rate(host: Column, overrides: dict[str, float] | None = None) -> Column
     return out
 
 
-def polite_schedule(queue: DataFrame, *, bucket: Column, order: list[str],
+def polite_schedule(queue: DataFrame, *, order: list[str],
                     overrides: dict[str, float] | None = None, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """H6: seconds after which each queued request of a host may start.
 
@@ -98,7 +96,7 @@ def polite_schedule(queue: DataFrame, *, bucket: Column, order: list[str],
     least delay (N6), so starts never go back when the factor varies.
     """
     interval = F.greatest(F.coalesce("factor", F.lit(1.0)) / base_rate(F.col("host"), overrides), least_delay(F.col("host")))
-    return ordered.with_running(queue, ["host"], bucket, order, {"not_before_s": interval}, hot_rows)
+    return ordered.with_running(queue, ["host"], order, {"not_before_s": interval}, hot_rows)
 
 
 def least_delay(host: Column) -> Column:

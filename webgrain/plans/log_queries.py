@@ -320,7 +320,7 @@ def polite_schedule(t: Tables) -> DataFrame:
     queue = t.orders.selectExpr(
         "o_orderkey", "o_custkey % 30 AS host_no", "concat('h', o_custkey % 30, '.org') AS host", "2.0D AS factor"
     )
-    out = pacing.polite_schedule(queue, bucket=ordered.id_bucket(F.col("o_orderkey"), 5000), order=["o_orderkey"])
+    out = pacing.polite_schedule(queue, order=["o_orderkey"])
     return out.select("o_orderkey", "host_no", "not_before_s")
 
 
@@ -331,7 +331,7 @@ SELECT event_id, coalesce(sum(user_id) OVER (PARTITION BY event_type ORDER BY ev
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 50000 AS allowed FROM events""")
 def budget_gate(t: Tables) -> DataFrame:
     costs = t.events.selectExpr("event_id", "event_type AS job", "event_id AS seq", "user_id AS cost")
-    out = enrich.within_budget(costs, 50000, bucket=ordered.id_bucket(F.col("seq"), 1000))
+    out = enrich.within_budget(costs, 50000)
     return out.select("event_id", "spent_before", "allowed")
 
 
@@ -399,7 +399,7 @@ def entity_table(t: Tables) -> DataFrame:
 SELECT seq, lag(seq) OVER (PARTITION BY host ORDER BY ts, seq) AS previous FROM {OUTCOMES.sql}""")
 def previous_baseline(t: Tables) -> DataFrame:
     rows = t.view(OUTCOMES)
-    out = ordered.with_last(rows, ["host"], ordered.time_bucket(F.col("ts"), 86_400), ["ts", "seq"], F.col("seq"), "previous")
+    out = ordered.with_last(rows, ["host"], ["ts", "seq"], F.col("seq"), "previous")
     return out.select("seq", "previous")
 
 

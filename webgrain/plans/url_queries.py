@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from webgrain.functions import urls
-from webgrain.operators import links, ordered
+from webgrain.operators import links
 from webgrain.operators.packs import BUILT_IN, SAMPLES
 from webgrain.plans.registry import Tables, query
 from webgrain.plans.views import PLATFORM_URLS, RAW_URLS
@@ -103,7 +103,7 @@ SELECT query, url, title, rank FROM (
 WHERE rank < 10""")
 def link_cleanup(t: Tables) -> DataFrame:
     rows = t.orders.selectExpr(*[e.strip() for e in _split(_LINKS)])
-    out = links.ranked_links(rows, bucket=ordered.id_bucket(F.col("seq"), 1000), top=10)
+    out = links.ranked_links(rows, top=10)
     return out.select("query", "url", "title", "rank")
 
 
