@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import LAST_ID, map_batches, whole
+from webgrain.llm.common import LAST_ID, carried, map_batches, restored, whole
 from webgrain.session import materialized
 
 SHINGLE = 3
@@ -49,6 +49,8 @@ LIGHTEST = 24
 CLASS = 1.4
 # List members that meet in one block.
 BLOCK = 4096
+# Narrow rows that one task may hold: two ids each.
+ONE_TASK = 200_000
 # Bits of a sketch for each shingle that linked sets may differ by.
 SKETCH = 16
 
@@ -355,17 +357,19 @@ def components(links: DataFrame) -> DataFrame:
     """(sid, comp) of every end of a link; comp is the smallest sid that it reaches.
 
     Every round hooks each node to its smallest neighbour and contracts the links;
-    as set ids are hashes, a constant share of the nodes goes in each round.
+    as set ids are hashes, a constant share of the nodes goes in each round.  Links
+    that fit one partition stay in one, so that late rounds need no exchange.
     """
     hooks = []
-    edges = links.select("a", "b")
+    edges = _sized(materialized(links.select("a", "b"), "edges"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialized(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks")
+        hook = _sized(materialized(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks"))
         hooks.append(hook)
         moved = edges.join(hook, "a").select("b", F.col("up").alias("u")).join(
             hook.select(F.col("a").alias("b"), F.col("up").alias("v")), "b")
-        edges = materialized(moved.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
+        moved = moved.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        edges = _sized(materialized(moved.distinct(), "edges"))
         if edges.isEmpty():
             break
     found = hooks.pop()
@@ -376,6 +380,11 @@ def components(links: DataFrame) -> DataFrame:
     return materialized(found.select(F.col("a").alias("sid"), F.col("up").alias("comp")), "components")
 
 
+def _sized(stored: DataFrame) -> DataFrame:
+    """A stored table in one partition if it has at most ``ONE_TASK`` rows, as it is beyond."""
+    return stored.coalesce(1) if stored.count() <= ONE_TASK else stored
+
+
 def linked_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
 ) -> DataFrame:
@@ -434,5 +443,5 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFra
     """Rows of ``docs`` that stay: of each component those of the smallest id; same columns."""
     gone = linked_components(docs, id_col=id_col, **options).where(
         ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    return docs.withColumn("_key", key).join(gone.hint("shuffle_hash"), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    rows = carried(docs, _key=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)))
+    return restored(rows.join(gone.hint("shuffle_hash"), F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)
