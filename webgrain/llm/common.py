@@ -50,10 +50,24 @@ def worker_state(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """``mapInArrow`` that skips empty batches, so that ``work`` sees rows only."""
+def forget_models(but: str | None = None) -> None:
+    """Drop what earlier tasks kept in this worker, except the models whose names begin with ``but``."""
+    kept = worker_state("models")
+    for name in [n for n in kept if but is None or not n.startswith(but)]:
+        del kept[name]
+
+
+def map_batches(
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str, keeps: str | None = None,
+) -> DataFrame:
+    """``mapInArrow`` that skips empty batches, so that ``work`` sees rows only.
+
+    Workers live on after a task; only models that ``keeps`` names outlast it, so
+    that the stages of a pipeline don't pile up their memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_models(keeps)
         return work(b for b in batches if b.num_rows)
 
     return df.mapInArrow(run, ddl)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import carried, map_batches, restored, ship, whole
+from webgrain.llm.common import carried, forget_models, map_batches, restored, ship, whole
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 18
@@ -174,6 +174,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     shared = ship(spark, model and (model.languages, model.prior, model.matrix), model.matrix.nbytes if model else 0)
 
     def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_models()
         fitted = shared.value and Model(*shared.value)
         for texts in columns:
             codes = [None if t is None or fitted is None else prepared(t) for t in texts.to_pylist()]

@@ -52,7 +52,7 @@ def token_counts(
 
     text = whole(F.col(text_col))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
-    out = map_batches(given, work, "doc_id long, n_bytes long, n_tokens long")
+    out = map_batches(given, work, "doc_id long, n_bytes long, n_tokens long", keeps="prefix-")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
@@ -72,7 +72,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                     [batch.column(0).slice(i, 1), pa.array([counter.prefix_counts(text)], pa.list_(pa.int32()))], ["doc_id", "counts"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("t"))
-    return map_batches(given, work, "doc_id long, counts array<int>")
+    return map_batches(given, work, "doc_id long, counts array<int>", keeps="prefix-")
 
 
 def cut_points(counts: DataFrame, budget: int) -> DataFrame:
