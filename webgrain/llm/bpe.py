@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import regex
 
 # The published pre-tokenizer pattern of byte-level BPE, its white
@@ -31,7 +32,9 @@ _BLANKS = regex.compile(r"\p{White_Space}+")
 # A space between words starts a piece unless blanks stand on both of its sides.
 _SPACE_IN_BLANKS = regex.compile(r"\s (?:\s|\Z)")
 # Entries of a worker's memory of words, after which it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
+# Words that the library encodes as one line.
+LINE_WORDS = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -224,23 +227,48 @@ class LibraryIds:
         special = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self._words: dict[str, bytes] = {}
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        import numpy as np
-
+        self._before: dict[str, bytes] = {}
+        tab = self._tokenizer.encode("\t", add_special_tokens=False).ids
+        if len(tab) != 1:
+            raise ValueError("the vocabulary has no token for a tab")
+        self._tab = tab[0]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        apart = [self._special is not None and self._special.search(t) is not None for t in texts]
+        words = [[] if a else words_of(t) for t, a in zip(texts, apart, strict=True)]
+        self._learn(set().union(*words))
+        known = self._words.__getitem__
+        return [self._encoded([t])[0] if a else b"".join(map(known, w)) for t, a, w in zip(texts, apart, words, strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Make sure that all ``words`` are known; what was not used for long is forgotten."""
+        if len(self._words) > MEMORY:
+            self._before, self._words = self._words, {}
+        new = words.difference(self._words)
+        again = new.intersection(self._before)
+        self._words.update({w: self._before[w] for w in again})
+        new -= again
+        # A tab is a piece and a token of its own between words that no blank ends, so one call encodes many.
+        plain = [w for w in new if "\t" not in w and (core := w[1:] if w[:1] == " " else w) and core.strip() == core]
+        for at in range(0, len(plain), LINE_WORDS * 64):
+            part = plain[at:at + LINE_WORDS * 64]
+            lines = [part[k:k + LINE_WORDS] for k in range(0, len(part), LINE_WORDS)]
+            encoded = self._tokenizer.encode_batch_fast(["\t".join(x) for x in lines], add_special_tokens=False)
+            for line, found in zip(lines, encoded, strict=True):
+                self._words.update(zip(line, self._split(found.ids), strict=True))
+        rest = [w for w in new if w not in self._words]
+        self._words.update(zip(rest, self._encoded(rest), strict=True))
+
+    def _split(self, ids: list[int]) -> list[bytes]:
+        found = np.array(ids, f"<u{self.width}")
+        breaks = np.flatnonzero(found == self._tab)
+        data, starts, ends = found.tobytes(), [0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)]
+        return [data[a * self.width:b * self.width] for a, b in zip(starts, ends, strict=True)]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes()
-                for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def packed(self, text: str) -> bytes:
-        if self._special is not None and self._special.search(text):
-            return self._encoded([text])[0]
-        words, known = words_of(text), self._words
-        if len(known) >= MEMORY:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        if new:
-            known.update(zip(new, self._encoded(new), strict=True))
-        return b"".join([known[w] for w in words])
+                for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def make_once(name: str, build: Callable[[], object]) -> object:

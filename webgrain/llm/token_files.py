@@ -42,7 +42,7 @@ HEADER = "<9q"
 END_ID = 2
 SAMPLE = 256
 # A shard is closed when its ids reach so many bytes; a single document may be larger.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 # Bits of a shard's position that count shards of one task; the task's number stands above them.
 PLACES = 20
 
@@ -167,16 +167,20 @@ def write_token_files(
         packed: list[bytes] = []
 
         def closed() -> pa.RecordBatch:
-            place = part << PLACES | shards
-            return pa.RecordBatch.from_arrays([pa.array([shard_bytes(place, names, packed, width)], pa.binary())], ["shard"])
+            nonlocal names, packed
+            data = shard_bytes(part << PLACES | shards, names, packed, width)
+            names, packed = [], []
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["shard"])
 
         for batch in batches:
-            for name, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            given, parts, texts = (c.to_pylist() for c in batch.columns)
+            part = parts[0]
+            for name, ids in zip(given, library.packed(texts), strict=True):
                 if packed and held >= shard_size:
                     yield closed()
-                    names, packed, held, shards = [], [], 0, shards + 1
+                    held, shards = 0, shards + 1
                 names.append(name)
-                packed.append(library.packed(text) + end)
+                packed.append(ids + end)
                 held += len(packed[-1])
         if packed:
             yield closed()
@@ -188,7 +192,7 @@ def write_token_files(
         .repartitionByRange(parts, key).sortWithinPartitions(key, F.col("doc_id").isNull(), "text")
         .select("doc_id", F.spark_partition_id().cast("long").alias("part"), "text")
     )
-    shards = map_batches(given, work, "shard binary")
+    shards = map_batches(given, work, "shard binary", keeps="ids-")
     # One record, one file; the record separator is the file's last byte.
     shards.select(F.col("shard").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
