@@ -129,6 +129,21 @@ def test_join_of_a_large_near_copy_group(spark, monkeypatch, block):
     assert got == brute_components(rows)
 
 
+def test_join_of_chains_through_lists_of_two(spark):
+    rng = random.Random(9)
+    rows = []
+    for chain in range(40):
+        # Sets of 9, 10 and 11 shingles, or of 40, 42 and 44: neighbours are links, the ends are not.
+        size, step = (11, 1) if chain % 2 else (42, 3)
+        base = [f"c{chain}w{rng.randrange(10**6)}" for _ in range(size + 2 * step)]
+        for k in range(3):
+            rows.append((rng.randrange(10**9), " ".join(base[:size + k * step])))
+    given = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(rows_of(ngram_join.linked_components(given)), key=repr)
+    want = brute_components(rows)
+    assert len({c for *_, c in want}) == 40 and got == want
+
+
 def test_every_link_shares_a_key():
     rng = random.Random(4)
     pool = [rng.getrandbits(64) for _ in range(3000)]

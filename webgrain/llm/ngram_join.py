@@ -19,7 +19,8 @@ used after that is detected and raises).  Lists do not become pairs:
 2. what is still in different components meets within the lists, in blocks of
    bounded size, on parity sketches whose distance never exceeds the true
    difference; a block reports only a forest of possible links, not all of them;
-3. after two such rounds, all remaining possible links are reported.
+3. after two such rounds, all remaining possible links are reported, also those
+   of lists of two: a set tests only its nearest hub in step 1.
 
 Possible links are verified on the texts themselves.  A pair that is already in one
 component is never looked at again: it can't change the result.
@@ -276,7 +277,7 @@ def block_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     """(a, b) of different components that share a list and may be linked: a forest for each block, or all of them."""
     rows = lists.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed_lists = rows.groupBy("key").agg(
-        F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high AND c > 2")
+        F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     rows = rows.join(mixed_lists.select("key", blocks.alias("blocks")), "key").withColumn("mine", mine)
