@@ -379,6 +379,30 @@ def test_edited_passages_are_found_and_clean_ones_left(spark):
     assert decontamination.contaminated(given, bench.limit(0)).count() == 0 and decontamination.contaminated(given.limit(0), bench).count() == 0
 
 
+def test_copies_with_edits_apart_are_found():
+    rng = random.Random(8)
+    for n in range(4, 61):
+        item = [f"w{i}" for i in range(n)]
+        items = decontamination.Items.of([(n, " ".join(item))])
+        for lacking in range(decontamination.allowed(n, 0.8) + 1):
+            added = int((n - lacking) * 0.25)
+            # Deletions and insertions as far from one another as they can be.
+            places = [round((k + 1) * n / (lacking + added + 1)) for k in range(lacking + added)]
+            rng.shuffle(places)
+            copy = []
+            for k, word in enumerate(item):
+                copy += ["added"] * places[lacking:].count(k) + [word] * (k not in places[:lacking])
+            code = decontamination.coded(items.number, " ".join(["before"] * 20 + copy + ["after"] * 20))
+            _, same, begin, end = decontamination.align(items.words[0], code)
+            if same / max(n, end - begin) < 0.8:
+                continue
+            size = decontamination.seed_size(n, 0.8)
+            # The n-grams that stay are the commonest ones.
+            kept = set(decontamination.gram_keys(code, size).tolist())
+            block = items.with_seeds({(size, g): 9 for g in kept}, 0.8)
+            assert [m[0] for m in decontamination.matches(block, code, 0.8)] == [0], (n, lacking, added)
+
+
 # 9, 10 ------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def tokenizer():

@@ -3,12 +3,14 @@
 Method: rare n-gram seeds join documents to test items, then Smith-Waterman
 alignment over words scores the copy.
 
-A copy with a similarity of at least ``SIMILARITY`` lacks or adds a bounded number
-of words, and each destroys a bounded number of the item's n-grams.  Among one
-n-gram more than that, one is intact, so taking the rarest in the corpus (counted
-over all documents) loses nothing.  ``HITS`` are taken on top, and as many must be
-found near one another.  (Items of some ten words or fewer may have no n-gram left
-after that many edits; of those, only copies with an n-gram intact are found.)
+A copy with a similarity of at least ``SIMILARITY`` lacks and adds a bounded number
+of words; each lacking one destroys as many of the item's n-grams as they have words,
+each added one at another place one less.  An item's n-grams have the most words, up
+to ``SEED_WORDS``, at which one more than can be destroyed exist (at 0.8 mostly two
+words; single words always do).  Among one n-gram more than that, one is intact, so
+taking the rarest in the corpus (counted over all documents) loses nothing.  Up to
+``HITS`` are taken on top, as far as they must be intact, and as many must be found near
+one another.  Places that hold too few of the item's words are not aligned.
 
 The items are the stated query set: they are read in blocks of bounded size, each
 block goes to all executors behind a size check, and every document meets every
@@ -23,6 +25,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 2 << 20
 
 _WORD = re.compile(r"\w+")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
@@ -76,14 +80,23 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int]:
     return best
 
 
+def gram_keys(code: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each n-gram of ``size`` words; a clash only adds a place to align."""
+    total = np.zeros(max(0, len(code) - size + 1), np.uint64)
+    numbers = (code + 1).astype(np.uint64)
+    for k in range(size):
+        total = total * _STEP + numbers[k:k + len(total)]
+    return total
+
+
 @dataclass
 class Items:
-    """A block of test items as word numbers, with its seeds."""
+    """A block of test items as word numbers, with its seeds: by size, ascending keys and the (item, place) of each."""
 
     ids: list[int]
     words: list[np.ndarray]
     number: dict[str, int]
-    seeds: dict[tuple[int, ...], list[tuple[int, int]]] = field(default_factory=dict)
+    seeds: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = field(default_factory=dict)
     need: list[int] = field(default_factory=list)
 
     @staticmethod
@@ -97,22 +110,28 @@ class Items:
                 coded.append(np.array(code, np.int64))
         return Items(ids, coded, number)
 
-    def grams(self, i: int) -> list[tuple[int, ...]]:
-        code, size = self.words[i].tolist(), min(SEED_WORDS, len(self.words[i]))
-        return [tuple(code[k:k + size]) for k in range(len(code) - size + 1)]
-
-    def with_seeds(self, frequency: dict[tuple[int, ...], int], similarity: float) -> Items:
-        """Keep the rarest n-grams of each item that any copy must share enough of."""
-        seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+    def grams(self, similarity: float) -> dict[int, np.ndarray]:
+        """By seed size, the ascending keys of all n-grams of the items with seeds of that size."""
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for code in self.words:
+            size = seed_size(len(code), similarity)
+            found[size].append(gram_keys(code, size))
+        return {size: np.unique(np.concatenate(keys)) for size, keys in found.items()}
+
+    def with_seeds(self, frequency: dict[tuple[int, int], int], similarity: float) -> Items:
+        """Keep the rarest n-grams of each item that any copy must share enough of; ``frequency`` is by size and key."""
+        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         need = []
-        for i in range(len(self.ids)):
-            grams = self.grams(i)
-            lost = destroyed(len(self.words[i]), similarity)
-            need.append(max(1, min(HITS, len(grams) - lost)))
-            order = sorted(range(len(grams)), key=lambda k: (frequency.get(grams[k], 0), grams[k], k))
+        for i, code in enumerate(self.words):
+            size = seed_size(len(code), similarity)
+            keys = gram_keys(code, size).tolist()
+            lost = destroyed(len(code), size, similarity)
+            need.append(min(HITS, len(keys) - lost))
+            order = sorted(range(len(keys)), key=lambda k: (frequency.get((size, keys[k]), 0), keys[k], k))
             for k in order[:lost + need[-1]]:
-                seeds[grams[k]].append((i, k))
-        return Items(self.ids, self.words, self.number, dict(seeds), need)
+                seeds[size][keys[k]].append((i, k))
+        tables = {size: (np.array(sorted(by), np.uint64), [by[g] for g in sorted(by)]) for size, by in seeds.items()}
+        return Items(self.ids, self.words, self.number, tables, need)
 
 
 def coded(number: dict[str, int], text: str) -> np.ndarray:
@@ -126,39 +145,42 @@ def allowed(n: int, similarity: float) -> int:
     return n - math.ceil(round(similarity * n, 9))
 
 
-def destroyed(n: int, similarity: float) -> int:
-    """N-grams of an item that a copy may lack: all over a changed word, all across an added one."""
+def destroyed(n: int, size: int, similarity: float) -> int:
+    """Most n-grams of ``size`` words that a copy may lack: all over a lacking word, all across an added one elsewhere."""
     most = 0
     for lacking in range(allowed(n, similarity) + 1):
         added = int(round((n - lacking) * (1 / similarity - 1), 9))
-        most = max(most, SEED_WORDS * lacking + (SEED_WORDS - 1) * max(0, added - lacking))
+        most = max(most, size * lacking + (size - 1) * added)
     return most
 
 
-def places_of(code: np.ndarray, wanted: dict[tuple[int, ...], list], sizes: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """Position and n-gram of every wanted n-gram in a document."""
-    known = code >= 0
-    for size in sizes:
-        full = known.copy()
-        for k in range(1, size):
-            full[:-k] &= known[k:]
-            full[len(full) - k:] = False
-        for at in np.flatnonzero(full).tolist():
-            gram = tuple(code[at:at + size].tolist())
-            if gram in wanted:
-                yield at, gram
+@lru_cache(maxsize=1 << 16)
+def seed_size(n: int, similarity: float) -> int:
+    """The most words of an n-gram, so that every copy of an item of ``n`` words has one intact."""
+    return next(size for size in range(min(SEED_WORDS, n), 0, -1) if size == 1 or n - size + 1 > destroyed(n, size, similarity))
+
+
+def places_of(code: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position in a document and in ``keys`` (ascending) of every n-gram that is among them."""
+    own = gram_keys(code, size)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    found = np.flatnonzero(keys[at] == own)
+    return found, at[found]
 
 
 def matches(items: Items, code: np.ndarray, similarity: float) -> list[tuple[int, float, int, int, int]]:
     """(item, similarity, score, begin, end) of the best copy of each item in a document."""
-    sizes = sorted({len(g) for g in items.seeds})
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for at, gram in places_of(code, items.seeds, sizes):
-        for i, k in items.seeds[gram]:
-            hits[i].append((at - k, k))
+    for size, (keys, owners) in items.seeds.items():
+        for at, gram in zip(*(x.tolist() for x in places_of(code, keys, size)), strict=True):
+            for i, k in owners[gram]:
+                hits[i].append((at - k, k))
     out = []
     for i, found in hits.items():
+        if len(found) < items.need[i]:
+            continue
         n = len(items.words[i])
+        least = n - allowed(n, similarity)
         slack = allowed(n, similarity) + int(n * (1 / similarity - 1)) + 1
         # Hits of one copy lie on diagonals that its edits move by no more than their number.
         found.sort()
@@ -171,6 +193,8 @@ def matches(items: Items, code: np.ndarray, similarity: float) -> list[tuple[int
                 continue
             last = b
             low, high = max(0, int(starts[a]) - slack), min(len(code), int(starts[b - 1]) + n + slack)
+            if np.isin(items.words[i], code[low:high]).sum() < least:
+                continue
             score, same, begin, end = align(items.words[i], code[low:high])
             alike = same / max(n, end - begin)
             if alike >= similarity and (best is None or (alike, score) > best[:2]):
@@ -201,8 +225,7 @@ def contaminated(
 
     The similarity is the equal words of the best alignment over the longer of item and copy.
     Words are runs of letters, digits and underscores in lower case.  NULL or empty
-    texts and items without a word match nothing.  Items under three words are their
-    own seed.  Rows that repeat an id are each compared; NULL ids are passed on;
+    texts and items without a word match nothing.  Rows that repeat an id are each compared; NULL ids are passed on;
     repeated items give a row each.  Without items or documents the result is empty.
     """
     spark = docs.sparkSession
@@ -219,26 +242,26 @@ def contaminated(
 
 def _block_matches(given: DataFrame, block: Items, size: int, similarity: float, ddl: str) -> DataFrame:
     spark = given.sparkSession
-    names = sorted({g for i in range(len(block.ids)) for g in block.grams(i)})
-    shared = ship(spark, (block.number, {g: k for k, g in enumerate(names)}), size)
+    grams = block.grams(similarity)
+    shared = ship(spark, (block.number, grams), size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, gram_no = shared.value
-        seen = np.zeros(len(gram_no), np.int64)
-        sizes = sorted({len(g) for g in gram_no})
+        number, wanted = shared.value
+        seen = {size: np.zeros(len(keys), np.int64) for size, keys in wanted.items()}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 code = coded(number, text)
-                if len(code):
-                    for gram in {g for _, g in places_of(code, gram_no, sizes)}:
-                        seen[gram_no[gram]] += 1
-        at = np.flatnonzero(seen)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["gram", "n"])
+                for size, keys in wanted.items():
+                    seen[size][np.unique(places_of(code, keys, size)[1])] += 1
+        for size, counts in seen.items():
+            at = np.flatnonzero(counts)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), size)), pa.array(at), pa.array(counts[at])], ["size", "gram", "n"])
 
-    counted = map_batches(given.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = map_batches(given.select("text"), count, "size long, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
     # One row for each n-gram of the block at most.
-    frequency = {names[r["gram"]]: r["n"] for r in materialized(counted, "seed-counts").toLocalIterator()}
+    frequency = {(r["size"], int(grams[r["size"]][r["gram"]])): r["n"] for r in materialized(counted, "seed-counts").toLocalIterator()}
     block = block.with_seeds(frequency, similarity)
     # Plain values only: workers need not have this package.
     seeded = ship(spark, (block.ids, block.words, block.number, block.seeds, block.need), size)
