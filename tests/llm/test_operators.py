@@ -129,6 +129,18 @@ def test_join_of_a_large_near_copy_group(spark, monkeypatch, block):
     assert got == brute_components(rows)
 
 
+def test_first_rows_stay_whatever_their_ids(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(6)]
+    near = [t + " more" for t in texts]
+    rows = [(1, texts[0]), (None, near[0]), (None, texts[1]), (None, texts[2]), (None, near[2]), (None, near[2]), (7, texts[3]), (7, texts[4]),
+            (2, near[3]), (9, texts[5]), (9, texts[5]), (9, texts[5]), (None, None), (None, " "), (None, " ")]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted(rows_of(kept), key=repr)
+    of_2 = min((texts[2], near[2]), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert got == sorted([(1, texts[0]), (None, texts[1]), (None, of_2), (7, texts[4]), (2, near[3]), (9, texts[5]),
+                          (None, None), (None, " "), (None, " ")], key=repr)
+
+
 def test_join_of_chains_through_lists_of_two(spark):
     rng = random.Random(9)
     rows = []

@@ -37,6 +37,11 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def text_digest(text: Column) -> Column:
+    """Tells rows of one id apart by their whole text; NULL as empty."""
+    return F.unhex(F.sha2(whole(text), 256))
+
+
 def ship(spark: SparkSession, value: object, size: int) -> Broadcast:
     """Broadcast ``value`` after checking its ``size`` in bytes against the fixed bound."""
     if size > BROADCAST_LIMIT:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import LAST_ID, carried, map_batches, restored, whole
+from webgrain.llm.common import LAST_ID, carried, map_batches, restored, text_digest, whole
 from webgrain.session import materialized
 
 SHINGLE = 3
@@ -174,8 +174,15 @@ def folded(data: bytes, size: int) -> np.ndarray:
 # Stages ----------------------------------------------------------------------
 
 
+def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, text, digest: ids may be NULL or repeat, so the digest of the text goes with them."""
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), whole(F.col(text_col)).alias("text"),
+        text_digest(F.col(text_col)).alias("digest"))
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """_id, sid, d2 (the digest of the set), n, sketch, keys (heavy sets), codes (sets that may be light)."""
+    """_id, digest (of the text), sid, d2 (the digest of the set), n, sketch, keys (heavy sets), codes (sets that may be light)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,12 +198,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
                     codes.tobytes() if light else b""))
             sid, d2, n, sk, keys, small = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sid, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()),
+                batch.column(0), batch.column(2), pa.array(sid, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()),
                 pa.array(sk, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())],
-                ["_id", "sid", "d2", "n", "sketch", "keys", "codes"])
+                ["_id", "digest", "sid", "d2", "n", "sketch", "keys", "codes"])
 
-    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), whole(F.col(text_col)).alias("text"))
-    return map_batches(given, work, "_id long, sid long, d2 long, n long, sketch binary, keys array<long>, codes binary")
+    return map_batches(_given(docs, id_col, text_col), work, "_id long, digest binary, sid long, d2 long, n long, sketch binary, keys array<long>, codes binary")
 
 
 def light_keys(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
@@ -398,6 +404,18 @@ def linked_components(
     of such rows alone has a NULL ``component_id``.  Repeated rows have equal sets and
     share a component.  Extra columns are ignored; an empty table gives an empty result.
     """
+    rows, named, labels = _labelled(docs, id_col, text_col, size, percent)
+    least = named.join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), "first")
+    least = least.join(least.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("sid", "component")
+    least = materialized(least, "answers")
+    out = rows.select("_id", "sid", "n").join(least, "sid", "left")
+    nullable = lambda c: F.when(c != LAST_ID, c)
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
+    return out.select(nullable(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), nullable(component).alias("component_id"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (_id, digest, sid, n, ...), the sets (sid, first, n) and the components of linked sets (sid, comp)."""
     spark = docs.sparkSession
     rows = materialized(described(docs, id_col, text_col, size, percent), "sets")
     sets = rows.where("n > 0").groupBy("sid").agg(
@@ -408,23 +426,20 @@ def linked_components(
     lists = inverted_lists(rows, percent)
     listed = materialized(lists.select("sid").distinct(), "listed")
     named = materialized(sets.select("sid", "first", "n"), "named")
-    # What the comparisons need, for sets in lists only: the sketch, and the text of the set's first document.
-    sketches = materialized(
-        rows.where("n > 0").select("sid", "_id", "n", "sketch")
-        .join(listed.join(named.select("sid", F.col("first").alias("_id")), "sid"), ["sid", "_id"])
-        .dropDuplicates(["sid"]).select("sid", "n", "sketch"), "sketches")
-    wanted = listed.join(named, "sid").select("sid", F.col("first").alias("_id"))
+    # What the comparisons need, for sets in lists only: the sketch, and one text that has the set, by id and digest.
+    wanted = rows.where("n > 0").select("sid", "_id", "n", "sketch", "digest").join(
+        listed.join(named.select("sid", F.col("first").alias("_id")), "sid"), ["sid", "_id"])
+    wanted = wanted.groupBy("sid", "_id", "digest").agg(
+        F.count("*").alias("copies"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    wanted = materialized(wanted.dropDuplicates(["sid"]), "sketches")
+    sketches = wanted.select("sid", "n", "sketch")
     texts = materialized(
-        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), whole(F.col(text_col)).alias("text"))
-        .join(wanted.hint("shuffle_hash"), "_id").select("sid", "text"), "texts")
-    labels = _joined(spark, lists, sketches, texts, size, percent)
-    least = named.join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), "first")
-    least = least.join(least.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("sid", "component")
-    least = materialized(least, "answers")
-    out = rows.select("_id", "sid", "n").join(least, "sid", "left")
-    nullable = lambda c: F.when(c != LAST_ID, c)
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
-    return out.select(nullable(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), nullable(component).alias("component_id"))
+        _given(docs, id_col, text_col).join(wanted.select("sid", "_id", "digest", "copies").hint("shuffle_hash"), ["_id", "digest"])
+        .select("sid", "text", "copies"), "texts")
+    # Rows that repeat id and text fetch it as often; one is enough.
+    once = materialized(texts.where("copies > 1").dropDuplicates(["sid"]), "repeated-texts")
+    texts = texts.where("copies = 1").unionByName(once).select("sid", "text")
+    return rows, named, _joined(spark, lists, sketches, texts, size, percent)
 
 
 def _joined(spark: SparkSession, lists: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -440,9 +455,28 @@ def _joined(spark: SparkSession, lists: DataFrame, sketches: DataFrame, texts: D
     return components(links)
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component those of the smallest id; same columns."""
-    gone = linked_components(docs, id_col=id_col, **options).where(
-        ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct()
-    rows = carried(docs, _key=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)))
-    return restored(rows.join(gone.hint("shuffle_hash"), F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)
+def keep_first(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
+) -> DataFrame:
+    """Rows of ``docs`` that stay: of each component one, of the smallest id (NULL last); same columns.
+
+    Rows of one id, or without id, are told apart by their texts: of several that share the smallest id the
+    one with the smallest digest of its text stays.  Texts without words are copies of nothing and all stay.
+    """
+    rows, _, labels = _labelled(docs, id_col, text_col, size, percent)
+    labels = labels.withColumnRenamed("sid", "_sid")
+    own = rows.where("n > 0").groupBy("sid", "_id", "digest").agg(F.count("*").alias("copies"))
+    own = own.join(labels, F.col("sid") == F.col("_sid"), "left").withColumn("comp", F.coalesce("comp", "sid"))
+    own = materialized(own.select("comp", "_id", "digest", "copies"), "members")
+    first = own.groupBy("comp").agg(F.min(F.struct("_id", "digest")).alias("stays"))
+    judged = own.join(first, "comp").withColumn("stays", F.col("stays") == F.struct("_id", "digest"))
+    judged = materialized(judged.where("NOT stays OR copies > 1").select(
+        F.col("_id").alias("_gone"), F.col("digest").alias("_gone_digest"), "stays"), "judged")
+    keyed = carried(docs, _key=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), _digest=text_digest(F.col(text_col)))
+    same = (F.col("_key") == F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest"))
+    out = keyed.join(judged.hint("shuffle_hash"), same, "left_anti")
+    repeated = judged.where("stays")
+    if not repeated.isEmpty():
+        # Rows that repeat id and text of one that stays: one of them.
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["_key", "_digest"]))
+    return restored(out, docs.columns)
