@@ -391,6 +391,15 @@ def test_edited_passages_are_found_and_clean_ones_left(spark):
     assert decontamination.contaminated(given, bench.limit(0)).count() == 0 and decontamination.contaminated(given.limit(0), bench).count() == 0
 
 
+def test_clean_rows_of_a_leaking_id_stay(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, "clean one"), (None, f"a {item} b"), (None, None), (3, item), (3, "clean too"), (4, "x")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontamination.drop_contaminated(given, bench)
+    assert sorted(rows_of(kept), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+
+
 def test_copies_with_edits_apart_are_found():
     rng = random.Random(8)
     for n in range(4, 61):

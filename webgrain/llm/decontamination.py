@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import carried, map_batches, restored, ship, whole
+from webgrain.llm.common import LAST_ID, carried, map_batches, restored, ship, text_digest, whole
 from webgrain.session import materialized
 
 SEED_WORDS = 3
@@ -228,9 +228,18 @@ def contaminated(
     texts and items without a word match nothing.  Rows that repeat an id are each compared; NULL ids are passed on;
     repeated items give a row each.  Without items or documents the result is empty.
     """
-    spark = docs.sparkSession
-    ddl = "doc_id long, item_id long, similarity double, score long, begin_word long, end_word long"
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
+    given = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"), F.lit(None).cast("binary").alias("mark"))
+    return _found(given, benchmark, item_col, item_text_col, similarity, block_bytes).drop("mark")
+
+
+def _found(
+    given: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``contaminated`` with the ``mark`` of the document beside it; ``given`` has doc_id, text and mark."""
+    spark = given.sparkSession
+    ddl = "doc_id long, item_id long, similarity double, score long, begin_word long, end_word long, mark binary"
     out = None
     for rows in blocks(benchmark, item_col, item_text_col, block_bytes):
         block = Items.of(rows)
@@ -270,23 +279,28 @@ def _block_matches(given: DataFrame, block: Items, size: int, similarity: float,
         items = Items(*seeded.value)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 code = coded(items.number, text)
                 if len(code):
-                    rows += [(doc_id, items.ids[i], alike, score, begin, end)
+                    rows += [(doc_id, items.ids[i], alike, score, begin, end, mark)
                              for i, alike, score, begin, end in matches(items, code, similarity)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                        pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    ["doc_id", "item_id", "similarity", "score", "begin_word", "end_word"])
+                        pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                    ["doc_id", "item_id", "similarity", "score", "begin_word", "end_word", "mark"])
 
     return map_batches(given, find, ddl)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` whose id has no copy of a test item; rows without id are judged together."""
-    found = materialized(contaminated(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "leaks")
-    rows = carried(docs, _key=F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    bad = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_bad")).hint("shuffle_hash")
-    return restored(rows.join(bad, F.col("_key") == F.col("_bad"), "left_anti"), docs.columns)
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options,
+) -> DataFrame:
+    """Rows of ``docs`` whose own text has no copy of a test item, also where ids are NULL or repeat."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+    given = docs.select(key.alias("doc_id"), whole(F.col(text_col)).alias("text"), text_digest(F.col(text_col)).alias("mark"))
+    found = _found(given, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_bad_mark"))
+    bad = materialized(found.distinct(), "leaks").hint("shuffle_hash")
+    rows = carried(docs, _key=key, _mark=text_digest(F.col(text_col)))
+    same = (F.col("_key") == F.col("_bad")) & (F.col("_mark") == F.col("_bad_mark"))
+    return restored(rows.join(bad, same, "left_anti"), docs.columns)
