@@ -293,6 +293,21 @@ def test_network_finds_masked_secrets_and_nothing_else():
     assert secrets.base_spans(fresh) == []
 
 
+@pytest.mark.parametrize("n", [12, 40])
+def test_threshold_keeps_the_recall_of_few_labels(n):
+    rng = random.Random(n)
+    findings = []
+    for i in range(n):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        findings += [(f"some words token = {key} and more", 19, 59, 1), (f"write to mail{i}.example.com or call", 9, 9 + len(f"mail{i}.example.com"), 0)]
+    net = secrets.fit(findings)
+    scores = []
+    for piece, a, b, label in sorted(findings)[::4]:
+        if label:
+            scores += [net.score(list(secrets.coded(piece, a, b, **way))) for way in ({}, {"bare": True}, {"mask": True})]
+    assert scores and sum(s >= net.threshold for s in scores) >= secrets.RECALL * len(scores)
+
+
 def test_base_patterns():
     text = 'PASSWORD="abc" x api-key=12345678 apikey : \'1234567890\' AKIA123 ' + "f" * 31 + " " + "0" * 33
     assert [(k, text[s:e]) for s, k, e in secrets.base_spans(text)] == [(0, "apikey : '1234567890"), (2, "0" * 33)]
