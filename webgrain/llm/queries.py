@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm import chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, secrets, token_counts, token_files
+from webgrain.llm import (
+    chat_format, decontamination, exact_dedup, fill_in_middle, language_id, line_dedup, mixing, ngram_join, periodic_runs, secrets,
+    token_counts, token_files, toxicity)
+from webgrain.llm.common import WORD_JAVA, whole
 from webgrain.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +159,69 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """The component of similar documents that every document is in."""
     return ngram_join.linked_components(table(spark, folder, "documents"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """How toxic every document is, learned from the labels that are not held out."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    named = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return toxicity.predict(named, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def with_repeated_tail(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in a tenth of the documents, by a hash of their id, the last words repeat a block of words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(whole(F.col("text")), F.lit(WORD_JAVA), F.lit(0))
+    g = F.floor(h / 10)
+    chosen = docs.where(h % 10 == 0).select("doc_id", words.alias("w"), g.alias("g")).select("*", F.size("w").cast("long").alias("n"))
+    placed = chosen.select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).otherwise(0).alias("a"))
+    placed = placed.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+    tail = F.transform(
+        F.when(F.col("n") > 0, F.sequence(F.col("a"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>")),
+        lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    changed = placed.select("doc_id", F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ").alias("text"))
+    return docs.where(F.coalesce(h % 10 != 0, F.lit(True))).select("doc_id", "text").unionByName(changed)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of every document, and its text without their repeats."""
+    found = periodic_runs.find_runs(with_repeated_tail(table(spark, folder, "documents")))
+    better = lambda best, r: best.isNull() | (r.length * best.period > best.length * r.period)
+    top = F.aggregate("runs", F.lit(None).cast(periodic_runs.RUN), lambda best, r: F.when(better(best, r), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))), "")
+    return found.select("*", top.alias("_top")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_top.start", "_top.length", "_top.period",
+        F.expr("_top.length * 1000 div _top.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op11_fill_in_middle", r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id::VARCHAR) AS d FROM documents),
+x AS (
+  SELECT *, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) AS b,
+         ('0x' || substr(d, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(d, 25, 8))::BIGINT % 100 AS e FROM h),
+f AS (
+  SELECT *, least(a, b) AS lo, greatest(a, b) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+              WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (
+  SELECT *, substr(t, 1, lo) AS pre, substr(t, lo + 1, hi - lo) AS mid, substr(t, hi + 1) AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN lo END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN hi - lo END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""")
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a fill-in-the-middle example, and the text restored from it."""
+    made = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    back = fill_in_middle.restored_text(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"))
