@@ -1,4 +1,4 @@
-"""Entity tables and pair verdicts."""
+"""Entity tables, similar names and pair verdicts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from webgrain.functions.scalars import tolerant_json
 from webgrain.functions.text import let, strip
+from webgrain.operators.graph import components
+from webgrain.session import materialized
 
 MATCH_AT = 0.85
 
@@ -73,3 +75,179 @@ def resolve_pairs(pairs: DataFrame, verdicts: DataFrame | None = None) -> DataFr
     return rows.select(
         *pairs.columns, match.alias("match"), confidence.alias("confidence"), reason.alias("reasoning")
     )
+
+
+# --- I9: pairs from names alone ---------------------------------------------------------
+# Two names are similar if their edit distance is at most so many percent of the longer one.
+EDIT_PERCENT = 15
+# Pairs of names up to this length meet in deletion neighbourhoods, others in segments: up to two edits are possible here.
+SHORT_NAME = 19
+# Names that are compared in one block.
+BLOCK = 256
+
+
+def edits(length: Column) -> Column:
+    """Edits that a pair may be apart whose longer name has ``length`` characters."""
+    return F.floor(length * EDIT_PERCENT / 100).cast("int")
+
+
+def _longest_partner(length: Column) -> Column:
+    return F.floor(length * 100 / (100 - EDIT_PERCENT)).cast("int")
+
+
+def _shortest_partner(length: Column) -> Column:
+    return F.ceil(length * (100 - EDIT_PERCENT) / 100).cast("int")
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Whether two names are at most ``EDIT_PERCENT`` of the longer one apart."""
+    longest = F.greatest(F.char_length(a), F.char_length(b))
+    near = F.abs(F.char_length(a) - F.char_length(b)) <= edits(longest)
+    return near & (100 * F.levenshtein(a, b) <= EDIT_PERCENT * longest)
+
+
+def _upto(first: Column, last: Column) -> Column:
+    """first ... last, empty if last is smaller."""
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _without_one(name: Column) -> Column:
+    """The name with each one of its characters left out."""
+    return F.transform(
+        _upto(F.lit(1), F.char_length(name)), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
+
+
+def _deletion_keys(name: Column) -> Column:
+    """Hashes of what is left of a short name without up to as many characters as it may be edited.
+
+    Two names that are k edits apart have a string in common that leaves out at most k characters of either.
+    """
+    n = F.char_length(name)
+    most = edits(F.least(F.lit(SHORT_NAME), _longest_partner(n)))
+    one = _without_one(name)
+    left = F.concat(
+        F.array(name), F.when(most >= 1, one).otherwise(F.array().cast("array<string>")),
+        F.when(most >= 2, F.flatten(F.transform(one, _without_one))).otherwise(F.array().cast("array<string>")))
+    hashed = F.transform(F.array_distinct(left), lambda s: F.xxhash64(F.lit("deletion"), s))
+    return F.when((n <= SHORT_NAME) & (most >= 1), hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def _each(values: Column, keys) -> Column:  # noqa: ANN001
+    return F.flatten(F.transform(values, keys))
+
+
+def _segment_keys(name: Column, shared: int) -> Column:
+    """Hashes of ``shared`` segments at once, for pairs whose longer name has more than ``SHORT_NAME`` characters.
+
+    The shorter name is cut into k + ``shared`` segments, k being the edits that the pair may be apart: as many
+    as ``shared`` of them are untouched, and stand in the longer name not further from their place than k
+    edits can shift them with the lengths' difference made up on the other side.
+    """
+    n = F.char_length(name)
+
+    def keys(shorter: Column, k: Column, shifts) -> Column:  # noqa: ANN001
+        parts = k + shared
+        start = lambda i: F.floor(i * shorter / parts).cast("int")
+
+        def placed(i: Column) -> Column:
+            """(hash of segment i as it stands at a place of this name) for each place."""
+            size = start(i + 1) - start(i)
+            fits = F.filter(shifts, lambda d: (start(i) + d >= 0) & (start(i) + d + size <= n))
+            return F.transform(fits, lambda d: F.xxhash64(
+                F.lit("segment"), F.lit(shared), shorter, k, i, F.substr(name, start(i) + d + 1, size)))
+
+        if shared == 1:
+            return _each(F.sequence(F.lit(0), parts - 1), placed)
+        return _each(F.sequence(F.lit(0), parts - 2), lambda i: _each(
+            _upto(i + 1, parts - 1), lambda j: _each(
+                placed(i), lambda x: F.transform(placed(j), lambda y: F.xxhash64(F.lit("two"), x, y)))))
+
+    own = F.array(F.lit(0))
+    # As the shorter one: segments of its own, for the edits of each longer partner.
+    low, high = edits(F.greatest(n, F.lit(SHORT_NAME + 1))), edits(_longest_partner(n))
+    as_shorter = _each(_upto(low, high), lambda k: keys(n, k, own))
+    # As the longer one: what it has where segments of each shorter partner may stand.
+    mine = edits(n)
+    as_longer = _each(_upto(_shortest_partner(n), n), lambda m: keys(m, mine, _upto(
+        -F.floor((mine - (n - m)) / 2).cast("int"), F.floor((mine + (n - m)) / 2).cast("int"))))
+    none = F.array().cast("array<bigint>")
+    both = F.concat(
+        F.when(_longest_partner(n) > SHORT_NAME, as_shorter).otherwise(none), F.when(n > SHORT_NAME, as_longer).otherwise(none))
+    return F.array_distinct(both)
+
+
+def _links_in_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Similar pairs among the names that share ``by``; blocks are bounded, and only links leave them."""
+    blocks = rows.groupBy(*by).agg(F.collect_set("name").alias("members"))
+    one = blocks.select("members", F.explode("members").alias("name_a"))
+    partners = F.filter("members", lambda b: (b > F.col("name_a")) & similar(F.col("name_a"), b))
+    return one.select("name_a", F.explode(partners).alias("name_b"))
+
+
+def similar_names(names: DataFrame, name: str = "name", block: int = BLOCK) -> DataFrame:
+    """(name_a, name_b, score), a < b, of all distinct names that are similar; no pairs need to be given.
+
+    Short names meet by what deletions leave of them, long ones by segments.  A key that more
+    than ``block`` names share goes on exactly: names that share a single segment meet again by every two
+    segments, and what is still too many is cut into parts, each of which meets each other one.  Names
+    are taken as they are; NULL and empty ones are similar to nothing.
+    """
+    distinct = materialized(names.select(F.col(name).alias("name")).where("name <> ''").distinct(), "names")
+
+    def entries(rows: DataFrame, keys: Column, kind: str) -> DataFrame:
+        return rows.select("name", F.explode(keys).alias("key"), F.lit(kind).alias("kind"))
+
+    def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries of keys that fit a block, and of hot ones with their number of parts."""
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        counts = materialized(counts.select("key", F.ceil(F.col("c") / block).cast("int").alias("parts")), "name-keys")
+        shared = rows.join(counts, "key")
+        return shared.where("parts = 1"), shared.where("parts > 1")
+
+    column = F.col("name")
+    first = materialized(
+        entries(distinct, _deletion_keys(column), "deletion").unionByName(entries(distinct, _segment_keys(column, 1), "one")), "name-entries")
+    small, hot = met(first)
+    found = [_links_in_blocks(small, ["key"])]
+    hot = materialized(hot, "hot-names")
+    again = hot.where("kind = 'one'").select("name").distinct()
+    second = materialized(entries(again, _segment_keys(column, 2), "two"), "name-entries")
+    small, still_hot = met(second)
+    found.append(_links_in_blocks(small, ["key"]))
+    rest = materialized(hot.where("kind = 'deletion'").unionByName(still_hot), "hot-names")
+    part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+    crossed = rest.select("key", "name", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    crossed = crossed.select("key", "name", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found.append(_links_in_blocks(crossed, ["key", "i", "j"]))
+    links = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    return links.select("name_a", "name_b", F.round(pair_score(F.col("name_a"), F.col("name_b")), 4).alias("score"))
+
+
+def resolve_entities(entities: DataFrame, key: str = "entity_id", name: str = "name", handle: str = "handle") -> DataFrame:
+    """The columns of ``entities`` with ``representative`` and ``n_links``, one row for each of them.
+
+    Entities are the same if their normalised names are similar, their handles equal, or others say so in
+    turn; the representative is the smallest key of all that are.  ``n_links`` counts the other
+    distinct names that are similar to the row's.  Without a name and a handle an entity stands for itself.
+    """
+    plain = normal_name(F.col(name))
+    bare = F.nullif(F.lower(F.regexp_replace(F.col(handle), "^@+", "")), F.lit(""))
+    rows = entities.select(
+        F.struct("*").alias("row"), F.col(key).alias("key"), F.nullif(plain, F.lit("")).alias("name"), bare.alias("handle"))
+    links = materialized(similar_names(rows.select("name")), "similar-names")
+    by_name, by_handle = F.concat(F.lit("n:"), "name"), F.concat(F.lit("h:"), "handle")
+    edges = links.select(F.concat(F.lit("n:"), "name_a").alias("a"), F.concat(F.lit("n:"), "name_b").alias("b")).unionByName(
+        rows.select(by_name.alias("a"), by_handle.alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    groups = materialized(components(edges), "entity-groups").withColumnRenamed("node", "_node")
+    rows = rows.withColumn("node", F.coalesce(by_name, by_handle))
+    least = rows.groupBy("node").agg(F.min("key").alias("least")).join(groups, F.col("node") == F.col("_node"), "left")
+    least = least.select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = materialized(least, "entity-nodes")
+    best = materialized(least.groupBy("component").agg(F.min("least").alias("representative")), "representatives")
+    answers = materialized(least.join(best, "component").select(F.col("node").alias("_node"), "representative"), "entity-answers")
+    ends = links.select(F.col("name_a").alias("linked")).unionByName(links.select(F.col("name_b").alias("linked")))
+    counts = materialized(ends.groupBy("linked").agg(F.count(F.lit(1)).alias("n")), "name-links")
+    out = rows.join(answers, F.col("node") == F.col("_node"), "left").join(counts, F.col("name") == F.col("linked"), "left")
+    return out.select(
+        "row.*", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("representative")).alias("representative"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from webgrain.functions import scalars
@@ -381,6 +383,40 @@ def entity_pairs(t: Tables) -> DataFrame:
     return out.select("pair_id", "match", "confidence", "reasoning")
 
 
+# Names of many kinds: page titles, the same with one character less, product names that repeat, numbered suppliers.
+_TITLE = "regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^ -~]', '')"
+_NAMED = [
+    View("pages", entity_id="page_id * 4", name=_TITLE, handle="CASE WHEN page_id % 7 = 3 THEN concat('@Site', page_id % 50) END"),
+    View("pages", entity_id="page_id * 4 + 1", handle="CAST(NULL AS STRING)",
+         name=f"concat(substr({_TITLE}, 1, CAST(page_id % 9 AS INT)), substr({_TITLE}, CAST(page_id % 9 AS INT) + 2))"),
+    View("part", entity_id="p_partkey * 4 + 2", name="p_name", handle="CAST(NULL AS STRING)"),
+    View("supplier", entity_id="s_suppkey * 4 + 3", name="s_name", handle="CASE WHEN s_suppkey = 1 THEN 'site5' END"),
+]
+# DuckDB replaces the first match only, unless told otherwise.
+_NAMED_SQL = " UNION ALL ".join(f"SELECT entity_id, name, handle FROM {v.sql}" for v in _NAMED).replace("'[^ -~]', ''", "'[^ -~]', '', 'g'")
+
+
+@query("I9_similar_names", f"""
+WITH RECURSIVE e AS (
+  SELECT entity_id, nullif(trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') AS name,
+    nullif(lower(regexp_replace(handle, '^@+', '')), '') AS handle FROM ({_NAMED_SQL})),
+d AS (SELECT DISTINCT name FROM e WHERE name IS NOT NULL),
+links AS (SELECT a.name AS a, b.name AS b FROM d a JOIN d b ON a.name <> b.name
+  AND 100 * levenshtein(a.name, b.name) <= 15 * greatest(length(a.name), length(b.name))),
+edges AS (SELECT 'n:' || a AS a, 'n:' || b AS b FROM links
+  UNION SELECT 'n:' || name, 'h:' || handle FROM e WHERE name IS NOT NULL AND handle IS NOT NULL
+  UNION SELECT 'h:' || handle, 'n:' || name FROM e WHERE name IS NOT NULL AND handle IS NOT NULL),
+nodes AS (SELECT entity_id, name, coalesce('n:' || name, 'h:' || handle) AS node FROM e),
+reach(a, b) AS (SELECT DISTINCT node, node FROM nodes WHERE node IS NOT NULL UNION SELECT r.a, l.b FROM reach r JOIN edges l ON r.b = l.a),
+least AS (SELECT a, min(n.entity_id) AS least FROM reach JOIN nodes n ON n.node = reach.b GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT entity_id, coalesce(least, entity_id) AS representative, coalesce(n, 0)::BIGINT AS n_links
+FROM nodes LEFT JOIN least ON node = least.a LEFT JOIN counts ON name = counts.a""")
+def similar_names(t: Tables) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, [t.view(v) for v in _NAMED])
+    return entities.resolve_entities(rows).select("entity_id", "representative", "n_links")
+
+
 @query("I10_entity_table", """
 SELECT s_suppkey, u.* FROM supplier, LATERAL (VALUES (0, s_name, 'organization', '@s' || s_suppkey, 0.5::DOUBLE),
   (1, 'Nation ' || s_nationkey, 'location', NULL, NULL)) u(pos, name, type, handle, confidence) WHERE s_suppkey % 4 <> 3""")
