@@ -36,16 +36,20 @@ def domain_partials(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """G1 from counters of any number of batches."""
-    merged = partials.groupBy("domain").agg(
+def fold_partials(partials: DataFrame) -> DataFrame:
+    """Counters of any number of batches as those of one."""
+    return partials.groupBy("domain").agg(
         F.sum("attempts").alias("attempts"), F.sum("successes").alias("successes"),
         F.max("last_success").alias("last_success"), F.max("last_failure").alias("last_failure"),
         F.max("last_error").alias("last_error"),
-        F.sum("confidence_sum").alias("confidence_sum"),
+        F.sum("confidence_sum").cast("decimal(22,8)").alias("confidence_sum"),
         F.sum("confidence_count").alias("confidence_count"),
     )
-    return _finish(merged)
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """G1 from counters of any number of batches."""
+    return _finish(fold_partials(partials))
 
 
 def _finish(merged: DataFrame) -> DataFrame:

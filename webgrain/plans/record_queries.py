@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from webgrain.functions import scalars
@@ -15,7 +17,8 @@ from webgrain.plans.registry import Tables, View, query
 from webgrain.plans.views import OUTCOMES, RESULTS
 from webgrain.session import work_folder
 from webgrain.sources import tables
-from webgrain.streaming import state
+from webgrain.sources.keyed import KeyedTable
+from webgrain.streaming import compaction, ordered_stream, state
 
 _CLEAN_URL = "replace(url, '?utm_source=feed', '')"
 _HOST = "regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '')"
@@ -447,6 +450,85 @@ def distinct_captures(t: Tables) -> DataFrame:
     return out.groupBy(F.col("archive_key").alias("text_id")).agg(F.count(F.lit(1)).cast("int").alias("kept"))
 
 
+# --- A7, K1-K4 on tables that batches and epochs are merged into ----------------------------
+_BATCH = "seq % 3"
+
+
+@query("A7_keyed_merge", f"""
+SELECT host, strategy, arg_min(seq, ({_BATCH}, ts, seq)) AS first_seq, arg_max(seq, (ts, seq)) AS last_seq,
+  arg_max(latency_ms, (ts, seq)) AS latency_ms FROM {OUTCOMES.sql} GROUP BY host, strategy""")
+def keyed_merge(t: Tables) -> DataFrame:
+    """Three batches, each of them twice, merged one after the other."""
+    rows = t.view(OUTCOMES).selectExpr("host", "strategy", "seq AS first_seq", "seq AS last_seq", "ts", "latency_ms")
+    kept = KeyedTable(
+        t.spark, work_folder(t.spark, "keyed"), "host string, strategy string, first_seq long, last_seq long, ts timestamp_ntz, latency_ms double",
+        ["host", "strategy"], ["ts", "last_seq"], keep=("first_seq",), buckets=16)
+    for batch in (0, 1, 1, 0, 2, 2):
+        kept.merge(rows.where(f"last_seq % 3 = {batch}"), f"batch-{batch}")
+    return kept.read().drop("ts")
+
+
+def _files_out_of_order(t: Tables, rows: DataFrame, days: int = 6) -> DataFrame:
+    """Rows as a stream of one file an epoch; rows come up to ``days`` too late."""
+    path = work_folder(t.spark, "arrivals")
+    # Only the choice of a file looks at the time and the number; each file has rows of several weeks.
+    at = f"CAST(floor((datediff(ts, date'2024-01-01') + (seq % 3) * {days} / 2) / 12) AS INT)"
+    for n in range(4):
+        rows.where(f"least({at}, 3) = {n}").coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("K1_ordered_drift_stream", _ALERTS_SQL)
+def ordered_drift_stream(t: Tables) -> DataFrame:
+    """The captures of K1, newest first: what comes early waits for what is due before it."""
+    path, rows = work_folder(t.spark, "captures"), captures(t)
+    rows.write.parquet(path)
+    files = work_folder(t.spark, "arrivals")
+    for version in (2, 0, 1):
+        t.spark.read.schema(rows.schema).parquet(path).where(f"seq % 3 = {version}").coalesce(1).write.mode("append").parquet(files)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    return alert_columns(ordered_stream.drift_alerts(stream, work_folder(t.spark, "ordered-drift"), delay=timedelta(days=3)))
+
+
+@query("K2_compacted_rollup", f"""
+SELECT domain, count(*) AS attempts, count(*) FILTER (ok) AS successes, max(ts) FILTER (NOT ok) AS last_failure,
+  arg_max(error_code, ts) FILTER (NOT ok AND error_code IS NOT NULL) AS last_error_code FROM {OUTCOMES.sql} GROUP BY domain""")
+def compacted_rollup(t: Tables) -> DataFrame:
+    """Seven epochs folded by three, some of them run again."""
+    rows = t.view(OUTCOMES)
+    store = compaction.RollupStore(t.spark, work_folder(t.spark, "compacted"), fanout=3)
+    for epoch in (0, 1, 1, 2, 0, 3, 4, 5, 5, 6):
+        store.add(rows.where(f"seq % 7 = {epoch}"), epoch)
+    return store.rollup().select("domain", "attempts", "successes", "last_failure", "last_error_code")
+
+
+@query("K3_ordered_pacing_stream", f"""
+SELECT seq, round(1 + (CASE WHEN bad / n > 0.2 THEN bad / n * 2 ELSE 0 END)::DOUBLE, 6) AS factor FROM (
+  SELECT seq, count(*) FILTER (NOT ok) OVER r AS bad, count(*) OVER r AS n FROM {OUTCOMES.sql}
+  WINDOW r AS (PARTITION BY host ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))""")
+def ordered_pacing_stream(t: Tables) -> DataFrame:
+    plain = View("events", **{**OUTCOMES.columns, "latency_ms": "1.0D", "status": "CAST(NULL AS INT)", "error": "CAST(NULL AS STRING)"})
+    stream = _files_out_of_order(t, t.view(plain).select("host", "ts", "seq", "ok", "latency_ms", "status", "error"))
+    out = ordered_stream.pacing_factors(stream, work_folder(t.spark, "ordered-pacing"), delay=timedelta(days=14))
+    return out.select("seq", F.round("factor", 6).alias("factor"))
+
+
+@query("K4_two_tier_distinct", """
+SELECT text_id, 1 AS kept FROM (SELECT DISTINCT """ + _ARCHIVE_KEY.format("'u'", "text") + """ AS text_id FROM documents)""")
+def two_tier_distinct(t: Tables) -> DataFrame:
+    """Four epochs; copies come in later ones, and all rows come again at the end, when the first tier has been lost."""
+    rows = t.documents.select(F.lit("u").alias("url"), F.col("text").alias("html"), "doc_id")
+    files = work_folder(t.spark, "versions")
+    for n in range(3):
+        rows.where(f"doc_id % 3 = {n}").drop("doc_id").coalesce(1).write.mode("append").parquet(files)
+    stream = t.spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(files)
+    distinct = ordered_stream.DistinctStream(t.spark, work_folder(t.spark, "distinct"), buckets=16)
+    distinct.run(stream)
+    again = rows.drop("doc_id").withColumn("archive_key", tables.archive_key(F.col("url"), F.col("html")))
+    distinct.add(again, 1_000)
+    return distinct.captures().groupBy(F.col("archive_key").alias("text_id")).agg(F.count(F.lit(1)).cast("int").alias("kept"))
+
+
 @query("K5_stream_extract", f"SELECT page_id, title, {_CONFIDENCE}::DOUBLE AS confidence FROM {_BASIC_SQL}")
 def stream_extract(t: Tables) -> DataFrame:
     view = View("pages", page_id="page_id", url="url", html="html", strategy="'http'")
