@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from webgrain.functions import urls
 from webgrain.functions.text import strip
@@ -64,6 +64,58 @@ def route_to_pack(url: Column, packs: list) -> Column:
     return ladder if ladder is not None else F.lit(None).cast("string")
 
 
+# --- B7 for any number of packs -------------------------------------------------------
+# What a URL pattern says before its path, where it is ``https?://host/…`` with a host that cannot run over a slash.
+_HOST_PART = r"^https?\??://((?:\[[^\]]*\]|\\.|[^/\[\\])*)/"
+_HOST_TOKENS = r"^(?:\(\?:|[()|?*+a-zA-Z0-9-]|\\[.wd-]|\[\^[^\]]*/[^\]]*\]|\[[^\]^/][^\]/]*\]|\{\d+(?:,\d*)?\})*$"
+_LITERAL_END = r"((?:[a-zA-Z0-9-]|\\\.)+)$"
+
+
+def literal_suffix(pattern: Column) -> Column:
+    """The labels that the host of every URL that ``pattern`` matches ends in; '' if the pattern does not say so plainly."""
+    host = F.regexp_extract(pattern, _HOST_PART, 1)
+    # A choice between whole patterns has no one host.
+    whole = ~F.regexp_replace(pattern, r"\((?:[^()]|\([^()]*\))*\)", "").contains("|")
+    end = F.regexp_extract(host, _LITERAL_END, 1)
+    before = F.left(host, F.char_length(host) - F.char_length(end))
+    bounded = (before == "") | before.rlike(r"\\\.\)?[?*+]?$")
+    plain = F.lower(F.replace(end, F.lit("\\."), F.lit(".")))
+    later = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"^[^.]*\.", "")).otherwise(F.lit(""))
+    known = F.coalesce((host != "") & host.rlike(_HOST_TOKENS) & whole, F.lit(False))
+    return F.when(known, F.regexp_replace(F.when(bounded, plain).otherwise(later), r"^\.", "")).otherwise(F.lit(""))
+
+
+def pack_patterns(spark: SparkSession, packs: list) -> DataFrame:
+    """(priority, pack, pattern) of packs that are known to the driver, in the order in which ``route_to_pack`` tries them."""
+    current = {platform: pack for pack in packs for platform in pack.platforms}
+    rows = [(i, current[p.platforms[0]].name, pattern) for i, p in enumerate(packs) if "generic" not in p.platforms for pattern in p.url_patterns]
+    return spark.createDataFrame(rows, "priority long, pack string, pattern string")
+
+
+def route_by_suffix(rows: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
+    """B7/I2 for thousands of packs: ``rows`` with ``pack``, the first by priority of which a pattern matches.
+
+    ``patterns``: priority, pack, pattern (anchored at the start, any case).  Patterns are filed by the literal end of
+    their host.  Every host of ``rows``, once, looks up its own ends, label by label, so a URL is compared only
+    with patterns of its host's; those that name no host are compared with all.  Equal priorities go by name.
+    """
+    filed = materialized(patterns.select(
+        literal_suffix(F.col("pattern")).alias("end"), F.struct("priority", "pack", F.concat(F.lit("(?i)^(?:"), "pattern", F.lit(")")).alias("pattern")).alias("rule")), "filed-patterns")
+    # As long as it is a host at all; user names and ports are part of what patterns see.
+    host = F.lower(F.regexp_extract(F.col(url), r"^[^:/?#]+://([^/?#]*)", 1))
+    given = rows.withColumn("__host", host)
+    labels = F.split("__host", r"\.")
+    ends = F.concat(F.array(F.lit("")), F.transform(
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    hosts = given.select("__host").where("__host IS NOT NULL").distinct().select("__host", F.explode(F.array_distinct(ends)).alias("end"))
+    found = hosts.join(filed, "end").groupBy("__host").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
+    # Stored, so that the join is one of two plain shuffles: a host of many rows is split, or the routes are broadcast if they are few.
+    found = materialized(found.withColumnRenamed("__host", "__of"), "routes")
+    met = given.join(found, F.col("__host") == F.col("__of"), "left")
+    hits = F.filter("rules", lambda r: F.rlike(F.col(url), r.pattern))
+    return met.select(*rows.columns, F.get(hits, F.lit(0)).getField("pack").alias("pack"))
+
+
 def uncovered(links: DataFrame, packs: list, url: str = "url") -> DataFrame:
     """I8: candidates that no specific pack covers yet."""
     return links.filter(route_to_pack(F.col(url), packs).isNull())

@@ -81,6 +81,21 @@ def robots_rules(t: Tables) -> DataFrame:
     return retention.allowed_by_robots(pages, rules, key="page_id").select("page_id", "allowed")
 
 
+@query("N3_robots_agents", """
+SELECT page_id, NOT (page_id % 4 = 0 AND page_id % 6 < 2) AND NOT (page_id % 4 = 1 AND page_id % 6 = 3) AS allowed FROM pages""")
+def robots_agents(t: Tables) -> DataFrame:
+    """Four hosts: one with a group for the agent, one with a wildcard for all, one for others only, one without rules."""
+    path = "CASE page_id % 6 WHEN 0 THEN '/private/a' WHEN 1 THEN '/private/b?x=1' WHEN 2 THEN '/private/open' WHEN 3 THEN '/docs/a.pdf' WHEN 4 THEN '/docs/a.pdf?v=2' ELSE '/' END"
+    urls = t.pages.selectExpr("page_id", f"concat('https://www.h', page_id % 4, '.org', {path}) AS url")
+    rules = t.region.selectExpr("""inline(CASE r_regionkey
+      WHEN 0 THEN array(named_struct('host', 'h0.org', 'agent', 'GrainBot', 'pattern', '/private/', 'allow', false),
+        named_struct('host', 'h0.org', 'agent', 'grainbot', 'pattern', '/private/o*n$', 'allow', true),
+        named_struct('host', 'h0.org', 'agent', '*', 'pattern', '/', 'allow', false))
+      WHEN 1 THEN array(named_struct('host', 'h1.org', 'agent', '*', 'pattern', '/*.pdf$', 'allow', false))
+      WHEN 2 THEN array(named_struct('host', 'h2.org', 'agent', 'other', 'pattern', '/', 'allow', false)) END)""")
+    return retention.robots_verdicts(urls, rules, "grainbot", key="page_id").select("page_id", "allowed")
+
+
 @query("N6_least_delay", """
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS seconds FROM pages""")
 def least_delay(t: Tables) -> DataFrame:

@@ -87,6 +87,20 @@ def pack_routing(t: Tables) -> DataFrame:
     )
 
 
+@query("B7_many_packs", f"""
+SELECT page_id, CASE WHEN kind <= 2 THEN 'instagram' WHEN kind <= 4 THEN 'x_twitter' WHEN kind <= 6 THEN 'tiktok'
+    WHEN kind <= 9 THEN 'linkedin' WHEN kind <= 11 THEN 'facebook' WHEN kind <= 14 THEN 'youtube' ELSE 'pack' || (page_id % 2000) END AS pack
+FROM {PLATFORM_URLS.sql}""")
+def many_packs(t: Tables) -> DataFrame:
+    """The built-in packs, and one for each page's own section, as a table."""
+    known = links.pack_patterns(t.spark, [*BUILT_IN, *SAMPLES])
+    more = t.pages.selectExpr("1000 + page_id % 2000 AS priority", "concat('pack', page_id % 2000) AS pack",
+                              "concat('https?://(?:www\\\\.)?section', page_id % 2000, '\\\\.example\\\\.org/[a-z]+') AS pattern").distinct()
+    rows = t.view(PLATFORM_URLS).withColumn("url", F.expr(
+        "CASE WHEN kind > 14 THEN concat('https://WWW.section', page_id % 2000, '.example.org/about/', page_id) ELSE url END"))
+    return links.route_by_suffix(rows, known.unionByName(more)).select("page_id", "pack")
+
+
 _LINKS = """SELECT o_orderkey AS seq, o_custkey % 20 AS query,
     CASE o_orderkey % 4 WHEN 0 THEN concat('https://www.youtube.com/', o_custkey)
       WHEN 1 THEN concat('ftp://f/', o_custkey)
