@@ -210,3 +210,29 @@ def test_request_table_covers_whole_pages(spark):
     got = enrich.request_table(rows, "schema").orderBy("page_id", "chunk_no").collect()
     assert {(r.page_id, r.pages) for r in got} == {(0, 2), (2, 1)}
     assert len([r for r in got if r.page_id == 0]) == 4
+
+
+@pytest.mark.parametrize("capacity", [1, 3])
+def test_arrivals_with_bursts_equal_a_loop(spark, capacity):
+    """One host in half of the requests, in bursts and pauses; intervals vary."""
+    rows = spark.range(900).selectExpr(
+        "id AS seq", "CASE WHEN id % 2 = 0 THEN 'www.x.com' ELSE concat('k', id % 11, '.org') END AS host",
+        "CAST(floor(id / 60) * 37 + pmod(hash(id), 9) AS DOUBLE) AS arrival_s", "CASE pmod(hash(id, 1), 4) WHEN 0 THEN NULL ELSE pmod(hash(id, 1), 4) * 0.7D END AS factor")
+    got = {r.seq: r.start_s for r in pacing.arrival_schedule(rows, order=["arrival_s", "seq"], capacity=capacity, hot_rows=40).collect()}
+    want, queues = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.arrival_s, r.seq)):
+        wait = max((r.factor or 1.0) / (0.5 if "x" in r.host else 1 / 3), 1.0 if r.host.endswith("x.com") else 0.5)
+        before = queues.setdefault(r.host, [])
+        start = r.arrival_s if len(before) < capacity else max(r.arrival_s, before[-capacity][0] + before[-capacity][1])
+        before.append((start, wait))
+        want[r.seq] = start
+    assert got == pytest.approx(want)
+    assert sum(abs(want[r.seq] - r.arrival_s) > 1e-9 for r in rows.collect()) > 100
+
+
+def test_running_max_over_slices(spark):
+    log = skewed_log(spark, 1500)
+    w = W.partitionBy("host").orderBy("ts", "seq")
+    odd = F.when(F.col("seq") % 5 == 0, F.col("v"))
+    got = ordered.with_running_max(log, ["host"], ["ts", "seq"], odd, "m", 40)
+    assert same(got, log.withColumn("m", F.max(odd).over(w.rowsBetween(W.unboundedPreceding, 0))))

@@ -134,6 +134,20 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     return rows.select(*df.columns, *sums)
 
 
+def with_running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
+                     hot_rows: int = HOT_ROWS, inclusive: bool = True) -> DataFrame:
+    """Add the largest ``value`` of the key's rows up to this one (or before it); NULL where there is none."""
+    rows, hot = _cut(df.withColumn(_PAYLOAD, value), keys, order, hot_rows)
+    upto = _inside(keys, order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    local = rows.withColumn(_LOCAL, F.max(_PAYLOAD).over(upto))
+    if hot is None:
+        return local.withColumn(name, F.col(_LOCAL)).select(*df.columns, name)
+    tails = hot.groupBy(*keys, F.col(_SLICE).alias(_AT)).agg(F.max(_PAYLOAD).alias(_TAIL))
+    carry = with_running_max(tails, keys, [_AT], F.col(_TAIL), _CARRY, hot_rows, inclusive=False)
+    out = _carried(local, carry, keys, [_CARRY])
+    return out.withColumn(name, F.greatest(_CARRY, _LOCAL)).select(*df.columns, name)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key, as a mergeable aggregate: no window, and one row per key and task moves.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webgrain.functions.gates import BLOCKING_STATUS
 from webgrain.functions.text import let
 from webgrain.operators import ordered
+from webgrain.session import materialized
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_RATE = 1.0 / 3.0
@@ -99,6 +100,30 @@ def polite_schedule(queue: DataFrame, *, order: list[str],
     return ordered.with_running(queue, ["host"], order, {"not_before_s": interval}, hot_rows)
 
 
+def arrival_schedule(requests: DataFrame, *, order: list[str], capacity: int = 1, overrides: dict[str, float] | None = None,
+                     hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+    """H6 with arrivals and bursts: ``start_s``, when each request of a host may start.
+
+    ``requests``: host, arrival_s, factor and the order columns.  Up to ``capacity`` requests may start at once:
+    each starts when it has arrived, and not before the one ``capacity`` places ahead of it has
+    started and waited its own interval (factor / rate, never under the least delay).  Along every
+    ``capacity``-th request that is start = max(arrival, start before + interval before), so with D the
+    running sum of intervals start - D is a running maximum of arrival - D: two passes of mergeable state, however
+    long a host's queue is.
+    """
+    if capacity < 1:
+        raise ValueError("at least one request at a time")
+    interval = F.greatest(F.coalesce("factor", F.lit(1.0)) / base_rate(F.col("host"), overrides), least_delay(F.col("host")))
+    rows, lane = requests, []
+    if capacity > 1:
+        rows = materialized(ordered.with_running(rows, ["host"], order, {"__place": F.lit(1)}, hot_rows), "places")
+        rows, lane = rows.withColumn("__lane", F.col("__place") % capacity), ["__lane"]
+    rows = materialized(ordered.with_running(rows, ["host", *lane], order, {"__waited": interval}, hot_rows), "waits")
+    ahead = F.col("arrival_s") - F.col("__waited")
+    rows = ordered.with_running_max(rows, ["host", *lane], order, ahead, "__ahead", hot_rows)
+    return rows.select(*requests.columns, (F.col("__ahead") + F.col("__waited")).alias("start_s"))
+
+
 def least_delay(host: Column) -> Column:
     """Seconds between requests that no override goes below; looked up by domain, subdomains included."""
     out = F.lit(LEAST_DELAY)

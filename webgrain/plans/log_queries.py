@@ -326,6 +326,28 @@ def polite_schedule(t: Tables) -> DataFrame:
     return out.select("o_orderkey", "host_no", "not_before_s")
 
 
+# Requests with arrival times, in hours of the log, so that queues build up.
+_ARRIVALS = View(
+    "events", seq="event_id", host="CASE WHEN user_id % 3 = 0 THEN 'x.com' ELSE concat('h', user_id % 20, '.org') END",
+    arrival_s="CAST((extract(DAY FROM ts) - 1) * 20 + event_id % 7 AS DOUBLE)",
+    factor="CASE WHEN event_type = 'error' THEN 2.0 ELSE 1.0 END")
+
+
+@query("H6_arrival_schedule", f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY arrival_s, seq) - 1 AS place,
+    factor / CASE WHEN contains(host, 'x') THEN 0.5 ELSE 1.0 / 3 END AS own FROM {_ARRIVALS.sql}),
+w AS (SELECT *, greatest(own, CASE WHEN host = 'x.com' THEN 1.0 ELSE 0.5 END)::DOUBLE AS wait FROM r),
+one AS (SELECT *, sum(wait) OVER (PARTITION BY host ORDER BY place) - wait AS d1,
+  sum(wait) OVER (PARTITION BY host, place % 3 ORDER BY place) - wait AS d3 FROM w)
+SELECT seq, round(d1 + max(arrival_s - d1) OVER (PARTITION BY host ORDER BY place), 3) AS start_1,
+  round(d3 + max(arrival_s - d3) OVER (PARTITION BY host, place % 3 ORDER BY place), 3) AS start_3 FROM one""")
+def arrival_schedule(t: Tables) -> DataFrame:
+    rows = materialized(t.view(_ARRIVALS), "requests")
+    out = pacing.arrival_schedule(rows, order=["arrival_s", "seq"], capacity=3).withColumnRenamed("start_s", "start_3")
+    out = pacing.arrival_schedule(materialized(out, "bursts"), order=["arrival_s", "seq"])
+    return out.select("seq", F.round("start_s", 3).alias("start_1"), F.round("start_3", 3).alias("start_3"))
+
+
 @query("H7_budget_gate", """
 SELECT event_id, coalesce(sum(user_id) OVER (PARTITION BY event_type ORDER BY event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before,
