@@ -1,6 +1,6 @@
 """The plain reader and the tolerant parser must agree on any input."""
 
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from webgrain.operators.dom import _PageReader
 
@@ -8,7 +8,7 @@ PIECES = st.sampled_from([
     "<p>", "</p>", "<b class='a  b'>", "</b>", "<br>", "<br/>", "</br>", "<img src=x alt=\"q>r\">", "<IMG SRC = 'x&amp;y' data-x>",
     "text", " ", "&amp;", "&nosuch;", "&copy", "&#65;", "&#x41;", "&", "a & b", "<", ">", "<!-- c -->", "<!---->", "<!-- a--b -->",
     "<!DOCTYPE html>", "<![CDATA[x]]>", "<?pi?>", "<script>if (a<b) {}</script>", "<script>", "</script>", "</script >",
-    "<style>p{}</style>", "<title>t &lt; u</title>", "<title><b>x</b></title>", "<div/>", "<a href=x/>", "<a href=\"x\"class=y>",
+    "<style>p{}</style>", "<script></script>", "<style></style>", "<title>t &lt; u</title>", "<title><b>x</b></title>", "<div/>", "<a href=x/>", "<a href=\"x\"class=y>",
     "<p\xa0x>", "<p a=\xa0>", "<p a a=2 A=3>", "</ p>", "</p x>", "<5>", "</>", "<x-y z:w=1 _q>", "<textarea><i></textarea>",
     "<iframe>&amp;</iframe>", "\n", "é",
 ])
@@ -25,6 +25,8 @@ class Tolerant(_PageReader):
 
 
 @settings(max_examples=1500, deadline=None)
+@example("<script></script>")
+@example("<p>a<style></style>b</p>")
 @given(st.lists(PIECES, max_size=14).map("".join))
 def test_paths_agree(html):
     assert outcome(_PageReader(None, True), html) == outcome(Tolerant(None, True), html)

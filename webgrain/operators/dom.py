@@ -149,7 +149,8 @@ class _PageReader(HTMLParser):
                     if stop is None or stop.group().lower() != f"</{tag}>":
                         return at
                     self.handle_starttag(tag, attrs)
-                    self.pending.append(html[end : stop.start()])
+                    if stop.start() > end:
+                        self.pending.append(html[end : stop.start()])
                     self.handle_endtag(tag)
                     end = stop.end()
                 elif tag in TEXT_ONLY_TAGS and not _TEXT_ONLY.match(html, end):
