@@ -38,12 +38,12 @@ def test_ftrl_equals_its_plain_form():
 
 
 def test_features_are_words_pairs_and_skips():
-    f = toxicity.Features()
-    assert len(f.of("")) == 0 and len(f.of(" !? ")) == 0
+    f = toxicity.features
+    assert len(f("")) == 0 and len(f(" !? ")) == 0
     # Two short words: two unigrams and a pair; three: three, two pairs, one skip.
-    assert len(f.of("ab cd")) == 3 and len(f.of("ab cd ef")) == 6
-    assert (f.of("AB, cd! ef") == toxicity.Features().of("ab cd ef")).all()
-    assert len(np.intersect1d(f.of("horrible"), f.of("horribly"))) == 2  # their first four and six letters
+    assert len(f("ab")) == 1 and len(f("ab cd")) == 3 and len(f("ab cd ef")) == 6
+    assert (f("AB, cd! ef") == f("ab cd ef")).all()
+    assert len(np.intersect1d(f("horrible"), f("horribly"))) == 2  # their first four and six letters
 
 
 def test_awkward_rows(spark):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from webgrain.llm.common import map_batches, ship, whole, worker_state
+from webgrain.llm.common import map_batches, ship, whole
 from webgrain.session import materialized
 
 BUCKETS = 1 << 20
@@ -46,8 +46,6 @@ SEED = 13
 # All toxic examples together weigh this part of what the others weigh, and each of them at least 1.
 TOXIC_WEIGHT = 0.3
 HELD_OUT = 0
-# Words that a worker remembers before it starts anew.
-MEMORY = 1 << 18
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,36 +59,17 @@ def held_out(doc_id: Column) -> Column:
 # Features --------------------------------------------------------------------
 
 
-class Features:
-    """Buckets of texts; hashes of words are remembered."""
-
-    def __init__(self) -> None:
-        self._number: dict[str, int] = {}
-        self._word: list[int] = []
-        self._stems: list[list[int]] = []
-
-    def of(self, text: str) -> np.ndarray:
-        """The distinct buckets of one text, ascending."""
-        words = _WORD.findall(text.lower())
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self._number) > MEMORY:
-            self.__init__()
-        number = self._number
-        for w in set(words).difference(number):
-            number[w] = len(number)
-            self._word.append(xxh3_64_intdigest(w))
-            self._stems.append([xxh3_64_intdigest(w[:n], n) for n in STEMS if len(w) > n])
-        seen = [number[w] for w in words]
-        own = self._word
-        code = np.array([own[i] for i in seen], np.uint64)
-        stems = [h for i in set(seen) for h in self._stems[i]]
-        found = [code, np.array(stems, np.uint64)]
-        for gap in (1, 2):
-            pair = (code[:-gap] * np.uint64(0xD1B54A32D192ED03) + code[gap:] + np.uint64(gap)) * _MIX
-            found.append(pair ^ (pair >> np.uint64(32)))
-        mixed = np.concatenate(found) * _MIX
-        return np.unique((mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.uint32))
+def features(text: str) -> np.ndarray:
+    """The distinct buckets of one text, ascending."""
+    words = _WORD.findall(text.lower())
+    code = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    stems = [xxh3_64_intdigest(w[:n], n) for w in set(words) for n in STEMS if len(w) > n]
+    found = [code, np.array(stems, np.uint64)]
+    for gap in (1, 2):
+        pair = (code[:-gap] * np.uint64(0xD1B54A32D192ED03) + code[gap:] + np.uint64(gap)) * _MIX
+        found.append(pair ^ (pair >> np.uint64(32)))
+    mixed = np.concatenate(found) * _MIX
+    return np.unique((mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.uint32))
 
 
 # Learning --------------------------------------------------------------------
@@ -176,14 +155,13 @@ def train(
     chosen = F.broadcast(some[0].unionByName(some[1]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in batches:
-            packed = [features.of(t).tobytes() for t in batch.column(2).to_pylist()]
+            packed = [features(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "label", "buckets"])
 
     given = docs.select(F.col(id_col).cast("long").alias("_id"), whole(F.col(text_col)).alias("_text")).join(chosen, "_id")
     made = materialized(
-        map_batches(given.select("_id", "_label", "_text"), work, "id long, label int, buckets binary", keeps="toxicity"), "toxic-examples")
+        map_batches(given.select("_id", "_label", "_text"), work, "id long, label int, buckets binary"), "toxic-examples")
     examples = []
     for label, size in sizes.items():
         top = made.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id", "buckets").limit(size).select("buckets")
@@ -206,12 +184,9 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", sco
     shared = ship(docs.sparkSession, state, model.weights.nbytes + model.buckets.nbytes if model else 0)
 
     def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = worker_state("toxicity")
-        features = kept.setdefault("features", None) or Features()
-        kept["features"] = features
         weights = Model(*shared.value).dense() if shared.value else None
         for texts in columns:
-            scores = [0.0 if weights is None else _sigmoid(float(weights[features.of(t or "")].sum(dtype=np.float64)) + shared.value[2])
+            scores = [0.0 if weights is None else _sigmoid(float(weights[features(t or "")].sum(dtype=np.float64)) + shared.value[2])
                       for t in texts.to_pylist()]
             yield pa.array(scores, pa.float64())
 
