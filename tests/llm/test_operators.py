@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from webgrain.llm import (
     chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, secrets, token_counts, token_files)
-from webgrain.llm.bpe import PrefixCounter, words_of
+from webgrain.llm import bpe, pieces
+from webgrain.llm.bpe import LibraryIds, PrefixCounter
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _row string, _key long, size string, "
@@ -72,12 +73,12 @@ def test_language_blocks_equal_the_whole_text():
 
 
 # 2 ----------------------------------------------------------------------------
-def brute_components(rows):
+def brute_components(rows, size=3, percent=90):
     sets = []
     for doc_id, text in rows:
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
         w = [x for x in re.split("[\x20\x09-\x0D]+", low) if x]
-        sets.append((doc_id, frozenset(tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()))
+        sets.append((doc_id, frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()))
     order = lambda d: float("inf") if d is None else d
     comp = list(range(len(sets)))
 
@@ -88,7 +89,7 @@ def brute_components(rows):
 
     for i, j in itertools.combinations(range(len(sets)), 2):
         a, b = sets[i][1], sets[j][1]
-        if a and b and 100 * len(a & b) >= 90 * len(a | b):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
             comp[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(sets):
@@ -129,6 +130,55 @@ def test_join_of_a_large_near_copy_group(spark, monkeypatch, block):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("size, percent", [(5, 80), (3, 80), (3, 90)])
+def test_join_at_other_settings(spark, size, percent):
+    rng = random.Random(size * percent)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for length in (6, 9, 15, 22, 30, 38, 55, 120, 400):
+        base = [rng.choice(words) for _ in range(length)]
+        for _ in range(22):
+            w = base[:]
+            # From nothing to somewhat more than the similarity allows.
+            for _ in range(rng.randint(0, max(1, length * (100 - percent) // 100 // (2 * size) + 1))):
+                at = rng.randrange(len(w))
+                w[at:at + rng.randint(0, 1)] = [rng.choice(words)]
+            rows.append((len(rows) * 13 % 997, " ".join(w)))
+    got = rows_of(ngram_join.linked_components(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, percent=percent))
+    want = brute_components(rows, size, percent)
+    assert sorted(got, key=repr) == want
+    linked = sum(1 for d, _, c in want if d != c)
+    assert 40 < linked < len(rows) - 9
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_slices_meet_linked_sets_and_no_others(percent):
+    rng, tried = np.random.default_rng(percent), 0
+    for n in rng.integers(25, 300, 1_500).tolist():
+        m = int(rng.integers(ngram_join.partners(n, percent)[0], ngram_join.partners(n, percent)[-1] + 1))
+        common = ngram_join.overlap(n, m, percent)
+        if common > min(n, m):
+            continue
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        # As far apart as linked sets can be.
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:n + m - common]]))
+        keys = [set(ngram_join.slice_keys(x, percent, 24).tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+        tried += 1
+    assert tried > 800
+    for n in (25, 33, 46, 300):
+        lists = {}
+        for _ in range(1_000):
+            for k in ngram_join.slice_keys(np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)), percent, 24).tolist():
+                lists[k] = lists.get(k, 0) + 1
+        # However many unrelated sets there are, no list has two of them.
+        assert max(lists.values()) == 1
+    # Sets whose shingles all fall into few slices, whatever the hash, still meet.
+    few = lambda *x: ngram_join.sliced(np.array(x, np.uint64), 3, 50, 60)
+    assert set(few(1, 2, 3).tolist()) & set(few(7, 8, 9).tolist())
+
+
 def test_first_rows_stay_whatever_their_ids(spark):
     texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(6)]
     near = [t + " more" for t in texts]
@@ -494,10 +544,75 @@ def test_every_prefix_has_the_library_count(spark, tokenizer):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(800)]
     size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
     for text in texts:
-        assert "".join(words_of(text)) == text
         assert counter.count(text) == size(text)
         assert counter.prefix_counts(text) == [size(text[:n]) for n in range(len(text) + 1)]
+    assert counter.counts(texts) == [size(t) for t in texts]
+    packed = LibraryIds(token_counts.vocabulary(P.path("byte_bpe_50k.json"))).packed(texts)
+    assert [np.frombuffer(p, "<u2").tolist() for p in packed] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     stored = token_counts.prefix_counts(
         spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string"), P.path("byte_bpe_50k.json"))
     for r in token_counts.cut_points(stored, 5).collect():
         assert r.n_chars == counter.truncation(texts[r.doc_id], 5)
+
+
+def test_tokens_of_long_and_forgotten_pieces(tokenizer, monkeypatch):
+    rng = random.Random(11)
+    spec = token_counts.vocabulary(P.path("byte_bpe_50k.json"))
+    texts = ["".join(rng.choice("aeiounrstlé中") for _ in range(rng.randint(1, 90))) for _ in range(400)]
+    texts += ["a" * 3_000, "the" * 2_000, "=-" * 2_000, "ab" * 1_500 + " " * 500, "\x00\x01" * 300, "é" * 999]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(pieces, "PIECES", 50)
+    monkeypatch.setattr(bpe, "PAIRS", 100)
+    counter, library = PrefixCounter(spec), LibraryIds(spec)
+    for _ in range(2):
+        assert [n for k in range(0, len(texts), 7) for n in counter.counts(texts[k:k + 7])] == [len(w) for w in want]
+        got = [p for k in range(0, len(texts), 7) for p in library.packed(texts[k:k + 7])]
+        assert [np.frombuffer(p, "<u2").tolist() for p in got] == want
+
+
+def test_tokens_that_follow_each_other(tokenizer):
+    counter = PrefixCounter(token_counts.vocabulary(P.path("byte_bpe_50k.json")))
+    rng, raw = random.Random(7), []
+    for at in range(len(counter._parts)):
+        parts = counter._parts[at]
+        raw.append(chr(at) if parts is None else raw[parts[0]] + raw[parts[1]])
+    rank = counter._rank
+
+    def merged(ids):
+        ids = list(ids)
+        while len(ids) > 1:
+            best, at = min((rank.get(ids[i] << 32 | ids[i + 1], 1 << 60), i) for i in range(len(ids) - 1))
+            if best == 1 << 60:
+                break
+            ids[at:at + 2] = [best]
+        return ids
+
+    for _ in range(20_000):
+        a, b = rng.randrange(len(raw)), rng.randrange(256 if rng.random() < 0.3 else len(raw))
+        if counter._reached[a] and counter._reached[b]:
+            assert counter.can_follow(a, b) == (merged(ord(c) for c in raw[a] + raw[b]) == [a, b])
+    for at in rng.sample(range(len(raw)), 3_000):
+        assert counter._reached[at] == (merged(ord(c) for c in raw[at]) == [at])
+
+
+def test_cuts_are_those_of_the_pattern():
+    rng, kinds = random.Random(1), pieces.character_kinds()
+    parts = [*"abe rst '\n\t  .,!1239é😀中\x1c　 ' \u0085\u00a0 ", "'re", "'ll", "'s", "'d", "'t", "'m", "'ve", "''", " the", "\r\n", "ing", "  ", "²", "ſ",
+             "<|endof", "١", "ª", "'l", "'r", "'v"]
+    for _ in range(4_000):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 4))]
+        joined, sizes = "".join(texts), np.array([len(t) for t in texts])
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        at = [*pieces.cuts(code, np.cumsum(sizes) - sizes, kinds).tolist(), len(code)]
+        assert [joined[a:b] for a, b in zip(at, at[1:])] == [p for t in texts for p in pieces.PIECE.findall(t)]
+
+
+def test_pieces_of_one_hash_stay_apart(monkeypatch):
+    """All pieces of one length have the same hash here: each is compared by content."""
+    monkeypatch.setattr(pieces.PieceMemory, "_hashes", lambda self, code, starts, lengths: lengths.astype(np.uint64))
+    rng = random.Random(2)
+    memory = pieces.PieceMemory(lambda found: (np.array([ord(c) for p in found for c in p], np.uint32), np.array([len(p) for p in found], np.int64)))
+    for _ in range(20):
+        texts = ["".join(rng.choice("ab c,'1\n") for _ in range(rng.randint(0, 30))) for _ in range(9)]
+        ids, counts = memory.ids(texts)
+        assert "".join(map(chr, ids)) == "".join(texts) and counts.tolist() == [len(t) for t in texts]

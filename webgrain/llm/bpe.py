@@ -14,27 +14,23 @@ space (whose last character belongs to the next piece, unless the text ends ther
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import regex
 
-# The published pre-tokenizer pattern of byte-level BPE, its white
-# space spelled as the Unicode property, and the alphabet that stands for bytes.
-PIECE = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
-CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
+from webgrain.llm.pieces import CONTRACTIONS, PIECE, PieceMemory, ragged
+
+# The alphabet of byte-level BPE that stands for bytes.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 _BLANKS = regex.compile(r"\p{White_Space}+")
-# A space between words starts a piece unless blanks stand on both of its sides.
-_SPACE_IN_BLANKS = regex.compile(r"\s (?:\s|\Z)")
-# Entries of a worker's memory of words, after which it starts anew.
-MEMORY = 200_000
-# Words that the library encodes as one line.
-LINE_WORDS = 256
+# Pairs of tokens that a worker remembers before it starts anew.
+PAIRS = 500_000
+# Pieces that the library encodes as one line.
+LINE_PIECES = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,77 +40,126 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PrefixCounter:
-    """Token counts of texts and of all their prefixes, for a byte-level BPE ``.json`` file."""
+    """Token counts of texts and of all their prefixes, for a byte-level BPE ``.json`` file.
+
+    Tokens are numbered: bytes first, then the results of the merges in order.
+    """
 
     def __init__(self, spec: str) -> None:
         model = json.loads(spec)
         kind = model["pre_tokenizer"]
         if model["model"]["type"] != "BPE" or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or model["normalizer"]:
             raise ValueError("not a plain byte-level BPE vocabulary")
-        alphabet = byte_alphabet()
-        raw = lambda word: bytes(alphabet[c] for c in word)
         self.special = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
             raise ValueError("special tokens that take blanks or whole words are not supported")
         self._at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        # A byte is the character of its number here, so that the automaton can read pieces as strings.
+        to_byte = {ord(c): b for c, b in byte_alphabet().items()}
+        number = {chr(b): b for b in range(256)}
+        self._parts: list[tuple[int, int] | None] = [None] * 256
+        self._rank: dict[int, int] = {}
+        for pair in model["model"]["merges"]:
+            left, right = (x.translate(to_byte) for x in (pair.split(" ") if isinstance(pair, str) else pair))
+            if left not in number or right not in number or left + right in number:
+                raise ValueError("the merges do not make each token once, after its parts")
+            new = number[left + right] = len(self._parts)
+            self._rank[number[left] << 32 | number[right]] = new
+            self._parts.append((number[left], number[right]))
         names = set(self.special)
-        self.tokens = frozenset(raw(w) for w in model["model"]["vocab"] if w not in names)
-        self.rank: dict[tuple[bytes, bytes], int] = {}
-        for i, pair in enumerate(model["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[raw(a), raw(b)] = i
-        self.longest = max(map(len, self.tokens))
-        self._follows: dict[tuple[bytes, bytes], bool] = {}
-        self._words: dict[str, int] = {}
+        if not {w.translate(to_byte) for w in model["model"]["vocab"] if w not in names} <= number.keys():
+            raise ValueError("the vocabulary has tokens that no merge makes")
+        self._automaton = ahocorasick.Automaton()
+        for token, at in number.items():
+            self._automaton.add_word(token, (at, len(token)))
+        self._automaton.make_automaton()
+        # From a token down to its last byte, and down to its first one.
+        self._right_edge: list[list[int]] = []
+        self._left_edge: list[list[int]] = []
+        for at, parts in enumerate(self._parts):
+            self._right_edge.append([*self._right_edge[parts[1]], at] if parts else [at])
+            self._left_edge.append([*self._left_edge[parts[0]], at] if parts else [at])
+        self._reached = [parts is None or self._joins(*parts, at) for at, parts in enumerate(self._parts)]
+        self._follows: dict[int, bool] = {}
+        self._memory = PieceMemory(self._of_new)
 
     # The dynamic program -------------------------------------------------
 
-    def _merged(self, data: bytes) -> list[bytes]:
-        """Plain merging by rank; used on two tokens at a time."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((self.rank.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def can_follow(self, before: bytes, token: bytes) -> bool:
-        key = (before, token)
+    def _meets(self, before: int, token: int) -> int:
+        """The merge that joins two tokens across their border when both are built at once, or 0.
+
+        Merging builds each side along its edge; a join of what stands at the border comes first if its
+        rank is below those of the next steps on both sides (on a tie, the pair further left goes first).
+        """
+        left, right, rank = self._right_edge[before], self._left_edge[token], self._rank
+        i = j = 0
+        while True:
+            joined = rank.get(left[i] << 32 | right[j], 0)
+            next_left = left[i + 1] if i + 1 < len(left) else 1 << 40
+            next_right = right[j + 1] if j + 1 < len(right) else 1 << 40
+            if joined and joined < next_left and joined <= next_right:
+                # Joined before both sides are whole, or as the last step.
+                return joined
+            if next_left == next_right == 1 << 40:
+                return 0
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def _joins(self, left: int, right: int, token: int) -> bool:
+        """Whether merging the bytes of ``token`` ends in it."""
+        return self._meets(left, right) == token
+
+    def can_follow(self, before: int, token: int) -> bool:
+        """Whether the encoding of the two tokens' bytes together is the two tokens."""
+        key = before << 32 | token
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) >= MEMORY:
+            if len(self._follows) >= PAIRS:
                 self._follows.clear()
-            known = self._follows[key] = self._merged(before + token) == [t for t in key if t]
+            known = self._follows[key] = self._meets(before, token) == 0
         return known
 
     def piece_counts(self, data: bytes) -> list[int]:
         """Tokens of each byte prefix of one piece; entry 0 is the empty prefix."""
-        counts, last = [0], [b""]
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in self.tokens and (
-                    self._whole(token) if start == 0 else self.can_follow(last[start], token)
-                ):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+        size = len(data)
+        counts, last, follows, done = [0] * (size + 1), [-1] * (size + 1), self._follows, 0
+        # All tokens that end at a place, the longest first; one of them ends the encoding of that prefix.
+        for end, (token, length) in self._automaton.iter(data.decode("latin-1")):
+            if end < done:
+                continue
+            start = end + 1 - length
+            if start:
+                known = follows.get(last[start] << 32 | token)
+                if known is None:
+                    known = self.can_follow(last[start], token)
             else:
-                raise ValueError("the vocabulary has no token for a byte")
+                known = self._reached[token]
+            if known:
+                done = end + 1
+                counts[done] = counts[start] + 1
+                last[done] = token
+        if done != size:
+            raise ValueError("the vocabulary has no token for a byte")
         return counts
 
-    def _whole(self, token: bytes) -> bool:
-        """Whether merging reaches ``token`` itself; some entries of a vocabulary it never does."""
-        return len(token) == 1 or self.can_follow(b"", token)
-
     # Texts ---------------------------------------------------------------
 
+    def _of_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(0, np.uint32), np.array([self.piece_counts(p.encode())[-1] for p in pieces], np.int64)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts."""
+        split = [list(self._stretches(t)) for t in texts]
+        plain = iter(self._memory.counts([part for parts in split for part in parts if isinstance(part, str)]).tolist())
+        return [sum(part if isinstance(part, int) else next(plain) for part in parts) for parts in split]
+
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
-        return sum(part if isinstance(part, int) else self._count_plain(part) for part in self._parts(text))
+        return self.counts([text])[0]
 
-    def _parts(self, text: str) -> Iterator[str | int]:
+    def _stretches(self, text: str) -> Iterator[str | int]:
         """Plain stretches, and 1 for each special string between them."""
         at = 0
         if self._at_special is not None:
@@ -124,19 +169,6 @@ class PrefixCounter:
                 at = found.end()
         yield text[at:]
 
-    def _count_plain(self, text: str) -> int:
-        if not text:
-            return 0
-        known, total = self._words, 0
-        for word in words_of(text):
-            found = known.get(word)
-            if found is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                found = known[word] = sum(self.piece_counts(p.encode())[-1] for p in PIECE.findall(word))
-            total += found
-        return total
-
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens of ``text[:n]`` for every n from 0 to the length of the text.
 
@@ -191,91 +223,59 @@ class PrefixCounter:
         return max(n for n, c in enumerate(counts) if c <= budget)
 
 
-def words_of(text: str) -> list[str]:
-    """A text cut before single spaces where the pre-tokenizer cuts as well.
-
-    The parts are then encoded independently of one another, and repeat often.
-    """
-    first, *rest = text.split(" ")
-    if not rest:
-        return [first]
-    words = [first] if first else []
-    if _SPACE_IN_BLANKS.search(text) is None:
-        words += [" " + w for w in rest]
-        return words
-    before = first
-    for w in rest:
-        if words and (not before or before[-1].isspace()) and (not w or w[0].isspace()):
-            words[-1] += " " + w
-        else:
-            words.append(" " + w)
-        before = w
-    return words
+def id_width(spec: str) -> int:
+    """Bytes that an id of a vocabulary file needs."""
+    model = json.loads(spec)
+    most = max([*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])], default=0)
+    return 2 if most < 1 << 16 else 4
 
 
 class LibraryIds:
     """Ids of whole texts as the tokenizers library gives them, as packed little-endian integers.
 
-    Words that repeat are encoded by the library once and remembered.
+    Pieces that repeat are encoded by the library once and remembered.
     """
 
     def __init__(self, spec: str) -> None:
+        # A task has one core; the library would start a thread for each core of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(spec)
-        self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.width = id_width(spec)
         special = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self._words: dict[str, bytes] = {}
-        self._before: dict[str, bytes] = {}
         tab = self._tokenizer.encode("\t", add_special_tokens=False).ids
         if len(tab) != 1:
             raise ValueError("the vocabulary has no token for a tab")
         self._tab = tab[0]
+        self._memory = PieceMemory(self._of_new)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        apart = [self._special is not None and self._special.search(t) is not None for t in texts]
-        words = [[] if a else words_of(t) for t, a in zip(texts, apart, strict=True)]
-        self._learn(set().union(*words))
-        known = self._words.__getitem__
-        return [self._encoded([t])[0] if a else b"".join(map(known, w)) for t, a, w in zip(texts, apart, words, strict=True)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Make sure that all ``words`` are known; what was not used for long is forgotten."""
-        if len(self._words) > MEMORY:
-            self._before, self._words = self._words, {}
-        new = words.difference(self._words)
-        again = new.intersection(self._before)
-        self._words.update({w: self._before[w] for w in again})
-        new -= again
-        # A tab is a piece and a token of its own between words that no blank ends, so one call encodes many.
-        plain = [w for w in new if "\t" not in w and (core := w[1:] if w[:1] == " " else w) and core.strip() == core]
-        for at in range(0, len(plain), LINE_WORDS * 64):
-            part = plain[at:at + LINE_WORDS * 64]
-            lines = [part[k:k + LINE_WORDS] for k in range(0, len(part), LINE_WORDS)]
-            encoded = self._tokenizer.encode_batch_fast(["\t".join(x) for x in lines], add_special_tokens=False)
-            for line, found in zip(lines, encoded, strict=True):
-                self._words.update(zip(line, self._split(found.ids), strict=True))
-        rest = [w for w in new if w not in self._words]
-        self._words.update(zip(rest, self._encoded(rest), strict=True))
-
-    def _split(self, ids: list[int]) -> list[bytes]:
-        found = np.array(ids, f"<u{self.width}")
-        breaks = np.flatnonzero(found == self._tab)
-        data, starts, ends = found.tobytes(), [0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)]
-        return [data[a * self.width:b * self.width] for a, b in zip(starts, ends, strict=True)]
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes()
-                for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def make_once(name: str, build: Callable[[], object]) -> object:
-    """``build()``, once for the life of a Python worker."""
-    from webgrain.llm.common import worker_state
-
-    kept = worker_state("models")
-    if name not in kept:
-        kept[name] = build()
-    return kept[name]
+        apart = {i for i, t in enumerate(texts) if self._special is not None and self._special.search(t)}
+        ids, counts = self._memory.ids(["" if i in apart else t for i, t in enumerate(texts)])
+        data, ends = ids.astype(f"<u{self.width}").tobytes(), (np.cumsum(counts) * self.width).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if texts else []
+        for i in apart:
+            out[i] = np.array(self._encoded(texts[i]), f"<u{self.width}").tobytes()
+        return out
+
+    def _encoded(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _of_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        blank = np.array([p.isspace() for p in pieces], bool)
+        # A tab is a piece and a token of its own between pieces that are not blank, so one call encodes many.
+        plain = [p for p, b in zip(pieces, blank.tolist(), strict=True) if not b]
+        lines = ["\t".join(plain[k:k + LINE_PIECES]) for k in range(0, len(plain), LINE_PIECES)]
+        found = [np.array([*x.ids, self._tab], np.uint32) for x in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        every = np.concatenate([np.zeros(0, np.uint32), *found])
+        is_tab = every == self._tab
+        ends = np.flatnonzero(is_tab) - np.arange(len(plain))
+        rest = [np.array(self._encoded(p), np.uint32) for p, b in zip(pieces, blank.tolist(), strict=True) if b]
+        # Those of plain pieces, then those of blank ones; brought into the order of ``pieces``.
+        sizes = np.concatenate([np.diff(np.concatenate([[0], ends])), np.array([len(x) for x in rest], np.int64)]).astype(np.int64)
+        pool, at = np.concatenate([every[~is_tab], *rest]), np.cumsum(sizes) - sizes
+        order = np.argsort(np.argsort(blank, kind="stable"), kind="stable")
+        return pool[ragged(at[order], sizes[order])], sizes[order]

@@ -55,6 +55,14 @@ def worker_state(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def make_once(name: str, build: Callable[[], object]) -> object:
+    """``build()``, once for the life of a Python worker."""
+    kept = worker_state("models")
+    if name not in kept:
+        kept[name] = build()
+    return kept[name]
+
+
 def forget_models(but: str | None = None) -> None:
     """Drop what earlier tasks kept in this worker, except the models whose names begin with ``but``."""
     kept = worker_state("models")

@@ -6,10 +6,10 @@ Method: size-aware heavy-light join.
 and m shingles are linked exactly if they share a subset of o(n, m) shingles, the
 least overlap, so equal subset keys are links.  *Heavy* sets scan inverted lists.
 A list's key is not one shingle but a slice of the set: the shingles whose hash
-falls into one of P parts, where P is one more than the shingles by which linked
-sets of that size class may differ, so linked sets have at least one slice in
-common.  A slice holds some nine shingles, so a passage or a licence line that many
-documents share makes no long list.  The boundary is chosen by cost: the subsets
+falls into one of P parts, where P is so much more than the shingles by which linked
+sets of that size class may differ that they have at least one slice with something in it in
+common (``sliced``).  A slice holds several shingles, so a passage or a licence line that many
+documents share makes no long list, and slices that are empty make none at all.  The boundary is chosen by cost: the subsets
 to enumerate against the list entries to scan, counted on the light sets at hand.
 
 Equal sets collapse first (a 128-bit digest of the set; a clash of the 64-bit ids
@@ -31,7 +31,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +53,10 @@ BLOCK = 4096
 ONE_TASK = 200_000
 # Bits of a sketch for each shingle that linked sets may differ by.
 SKETCH = 16
+# Hashes by which a set is sliced until it has enough slices.
+SALTS = 8
+# Layouts of size classes that were worked out.
+_LAYOUTS: dict[tuple[int, int], tuple[int, int]] = {}
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -95,7 +98,6 @@ def partners(n: int, percent: int = PERCENT) -> range:
     return range(-(-percent * n // 100), 100 * n // percent + 1)
 
 
-@lru_cache(maxsize=1 << 16)
 def size_class(n: int) -> tuple[int, int, int]:
     """Number, first size and last size of the class of heavy sets that ``n`` is in."""
     number, first = 0, 1
@@ -106,14 +108,45 @@ def size_class(n: int) -> tuple[int, int, int]:
         number, first = number + 1, last + 1
 
 
-def sliced(codes: np.ndarray, number: int, last: int, percent: int) -> np.ndarray:
-    """A key for each slice of the set in the group of a size class."""
+def layout(first: int, last: int, percent: int) -> tuple[int, int]:
+    """Most shingles by which linked sets of a size class differ, and the parts of the hash space for it.
+
+    There are so many parts that a set has more than that many slices with something in them, but for one
+    set in some hundreds; a slice that is empty in both sets says nothing and gets no key.
+    """
     # The bound for all pairs of the class; ``differing`` itself goes up and down with the sizes.
-    parts = 2 * last * (100 - percent) // (100 + percent) + 1
-    bounds = np.searchsorted((codes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes), dtype=np.uint64)])
-    place = mixed(np.arange(parts, dtype=np.uint64) + np.uint64(number << 40))
-    return mixed((sums[bounds[1:]] - sums[bounds[:-1]]) ^ place)
+    most = 2 * last * (100 - percent) // (100 + percent)
+    least, parts = max(1, -(-percent * first // 100)), most + 1
+    while True:
+        fill = least / parts
+        empty = parts * math.exp(-fill)
+        spread = math.sqrt(max(0.0, parts * (math.exp(-fill) - (1 + fill) * math.exp(-2 * fill))))
+        if parts - most > empty + 2.5 * spread or parts > 4 * (most + 2):
+            return most, parts
+        parts += max(1, parts // 50)
+
+
+def sliced(codes: np.ndarray, number: int, most: int, parts: int) -> np.ndarray:
+    """A key for each slice of the set, in the group of a size class, that has something in it.
+
+    Of linked sets at most ``most`` slices differ.  So if one of the two has more slices than that, they have an equal
+    one.  A set with fewer is sliced anew by another hash, and anew; two such sets meet in the last of these that
+    both go through, or, after ``SALTS`` of them, by the class alone.
+    """
+    out = []
+    for salt in range(SALTS):
+        place = codes if salt == 0 else mixed(codes + np.uint64(salt))
+        part = (place >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        values = mixed(codes)
+        if salt:
+            order = np.argsort(part, kind="stable")
+            part, values = part[order], values[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums = np.add.reduceat(values, starts)
+        out.append(mixed(sums ^ mixed(part[starts] + np.uint64((number << 44) + (salt << 40)))))
+        if len(starts) > most:
+            return np.concatenate(out)
+    return np.concatenate([*out, mixed(np.array([(1 << 61) + number], np.uint64))])
 
 
 def slice_keys(codes: np.ndarray, percent: int = PERCENT, above: int = 0) -> np.ndarray:
@@ -125,15 +158,19 @@ def slice_keys(codes: np.ndarray, percent: int = PERCENT, above: int = 0) -> np.
     most = partners(n, percent)[-1]
     if most <= above:
         return np.zeros(0, np.uint64)
-    number, _, last = size_class(n)
-    out = [sliced(codes, number, last, percent)] if last > above else []
-    while most > last:
-        number, _, last = size_class(last + 1)
-        out.append(sliced(codes, number, last, percent))
-    return np.concatenate(out)
+    number, first, last = size_class(n)
+    out = []
+    while True:
+        if last > above:
+            key = (number, percent)
+            if key not in _LAYOUTS:
+                _LAYOUTS[key] = layout(first, last, percent)
+            out.append(sliced(codes, number, *_LAYOUTS[key]))
+        if most <= last:
+            return np.concatenate(out)
+        number, first, last = size_class(last + 1)
 
 
-@lru_cache(maxsize=4096)
 def subset_rows(n: int, percent: int, upto: int) -> int:
     """Subset keys of a set of n for links whose larger set has at most ``upto``."""
     return sum(math.comb(n, overlap(n, m, percent)) for m in partners(n, percent) if 0 < m and max(n, m) <= upto)
@@ -250,14 +287,15 @@ def inverted_lists(rows: DataFrame, percent: int) -> DataFrame:
     entries = rows.where(f"n > {LIGHTEST}").select(F.explode("keys").alias("key"), "sid")
     entries = entries.unionByName(light_keys(light, percent, boundary).select("key", "sid"))
     # Most keys stand alone: counting combines map-side and moves keys only.
-    often = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    often = materialized(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
+    # Stored, so that both sides of the join are plain shuffles, which Spark splits where one key is hot.
     shared = entries.join(often.hint("shuffle_hash"), "key").distinct()
     return materialized(shared, "lists")
 
 
 def hub_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each set with one smallest member of its lists, the one that looks nearest, if any may be a link."""
-    hubs = lists.groupBy("key").agg(F.min("sid").alias("b"))
+    hubs = materialized(lists.groupBy("key").agg(F.min("sid").alias("b")), "hubs")
     pairs = lists.join(hubs, "key").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
     mine = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     theirs = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -285,8 +323,9 @@ def block_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     mixed_lists = rows.groupBy("key").agg(
         F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    mixed_lists = materialized(mixed_lists.select("key", blocks.alias("blocks")), "mixed-lists")
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    rows = rows.join(mixed_lists.select("key", blocks.alias("blocks")), "key").withColumn("mine", mine)
+    rows = rows.join(mixed_lists, "key").withColumn("mine", mine)
     # A long list is cut; each of its blocks meets each other one once.
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("other", other).select(
@@ -405,8 +444,9 @@ def linked_components(
     share a component.  Extra columns are ignored; an empty table gives an empty result.
     """
     rows, named, labels = _labelled(docs, id_col, text_col, size, percent)
-    least = named.join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), "first")
-    least = least.join(least.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("sid", "component")
+    least = materialized(named.join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), "first"), "labelled")
+    firsts = materialized(least.groupBy("comp").agg(F.min("first").alias("component")), "least-ids")
+    least = least.join(firsts, "comp").select("sid", "component")
     least = materialized(least, "answers")
     out = rows.select("_id", "sid", "n").join(least, "sid", "left")
     nullable = lambda c: F.when(c != LAST_ID, c)
@@ -468,7 +508,7 @@ def keep_first(
     own = rows.where("n > 0").groupBy("sid", "_id", "digest").agg(F.count("*").alias("copies"))
     own = own.join(labels, F.col("sid") == F.col("_sid"), "left").withColumn("comp", F.coalesce("comp", "sid"))
     own = materialized(own.select("comp", "_id", "digest", "copies"), "members")
-    first = own.groupBy("comp").agg(F.min(F.struct("_id", "digest")).alias("stays"))
+    first = materialized(own.groupBy("comp").agg(F.min(F.struct("_id", "digest")).alias("stays")), "first-members")
     judged = own.join(first, "comp").withColumn("stays", F.col("stays") == F.struct("_id", "digest"))
     judged = materialized(judged.where("NOT stays OR copies > 1").select(
         F.col("_id").alias("_gone"), F.col("digest").alias("_gone_digest"), "stays"), "judged")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.bpe import PrefixCounter, make_once
-from webgrain.llm.common import map_batches, ship, whole
+from webgrain.llm.bpe import PrefixCounter
+from webgrain.llm.common import make_once, map_batches, ship, whole
 
 LIMIT = 1024
 
@@ -47,7 +47,7 @@ def token_counts(
         counter = _counter(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(counter.count, batch.column(2).to_pylist()), pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(counter.counts(batch.column(2).to_pylist()), pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"])
 
     text = whole(F.col(text_col))

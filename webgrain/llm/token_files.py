@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webgrain.llm.bpe import LibraryIds, make_once
-from webgrain.llm.common import LAST_ID, map_batches, ship, whole
+from webgrain.llm.bpe import LibraryIds
+from webgrain.llm.common import make_once, map_batches, ship, whole
 from webgrain.llm.token_counts import vocabulary
 from webgrain.session import work_folder
 
@@ -43,6 +43,8 @@ END_ID = 2
 SAMPLE = 256
 # A shard is closed when its ids reach so many bytes; a single document may be larger.
 SHARD_BYTES = 4 << 20
+# Characters of a text by which rows of one id are cut into ranges.
+BEGINNING = 32
 # Bits of a shard's position that count shards of one task; the task's number stands above them.
 PLACES = 20
 
@@ -154,7 +156,8 @@ def write_token_files(
     """Write the shards of ``docs`` below ``path``.
 
     NULL text is empty: its document has the end id alone.  Rows without id come
-    last; rows that repeat an id stand side by side (equal id: by their ids).
+    last; rows that repeat an id stand side by side, in the order of their texts.  Ranges of rows are
+    cut by id and then by how the text begins, so rows without id, or of one id, need not meet in one task.
     Extra columns are ignored.  An empty table writes no shard.
     """
     spec = vocabulary(tokenizer)
@@ -185,11 +188,12 @@ def write_token_files(
         if packed:
             yield closed()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
+    # As many ranges as the input has splits, at least, so that a range does not grow with the table.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    order = [F.col("doc_id").isNull(), F.col("doc_id")]
     given = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
-        .repartitionByRange(parts, key).sortWithinPartitions(key, F.col("doc_id").isNull(), "text")
+        .repartitionByRange(parts, *order, F.left("text", F.lit(BEGINNING))).sortWithinPartitions(*order, "text")
         .select("doc_id", F.spark_partition_id().cast("long").alias("part"), "text")
     )
     shards = map_batches(given, work, "shard binary", keeps="ids-")
@@ -219,9 +223,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # One shard at a time reaches a worker: files are large, and each is read whole.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
     total = map_batches(files, headers, "path string, place long, m long")
-    # One row per shard: a few for each GB.
-    order = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    bases = total.select("path", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("base"))
+    # Ids before each task's shards, one row for each task, and before each shard within its task.
+    total = total.withColumn("part", F.shiftright("place", PLACES))
+    before = lambda *by: F.coalesce(F.sum("m").over(
+        Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = total.groupBy("part").agg(F.sum("m").alias("m")).select("part", before("part").alias("of_part"))
+    bases = total.select("path", "part", before("part", "place").alias("within")).join(tasks, "part")
+    bases = bases.select("path", (F.col("of_part") + F.col("within")).alias("base"))
     out = map_batches(files, rows, "path string, doc_id long, at long, n_tokens long, ids_crc32 long").join(bases, "path")
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
