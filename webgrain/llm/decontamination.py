@@ -25,7 +25,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +153,6 @@ def destroyed(n: int, size: int, similarity: float) -> int:
     return most
 
 
-@lru_cache(maxsize=1 << 16)
 def seed_size(n: int, similarity: float) -> int:
     """The most words of an n-gram, so that every copy of an item of ``n`` words has one intact."""
     return next(size for size in range(min(SEED_WORDS, n), 0, -1) if size == 1 or n - size + 1 > destroyed(n, size, similarity))
