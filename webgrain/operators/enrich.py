@@ -154,5 +154,7 @@ def merge_chunks(pages: DataFrame, lacking: DataFrame, answers: DataFrame, field
 
     ``lacking``: page_id and cache_key of ``lacking_pages``; ``answers``: cache_key, chunk_no and the fields.
     """
-    by_page = lacking.select("page_id", "cache_key").join(fold_chunks(answers, fields), "cache_key").drop("cache_key")
+    # Stored, so that the join is one of two plain shuffles: a content that many pages share is split.
+    folded = materialized(fold_chunks(answers, fields), "folded-answers")
+    by_page = lacking.select("page_id", "cache_key").join(folded, "cache_key").drop("cache_key")
     return merge_answers(pages, by_page, "page_id", fields)

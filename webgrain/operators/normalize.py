@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webgrain.functions import scalars, urls
 from webgrain.functions.text import let, strip
 from webgrain.schemas import UNIFIED
+from webgrain.session import materialized
 
 # --- fixed values -----------------------------------------------------------
 BROWSER_FIRST = ["instagram", "tiktok", "linkedin", "facebook"]
@@ -200,10 +201,11 @@ def with_strategy(pages: DataFrame, memory: DataFrame, *, url: str = "url", plat
                   override: Column | None = None) -> DataFrame:
     """Look up the domain's memory (domain, http_ok, browser_ok) and choose.
 
-    The memory has one row per domain; Spark broadcasts it when its measured
-    size allows and otherwise shuffles, splitting hot domains at run time.
+    The memory has one row per domain.  It is stored first: Spark broadcasts it when its
+    size allows, and otherwise both sides are plain shuffles, of which it splits hot domains.
     """
     keyed = pages.withColumn("domain", urls.domain_of(F.col(url)))
+    memory = materialized(memory, "domain-strategies")
     return keyed.join(memory, "domain", "left").withColumn(
         "selection", choose_strategy(F.col(platform), F.col("http_ok"), F.col("browser_ok"), override)
     ).drop("http_ok", "browser_ok")

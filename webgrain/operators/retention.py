@@ -18,7 +18,9 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame, *, key: str, url: str =
     expanded to the prefix lengths that its host's rules have, so nothing is
     compared with a whole rule list.  Without a rule everything is allowed.
     """
-    lengths = rules.groupBy("host").agg(F.collect_set(F.char_length("prefix")).alias("lengths"))
+    # Stored, so that each join is one of two plain shuffles: a host of many URLs is split.
+    rules = materialized(rules.select("host", "prefix", "allow"), "prefix-rules")
+    lengths = materialized(rules.groupBy("host").agg(F.collect_set(F.char_length("prefix")).alias("lengths")), "prefix-lengths")
     path = F.regexp_extract(F.col(url), r"^[a-z]+://[^/?#]*([^#]*)", 1)
     rows = urls.select(
         key, domain_of(F.col(url)).alias("host"), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)).alias("path"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from webgrain.operators.ordered import latest
+from webgrain.operators.repeats import split_repeats
 from webgrain.schemas import CAPTURE
-from webgrain.session import materialized
 
 # --- fixed values -----------------------------------------------------------
 ALERT_DEFAULTS = {"url": "", "platform": "unknown", "alert_type": "", "severity": "info"}
@@ -116,29 +116,30 @@ def archive_rows(captures: DataFrame, metadata: dict[str, Column] | None = None)
     """A5: archive table; the given metadata wins over url, archive_id, created_at.
 
     ``captures``: url, html, timestamp.  Equal versions, by their full key,
-    collapse to the earliest one.  Keys alone are counted first; a page body moves
-    only if its version repeats.
+    collapse to the earliest one.  Hashes alone are counted first; a page body moves
+    only if its hash repeats, and digests are computed once for a row.
     """
-    keyed = captures.withColumn("archive_key", archive_key(F.col("url"), F.col("html"))).withColumn(
-        "archive_id", archive_id(F.col("url"), F.col("html")))
-    base = {
-        "url": F.col("url"), "archive_id": F.col("archive_id"),
-        "created_at": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
-    }
-    fields = {**base, **(metadata or {})}
-    rows = keyed.select(
-        "archive_key", "archive_id", "url", "html", "timestamp",
-        F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("metadata"),
-    )
-    repeated = keyed.groupBy("archive_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = materialized(repeated.select("archive_key", F.lit(True).alias("again")), "repeated-versions")
-    marked = rows.join(repeated, "archive_key", "left")
+    once, again = split_repeats(captures, F.xxhash64("url", "html"))
     columns = ["archive_id", "url", "html", "metadata"]
-    once = marked.filter(F.col("again").isNull()).select("archive_key", *columns)
-    first = marked.filter("again").groupBy("archive_key").agg(
+
+    def rows(of: DataFrame) -> DataFrame:
+        named = of.withColumn("archive_key", archive_key(F.col("url"), F.col("html"))).withColumn(
+            "archive_id", archive_id(F.col("url"), F.col("html")))
+        base = {
+            "url": F.col("url"), "archive_id": F.col("archive_id"),
+            "created_at": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
+        }
+        fields = {**base, **(metadata or {})}
+        return named.select(
+            "archive_key", *columns[:-1], "timestamp", F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("metadata"))
+
+    out = rows(once).select("archive_key", *columns)
+    if again is None:
+        return out
+    first = rows(again).groupBy("archive_key").agg(
         F.min_by(F.struct(*columns), F.struct("timestamp", "metadata")).alias("v")
     ).select("archive_key", "v.*")
-    return once.unionByName(first)
+    return out.unionByName(first)
 
 
 def with_archive(results: DataFrame, archives: DataFrame) -> DataFrame:
