@@ -17,6 +17,7 @@ from webgrain.plans.registry import Tables, View, query
 from webgrain.plans.views import OUTCOMES, RESULTS
 from webgrain.session import work_folder
 from webgrain.sources import tables
+from webgrain.sources.indexed import IndexedTable, PageIndex
 from webgrain.sources.keyed import KeyedTable
 from webgrain.streaming import compaction, ordered_stream, state
 
@@ -450,6 +451,35 @@ def distinct_captures(t: Tables) -> DataFrame:
     return out.groupBy(F.col("archive_key").alias("text_id")).agg(F.count(F.lit(1)).cast("int").alias("kept"))
 
 
+_DEEP = 1_000
+
+
+@query("A4_deep_page", f"""
+SELECT id, created_at FROM (SELECT * FROM {RESULTS.sql} ORDER BY created_at DESC, id LIMIT 100 OFFSET {_DEEP}) WHERE output_json IS NOT NULL""")
+def deep_page(t: Tables) -> DataFrame:
+    stored = t.view(RESULTS)
+    index = PageIndex(t.spark, work_folder(t.spark, "pages"), [F.desc("created_at"), F.col("id")])
+    index.build(stored, ["created_at", "id"], ranges=32)
+    return index.results(stored, "id", _DEEP, 100).select("id", "created_at")
+
+
+@query("N5_domain_deletion", """
+SELECT id, 'kept' AS state FROM (SELECT event_id AS id, 'h' || (user_id % 9) || '.org' AS d FROM events) WHERE d <> 'h3.org'
+UNION ALL SELECT event_id, 'audited' FROM events WHERE 'h' || (user_id % 9) || '.org' = 'h3.org'""")
+def domain_deletion(t: Tables) -> DataFrame:
+    """Three batches of rows; a domain is deleted, twice by the same request."""
+    path = work_folder(t.spark, "indexed")
+    table = IndexedTable(t.spark, f"{path}/table", "id long, url string, created_at timestamp_ntz")
+    rows = t.events.selectExpr("event_id AS id", "concat('https://www.h', user_id % 9, '.org/', event_id) AS url", "ts AS created_at")
+    for n in range(3):
+        table.append(rows.where(f"id % 3 = {n}"), f"batch-{n}")
+    for _ in range(2):
+        table.delete_domain("h3.org", "request", f"{path}/audit", F.lit("2024-05-01").cast("timestamp"))
+    lines = t.spark.read.schema("value string").text(f"{path}/audit")
+    audited = lines.select(F.get_json_object("value", "$.id").cast("long").alias("id"), F.lit("audited").alias("state"))
+    return table.read().select("id", F.lit("kept").alias("state")).unionByName(audited)
+
+
 # --- A7, K1-K4 on tables that batches and epochs are merged into ----------------------------
 _BATCH = "seq % 3"
 
