@@ -197,8 +197,12 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
 def keep_recognised(docs: DataFrame, *, min_score: float = MIN_SCORE, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` in a language that is recognised with at least ``min_score``; same columns.
 
-    Trained on the labelled rows of ``docs`` that are not held out.
+    Trained on the labelled rows of ``docs`` that are not held out.  Where there are none, nothing can be
+    told apart, so all rows stay.  Rows without text or letters go; NULL or repeated ids and labels do not matter to
+    what is kept; an empty table stays empty.
     """
     model = train(docs.where(~held_out(F.col(id_col))))
+    if model is None:
+        return docs
     named = predict(carried(docs, _text=F.col("text")), model, text_col="_text")
     return restored(named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs.columns)
