@@ -192,6 +192,39 @@ def fingerprint(t: Tables) -> DataFrame:
     )
 
 
+@query("C17_skeleton", """
+SELECT o_orderkey, sha256('[document][](div[class](' || repeat('p[](b[]())', o_custkey % 3) ||
+  CASE WHEN o_orderkey % 2 = 0 THEN 'br[]()' ELSE '' END || CASE o_orderkey % 5 WHEN 0 THEN 'a[href]()' WHEN 1 THEN 'a[href,rel](img[alt,src]())' ELSE '' END || '))')
+  AS fp FROM orders""")
+def skeleton(t: Tables) -> DataFrame:
+    """Pages of many shapes; the same shape has other texts, values and ids each time, which do not count."""
+    # One paragraph after the other, so that none is left open.
+    items = F.array_join(F.transform(F.expr("filter(sequence(0, 2), i -> i < o_custkey % 3)"),
+                                     lambda i: F.concat(F.lit("<p>text <b>"), i, F.lit("</b></p>"))), "")
+    page = F.concat(
+        F.lit('<div class="c'), "o_custkey", F.lit('" id="'), "o_orderkey", F.lit('">'), "o_orderkey", items,
+        F.when(F.col("o_orderkey") % 2 == 0, "<br>").otherwise(""),
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('<a href="/'), "o_custkey", F.lit('">x</a>')))
+        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit('<a href="/" rel=n><img src="'), "o_custkey", F.lit('.png" alt="y"></a>'))).otherwise(""),
+        F.lit("</div>"))
+    rows = t.spread("orders", "o_orderkey").select("o_orderkey", parse_page(page, keep_tags=[], skeleton=True)["skeleton"].alias("s"))
+    return rows.select("o_orderkey", drift.fingerprint(F.col("s")).alias("fp"))
+
+
+@query("C18_snapshot_of_varied_pages", """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'body:body,date:time[datetime],heading:article h1' WHEN 1 THEN 'body:body'
+  WHEN 2 THEN 'body:body,heading:main h1' ELSE 'body:body,heading:article h1' END AS matched FROM pages""")
+def varied_snapshot(t: Tables) -> DataFrame:
+    """The same chains where headings are elsewhere or missing, and where there is a date."""
+    html = F.expr("""CASE page_id % 4 WHEN 0 THEN replace(html, '</article>', '<time datetime="2024-01-01">x</time></article>')
+      WHEN 1 THEN replace(replace(html, '<h1>', '<h3>'), '</h1>', '</h3>') WHEN 2 THEN replace(html, '<article>', '<main><h1>M</h1></main><article>') ELSE html END""")
+    page = Page("parsed")
+    chains = {"heading": page.chain(["main h1", "article h1"]), "body": page.chain(["body"]), "date": page.chain(["time[datetime]"])}
+    rows = t.spread("pages", "page_id").select("page_id", parse_page(html).alias("parsed")).select("page_id", extract.selector_snapshot(chains).alias("s"))
+    pairs = F.transform(F.map_entries("s"), lambda e: F.concat(e.key, F.lit(":"), e.value.selector))
+    return rows.select("page_id", F.array_join(F.array_sort(pairs), ",").alias("matched"))
+
+
 @query("C18_selector_snapshot", """
 SELECT page_id, 'body:body,heading:article h1' AS matched, 2 AS fields FROM pages""")
 def snapshot(t: Tables) -> DataFrame:
