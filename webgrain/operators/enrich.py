@@ -15,6 +15,7 @@ from webgrain.functions.text import strip
 from webgrain.operators import ordered
 from webgrain.operators.extract import html_chunks
 from webgrain.operators.normalize import merge_answers
+from webgrain.operators.repeats import split_repeats
 from webgrain.schemas import ANSWER_FIELDS
 from webgrain.session import materialized
 
@@ -63,12 +64,24 @@ def request_table(pages: DataFrame, schema_text: str, lacking: DataFrame | None
     ``pages``: page_id, url, platform, content_type, html, and title, text, author
     unless ``lacking`` (of ``lacking_pages``) is given.  Pages with the same content
     share a cache key; the first page_id stands for them, and ``pages`` counts how
-    many there are.  Only keys are aggregated; the page bodies of the first pages are
-    looked up by page_id afterwards.  A page without html keeps a row without prompt.
+    many there are.  Without ``lacking`` a page body moves only if its content may repeat; with it,
+    keys alone are aggregated and the bodies of the first pages are looked up by page_id.  A page without
+    html keeps a row without prompt.
     """
-    known = lacking if lacking is not None else lacking_pages(pages, schema_text)
-    firsts = known.groupBy("cache_key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("pages"))
-    rows = pages.select("page_id", "url", "platform", "content_type", "html").join(firsts, "page_id").select(
+    about = ["page_id", "url", "platform", "content_type", "html"]
+    if lacking is None:
+        lacks = needs_enrichment(F.col("text"), F.col("title"), F.col("author"))
+        key = scalars.cache_key(F.col("html"), F.lit(schema_text)).alias("cache_key")
+        once, again = split_repeats(pages, F.xxhash64("html"))
+        met = once.where(lacks).select(key, F.lit(1).cast("long").alias("pages"), *about)
+        if again is not None:
+            groups = again.where(lacks).select(key, *about).groupBy("cache_key").agg(
+                F.count(F.lit(1)).alias("pages"), F.min_by(F.struct(*about), "page_id").alias("first"))
+            met = met.unionByName(groups.select("cache_key", "pages", "first.*"))
+    else:
+        firsts = lacking.groupBy("cache_key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("pages"))
+        met = pages.select(*about).join(firsts, "page_id")
+    rows = met.select(
         "cache_key", "page_id", "pages", "url", "platform", "content_type",
         F.posexplode(F.coalesce(html_chunks(F.col("html")), F.array(F.lit(None).cast("string")))).alias("chunk_no", "chunk"),
     ).withColumn("request_key", request_key(F.col("cache_key"), F.col("chunk_no")))
