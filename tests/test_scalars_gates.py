@@ -73,3 +73,30 @@ def test_classifier(spark):
         ("generic", "real_estate", 0.8), ("olx", "real_estate", 0.9)]
     low = column(spark, ["https://a.com/"], lambda c: gates.classify_content(F.lit("<p>"), c))[0]
     assert (low.content_type, low.confidence) == ("article", 0.0)
+
+
+def test_numbers_with_check_digits(spark):
+    from webgrain.functions import compliance
+
+    cases = {
+        "pay 4111 1111 1111 1111 now": "pay [CARD] now", "pay 4111-1111-1111-1112 now": "pay 4111-1111-1111-1112 now", "5500000000000004": "[CARD]",
+        "378282246310005, 378282246310006": "[CARD], 378282246310006", "x4111111111111111": "x4111111111111111",
+        "to DE89 3704 0044 0532 0130 00.": "to [ACCOUNT].", "GB82WEST12345698765432 GB82WEST12345698765431": "[ACCOUNT] GB82WEST12345698765431",
+        "FR14 2004 1010 0505 0001 3M02 606": "[ACCOUNT]", "call +49 30 901820 or +33 1 23 45 67 89": "call [PHONE] or [PHONE]", "+1 (555) 010-9999!": "[PHONE]!",
+        "a+4930901820 and 1+1=2": "a+4930901820 and 1+1=2", "": "", None: None, "order 1234567890123": "order 1234567890123",
+    }
+    table = spark.createDataFrame(list(enumerate(cases)), "i long, t string")
+    got = {r.t: r.r for r in table.select("t", compliance.redacted_numbers(F.col("t")).alias("r")).collect()}
+    assert got == cases
+
+
+def test_paywall_in_markup_only(spark):
+    from webgrain.functions import compliance
+
+    cases = {
+        '<div class="article__paywall">x</div>': True, "<i id=paywall-box>": True, "<p data-gate='subscription'>": True, "<p>Subscribe to read more</p>": True,
+        '<script>{"isAccessibleForFree": "False"}</script>': True, "<p>Our subscription is about a paywall</p>": False,
+        "<p>You may subscribe to read or not</p>": False, '{"isAccessibleForFree": true}': False, "<a href='/paywall'>x</a>": False, "": False, None: False,
+    }
+    table = spark.createDataFrame(list(enumerate(cases)), "i long, h string")
+    assert {r.h: r.p for r in table.select("h", compliance.paywall_markup(F.col("h")).alias("p")).collect()} == cases

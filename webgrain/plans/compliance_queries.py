@@ -40,6 +40,25 @@ def _redact_sql(text: str) -> str:
     return text
 
 
+@query("N2_paywall_markup", "SELECT page_id, page_id % 6 IN (0, 1, 4) AS paywalled FROM pages")
+def paywall_markup(t: Tables) -> DataFrame:
+    """The words in prose do not count, those in an attribute, an element or the metadata do."""
+    html = F.expr("""CASE page_id % 6 WHEN 0 THEN concat(html, '<p> Subscribe To Read the rest</p>') WHEN 1 THEN concat(html, '<i class="article__paywall">')
+      WHEN 2 THEN concat(html, '<p>A subscription, a paywall: you subscribe to read.</p>') WHEN 3 THEN NULL
+      WHEN 4 THEN concat(html, '<script>{"isAccessibleForFree":false}</script>') ELSE html END""")
+    return t.pages.select("page_id", compliance.paywall_markup(html).alias("paywalled"))
+
+
+@query("N4_checked_numbers", """
+SELECT c_custkey, 'c' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN ' card [CARD] end' WHEN 1 THEN ' card 4111 1111 1111 1112 end' WHEN 2 THEN ' iban [ACCOUNT] end'
+  WHEN 3 THEN ' iban DE88 3704 0044 0532 0130 00 end' ELSE ' tel [PHONE] end' END AS clean FROM customer""")
+def checked_numbers(t: Tables) -> DataFrame:
+    text = F.expr("""concat('c', c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' card 4111 1111 1111 1111 end' WHEN 1 THEN ' card 4111 1111 1111 1112 end'
+      WHEN 2 THEN ' iban DE89 3704 0044 0532 0130 00 end' WHEN 3 THEN ' iban DE88 3704 0044 0532 0130 00 end'
+      ELSE concat(' tel +49 30 ', 100000 + c_custkey % 800000, ' end') END)""")
+    return t.customer.select("c_custkey", compliance.redacted_numbers(text).alias("clean"))
+
+
 @query("N4_redaction", f"""
 SELECT doc_id, sha256({_redact_sql("text")}) AS digest,
   (length({_redact_sql("text")}) - length(replace(replace(replace({_redact_sql("text")}, '[EMAIL]', ''), '[ID]', ''), '[PHONE]', '')) > 0) AS touched
