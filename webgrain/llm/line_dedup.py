@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm.common import BLANKS, LAST_ID, ascii_lower, whole
+from webgrain.session import materialized
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -70,6 +71,8 @@ def drop_repeated_lines(
         .agg(F.min("_id").alias("_keeper"), F.count("*").alias("_docs"))
         .where(F.col("_docs") >= min_docs).drop("_docs")
     )
+    # Stored, so that both sides of the join are plain shuffles: Spark splits the places of a line that is everywhere.
+    repeated = materialized(repeated, "repeated-lines")
     # Deciding side: each position of each row.
     places = (
         narrow.select("_id", "_mark", F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line"))
@@ -80,6 +83,7 @@ def drop_repeated_lines(
         places.join(repeated, ["h1", "h2"]).where(F.col("_id") > F.col("_keeper"))
         .groupBy("_id", "_mark").agg(F.sort_array(F.collect_set("_pos")).alias("_dropped"))
     )
+    dropped = materialized(dropped, "dropped-lines")
     out = docs.select(
         F.struct("*").alias("_row"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_mark")
     ).join(dropped, ["_id", "_mark"], "left")
