@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -70,6 +72,15 @@ def forget_models(but: str | None = None) -> None:
         del kept[name]
 
 
+def give_back() -> None:
+    """Return what a task has freed to the machine: an idle worker then holds its models and little else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other libraries do without
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str, keeps: str | None = None,
 ) -> DataFrame:
@@ -81,7 +92,10 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_models(keeps)
-        return work(b for b in batches if b.num_rows)
+        try:
+            yield from work(b for b in batches if b.num_rows)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, ddl)
 

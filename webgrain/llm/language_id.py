@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import carried, forget_models, map_batches, restored, ship, whole
+from webgrain.llm.common import carried, forget_models, give_back, map_batches, restored, ship, whole
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 18
@@ -176,16 +176,19 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         forget_models()
         fitted = shared.value and Model(*shared.value)
-        for texts in columns:
-            codes = [None if t is None or fitted is None else prepared(t) for t in texts.to_pylist()]
-            known = [i for i, c in enumerate(codes) if c is not None]
-            lang, score = [UNKNOWN] * len(codes), [0.0] * len(codes)
-            if known:
-                probabilities = fitted.scores([codes[i] for i in known])
-                for i, row in zip(known, probabilities, strict=True):
-                    best = int(row.argmax())
-                    lang[i], score[i] = fitted.languages[best], float(row[best])
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
+        try:
+            for texts in columns:
+                codes = [None if t is None or fitted is None else prepared(t) for t in texts.to_pylist()]
+                known = [i for i, c in enumerate(codes) if c is not None]
+                lang, score = [UNKNOWN] * len(codes), [0.0] * len(codes)
+                if known:
+                    probabilities = fitted.scores([codes[i] for i in known])
+                    for i, row in zip(known, probabilities, strict=True):
+                        best = int(row.argmax())
+                        lang[i], score[i] = fitted.languages[best], float(row[best])
+                yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
+        finally:
+            give_back()
 
     work.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     found = F.arrow_udf(work, "lang string, score double").asNondeterministic()(F.col(text_col).cast("string"))

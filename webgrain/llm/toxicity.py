@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from webgrain.llm.common import map_batches, ship, whole
+from webgrain.llm.common import give_back, map_batches, ship, whole
 from webgrain.session import materialized
 
 BUCKETS = 1 << 20
@@ -185,10 +185,13 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", sco
 
     def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = Model(*shared.value).dense() if shared.value else None
-        for texts in columns:
-            scores = [0.0 if weights is None else _sigmoid(float(weights[features(t or "")].sum(dtype=np.float64)) + shared.value[2])
-                      for t in texts.to_pylist()]
-            yield pa.array(scores, pa.float64())
+        try:
+            for texts in columns:
+                scores = [0.0 if weights is None else _sigmoid(float(weights[features(t or "")].sum(dtype=np.float64)) + shared.value[2])
+                          for t in texts.to_pylist()]
+                yield pa.array(scores, pa.float64())
+        finally:
+            give_back()
 
     work.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     found = F.arrow_udf(work, "double").asNondeterministic()(F.col(text_col).cast("string"))
