@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import LAST_ID, word_count
+from webgrain.llm.common import whole, word_count
 from webgrain.session import materialized
 
 WEIGHTS = (5, 2, 1)
@@ -128,11 +128,18 @@ def mix(
     mix without any words has targets of 0; an empty table an empty result.  Extra
     columns are ignored.
     """
+    return _mixed(docs, id_col, text_col, source_col, weights, most, seed).drop("_text")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """``mix`` with a hash of each row's text."""
     rows = materialized(docs.select(
-        F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source")), "sizes")
+        F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"),
+        F.xxhash64(whole(F.col(text_col))).alias("_text")), "sizes")
     # The null-safe key: a source and whether it is there.
-    rows = rows.select("doc_id", "size", "source", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_no"),
-                       F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias("_h"))
+    # Rows without id, or of one id, differ by their texts.
+    rows = rows.select("doc_id", "size", "source", "_text", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_no"),
+                       F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_text").alias("_h"))
     lengths = materialized(rows.groupBy("_s", "_no", "size").agg(F.count("*").alias("n")), "lengths")
     sources = lengths.groupBy("_s", "_no").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).select(
         F.when(~F.col("_no"), F.col("_s")).alias("source"), "source_size")
@@ -163,33 +170,40 @@ def mix(
     key = ["_s", "_no", "size", "_b"]
     inside = placed.join(cut, key)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("_h", "doc_id"))
-    some = inside.withColumn("_once", (rank <= F.col("_cut")).cast("long")).select("doc_id", *key, "_once")
+    some = inside.withColumn("_once", (rank <= F.col("_cut")).cast("long")).select("doc_id", "_text", *key, "_once")
     rest = placed.join(cut, key, "left_anti").join(wholly, key, "left").select(
-        "doc_id", *key, F.when(F.col("_all"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("_once"))
-    none = rows.where("size = 0").select("doc_id", "_s", "_no", "size", F.lit(0).cast("long").alias("_b"), F.lit(0).cast("long").alias("_once"))
+        "doc_id", "_text", *key, F.when(F.col("_all"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("_once"))
+    none = rows.where("size = 0").select("doc_id", "_text", "_s", "_no", "size", F.lit(0).cast("long").alias("_b"), F.lit(0).cast("long").alias("_once"))
     out = some.unionByName(rest).unionByName(none).join(targets, ["_s", "_no"])
     return out.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("_once"))).alias("taken"),
-        F.when(~F.col("_no"), F.col("_s")).alias("source"))
+        F.when(~F.col("_no"), F.col("_s")).alias("source"), "_text")
 
 
-def take_mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def take_mixed(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED,
+) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the same columns.
 
-    Rows meet their decision by id and source; where several rows share both and the size, as many are taken as the mix says.
+    Rows meet their decision by id, source and a hash of the text, so rows without id, or of one id, are told
+    apart and reruns take the same texts.  Of rows that agree in all three as many are taken as the mix says; which of
+    them is left open.  Rows without words (or NULL) are never taken; an empty table stays empty.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = _mixed(docs, id_col, text_col, source_col, weights, most, seed)
 
     def key(doc: Column, source: Column) -> list[Column]:
-        return [F.coalesce(doc, F.lit(LAST_ID)).alias("_id"), F.coalesce(source, F.lit("")).alias("_s"), source.isNull().alias("_no")]
+        return [F.coalesce(doc.cast("long"), F.lit(0)).alias("_id"), doc.isNull().alias("_un"), F.coalesce(source, F.lit("")).alias("_s"),
+                source.isNull().alias("_no")]
 
     times = taken.where("taken > 0").select(
-        *key(F.col("doc_id"), F.col("source")), "size", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    same = ["_id", "_s", "_no", "size"]
+        *key(F.col("doc_id"), F.col("source")), "size", "_text", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    same = ["_id", "_un", "_s", "_no", "size", "_text"]
     times = materialized(times.groupBy(*same).agg(F.sort_array(F.collect_list("_times"), asc=False).alias("_times")), "times")
     mine = docs.select(
-        F.struct("*").alias("_row"), *key(F.col(id_col), F.col(source_col).cast("string")), word_count(F.col(text_col)).alias("size"))
-    # Rows that share id, source and size are numbered; as a rule there are none.
+        F.struct("*").alias("_row"), *key(F.col(id_col), F.col(source_col).cast("string")), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(whole(F.col(text_col))).alias("_text"))
+    # Rows that share all of these are numbered; as a rule there are none.
     repeated = materialized(mine.groupBy(*same).count().where("count > 1").select(*same), "repeated")
     nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
     numbered = mine.join(repeated, same, "left_semi").withColumn("_nth", nth)
