@@ -153,20 +153,37 @@ def test_join_at_other_settings(spark, size, percent):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_slices_meet_linked_sets_and_no_others(percent):
+def test_first_shingles_meet_linked_sets_and_no_others(percent):
     rng, tried = np.random.default_rng(percent), 0
+    bits = rng.integers(0, 256, 1 << (ngram_join.MAP_BITS - 3), dtype=np.uint8)  # any order will do
     for n in rng.integers(25, 300, 1_500).tolist():
         m = int(rng.integers(ngram_join.partners(n, percent)[0], ngram_join.partners(n, percent)[-1] + 1))
         common = ngram_join.overlap(n, m, percent)
         if common > min(n, m):
             continue
-        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64) * np.uint64(2)
         # As far apart as linked sets can be.
         a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:n + m - common]]))
+        keys = [set(ngram_join.prefix_keys(x, bits, percent, 24).tolist()) for x in (a, b)]
+        assert keys[0] & keys[1] and len(keys[0]) <= (100 - percent) * n // 100 + 1
+        tried += 1
+    assert tried > 800
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_slices_meet_linked_sets_and_no_others(percent):
+    rng, tried = np.random.default_rng(percent), 0
+    for n in rng.integers(25, 300, 1_000).tolist():
+        m = int(rng.integers(ngram_join.partners(n, percent)[0], ngram_join.partners(n, percent)[-1] + 1))
+        common = ngram_join.overlap(n, m, percent)
+        if common > min(n, m):
+            continue
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:n + m - common]]))
         keys = [set(ngram_join.slice_keys(x, percent, 24).tolist()) for x in (a, b)]
         assert keys[0] & keys[1]
         tried += 1
-    assert tried > 800
+    assert tried > 500
     for n in (25, 33, 46, 300):
         lists = {}
         for _ in range(1_000):
@@ -177,6 +194,23 @@ def test_slices_meet_linked_sets_and_no_others(percent):
     # Sets whose shingles all fall into few slices, whatever the hash, still meet.
     few = lambda *x: ngram_join.sliced(np.array(x, np.uint64), 3, 50, 60)
     assert set(few(1, 2, 3).tolist()) & set(few(7, 8, 9).tolist())
+    assert ngram_join.by_slices(90) and not ngram_join.by_slices(80)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_shared_passages_make_no_long_lists(spark, percent):
+    """However many documents share a passage, lists are as short as without it."""
+    rng = random.Random(percent)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(140)) + " " + passage) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    frequent = ngram_join.frequent_shingles(docs, "text", 5)
+    assert 60 <= int(np.bitwise_count(frequent.value).sum()) <= 66
+    sets = ngram_join.described(docs, "doc_id", "text", 5, percent, frequent)
+    longest = sets.select(F.explode("keys").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    assert longest == 1
+    empty = ngram_join.frequent_shingles(docs.limit(0), "text", 5)
+    assert not empty.value.any()
 
 
 def test_first_rows_stay_whatever_their_ids(spark):
@@ -208,6 +242,7 @@ def test_join_of_chains_through_lists_of_two(spark):
 
 def test_every_link_shares_a_key():
     rng = random.Random(4)
+    bits = np.random.default_rng(4).integers(0, 256, 1 << (ngram_join.MAP_BITS - 3), dtype=np.uint8)  # any order of the shingles
     pool = [rng.getrandbits(64) for _ in range(3000)]
     for _ in range(1500):
         base = rng.sample(pool, rng.choice([3, 9, 10, 12, 15, 19, 22, 25, 30, 41, 100, 300]))
@@ -221,9 +256,10 @@ def test_every_link_shares_a_key():
         if 100 * common < 90 * (len(a) + len(b) - common) or a.tolist() == b.tolist():
             continue
         for boundary in (0, 11, ngram_join.LIGHTEST):
-            keys = [set(ngram_join.slice_keys(c, 90, boundary).tolist()) | (
-                set(ngram_join.subset_keys(c, 90, boundary).tolist()) if len(c) <= boundary else set()) for c in (a, b)]
-            assert keys[0] & keys[1], (len(a), len(b), common, boundary)
+            for lists in (bits, None):
+                keys = [set(ngram_join.list_keys(c, lists, 90, boundary).tolist()) | (
+                    set(ngram_join.subset_keys(c, 90, boundary).tolist()) if len(c) <= boundary else set()) for c in (a, b)]
+                assert keys[0] & keys[1], (len(a), len(b), common, boundary)
         s, t = ngram_join.sketch(a), ngram_join.sketch(b)
         size = min(len(s), len(t))
         assert np.bitwise_count(ngram_join.folded(s, size) ^ ngram_join.folded(t, size)).sum() <= ngram_join.differing(len(a), len(b))
@@ -358,6 +394,62 @@ def test_threshold_keeps_the_recall_of_few_labels(n):
     assert scores and sum(s >= net.threshold for s in scores) >= secrets.RECALL * len(scores)
 
 
+def test_many_candidates_score_as_each_does():
+    rng = random.Random(9)
+    net = secrets.Network.new(np.random.default_rng(1))
+    net.kernel *= 4
+    texts = ["", "short", "x" * 8, "é" * 30 + "abcdefgh" + "\n", "".join(rng.choice("ab1/_ =.é\n") for _ in range(3_000)), "k" * 2_000, "token=abcdefgh12 plainword"]
+    code = secrets.symbols()[np.frombuffer(("\x00" * 24 + "".join(t + "\x00" * 24 for t in texts)).encode("utf-32-le"), np.uint32)]
+    assert code.max() < secrets.SYMBOLS
+    base = [[(s, k, e, 1.0) for s, k, e in secrets.base_spans(t)] for t in texts]
+    for threshold in (0.0, 0.5):
+        net.threshold = threshold
+        got = sorted(secrets.model_spans(net, net.tables(), secrets.symbols(), texts, base))
+        want = []
+        for i, t in enumerate(texts):
+            for s, e in secrets.candidates(t):
+                p = net.score(list(secrets.coded(t, s, e)))
+                if p >= threshold and not any(a < e and s < b for a, _, b, _ in base[i]):
+                    want.append((i, s, e, p))
+        assert got == sorted(want) and (threshold or len(got) > 50)
+
+
+def test_findings_are_different_and_whole(spark):
+    rows = [(i, "my token = deadbeefdeadbeefdeadbeefdeadbeefdeadbeef and " + "z" * 30 + f" extraordinary {i} words12345{i % 7}") for i in range(300)]
+    rows.append((999, "q" * 5_000 + " " + "".join(random.Random(1).choice("0123456789abcdef") for _ in range(6_000))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = secrets.labelled_findings(docs)
+    assert len(set(found)) == len(found) and found == secrets.labelled_findings(docs.repartition(2))
+    values = [p[a:b] for p, a, b, _ in found]
+    # The long ones come in parts: nothing of them is cut off.
+    assert sum(len(v) for v in values if set(v) == {"q"}) == 5_000 and sum(len(v) for v in values if len(v) > 1_000 and "q" not in v) == 6_000
+    assert "extraordinary" in values and any(v.startswith("words12345") for v in values)
+    few = secrets.labelled_findings(docs, sample=5)
+    assert len(few) == 5 + 5 + sum(label for *_, label in few) and set(few) <= set(found)
+
+
+def test_recall_and_precision_on_secrets_that_no_pattern_finds(spark):
+    """Keys behind words that the patterns do not know, in texts with dates, numbers, mail addresses and long words; values are new."""
+    rng = random.Random(21)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(rng.randint(28, 44)))
+    words = ["extraordinary", "circumstances", "understanding", "notwithstanding", "the", "of", "house", "Gesellschaft", "international"]
+    plain = lambda n: " ".join(rng.choice([*words, f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"mail{rng.randrange(99)}@example.org",
+                                           str(rng.randrange(10**8, 10**11)), f"www.site{rng.randrange(99)}.com/page", "v1.2.3-beta.4"]) for _ in range(n))
+    rows = [(i, f"{plain(20)} {rng.choice(['token = ', 'secret: ', 'api_key='])}{key()} {plain(20)}") for i in range(300)]
+    net = secrets.fit(secrets.labelled_findings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    hidden = {}
+    test = []
+    for i in range(120):
+        head, k = plain(15) + rng.choice([" use ", " key ", " -H X-Auth "]), key()
+        test.append((i, f"{head}{k} {plain(15)}"))
+        hidden[i] = (len(head), len(head) + len(k))
+    test += [(1000 + i, plain(40)) for i in range(120)]
+    out = secrets.scan(spark.createDataFrame(test, "doc_id long, text string").repartition(3), net).collect()
+    found = [(r.doc_id, f.start, f.end) for r in out for f in r.findings if f.kind == "model"]
+    right = sum(hidden.get(i) == (s, e) for i, s, e in found)
+    assert right >= 0.9 * len(hidden) and right >= 0.9 * len(found), (right, len(found))
+
+
 def test_base_patterns():
     text = 'PASSWORD="abc" x api-key=12345678 apikey : \'1234567890\' AKIA123 ' + "f" * 31 + " " + "0" * 33
     assert [(k, text[s:e]) for s, k, e in secrets.base_spans(text)] == [(0, "apikey : '1234567890"), (2, "0" * 33)]

@@ -4,12 +4,21 @@ Method: size-aware heavy-light join.
 
 *Light* sets (up to a boundary size) enumerate fixed-size subsets: two sets of n
 and m shingles are linked exactly if they share a subset of o(n, m) shingles, the
-least overlap, so equal subset keys are links.  *Heavy* sets scan inverted lists.
-A list's key is not one shingle but a slice of the set: the shingles whose hash
+least overlap, so equal subset keys are links.  *Heavy* sets scan inverted lists, of one of two kinds.
+
+At a high similarity a list's key is not one shingle but a *slice* of the set: the shingles whose hash
 falls into one of P parts, where P is so much more than the shingles by which linked
 sets of that size class may differ that they have at least one slice with something in it in
-common (``sliced``).  A slice holds several shingles, so a passage or a licence line that many
-documents share makes no long list, and slices that are empty make none at all.  The boundary is chosen by cost: the subsets
+common (``sliced``).  A slice holds several shingles, so neither a passage that many
+documents share nor a phrase that meets by chance makes a long list, and empty slices make none.
+
+At a lower one slices would hold few shingles and be many.  There the lists are those of a set's *first shingles*
+in one order of all (of n shingles the first n - least + 1, where least is what a partner must share; linked sets
+have one of them in common).  The order puts shingles that many documents
+share last: a passage or a licence line that is everywhere makes no list, unless documents
+consist of it.  Any order finds all links, so it rests on counts that are cheap: every task counts the
+shingles it has seen, hands on those it saw several times, and a bit map of bounded size
+remembers which are frequent.  The boundary is chosen by cost: the subsets
 to enumerate against the list entries to scan, counted on the light sets at hand.
 
 Equal sets collapse first (a 128-bit digest of the set; a clash of the 64-bit ids
@@ -35,28 +44,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import LAST_ID, carried, map_batches, restored, text_digest, whole
+from webgrain.llm.common import LAST_ID, carried, map_batches, restored, ship, text_digest, whole
 from webgrain.session import materialized
 
 SHINGLE = 3
 PERCENT = 90
 # Light sets have at most so many shingles; the boundary is chosen below it.
 LIGHTEST = 24
-# Growth of a size class of heavy sets.
-CLASS = 1.4
+# Lists are slices of sets where these hold so many shingles or more, and first shingles elsewhere.
+HELD = 8
+# Growth of a size class of heavy sets; hashes by which a set is sliced until it has enough slices.
+CLASS, SALTS = 1.4, 8
+# Layouts of size classes that were worked out.
+_LAYOUTS: dict[tuple[int, int], tuple[int, int]] = {}
+# A shingle is frequent from so many documents on; more if there are more than ``MOST_FREQUENT`` such shingles.
+FREQUENT, MOST_FREQUENT = 4, 1 << 22
+# A task counts so many shingles together, and hands on what it saw so often among them.
+COUNTED, LOCALLY = 1 << 20, 2
+# Bits of the map of frequent shingles.
+MAP_BITS = 26
 # List members that meet in one block.
 BLOCK = 4096
 # Narrow rows that one task may hold: two ids each.
 ONE_TASK = 200_000
 # Bits of a sketch for each shingle that linked sets may differ by.
 SKETCH = 16
-# Hashes by which a set is sliced until it has enough slices.
-SALTS = 8
-# Layouts of size classes that were worked out.
-_LAYOUTS: dict[tuple[int, int], tuple[int, int]] = {}
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -171,6 +187,31 @@ def slice_keys(codes: np.ndarray, percent: int = PERCENT, above: int = 0) -> np.
         number, first, last = size_class(last + 1)
 
 
+def prefix_keys(codes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, above: int = 0) -> np.ndarray:
+    """Shingles of a set whose lists it enters for links whose larger set has more than ``above`` shingles.
+
+    ``codes`` ascend; ``frequent`` is the bit map of shingles that come last in the order.
+    """
+    n = len(codes)
+    if not n or partners(n, percent)[-1] <= above:
+        return np.zeros(0, np.uint64)
+    place = codes >> np.uint64(64 - MAP_BITS)
+    late = (frequent[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    # A partner shares at least percent / 100 of n.
+    size = n + percent * n // -100 + 1
+    return np.concatenate([codes[~late], codes[late]])[:size]
+
+
+def by_slices(percent: int) -> bool:
+    """Whether slices hold enough shingles to be the better lists."""
+    return 100 + percent >= 2 * HELD * (100 - percent)
+
+
+def list_keys(codes: np.ndarray, frequent: np.ndarray | None, percent: int, above: int) -> np.ndarray:
+    """Keys of the lists that a set enters for links whose larger set has more than ``above`` shingles."""
+    return slice_keys(codes, percent, above) if frequent is None else prefix_keys(codes, frequent, percent, above)
+
+
 def subset_rows(n: int, percent: int, upto: int) -> int:
     """Subset keys of a set of n for links whose larger set has at most ``upto``."""
     return sum(math.comb(n, overlap(n, m, percent)) for m in partners(n, percent) if 0 < m and max(n, m) <= upto)
@@ -218,7 +259,46 @@ def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text_digest(F.col(text_col)).alias("digest"))
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def frequent_shingles(docs: DataFrame, text_col: str, size: int) -> Broadcast:
+    """A bit map of shingles that many rows have, by the first bits of their hash; at most 2^``MAP_BITS`` bits, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(waiting), return_counts=True)
+            often = n >= LOCALLY
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["code", "n"])
+
+        held = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                codes = shingles(text, size)
+                waiting.append(codes)
+                held += len(codes)
+                if held >= COUNTED:
+                    yield counted()
+                    held = 0
+        if held:
+            yield counted()
+
+    spark = docs.sparkSession
+    seen = map_batches(docs.select(whole(F.col(text_col)).alias("text")), count, "code long, n long")
+    seen = materialized(seen.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
+    levels = [FREQUENT << k for k in range(0, 40, 2)]
+    above = seen.agg(*[F.count(F.when(F.col("n") >= x, 1)).alias(str(x)) for x in levels]).first()
+    least = next((x for x in levels if above[str(x)] <= MOST_FREQUENT), levels[-1])
+    place = F.shiftrightunsigned("code", 64 - MAP_BITS)
+    parts = seen.where(F.col("n") >= least).select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    # At most 2^(MAP_BITS - 15) rows of 4 KB.
+    for row in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bits[row["part"] << 12:(row["part"] + 1) << 12] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return ship(spark, bits, bits.nbytes)
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: Broadcast | None) -> DataFrame:
     """_id, digest (of the text), sid, d2 (the digest of the set), n, sketch, keys (heavy sets), codes (sets that may be light)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +311,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
                 light = n <= LIGHTEST
                 rows.append((
                     int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), n,
-                    sketch(codes, percent) if n else b"", [] if light else slice_keys(codes, percent, LIGHTEST).view(np.int64),
+                    sketch(codes, percent) if n else b"", [] if light else list_keys(codes, frequent and frequent.value, percent, LIGHTEST).view(np.int64),
                     codes.tobytes() if light else b""))
             sid, d2, n, sk, keys, small = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([
@@ -242,15 +322,15 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     return map_batches(_given(docs, id_col, text_col), work, "_id long, digest binary, sid long, d2 long, n long, sketch binary, keys array<long>, codes binary")
 
 
-def light_keys(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """(sid, n, key, heavy) of sets that may be light: subsets up to the boundary, slices for larger partners."""
+def light_keys(rows: DataFrame, percent: int, boundary: int, frequent: Broadcast | None) -> DataFrame:
+    """(sid, n, key, heavy) of sets that may be light: subsets up to the boundary, first shingles for larger partners."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, sizes, keys, kinds = [], [], [], []
             for sid, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 codes = np.frombuffer(data, np.uint64)
-                for kind, found in enumerate((subset_keys(codes, percent, boundary), slice_keys(codes, percent, boundary))):
+                for kind, found in enumerate((subset_keys(codes, percent, boundary), list_keys(codes, frequent and frequent.value, percent, boundary))):
                     sids += [sid] * len(found)
                     sizes += [n] * len(found)
                     kinds += [kind == 1] * len(found)
@@ -263,9 +343,9 @@ def light_keys(rows: DataFrame, percent: int, boundary: int) -> DataFrame:
     return map_batches(rows.select("sid", "n", "codes"), work, "sid long, n long, key long, heavy boolean")
 
 
-def chosen_boundary(light: DataFrame, percent: int) -> int:
+def chosen_boundary(light: DataFrame, percent: int, frequent: Broadcast | None) -> int:
     """The size up to which enumerating subsets costs less than scanning lists; costs are summed by size."""
-    scanned = light_keys(light, percent, 0).select("n", "key")
+    scanned = light_keys(light, percent, 0, frequent).select("n", "key")
     lengths = scanned.groupBy("key").agg(F.count("*").alias("length"))
     # An entry of a list costs one step for each other entry, which one pass over the counts tells.
     scan = scanned.groupBy("key", "n").agg(F.count("*").alias("c")).join(lengths, "key").groupBy("n").agg(
@@ -279,18 +359,22 @@ def chosen_boundary(light: DataFrame, percent: int) -> int:
     return -best[1]
 
 
-def inverted_lists(rows: DataFrame, percent: int) -> DataFrame:
+def inverted_lists(rows: DataFrame, percent: int, frequent: Broadcast | None) -> DataFrame:
     """(key, sid) of all lists that hold at least two different sets."""
     light = materialized(
         rows.where(f"n > 0 AND n <= {LIGHTEST}").groupBy("sid", "n").agg(F.min("codes").alias("codes")), "light-sets")
-    boundary = chosen_boundary(light, percent)
+    boundary = chosen_boundary(light, percent, frequent)
     entries = rows.where(f"n > {LIGHTEST}").select(F.explode("keys").alias("key"), "sid")
-    entries = entries.unionByName(light_keys(light, percent, boundary).select("key", "sid"))
+    entries = entries.unionByName(light_keys(light, percent, boundary, frequent).select("key", "sid"))
     # Most keys stand alone: counting combines map-side and moves keys only.
     often = materialized(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     # Stored, so that both sides of the join are plain shuffles, which Spark splits where one key is hot.
-    shared = entries.join(often.hint("shuffle_hash"), "key").distinct()
-    return materialized(shared, "lists")
+    shared = materialized(entries.join(often.hint("shuffle_hash"), "key").distinct(), "list-entries")
+    # Lists of the same sets say the same: one of them stays, told by two hashes over its members.
+    members = shared.groupBy("key").agg(
+        F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).where("c > 1")
+    kept = materialized(members.groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "different-lists")
+    return materialized(shared.join(kept.hint("shuffle_hash"), "key"), "lists")
 
 
 def hub_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -457,13 +541,14 @@ def linked_components(
 def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (_id, digest, sid, n, ...), the sets (sid, first, n) and the components of linked sets (sid, comp)."""
     spark = docs.sparkSession
-    rows = materialized(described(docs, id_col, text_col, size, percent), "sets")
+    frequent = None if by_slices(percent) else frequent_shingles(docs, text_col, size)
+    rows = materialized(described(docs, id_col, text_col, size, percent, frequent), "sets")
     sets = rows.where("n > 0").groupBy("sid").agg(
         F.min("_id").alias("first"), F.min("n").alias("n"), F.min("d2").alias("low"), F.max("d2").alias("high"))
     clash = sets.where("low <> high").limit(1).count()
     if clash:
         raise ValueError("two different sets have the same 64-bit id")
-    lists = inverted_lists(rows, percent)
+    lists = inverted_lists(rows, percent, frequent)
     listed = materialized(lists.select("sid").distinct(), "listed")
     named = materialized(sets.select("sid", "first", "n"), "named")
     # What the comparisons need, for sets in lists only: the sketch, and one text that has the set, by id and digest.
