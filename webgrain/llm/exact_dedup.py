@@ -67,11 +67,12 @@ def duplicate_groups(
         F.count("*").alias("_contents"), F.min("_keep").alias("_keep"), F.sum("_size").alias("_size"))
     # A digest with one content identifies it.  One with several is looked up by content again.
     shared = materialized(contents.where("_contents > 1").select("_dig"), "shared")
-    single = contents.where("_contents = 1 AND _size > 1").drop("_contents")
+    # Stored, so that both sides of the join are plain shuffles: Spark splits the rows of a hot digest.
+    single = materialized(contents.where("_contents = 1 AND _size > 1").drop("_contents"), "groups")
     narrow = rows.select("_id", "_dig", sha256(F.col("_norm")).alias("text_sha256"))
     plain = narrow.join(shared, "_dig", "left_anti").join(single, "_dig", "left")
     clashing = rows.join(shared, "_dig", "left_semi")
-    by_content = clashing.groupBy("_dig", "_norm").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size"))
+    by_content = materialized(clashing.groupBy("_dig", "_norm").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")), "clashing")
     exact = clashing.join(by_content, ["_dig", "_norm"]).select(
         "_dig", "_id", sha256(F.col("_norm")).alias("text_sha256"), "_keep", "_size")
     both = plain.unionByName(exact)
