@@ -106,6 +106,19 @@ def full_examples(rows: DataFrame) -> DataFrame:
         F.col("x.context_chars").alias("target_start"), F.col("x.target_chars").alias("target_chars"))
 
 
+def trained_replies(full: DataFrame) -> DataFrame:
+    """From whole examples alone: conv_id, losses (the text under each example's mask, in order), all_fit.
+
+    ``all_fit`` says that every example's mask ends where its text does but for the end mark, so that its
+    context is all that stands before it.
+    """
+    target = F.substr(F.col("text"), F.col("target_start").cast("int") + 1, F.col("target_chars"))
+    fits = F.char_length("text") == F.col("target_start") + F.col("target_chars") + len("</s>")
+    each = full.select("conv_id", F.struct("example", unescaped(target).alias("loss")).alias("e"), fits.alias("fits"))
+    return each.groupBy("conv_id").agg(
+        F.transform(F.sort_array(F.collect_list("e")), lambda e: e.loss).alias("losses"), F.min("fits").alias("all_fit"))
+
+
 def read_back(rows: DataFrame) -> DataFrame:
     """From example rows alone: conv_id, turns (array of role and text), losses (array), formatted."""
     loss = F.when(F.col("has_target"), unescaped(F.substring(F.col("segment"), F.col("target_start") + 1, F.col("target_chars"))))

@@ -11,7 +11,7 @@ from webgrain.llm import (
     chat_format, decontamination, exact_dedup, fill_in_middle, language_id, line_dedup, mixing, ngram_join, periodic_runs, secrets,
     token_counts, token_files, toxicity)
 from webgrain.llm.common import WORD_JAVA, whole
-from webgrain.session import configure
+from webgrain.session import configure, materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,14 +87,22 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(et) + CASE WHEN role = 'assistant' THEN 4 ELSE length(er) + 16 END)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id""")
 def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation, read back from its training examples; one probe conversation (-1) is full of control strings."""
+    """Every conversation, read back from its training examples; one probe conversation (-1) is full of control strings.
+
+    What is trained on is read from examples with all preceding turns as context; a mask that does not
+    fit its example would leave the conversation without a digest.
+    """
     given = table(spark, folder, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = given.sparkSession.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ESCAPE_PROBE).alias("text"))
-    back = chat_format.read_back(chat_format.examples(given.unionByName(probe)))
+    rows = materialized(chat_format.examples(given.unionByName(probe)), "chat-examples")
+    replies = chat_format.trained_replies(chat_format.full_examples(rows)).withColumnRenamed("conv_id", "_conv")
+    back = chat_format.read_back(rows).drop("losses").join(replies, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    # Conversations without a reply have no example.
+    losses = F.when(F.col("all_fit").isNull(), F.array().cast("array<string>")).when(F.col("all_fit"), F.col("losses"))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join("losses", "")
+    loss = F.array_join(losses, "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
