@@ -75,6 +75,16 @@ def test_names_equal_all_pairs(spark, names, block):
     assert [g[2] for g in sorted(got)] == pytest.approx([w[2] for w in sorted(want)], abs=2e-4)
 
 
+def test_few_pairs_leave_blocks(spark, names):
+    """All similar pairs, and hardly any other: the edit distance is not taken for every pair that meets."""
+    given = spark.createDataFrame([(n, 1) for n in sorted({*names} - {""})], "name string, key int").repartition(2)
+    marked = given.withColumn("mark", entities._signature(F.col("name")))
+    got = {tuple(r) for r in entities._pairs_in_blocks(marked, ["key"]).collect()}
+    pairs = list(itertools.combinations(sorted({*names} - {""}), 2))
+    want = {p for p in pairs if linked(*p)}
+    assert want <= got and all(a < b for a, b in got) and len(got) < len(want) + len(pairs) / 20
+
+
 def test_entities_with_a_hot_name_and_handle(spark, names):
     rng = random.Random(2)
     rows = [(i, n, None) for i, n in enumerate(names)]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webgrain.functions.scalars import tolerant_json
 from webgrain.functions.text import let, strip
 from webgrain.operators.graph import components
-from webgrain.session import materialized
+from webgrain.session import dealt, materialized
 
 MATCH_AT = 0.85
 
@@ -84,6 +89,10 @@ EDIT_PERCENT = 15
 SHORT_NAME = 19
 # Names that are compared in one block.
 BLOCK = 256
+# Words of 64 bits that sum a name up.
+SIGNATURE = 4
+# Pairs that are compared at once.
+PAIRS_TOGETHER = 1 << 20
 
 
 def edits(length: Column) -> Column:
@@ -176,12 +185,55 @@ def _segment_keys(name: Column, shared: int) -> Column:
     return F.array_distinct(both)
 
 
-def _links_in_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Similar pairs among the names that share ``by``; blocks are bounded, and only links leave them."""
-    blocks = rows.groupBy(*by).agg(F.collect_set("name").alias("members"))
-    one = blocks.select("members", F.explode("members").alias("name_a"))
-    partners = F.filter("members", lambda b: (b > F.col("name_a")) & similar(F.col("name_a"), b))
-    return one.select("name_a", F.explode(partners).alias("name_b"))
+def _signature(name: Column) -> Column:
+    """``SIGNATURE`` words of 64 bits; a bit tells whether an odd number of the name's neighbouring characters hash to it.
+
+    An edit takes at most two neighbours away and adds as many, so it turns at most four bits.
+    """
+    marks = F.transform(
+        _upto(F.lit(1), F.char_length(name) - 1), lambda i: F.pmod(F.xxhash64(F.substr(name, i, F.lit(2))), F.lit(64 * SIGNATURE)).cast("int"))
+    word = lambda k: F.aggregate(marks, F.lit(0).cast("long"), lambda bits, m: bits.bitwiseXOR(
+        F.when(F.floor(m / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(m, F.lit(64)))).otherwise(F.lit(0).cast("long"))))
+    return F.struct(F.char_length(name).alias("size"), *[word(k).alias(f"w{k}") for k in range(SIGNATURE)])
+
+
+def _pairs_in_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of names that share ``by`` and may be similar; blocks are bounded, and only such pairs leave them.
+
+    Names are not similar if their lengths or signatures are too far apart.
+    """
+    blocks = dealt(rows, *by).groupBy(*by).agg(F.collect_set(F.struct("name", "mark")).alias("members")).select("members")
+    percent, words, together = EDIT_PERCENT, SIGNATURE, PAIRS_TOGETHER
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(0)
+            flat, counts = members.flatten(), members.value_lengths().to_numpy()
+            name, mark = pc.struct_field(flat, "name"), pc.struct_field(flat, "mark")
+            size = pc.struct_field(mark, "size").to_numpy().astype(np.int64)
+            bits = [pc.struct_field(mark, f"w{k}").to_numpy() for k in range(words)]
+            # A member meets those that stand after it in its block.
+            last = np.repeat(np.cumsum(counts), counts)
+            place = np.arange(len(size))
+            partners = last - place - 1
+            ends = np.cumsum(partners)
+            at = 0
+            while at < len(size):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + together, "right")))
+                n = partners[at:upto]
+                a = np.repeat(place[at:upto], n)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+                most = np.maximum(size[a], size[b]) * percent // 100
+                near = np.abs(size[a] - size[b]) <= most
+                a, b, most = a[near], b[near], most[near]
+                turned = np.zeros(len(a), np.int64)
+                for word in bits:
+                    turned += np.bitwise_count((word[a] ^ word[b]).view(np.uint64))
+                near = turned <= 4 * most
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(a[near])), name.take(pa.array(b[near]))], ["x", "y"])
+                at = upto
+
+    return blocks.mapInArrow(compare, "x string, y string").select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
 
 
 def similar_names(names: DataFrame, name: str = "name", block: int = BLOCK) -> DataFrame:
@@ -190,12 +242,14 @@ def similar_names(names: DataFrame, name: str = "name", block: int = BLOCK) -> D
     Short names meet by what deletions leave of them, long ones by segments.  A key that more
     than ``block`` names share goes on exactly: names that share a single segment meet again by every two
     segments, and what is still too many is cut into parts, each of which meets each other one.  Names
-    are taken as they are; NULL and empty ones are similar to nothing.
+    are taken as they are; NULL and empty ones are similar to nothing.  Names that meet are told apart by their
+    signatures first; the edit distance is taken once for each pair that passes.
     """
     distinct = materialized(names.select(F.col(name).alias("name")).where("name <> ''").distinct(), "names")
+    distinct = materialized(dealt(distinct, "name").withColumn("mark", _signature(F.col("name"))), "names")
 
     def entries(rows: DataFrame, keys: Column, kind: str) -> DataFrame:
-        return rows.select("name", F.explode(keys).alias("key"), F.lit(kind).alias("kind"))
+        return rows.select("name", "mark", F.explode(keys).alias("key"), F.lit(kind).alias("kind"))
 
     def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Entries of keys that fit a block, and of hot ones with their number of parts."""
@@ -208,18 +262,20 @@ def similar_names(names: DataFrame, name: str = "name", block: int = BLOCK) -> D
     first = materialized(
         entries(distinct, _deletion_keys(column), "deletion").unionByName(entries(distinct, _segment_keys(column, 1), "one")), "name-entries")
     small, hot = met(first)
-    found = [_links_in_blocks(small, ["key"])]
+    found = [_pairs_in_blocks(small, ["key"])]
     hot = materialized(hot, "hot-names")
-    again = hot.where("kind = 'one'").select("name").distinct()
+    again = dealt(hot.where("kind = 'one'").dropDuplicates(["name"]), "name")
     second = materialized(entries(again, _segment_keys(column, 2), "two"), "name-entries")
     small, still_hot = met(second)
-    found.append(_links_in_blocks(small, ["key"]))
+    found.append(_pairs_in_blocks(small, ["key"]))
     rest = materialized(hot.where("kind = 'deletion'").unionByName(still_hot), "hot-names")
     part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-    crossed = rest.select("key", "name", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    crossed = crossed.select("key", "name", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found.append(_links_in_blocks(crossed, ["key", "i", "j"]))
-    links = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    crossed = rest.select("key", "name", "mark", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    crossed = crossed.select("key", "name", "mark", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found.append(_pairs_in_blocks(crossed, ["key", "i", "j"]))
+    # Stored, as the filter would otherwise be pushed below the distinct.
+    pairs = materialized(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "name-pairs")
+    links = pairs.where(similar(F.col("name_a"), F.col("name_b")))
     return links.select("name_a", "name_b", F.round(pair_score(F.col("name_a"), F.col("name_b")), 4).alias("score"))
 
 
