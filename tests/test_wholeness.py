@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import gates, scalars
 from webgrain.operators import enrich, normalize
-from webgrain.session import work_folder
+from webgrain.session import TASK_ROWS, spread, work_folder
 from webgrain.sources import tables
 
 
@@ -79,3 +79,16 @@ def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Session(), "x")
+
+
+def test_rows_are_dealt_by_their_number(spark, tmp_path):
+    """Short rows of a row group that no reader splits, and one of many small groups."""
+    rows, wanted = 9 * TASK_ROWS, 9
+    spark.range(rows).coalesce(1).write.parquet(str(tmp_path / "one"))
+    out = spread(spark.read.parquet(str(tmp_path / "one")), "id")
+    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == wanted and sum(sizes) == rows and max(sizes) < 2 * TASK_ROWS
+    spark.range(400).repartition(8).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert spread(many, "id").count() == 400
+    assert spread(many.where("id < 0"), "id").count() == 0

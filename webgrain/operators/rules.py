@@ -99,9 +99,12 @@ def with_parsed(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def extract_pack(pages: DataFrame, pack: Pack, page_type: str, url: str = "url") -> DataFrame:
     """Rows of one page type with their extracted values (``parsed`` is used up)."""
-    page = Page("parsed", F.col(url))
+    page, rules = Page("parsed", F.col(url)), pack.pages[page_type]
     rest = [c for c in pages.columns if c != "parsed"]
-    return pages.select(*rest, read_page(page, pack.pages[page_type]).alias("fields"))
+    # Columns instead of one bound struct: Spark compiles them, drops those that nothing reads, and never repeats them.
+    bound = pages.select(*rest, "parsed", bound_chains(page, rules.chains).alias("__chains"))
+    values = rules.read(page, F.col("__chains"))
+    return bound.select(*rest, F.struct(*[c.alias(n) for n, c in values.items()]).alias("fields"))
 
 
 def extract_unified(pages: DataFrame, packs: list[Pack], *, url: str = "url", platform: str = "platform",
