@@ -75,7 +75,8 @@ def _read_post(page: Page, c: Column) -> Values:
     resolve = lambda v: urls.resolve_url(page.url, v)
     breakdown = F.map_from_arrays(
         F.array(*[F.lit(r) for r in REACTIONS]),
-        F.array(*[scalars.parse_engagement(page.first_text(f".fb-reaction-{r}")) for r in REACTIONS]),
+        # Each text is looked up once, however often its reading uses it.
+        F.transform(F.array(*[page.first_text(f".fb-reaction-{r}") for r in REACTIONS]), scalars.parse_engagement),
     )
     media = F.filter(
         F.transform(page.attrs_of(MEDIA, "src"), resolve),

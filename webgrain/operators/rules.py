@@ -97,14 +97,19 @@ def with_parsed(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("parsed", parse_page(F.col(html))).drop(html)
 
 
-def extract_pack(pages: DataFrame, pack: Pack, page_type: str, url: str = "url") -> DataFrame:
-    """Rows of one page type with their extracted values (``parsed`` is used up)."""
+def extract_pack(pages: DataFrame, pack: Pack, page_type: str, url: str = "url", *,
+                 fields: list[str] | None = None) -> DataFrame:
+    """Rows of one page type with their extracted values (``parsed`` is used up).
+
+    ``fields`` names the values of the struct, all of the page type's by default.  Spark makes a struct
+    as a whole once two of its costly values are read: name those that are needed.
+    """
     page, rules = Page("parsed", F.col(url)), pack.pages[page_type]
     rest = [c for c in pages.columns if c != "parsed"]
-    # Columns instead of one bound struct: Spark compiles them, drops those that nothing reads, and never repeats them.
-    bound = pages.select(*rest, "parsed", bound_chains(page, rules.chains).alias("__chains"))
-    values = rules.read(page, F.col("__chains"))
-    return bound.select(*rest, F.struct(*[c.alias(n) for n, c in values.items()]).alias("fields"))
+    # A column for each chain: Spark compiles it, takes it once, and drops it where nothing reads it.
+    bound = pages.select(*rest, "parsed", *[page.chain(selectors).alias(f"__chain_{n}") for n, selectors in rules.chains.items()])
+    values = rules.read(page, F.struct(*[F.col(f"__chain_{n}").alias(n) for n in rules.chains]))
+    return bound.select(*rest, F.struct(*[values[n].alias(n) for n in (values if fields is None else fields)]).alias("fields"))
 
 
 def extract_unified(pages: DataFrame, packs: list[Pack], *, url: str = "url", platform: str = "platform",

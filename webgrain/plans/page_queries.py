@@ -297,8 +297,8 @@ def _rendered(df: DataFrame, key: str, url: str, html: str, platform: str = "x")
     return with_parsed(rows)
 
 
-def _fields(rows: DataFrame, pack: Pack, kind: str) -> DataFrame:
-    return extract_pack(rows, pack, kind)
+def _fields(rows: DataFrame, pack: Pack, kind: str, *names: str) -> DataFrame:
+    return extract_pack(rows, pack, kind, fields=list(names))
 
 
 _IG_POST = """concat('<meta property="og:image" content="https://i/', o_orderkey, '.jpg"><article class="_aatb x"><header>',
@@ -315,7 +315,7 @@ SELECT o_orderkey, 'u' || o_custkey AS author, 'Order #t' || o_orderkey || ' by
   'https://i/' || o_orderkey || '.jpg https://j/1.jpg' AS media FROM orders""")
 def instagram_post(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.instagram.com/p/', o_orderkey)", _IG_POST)
-    return _fields(rows, INSTAGRAM, "post").select(
+    return _fields(rows, INSTAGRAM, "post", "author_username", "caption", "tags", "mentions", "likes_count", "comments_count", "timestamp", "media_urls").select(
         "o_orderkey", F.col("fields.author_username").alias("author"), "fields.caption",
         F.array_join("fields.tags", " ").alias("tags"), F.array_join("fields.mentions", " ").alias("mentions"),
         F.col("fields.likes_count").alias("likes"), F.col("fields.comments_count").alias("comments"),
@@ -330,7 +330,7 @@ def profile_stats(t: Tables) -> DataFrame:
     html = """concat('<header><h2>', c_name, '</h2><ul><li><span>', c_nationkey, '</span> posts</li><li><span>',
       c_custkey, 'K</span> followers</li><li><span>', c_custkey % 7, '</span> following</li></ul></header>')"""
     rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://instagram.com/c', c_custkey)", html)
-    return _fields(rows, INSTAGRAM, "profile").select(
+    return _fields(rows, INSTAGRAM, "profile", "follower_count", "following_count", "posts_count").select(
         "c_custkey", F.col("fields.follower_count").alias("followers"),
         F.col("fields.following_count").alias("following"), F.col("fields.posts_count").alias("posts"),
     )
@@ -367,7 +367,7 @@ SELECT c_custkey, u.* FROM customer, LATERAL (VALUES
   (1, 'w', NULL, NULL, NULL)) u(pos, video_id, link, thumbnail, views)""")
 def nested_records(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://www.tiktok.com/@c', c_custkey)", _TT_PROFILE)
-    items = _fields(rows, TIKTOK, "profile").select("c_custkey", F.posexplode("fields.recent_videos").alias("pos", "v"))
+    items = _fields(rows, TIKTOK, "profile", "recent_videos").select("c_custkey", F.posexplode("fields.recent_videos").alias("pos", "v"))
     return items.select(
         "c_custkey", "pos", "v.video_id", F.col("v.url").alias("link"),
         F.col("v.thumbnail_url").alias("thumbnail"), "v.views",
@@ -380,7 +380,7 @@ SELECT c_custkey, 'c' || c_custkey AS author, c_custkey * 1000 AS followers, c_n
   3 AS missing FROM customer""")
 def completeness(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://www.tiktok.com/@c', c_custkey)", _TT_PROFILE)
-    return _fields(rows, TIKTOK, "profile").select(
+    return _fields(rows, TIKTOK, "profile", "username", "follower_count", "video_count", "warnings", "partial_reasons").select(
         "c_custkey", F.col("fields.username").alias("author"), F.col("fields.follower_count").alias("followers"),
         F.col("fields.video_count").alias("videos"), F.size("fields.warnings").alias("warnings"),
         F.get("fields.warnings", F.lit(0)).alias("warning"), F.size("fields.partial_reasons").alias("missing"),
@@ -400,7 +400,7 @@ SELECT o_orderkey, o_orderkey::VARCHAR AS video_id, 'https://www.tiktok.com/@a'
   'https://v/' || o_orderkey || '.mp4' AS video_url, o_orderdate AS posted_at, '#tag' || o_custkey AS tags FROM orders""")
 def tiktok_video(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.tiktok.com/@a/video/', o_orderkey)", _TT_VIDEO)
-    return _fields(rows, TIKTOK, "video").select(
+    return _fields(rows, TIKTOK, "video", "video_id", "author_url", "play_count", "like_count", "duration", "video_url", "timestamp", "hashtags").select(
         "o_orderkey", "fields.video_id", "fields.author_url", F.col("fields.play_count").alias("views"),
         F.col("fields.like_count").alias("likes"), "fields.duration", "fields.video_url",
         F.col("fields.timestamp").cast("timestamp_ntz").alias("posted_at"), F.array_join("fields.hashtags", " ").alias("tags"),
@@ -419,7 +419,7 @@ SELECT o_orderkey, 'urn:' || o_orderkey AS id, 'https://www.linkedin.com/in/ann-
   o_orderdate AS posted_at FROM orders""")
 def linkedin_post(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.linkedin.com/posts/', o_orderkey)", _LI_POST)
-    return _fields(rows, LINKEDIN, "post").select(
+    return _fields(rows, LINKEDIN, "post", "id", "author_url", "text", "reaction_count", "comment_count", "repost_count", "timestamp").select(
         "o_orderkey", "fields.id", "fields.author_url", "fields.text", F.col("fields.reaction_count").alias("likes"),
         F.col("fields.comment_count").alias("comments"), F.col("fields.repost_count").alias("shares"),
         F.col("fields.timestamp").cast("timestamp_ntz").alias("posted_at"),
@@ -434,7 +434,7 @@ def linkedin_company(t: Tables) -> DataFrame:
       ' followers</span><div class="company-website"><a href="https://s', s_suppkey, '.example.com">site</a></div>',
       '<ul class="company-specialties"><li>A</li><li> </li><li>B', s_nationkey, '</li></ul>')"""
     rows = _rendered(t.spread("supplier", "s_suppkey"), "s_suppkey", "concat('https://www.linkedin.com/company/', s_suppkey)", html)
-    return _fields(rows, LINKEDIN, "company").select(
+    return _fields(rows, LINKEDIN, "company", "name", "follower_count", "specialties", "website").select(
         "s_suppkey", F.col("fields.name").alias("title"), F.col("fields.follower_count").alias("likes"),
         F.array_join("fields.specialties", " ").alias("tags"), "fields.website",
     )
@@ -453,7 +453,7 @@ SELECT o_orderkey, u.* FROM orders, LATERAL (VALUES ('like', o_custkey), ('love'
   ('haha', NULL), ('sad', NULL), ('angry', NULL)) u(reaction, n)""")
 def reactions(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST)
-    return _fields(rows, FACEBOOK, "post").select(
+    return _fields(rows, FACEBOOK, "post", "reactions_breakdown").select(
         "o_orderkey", F.explode("fields.reactions_breakdown").alias("reaction", "n")
     )
 
@@ -463,7 +463,7 @@ SELECT o_orderkey, 'https://www.facebook.com/g/posts/m/' || o_orderkey || '.jpg'
   'https://www.facebook.com/g' || o_custkey AS author_url FROM orders""")
 def media_urls(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.facebook.com/g/posts/', o_orderkey)", _FB_POST)
-    return _fields(rows, FACEBOOK, "post").select(
+    return _fields(rows, FACEBOOK, "post", "media_urls", "author_url").select(
         "o_orderkey", F.array_join("fields.media_urls", " ").alias("media"), "fields.author_url"
     )
 
@@ -493,7 +493,7 @@ _YT = """concat('<meta property="og:image" content="/thumb', o_orderkey, '.jpg">
 SELECT o_orderkey, o_orderkey % 2 = 0 AS disabled, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END AS comments FROM orders""")
 def comments_disabled(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.youtube.com/watch?v=', o_orderkey)", _YT)
-    return _fields(rows, YOUTUBE, "video").select(
+    return _fields(rows, YOUTUBE, "video", "comments_disabled", "comment_count").select(
         "o_orderkey", F.col("fields.comments_disabled").alias("disabled"), F.col("fields.comment_count").alias("comments")
     )
 
@@ -505,7 +505,7 @@ SELECT o_orderkey, 'd' || o_orderkey AS id, 'V ' || o_orderkey AS title, o_custk
 def youtube_video(t: Tables) -> DataFrame:
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://www.youtube.com/watch?v=', o_orderkey)", _YT)
     segments = F.transform("fields.transcript_segments", lambda s: F.concat(s.start, F.lit(":"), s.text))
-    return _fields(rows, YOUTUBE, "video").select(
+    return _fields(rows, YOUTUBE, "video", "transcript_segments", "id", "title", "view_count", "channel_url", "tags", "thumbnail_url").select(
         "o_orderkey", "fields.id", "fields.title", F.col("fields.view_count").alias("views"), "fields.channel_url",
         F.array_join("fields.tags", " ").alias("tags"), F.array_join(segments, " ").alias("transcript"),
         F.col("fields.thumbnail_url").alias("thumbnail"),
@@ -520,8 +520,8 @@ def sample_packs(t: Tables) -> DataFrame:
       o_custkey, ' points</span><span class="text" itemprop="text">q', o_custkey,
       '</span><span class="text" itemprop="text">q2</span><p class="tags"><a class="tag" href="/tag/', o_custkey, '">x</a></p>')"""
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://news.ycombinator.com/item?id=', o_orderkey)", html)
-    both = _fields(rows.withColumn("again", F.col("parsed")), HACKERNEWS, "post").withColumnRenamed("fields", "hn")
-    both = _fields(both.withColumnRenamed("again", "parsed"), QUOTES, "post")
+    both = _fields(rows.withColumn("again", F.col("parsed")), HACKERNEWS, "post", "title", "score").withColumnRenamed("fields", "hn")
+    both = _fields(both.withColumnRenamed("again", "parsed"), QUOTES, "post", "quote_text", "tags")
     return both.select(
         "o_orderkey", "hn.title", F.col("hn.score").alias("likes"),
         F.array_join("fields.quote_text", "|").alias("quotes"), F.array_join("fields.tags", " ").alias("tags"),
@@ -535,7 +535,7 @@ def instagram_reel(t: Tables) -> DataFrame:
     html = """concat('<meta property="og:title" content=" Song "><header><a href="/u">u', o_custkey, '</a></header><section>',
       '<span class="_aacl">', o_custkey, 'K views</span><span class="_aacl">7 likes</span></section>')"""
     rows = _rendered(t.spread("orders", "o_orderkey"), "o_orderkey", "concat('https://instagram.com/reel/', o_orderkey)", html)
-    return _fields(rows, INSTAGRAM, "reel").select(
+    return _fields(rows, INSTAGRAM, "reel", "author_username", "views_count", "likes_count", "audio_attribution").select(
         "o_orderkey", F.col("fields.author_username").alias("author"), F.col("fields.views_count").alias("views"),
         F.col("fields.likes_count").alias("first_span"), F.col("fields.audio_attribution").alias("audio"),
     )
@@ -550,7 +550,7 @@ def x_profile(t: Tables) -> DataFrame:
       ' followers</b><div class="recent-tweets"><p class="tweet-text">one</p><p class="tweet-text"> </p><p class="tweet-text">two</p></div>',
       '<p class="tweet-text">outside</p>')"""
     rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://x.com/c', c_custkey)", html)
-    return _fields(rows, X, "profile").select(
+    return _fields(rows, X, "profile", "display_name", "username", "bio", "website", "follower_count", "recent_tweets").select(
         "c_custkey", "fields.display_name", "fields.username", "fields.bio", "fields.website", "fields.follower_count",
         F.array_join("fields.recent_tweets", "|").alias("recent"),
     )
@@ -562,7 +562,7 @@ def linkedin_profile(t: Tables) -> DataFrame:
     html = """concat('<h1 class="top-card-layout__title">', c_name, '</h1><p class="top-card-layout__headline">', c_mktsegment,
       '</p><p class="profile-connections">', c_custkey, '+ connections</p>')"""
     rows = _rendered(t.spread("customer", "c_custkey"), "c_custkey", "concat('https://www.linkedin.com/in/c', c_custkey)", html)
-    return _fields(rows, LINKEDIN, "profile").select(
+    return _fields(rows, LINKEDIN, "profile", "name", "headline", "connections_count", "warnings", "partial_reasons").select(
         "c_custkey", F.col("fields.name").alias("full_name"), "fields.headline",
         F.col("fields.connections_count").alias("connections"), F.size("fields.warnings").alias("warnings"),
         F.size("fields.partial_reasons").alias("missing"),
@@ -579,7 +579,7 @@ def facebook_page(t: Tables) -> DataFrame:
       '"><p class="fb-post-preview-text">hello</p></div></div>', if(s_suppkey % 2 = 0, '', '<p>Friends only</p>'))"""
     rows = _rendered(t.spread("supplier", "s_suppkey"), "s_suppkey", "concat('https://www.facebook.com/s', s_suppkey)", html)
     posts = F.transform("fields.recent_posts", lambda p: F.concat(p.post_id, F.lit(":"), p.text))
-    return _fields(rows, FACEBOOK, "profile").select(
+    return _fields(rows, FACEBOOK, "profile", "recent_posts", "name", "likes_count", "followers_count", "website", "is_public").select(
         "s_suppkey", F.col("fields.name").alias("title"), F.col("fields.likes_count").alias("likes"),
         F.col("fields.followers_count").alias("followers"), "fields.website", F.array_join(posts, " ").alias("recent"), "fields.is_public",
     )
@@ -595,7 +595,7 @@ def youtube_channel(t: Tables) -> DataFrame:
       '"><b class="yt-video-item-title">One</b><i class="yt-video-item-views">', s_suppkey, 'M views</i></div></div>')"""
     rows = _rendered(t.spread("supplier", "s_suppkey"), "s_suppkey", "concat('https://www.youtube.com/@s', s_suppkey)", html)
     videos = F.transform("fields.recent_videos", lambda v: F.concat_ws(":", v.video_id, v.title, v.view_count))
-    return _fields(rows, YOUTUBE, "profile").select(
+    return _fields(rows, YOUTUBE, "profile", "recent_videos", "name", "subscriber_count", "channel_id", "description").select(
         "s_suppkey", F.col("fields.name").alias("title"), F.col("fields.subscriber_count").alias("subscribers"),
         "fields.channel_id", F.col("fields.description").alias("about"), F.array_join(videos, " ").alias("recent"),
     )
@@ -614,7 +614,7 @@ def custom_pack(t: Tables) -> DataFrame:
         )},
     )
     check_pack(pack)
-    return extract_pack(with_parsed(t.spread("pages", "page_id")), pack, "article").select("page_id", "fields.lang")
+    return extract_pack(with_parsed(t.spread("pages", "page_id")), pack, "article", fields=["lang"]).select("page_id", "fields.lang")
 
 
 @query("D10_critical_hash", """
