@@ -708,3 +708,14 @@ def test_pieces_of_one_hash_stay_apart(monkeypatch):
         texts = ["".join(rng.choice("ab c,'1\n") for _ in range(rng.randint(0, 30))) for _ in range(9)]
         ids, counts = memory.ids(texts)
         assert "".join(map(chr, ids)) == "".join(texts) and counts.tolist() == [len(t) for t in texts]
+
+
+def test_base_spans_from_known_runs():
+    """op5: long hex runs are looked for inside candidates only, and candidates are scored in blocks that fit a cache."""
+    texts = ["", "x", "a" * 31, "a" * 32, "A" + "b" * 40 + "Zq", "--" + "0f" * 16 + "/" + "1e" * 20 + ".", "é" + "9" * 33 + "é", "token=" + "c" * 50,
+             "AKIA" + "Q" * 16 + " " + "d" * 64 + "\n" + "d" * 32 + "g"]
+    for text in texts:
+        hexes = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+        for found in (secrets.base_spans(text), secrets.base_spans(text, secrets.candidates(text))):
+            assert [(s, e) for s, k, e in found if k == 2] == hexes
+    assert secrets.TOGETHER * (2 * secrets.CONTEXT + 12) * secrets.FILTERS * 4 <= 2_000_000
