@@ -39,7 +39,7 @@ def parse_engagement(text: Column) -> Column:
     Overflowing inputs give NULL.
     """
     plain = F.replace(F.lower(strip(text)), F.lit(","), F.lit(""))
-    number = F.nullif(F.regexp_extract(plain, _COUNT, 1), F.lit(""))
+    number = F.regexp_extract(plain, _COUNT, 1)  # '' is no double
     # '' -> 1, 'k' -> 1e3, 'm' -> 1e6, 'b' -> 1e9
     factor = F.pow(F.lit(1000.0), F.instr(F.lit("-kmb"), F.regexp_extract(plain, _COUNT, 2)) - 1)
     return (number.try_cast("double") * factor).try_cast("bigint")

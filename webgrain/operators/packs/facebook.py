@@ -43,7 +43,7 @@ URL_PATTERNS = [
 
 
 def _count(text: Column) -> Column:
-    return scalars.parse_engagement(scalars.clean_count_text(text))
+    return let(scalars.clean_count_text(text), scalars.parse_engagement)
 
 
 def _with_attr(used: Column, *more: Column) -> Column:
@@ -76,7 +76,7 @@ def _read_post(page: Page, c: Column) -> Values:
     breakdown = F.map_from_arrays(
         F.array(*[F.lit(r) for r in REACTIONS]),
         # Each text is looked up once, however often its reading uses it.
-        F.transform(F.array(*[page.first_text(f".fb-reaction-{r}") for r in REACTIONS]), scalars.parse_engagement),
+        F.transform(page.first_texts([f"fb-reaction-{r}" for r in REACTIONS]), scalars.parse_engagement),
     )
     media = F.filter(
         F.transform(page.attrs_of(MEDIA, "src"), resolve),

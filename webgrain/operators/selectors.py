@@ -15,6 +15,7 @@ import itertools
 import re
 from functools import reduce
 from operator import and_, or_
+from os.path import commonprefix
 
 from pyspark.sql import Column, functions as F
 
@@ -172,6 +173,19 @@ class Page:
             f"get(transform({self._first(selector)}, {n} -> {self._text(n, separator)}), 0)"
         )
 
+    def first_texts(self, classes: list[str], separator: str = "") -> Column:
+        """For each class name, text of the first node that has it, NULL without one.
+
+        All nodes are passed once: those with a class that begins as all the names do are looked at further.
+        """
+        n, hits = _var("n"), _var("h")
+        begin = quoted(" " + commonprefix(classes))
+        found = [f"get(filter({hits}, {n} -> {self._fits('.' + name, n)}), 0)" for name in classes]
+        return F.expr(
+            f"get(transform(array(filter({self.sql}.dom, {n} -> contains({n}.cls, {begin}))), {hits} -> "
+            f"transform(array({', '.join(found)}), {n} -> {self._text(n, separator)})), 0)"
+        )
+
     def first_attr(self, selector: str, name: str) -> Column:
         """Attribute of the first match."""
         n = _var("n")
