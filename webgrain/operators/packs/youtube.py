@@ -50,15 +50,18 @@ URL_PATTERNS = [
 
 
 def _count(text: Column) -> Column:
-    return scalars.parse_engagement(scalars.clean_count_text(text))
+    return let(scalars.clean_count_text(text), scalars.parse_engagement)
 
 
 def comments_disabled(page: Page) -> Column:
     """C14: a visible marker element or a phrase anywhere on the page."""
-    style = F.lower(F.coalesce(page.first_attr(COMMENTS_OFF, "style"), F.lit("")))
-    hidden = F.replace(style, F.lit(" "), F.lit("")).contains("display:none")
-    text = F.lower(page.first_text(COMMENTS_OFF, " "))
-    marked = ~hidden & contains_any(text, COMMENTS_OFF_WORDS)
+
+    def marks(node: Column) -> Column:
+        style = F.lower(F.coalesce(node.attrs.getItem("style"), F.lit("")))
+        hidden = F.replace(style, F.lit(" "), F.lit("")).contains("display:none")
+        return ~hidden & contains_any(F.lower(page.text(node, " ")), COMMENTS_OFF_WORDS)
+
+    marked = let(page.first(COMMENTS_OFF), marks)
     anywhere = contains_any(F.lower(page.all_text()), COMMENTS_OFF_PHRASES)
     return F.coalesce(marked, F.lit(False)) | anywhere
 
