@@ -126,3 +126,34 @@ def test_components_of_chains_stars_and_noise(spark):
     real = [(a, b) for a, b in links if a is not None and b is not None and a != b]
     assert got == grouped({x for p in real for x in p}, real)
     assert components(table.where("a = b")).count() == 0
+
+
+@pytest.mark.parametrize("key_costs", [0, 1 << 40])
+def test_both_ways_equal_all_pairs(spark, names, monkeypatch, key_costs):
+    """By keys, also hot ones, and in tiles of few names."""
+    monkeypatch.setattr(entities, "TILE", 7)
+    given = spark.createDataFrame([(n,) for n in names], "name string").repartition(3)
+    want = sorted((a, b) for a, b in itertools.combinations(sorted({*names} - {""}), 2) if linked(a, b))
+    for costs in (0, 1 << 40):
+        monkeypatch.setattr(entities, "BLOCK_COSTS", costs)
+        got = [tuple(r)[:2] for r in entities.similar_names(given, block=5, key_costs=key_costs).collect()]
+        assert sorted(got) == want
+
+
+def test_names_of_one_passage_make_few_pairs(spark, monkeypatch):
+    """Segments that most names share are not multiplied: names meet at most once for each key, or all of them once."""
+    stored = {}
+    plain = entities.materialized
+
+    def watched(df, name):
+        out = plain(df, name)
+        stored[name] = stored.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(entities, "materialized", watched)
+    rng = random.Random(5)
+    words = ["the ", "tion ", "and ", "er ", "en ", "ing "]
+    names = ["".join(rng.choice(words) for _ in range(16))[:60].strip() for _ in range(400)]
+    got = entities.similar_names(spark.createDataFrame([(n,) for n in names], "name string").repartition(3)).collect()
+    assert len(got) == sum(linked(a, b) for a, b in itertools.combinations(sorted(set(names)), 2))
+    assert sum(stored.values()) < 200_000

@@ -93,6 +93,12 @@ BLOCK = 256
 SIGNATURE = 4
 # Pairs that are compared at once.
 PAIRS_TOGETHER = 1 << 20
+# Names of a tile, and tiles that a table of names is cut into if these would be more: a name goes to as many tasks.
+TILE, TILES = 4096, 32
+# What a key of a name costs, in pairs whose signatures are compared in a tile; a pair of a block costs as much as several.
+KEY_COSTS, BLOCK_COSTS = 1000, 8
+# Names of so many characters differ by so many bits as similar ones may: the edit distance is taken for most of their pairs.
+LONG_NAME = 160
 
 
 def edits(length: Column) -> Column:
@@ -112,7 +118,8 @@ def similar(a: Column, b: Column) -> Column:
     """Whether two names are at most ``EDIT_PERCENT`` of the longer one apart."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
     near = F.abs(F.char_length(a) - F.char_length(b)) <= edits(longest)
-    return near & (100 * F.levenshtein(a, b) <= EDIT_PERCENT * longest)
+    # With a bound the distance is -1 beyond it, and costs less.
+    return near & (F.call_function("levenshtein", a, b, edits(longest)) >= 0)
 
 
 def _upto(first: Column, last: Column) -> Column:
@@ -145,17 +152,17 @@ def _each(values: Column, keys) -> Column:  # noqa: ANN001
     return F.flatten(F.transform(values, keys))
 
 
-def _segment_keys(name: Column, shared: int) -> Column:
-    """Hashes of ``shared`` segments at once, for pairs whose longer name has more than ``SHORT_NAME`` characters.
+def _segment_keys(name: Column) -> Column:
+    """Hashes of segments, for pairs whose longer name has more than ``SHORT_NAME`` characters.
 
-    The shorter name is cut into k + ``shared`` segments, k being the edits that the pair may be apart: as many
-    as ``shared`` of them are untouched, and stand in the longer name not further from their place than k
-    edits can shift them with the lengths' difference made up on the other side.
+    The shorter name is cut into k + 1 segments, k being the edits that the pair may be apart: one
+    of them is untouched, and stands in the longer name not further from its place than k
+    edits can shift it with the lengths' difference made up on the other side.
     """
     n = F.char_length(name)
 
     def keys(shorter: Column, k: Column, shifts) -> Column:  # noqa: ANN001
-        parts = k + shared
+        parts = k + 1
         start = lambda i: F.floor(i * shorter / parts).cast("int")
 
         def placed(i: Column) -> Column:
@@ -163,13 +170,9 @@ def _segment_keys(name: Column, shared: int) -> Column:
             size = start(i + 1) - start(i)
             fits = F.filter(shifts, lambda d: (start(i) + d >= 0) & (start(i) + d + size <= n))
             return F.transform(fits, lambda d: F.xxhash64(
-                F.lit("segment"), F.lit(shared), shorter, k, i, F.substr(name, start(i) + d + 1, size)))
+                F.lit("segment"), shorter, k, i, F.substr(name, start(i) + d + 1, size)))
 
-        if shared == 1:
-            return _each(F.sequence(F.lit(0), parts - 1), placed)
-        return _each(F.sequence(F.lit(0), parts - 2), lambda i: _each(
-            _upto(i + 1, parts - 1), lambda j: _each(
-                placed(i), lambda x: F.transform(placed(j), lambda y: F.xxhash64(F.lit("two"), x, y)))))
+        return _each(F.sequence(F.lit(0), parts - 1), placed)
 
     own = F.array(F.lit(0))
     # As the shorter one: segments of its own, for the edits of each longer partner.
@@ -188,13 +191,16 @@ def _segment_keys(name: Column, shared: int) -> Column:
 def _signature(name: Column) -> Column:
     """``SIGNATURE`` words of 64 bits; a bit tells whether an odd number of the name's neighbouring characters hash to it.
 
-    An edit takes at most two neighbours away and adds as many, so it turns at most four bits.
+    An edit takes at most two neighbours away and adds as many, so it turns at most four bits.  Neighbours that a name
+    has several times are told apart by how often they came before: else an even number of them would leave no trace.
     """
-    marks = F.transform(
-        _upto(F.lit(1), F.char_length(name) - 1), lambda i: F.pmod(F.xxhash64(F.substr(name, i, F.lit(2))), F.lit(64 * SIGNATURE)).cast("int"))
-    word = lambda k: F.aggregate(marks, F.lit(0).cast("long"), lambda bits, m: bits.bitwiseXOR(
+    pairs = F.transform(_upto(F.lit(1), F.char_length(name) - 1), lambda i: F.xxhash64(F.substr(name, i, F.lit(2))))
+    marks = lambda ordered: F.transform(ordered, lambda x, i: F.pmod(F.xxhash64(
+        x, i.cast("long") - F.call_function("array_position", ordered, x)), F.lit(64 * SIGNATURE)).cast("int"))
+    word = lambda marked, k: F.aggregate(marked, F.lit(0).cast("long"), lambda bits, m: bits.bitwiseXOR(
         F.when(F.floor(m / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(m, F.lit(64)))).otherwise(F.lit(0).cast("long"))))
-    return F.struct(F.char_length(name).alias("size"), *[word(k).alias(f"w{k}") for k in range(SIGNATURE)])
+    words = let(let(F.sort_array(pairs), marks), lambda marked: F.struct(*[word(marked, k).alias(f"w{k}") for k in range(SIGNATURE)]))
+    return let(words, lambda w: F.struct(F.char_length(name).alias("size"), *[w[f"w{k}"].alias(f"w{k}") for k in range(SIGNATURE)]))
 
 
 def _pairs_in_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -236,47 +242,150 @@ def _pairs_in_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
     return blocks.mapInArrow(compare, "x string, y string").select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
 
 
-def similar_names(names: DataFrame, name: str = "name", block: int = BLOCK) -> DataFrame:
+def _reach(size: int) -> int:
+    """Length of the longest name that is similar to one of ``size`` characters."""
+    return size * 100 // (100 - EDIT_PERCENT)
+
+
+def _key_count(size: int) -> int:
+    """About as many keys as a name of ``size`` characters gets."""
+    if size <= SHORT_NAME:
+        most = size * EDIT_PERCENT // 100
+        return 1 + size * (most > 0) + size * (size - 1) // 2 * (most > 1)
+    parts = size * EDIT_PERCENT // 100 + 1
+    return 2 * parts + parts ** 3 // 2
+
+
+def _costs(sizes: dict[int, int]) -> tuple[int, int]:
+    """Of names of these lengths (with their numbers): of all pairs in tiles, and of keys; in pairs of a tile."""
+    pairs = keys = 0
+    for size, n in sizes.items():
+        # A pair counts where its longer name does; of one length half of them.
+        met = sum(c for other, c in sizes.items() if other < size <= _reach(other)) + (n + 1) // 2
+        pairs += n * met * (1 if size < LONG_NAME else size * size // 25)
+        keys += n * KEY_COSTS * _key_count(size)
+    return pairs, keys
+
+
+def _pairs_in_tiles(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Pairs of all names that may be similar, as ``_pairs_in_blocks`` has them: any two meet once.
+
+    Names are dealt by their length into tiles of bounded size; those whose lengths are near enough meet.
+    """
+    spark = rows.sparkSession
+    most = max(TILE, -(-sum(sizes.values()) // TILES))
+    # A tile holds names of one length, or of some that follow each other.
+    tiles: list[list[int]] = []  # least and greatest length
+    dealt_to, held = [], most
+    for size, n in sorted(sizes.items()):
+        if held + n > most:
+            held, parts = 0, -(-n // most)
+            tiles += [[size, size] for _ in range(parts)]
+        else:
+            parts = 1
+            tiles[-1][1] = size
+        dealt_to.append((size, len(tiles) - parts, parts))
+        held = most if parts > 1 else held + n
+    meet = [(i, j) for i in range(len(tiles)) for j in range(i, len(tiles)) if tiles[j][0] <= _reach(tiles[i][1])]
+    goes = sorted({(t, i, j) for i, j in meet for t in (i, j)})
+    tile_of = spark.createDataFrame(dealt_to, "size int, first int, parts int")
+    goes_to = spark.createDataFrame(goes, "tile int, i int, j int")
+    tile = F.col("first") + F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+    own = rows.join(F.broadcast(tile_of), F.col("mark.size") == F.col("size")).select("name", "mark", tile.alias("tile"))
+    own = own.join(F.broadcast(goes_to), "tile")
+    groups = dealt(own, "i", "j").groupBy("i", "j").agg(F.collect_list(F.struct("tile", "name", "mark")).alias("members"))
+    percent, words = EDIT_PERCENT, SIGNATURE
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in range(batch.num_rows):
+                here = batch.slice(number, 1)
+                members = here.column(2).flatten()
+                place, name, mark = (pc.struct_field(members, c) for c in ("tile", "name", "mark"))
+                place, size = place.to_numpy(), pc.struct_field(mark, "size").to_numpy().astype(np.int64)
+                bits = [pc.struct_field(mark, f"w{k}").to_numpy().view(np.uint64) for k in range(words)]
+                i, j = here.column(0)[0].as_py(), here.column(1)[0].as_py()
+                left, right = np.flatnonzero(place == i), np.flatnonzero(place == j)
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+                # Squares that fit a core's cache.
+                for at in range(0, len(left), 64):
+                    a = left[at:at + 64]
+                    for upto in range(at if i == j else 0, len(right), 2048):
+                        b = right[upto:upto + 2048]
+                        turned = np.bitwise_count(bits[0][a][:, None] ^ bits[0][b])
+                        for word in bits[1:-1]:
+                            turned += np.bitwise_count(word[a][:, None] ^ word[b])
+                        turned = np.add(turned, np.bitwise_count(bits[-1][a][:, None] ^ bits[-1][b]), dtype=np.uint16)
+                        longest = 4 * (max(size[a].max(), size[b].max()) * percent // 100)
+                        x, y = np.nonzero(turned <= longest)
+                        apart, x, y = turned[x, y], a[x], b[y]
+                        most = np.maximum(size[x], size[y]) * percent // 100
+                        near = (np.abs(size[x] - size[y]) <= most) & (apart <= 4 * most)
+                        if i == j:
+                            near &= x < y
+                        if near.any():
+                            found.append((x[near], y[near]))
+                if found:
+                    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+                    for at in range(0, len(x), 1 << 16):
+                        yield pa.RecordBatch.from_arrays(
+                            [name.take(pa.array(x[at:at + (1 << 16)])), name.take(pa.array(y[at:at + (1 << 16)]))], ["x", "y"])
+
+    met = groups.mapInArrow(compare, "x string, y string")
+    return met.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
+
+
+def similar_names(names: DataFrame, name: str = "name", block: int = BLOCK, key_costs: int | None = None) -> DataFrame:
     """(name_a, name_b, score), a < b, of all distinct names that are similar; no pairs need to be given.
 
-    Short names meet by what deletions leave of them, long ones by segments.  A key that more
-    than ``block`` names share goes on exactly: names that share a single segment meet again by every two
-    segments, and what is still too many is cut into parts, each of which meets each other one.  Names
-    are taken as they are; NULL and empty ones are similar to nothing.  Names that meet are told apart by their
-    signatures first; the edit distance is taken once for each pair that passes.
+    Names that meet are told apart by their signatures first; the edit distance is taken once for each pair that passes.
+    All names of near lengths meet where that costs less than their keys.  Otherwise short names meet by
+    what deletions leave of them, long ones by segments.  The names of keys that more than ``block`` of them share
+    are cut into parts, each of which meets each other one, or all meet, whichever costs less.  Names
+    are taken as they are; NULL and empty ones are similar to nothing.
     """
     distinct = materialized(names.select(F.col(name).alias("name")).where("name <> ''").distinct(), "names")
     distinct = materialized(dealt(distinct, "name").withColumn("mark", _signature(F.col("name"))), "names")
 
-    def entries(rows: DataFrame, keys: Column, kind: str) -> DataFrame:
-        return rows.select("name", "mark", F.explode(keys).alias("key"), F.lit(kind).alias("kind"))
+    sizes = _lengths(distinct)
+    in_tiles, by_keys = _costs(sizes)
+    costs = KEY_COSTS if key_costs is None else key_costs
+    met = _pairs_in_tiles(distinct, sizes) if in_tiles <= by_keys // KEY_COSTS * costs else _pairs_by_keys(distinct, block).distinct()
+    # Stored, as the filter would otherwise be pushed below the distinct.
+    pairs = materialized(met, "name-pairs")
+    links = pairs.where(similar(F.col("name_a"), F.col("name_b")))
+    return links.select("name_a", "name_b", F.round(pair_score(F.col("name_a"), F.col("name_b")), 4).alias("score"))
+
+
+def _lengths(rows: DataFrame) -> dict[int, int]:
+    """How many names have each length."""
+    return dict(tuple(r) for r in rows.groupBy("mark.size").agg(F.count(F.lit(1))).collect())
 
-    def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Entries of keys that fit a block, and of hot ones with their number of parts."""
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        counts = materialized(counts.select("key", F.ceil(F.col("c") / block).cast("int").alias("parts")), "name-keys")
-        shared = rows.join(counts, "key")
-        return shared.where("parts = 1"), shared.where("parts > 1")
+
+def _pairs_by_keys(distinct: DataFrame, block: int) -> DataFrame:
+    """Pairs of names that share a key and may be similar, some of them more than once."""
+
+    def entries(keys: Column) -> DataFrame:
+        return distinct.select("name", "mark", F.explode(keys).alias("key"))
 
     column = F.col("name")
-    first = materialized(
-        entries(distinct, _deletion_keys(column), "deletion").unionByName(entries(distinct, _segment_keys(column, 1), "one")), "name-entries")
-    small, hot = met(first)
-    found = [_pairs_in_blocks(small, ["key"])]
-    hot = materialized(hot, "hot-names")
-    again = dealt(hot.where("kind = 'one'").dropDuplicates(["name"]), "name")
-    second = materialized(entries(again, _segment_keys(column, 2), "two"), "name-entries")
-    small, still_hot = met(second)
-    found.append(_pairs_in_blocks(small, ["key"]))
-    rest = materialized(hot.where("kind = 'deletion'").unionByName(still_hot), "hot-names")
+    first = materialized(entries(_deletion_keys(column)).unionByName(entries(_segment_keys(column))), "name-entries")
+    counts = first.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counts = materialized(counts.select("key", "c", F.ceil(F.col("c") / block).cast("int").alias("parts")), "name-keys")
+    shared = first.join(counts, "key")
+    found = _pairs_in_blocks(shared.where("parts = 1"), ["key"])
+    in_blocks = counts.where("parts > 1").agg(F.sum(F.col("c").cast("double") * F.col("c") / 2)).first()[0]
+    if in_blocks is None:
+        return found
+    hot = shared.where("parts > 1")
+    hot_names = materialized(hot.select("name", "mark").distinct(), "hot-names")
+    sizes = _lengths(hot_names)
+    if _costs(sizes)[0] <= BLOCK_COSTS * in_blocks:
+        return found.unionByName(_pairs_in_tiles(hot_names, sizes))
     part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-    crossed = rest.select("key", "name", "mark", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    crossed = hot.select("key", "name", "mark", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     crossed = crossed.select("key", "name", "mark", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found.append(_pairs_in_blocks(crossed, ["key", "i", "j"]))
-    # Stored, as the filter would otherwise be pushed below the distinct.
-    pairs = materialized(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "name-pairs")
-    links = pairs.where(similar(F.col("name_a"), F.col("name_b")))
-    return links.select("name_a", "name_b", F.round(pair_score(F.col("name_a"), F.col("name_b")), 4).alias("score"))
+    return found.unionByName(_pairs_in_blocks(crossed, ["key", "i", "j"]))
 
 
 def resolve_entities(entities: DataFrame, key: str = "entity_id", name: str = "name", handle: str = "handle") -> DataFrame:
