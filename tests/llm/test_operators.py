@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webgrain.llm import (
     chat_format, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, secrets, token_counts, token_files)
+from webgrain import session
 from webgrain.llm import bpe, pieces
 from webgrain.llm.bpe import LibraryIds, PrefixCounter
 
@@ -240,6 +241,54 @@ def test_join_of_chains_through_lists_of_two(spark):
     assert len({c for *_, c in want}) == 40 and got == want
 
 
+def test_join_in_slices_keeps_little(spark, monkeypatch):
+    """Slices find the same, and no stored table outlasts its last reader."""
+    size, percent = 5, 80
+    monkeypatch.setattr(ngram_join, "LEAST_SLICE", 30)
+    monkeypatch.setattr(ngram_join, "SKETCHED", 0.7)
+    monkeypatch.setattr(ngram_join, "FETCHED", 0.5)
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for length in (8, 30, 60, 120):
+        base = [rng.choice(words) for _ in range(length)]
+        for _ in range(12):
+            w = base[:]
+            w[rng.randrange(length)] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = set(session._made)
+    kept = ngram_join.keep_first(given, size=size, percent=percent)
+    names = sorted(x.rsplit("/", 1)[-1].rsplit("-", 1)[0] for x in set(session._made) - made)
+    assert names == ["judged"]
+    want = brute_components(rows, size, percent)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in want})
+
+
+def test_slices_and_shuffles_of_stored_tables(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = blocks.getAllFiles()
+        return {n for k in range(found.size()) if (n := found.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    rows = session.materialized(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "counted")
+    assert not shuffles() - before
+    seen = []
+
+    def work(part):
+        seen.append(part.count())
+        return part.selectExpr("k", "count * 2 AS n")
+
+    out = session.in_slices(rows, ["k"], 30, work, "sliced")
+    assert len(seen) == 4 and sum(seen) == 100 and max(seen) < 60
+    assert sorted(rows_of(out)) == [(k, 20) for k in range(100)]
+    session.discard(rows)
+    assert not any("counted-" in x for x in session._made) and out.count() == 100
+    session.discard(out)
+
+
 def test_every_link_shares_a_key():
     rng = random.Random(4)
     bits = np.random.default_rng(4).integers(0, 256, 1 << (ngram_join.MAP_BITS - 3), dtype=np.uint8)  # any order of the shingles

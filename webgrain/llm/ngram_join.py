@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.llm.common import LAST_ID, carried, map_batches, restored, ship, text_digest, whole
-from webgrain.session import materialized
+from webgrain.session import discard, in_slices, materialized
 
 SHINGLE = 3
 PERCENT = 90
@@ -69,6 +69,8 @@ COUNTED, LOCALLY = 1 << 20, 2
 MAP_BITS = 26
 # List members that meet in one block.
 BLOCK = 4096
+# Rows that fetch a sketch in one slice of the work, and pairs that fetch two texts, for each set that is in a list; so many at least.
+SKETCHED, FETCHED, LEAST_SLICE = 2, 1, 10_000
 # Narrow rows that one task may hold: two ids each.
 ONE_TASK = 200_000
 # Bits of a sketch for each shingle that linked sets may differ by.
@@ -295,6 +297,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, size: int) -> Broadcast:
     # At most 2^(MAP_BITS - 15) rows of 4 KB.
     for row in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         bits[row["part"] << 12:(row["part"] + 1) << 12] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    discard(seen)
     return ship(spark, bits, bits.nbytes)
 
 
@@ -370,17 +373,23 @@ def inverted_lists(rows: DataFrame, percent: int, frequent: Broadcast | None) ->
     often = materialized(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     # Stored, so that both sides of the join are plain shuffles, which Spark splits where one key is hot.
     shared = materialized(entries.join(often.hint("shuffle_hash"), "key").distinct(), "list-entries")
+    discard(light, often)
     # Lists of the same sets say the same: one of them stays, told by two hashes over its members.
     members = shared.groupBy("key").agg(
         F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).where("c > 1")
     kept = materialized(members.groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "different-lists")
-    return materialized(shared.join(kept.hint("shuffle_hash"), "key"), "lists")
+    lists = materialized(shared.join(kept.hint("shuffle_hash"), "key"), "lists")
+    discard(shared, kept)
+    return lists
 
 
-def hub_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with one smallest member of its lists, the one that looks nearest, if any may be a link."""
+def hub_pairs(lists: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b): each set with one smallest member of its lists, the one that looks nearest, if any may be a link.
+
+    ``most`` rows at a time fetch their sketches.
+    """
     hubs = materialized(lists.groupBy("key").agg(F.min("sid").alias("b")), "hubs")
-    pairs = lists.join(hubs, "key").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    pairs = materialized(lists.join(hubs, "key").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "hub-rows")
     mine = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     theirs = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
@@ -395,14 +404,21 @@ def hub_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "apart"])
 
-    seen = map_batches(pairs.join(mine, "a").join(theirs, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b"), near, "a long, b long, apart long")
-    # One number orders by distance, then id: the nearest hub of a set.
-    nearest = seen.groupBy("a").agg(F.min("apart").alias("apart"))
-    return seen.join(nearest, ["a", "apart"]).groupBy("a").agg(F.min("b").alias("b"))
+    def nearest(pairs: DataFrame) -> DataFrame:
+        seen = map_batches(pairs.join(mine, "a").join(theirs, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b"), near, "a long, b long, apart long")
+        # By distance, then id: the nearest hub of a set.
+        return seen.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+    out = in_slices(pairs, ["a"], most, nearest, "hub-pairs")
+    discard(hubs, pairs)
+    return out
+
 
+def block_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, forest: bool, most: int) -> DataFrame:
+    """(a, b) of different components that share a list and may be linked: a forest for each block, or all of them.
 
-def block_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b) of different components that share a list and may be linked: a forest for each block, or all of them."""
+    ``most`` rows at a time fetch their sketches.
+    """
     rows = lists.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed_lists = rows.groupBy("key").agg(
         F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
@@ -414,9 +430,8 @@ def block_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("other", other).select(
         "key", "sid", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = rows.join(sets.select("sid", "n", "sketch"), "sid").select("key", "i", "j", "sid", "comp", "n", "sketch")
+    rows = materialized(rows, "block-rows")
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, []
@@ -436,7 +451,15 @@ def block_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
         if out := found():
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return map_batches(rows, work, "a long, b long").distinct()
+    def compared(rows: DataFrame) -> DataFrame:
+        rows = rows.join(sets.select("sid", "n", "sketch"), "sid").select("key", "i", "j", "sid", "comp", "n", "sketch")
+        rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
+        return map_batches(rows, work, "a long, b long").distinct()
+
+    found = in_slices(rows, ["key", "i", "j"], most, compared, "slice-pairs")
+    out = materialized(found.distinct(), "pairs")
+    discard(mixed_lists, rows, found)
+    return out
 
 
 def possible_links(members: list[tuple[int, int, int, bytes]], percent: int, forest: bool) -> list[tuple[int, int]]:
@@ -464,10 +487,9 @@ def possible_links(members: list[tuple[int, int, int, bytes]], percent: int, for
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by the shingles of their texts."""
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("t_a"))
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("t_b"))
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """The pairs (a, b) that are links, by the shingles of their texts, which ``most`` pairs fetch at a time."""
+    asked: list[DataFrame] = []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,7 +502,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             kept = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b"), work, "a long, b long")
+    def linked(pairs: DataFrame) -> DataFrame:
+        # Where few texts are asked for, no others are shuffled.
+        ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+        asked.append(materialized(ends.distinct(), "asked"))
+        own = texts.join(asked[-1], "sid", "left_semi")
+        left = own.select(F.col("sid").alias("a"), F.col("text").alias("t_a"))
+        right = own.select(F.col("sid").alias("b"), F.col("text").alias("t_b"))
+        return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b"), work, "a long, b long")
+
+    out = in_slices(pairs, ["a", "b"], most, linked, "links")
+    discard(*asked)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -492,6 +525,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     hooks = []
     edges = _sized(materialized(links.select("a", "b"), "edges"))
+    stored = [edges]
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = _sized(materialized(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks"))
@@ -500,6 +534,7 @@ def components(links: DataFrame) -> DataFrame:
             hook.select(F.col("a").alias("b"), F.col("up").alias("v")), "b")
         moved = moved.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         edges = _sized(materialized(moved.distinct(), "edges"))
+        stored += [hook, edges]
         if edges.isEmpty():
             break
     found = hooks.pop()
@@ -507,7 +542,9 @@ def components(links: DataFrame) -> DataFrame:
         below = hooks.pop()
         above = found.select(F.col("a").alias("up"), F.col("up").alias("top"))
         found = below.join(above, "up", "left").select("a", F.coalesce("top", "up").alias("up"))
-    return materialized(found.select(F.col("a").alias("sid"), F.col("up").alias("comp")), "components")
+    labels = materialized(found.select(F.col("a").alias("sid"), F.col("up").alias("comp")), "components")
+    discard(*stored)
+    return labels
 
 
 def _sized(stored: DataFrame) -> DataFrame:
@@ -530,9 +567,9 @@ def linked_components(
     rows, named, labels = _labelled(docs, id_col, text_col, size, percent)
     least = materialized(named.join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), "first"), "labelled")
     firsts = materialized(least.groupBy("comp").agg(F.min("first").alias("component")), "least-ids")
-    least = least.join(firsts, "comp").select("sid", "component")
-    least = materialized(least, "answers")
-    out = rows.select("_id", "sid", "n").join(least, "sid", "left")
+    answers = materialized(least.join(firsts, "comp").select("sid", "component"), "answers")
+    discard(named, labels, least, firsts)
+    out = rows.select("_id", "sid", "n").join(answers, "sid", "left")
     nullable = lambda c: F.when(c != LAST_ID, c)
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
     return out.select(nullable(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), nullable(component).alias("component_id"))
@@ -558,26 +595,38 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         F.count("*").alias("copies"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     wanted = materialized(wanted.dropDuplicates(["sid"]), "sketches")
     sketches = wanted.select("sid", "n", "sketch")
+    # From here on rows go without what made the lists.
+    slim = materialized(rows.select("_id", "digest", "sid", "n"), "set-rows")
+    discard(rows, listed)
     texts = materialized(
         _given(docs, id_col, text_col).join(wanted.select("sid", "_id", "digest", "copies").hint("shuffle_hash"), ["_id", "digest"])
         .select("sid", "text", "copies"), "texts")
     # Rows that repeat id and text fetch it as often; one is enough.
     once = materialized(texts.where("copies > 1").dropDuplicates(["sid"]), "repeated-texts")
     texts = texts.where("copies = 1").unionByName(once).select("sid", "text")
-    return rows, named, _joined(spark, lists, sketches, texts, size, percent)
+    labels = _joined(spark, lists, sketches, texts, size, percent)
+    discard(lists, wanted, texts)
+    return slim, named, labels
 
 
 def _joined(spark: SparkSession, lists: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(sid, comp) over all links."""
-    links = materialized(verified(hub_pairs(lists, sketches, percent), texts, size, percent), "links")
+    sets = max(LEAST_SLICE, sketches.count())
+    pairs = hub_pairs(lists, sketches, percent, SKETCHED * sets)
+    links = verified(pairs, texts, size, percent, FETCHED * sets)
+    discard(pairs)
     for forest in (True, True, False):
         labels = components(links)
-        pairs = materialized(block_pairs(lists, sketches, labels, percent, forest), "pairs")
+        pairs = block_pairs(lists, sketches, labels, percent, forest, SKETCHED * sets)
         if pairs.isEmpty():
+            discard(pairs, links)
             return labels
-        more = materialized(verified(pairs, texts, size, percent), "more-links")
-        links = links.unionByName(more)
-    return components(links)
+        discard(labels)
+        links = links.unionByName(verified(pairs, texts, size, percent, FETCHED * sets))
+        discard(pairs)
+    labels = components(links)
+    discard(links)
+    return labels
 
 
 def keep_first(
@@ -588,7 +637,7 @@ def keep_first(
     Rows of one id, or without id, are told apart by their texts: of several that share the smallest id the
     one with the smallest digest of its text stays.  Texts without words are copies of nothing and all stay.
     """
-    rows, _, labels = _labelled(docs, id_col, text_col, size, percent)
+    rows, named, labels = _labelled(docs, id_col, text_col, size, percent)
     labels = labels.withColumnRenamed("sid", "_sid")
     own = rows.where("n > 0").groupBy("sid", "_id", "digest").agg(F.count("*").alias("copies"))
     own = own.join(labels, F.col("sid") == F.col("_sid"), "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -597,6 +646,7 @@ def keep_first(
     judged = own.join(first, "comp").withColumn("stays", F.col("stays") == F.struct("_id", "digest"))
     judged = materialized(judged.where("NOT stays OR copies > 1").select(
         F.col("_id").alias("_gone"), F.col("digest").alias("_gone_digest"), "stays"), "judged")
+    discard(rows, named, labels, own, first)
     keyed = carried(docs, _key=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), _digest=text_digest(F.col(text_col)))
     same = (F.col("_key") == F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest"))
     out = keyed.join(judged.hint("shuffle_hash"), same, "left_anti")
