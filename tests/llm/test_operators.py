@@ -499,6 +499,56 @@ def test_recall_and_precision_on_secrets_that_no_pattern_finds(spark):
     assert right >= 0.9 * len(hidden) and right >= 0.9 * len(found), (right, len(found))
 
 
+def test_many_examples_teach_as_each_does():
+    """Symbols, logits and gradients of many at once are those of single ones."""
+    rng = random.Random(4)
+    net = secrets.Network.new(np.random.default_rng(2))
+    net.kernel *= 3
+    texts = ["", "my Token = abcdefgh12345 and more", "é" * 30 + "abcdefgh" + "\n", " ".join("".join(rng.choice("abcXYZ019/_.") for _ in range(rng.randint(8, 40))) for _ in range(20))]
+    spans = [(i, s, e) for i, t in enumerate(texts) for s, e in secrets.candidates(t)]
+    code, base_at = secrets.joined(texts, secrets.symbols())
+    part = np.array(spans)
+    for way in ({}, {"bare": True}, {"mask": True}):
+        own, sizes = secrets.shown(code, base_at[part[:, 0]] + part[:, 1], part[:, 2] - part[:, 1], **way)
+        singles = [list(secrets.coded(texts[i], s, e, **way)) for i, s, e in spans]
+        if "bare" not in way:
+            assert own.tolist() == [x for (c,) in singles for x in c.tolist()]
+        starts = np.cumsum(sizes) - sizes
+        assert net.logits(net.tables(), own, starts, sizes)[0] == pytest.approx([net.logit(p) for p in singles], abs=1e-4)
+        got = net.gradient(net.tables(), own, starts, sizes, 1)
+        total = [0, 0, 0, 0]
+        for p in singles:
+            other = secrets.Network(net.kernel.copy(), net.bias.copy(), net.out.copy(), net.out_bias)
+            other.step(p, 1, 1.0)
+            total = [t + g for t, g in zip(total, (net.kernel - other.kernel, net.bias - other.bias, net.out - other.out, net.out_bias - other.out_bias), strict=True)]
+        # The bare form has fewer of the places that are all the same.
+        assert all(np.allclose(g, t, atol=1e-3) for g, t in zip(got, total, strict=True))
+
+
+def test_all_findings_are_trained_on(spark):
+    """Beyond the sample as well: every example is followed or held out, and the threshold is that of all that are held out."""
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"{rng.choice(['extraordinary', 'circumstances', 'understanding'])} mail{i}.example.org token = {key()} from notwithstanding{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    net = secrets.trained(docs, sample=40)
+    few = secrets.fit(secrets.labelled_findings(docs, sample=40), held_back=secrets.value_held)
+    assert not np.allclose(net.kernel, few.kernel, atol=1e-9) and net.threshold <= 1
+    scores, findings = [], 0
+    for held in (False, True):
+        many, long = secrets.examples([t for _, t in rows], secrets.symbols(), held)
+        assert not long
+        for label, code, sizes in many:
+            findings += len(sizes) * label
+            if label and held:
+                scores += net.scores(net.tables(), code, np.cumsum(sizes) - sizes, sizes).tolist()
+    assert findings == 3 * 2 * 400  # each as the value of a pattern and as hex, and each in three ways
+    kept = sum(s >= net.threshold - 1e-6 for s in scores)
+    assert len(scores) > 150 and kept >= secrets.RECALL * len(scores) and kept < len(scores)
+    # Where the sample has all, it is as before.
+    assert secrets.trained(docs.limit(20)).threshold == secrets.fit(secrets.labelled_findings(docs.limit(20))).threshold
+
+
 def test_base_patterns():
     text = 'PASSWORD="abc" x api-key=12345678 apikey : \'1234567890\' AKIA123 ' + "f" * 31 + " " + "0" * 33
     assert [(k, text[s:e]) for s, k, e in secrets.base_spans(text)] == [(0, "apikey : '1234567890"), (2, "0" * 33)]
